@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import dedup_bytes
 from .common import table
 from .jaccard import jaccard_components
 from .media import to_media
 from .packing import pack_documents
+from .substrings import dedup_substrings
 from .topk import top_k
 
 
@@ -20,16 +22,24 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_media(table(spark, sf_dir, "documents"), keep_media=False).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op6_best_fit_packing, op8_media_columns)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op4_substring_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
