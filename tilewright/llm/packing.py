@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import powers, prefix_hashes, ranges, span_hashes, steps, text_bytes, words, written  # noqa: F401
+from .common import lowered, prefix_hashes, ranges, span_hashes, steps, words, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps; the store is emptied when it is full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,11 +43,37 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of words, cut between letters and closing punctuation, and which are plain.
+
+    A plain part holds only Latin-1 letters or only ASCII punctuation without apostrophes; the tokenizer
+    takes each as one unit whatever its neighbours are.
+    """
+    starts, ends, rows = words(data, offsets)
+    after = np.append(data[1:], 0) if len(data) else data
+    pair = (data == 0xC3) & (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+    small = data | 32
+    letter = ((small >= 97) & (small <= 122)) | pair
+    letter[1:] |= pair[:-1]
+    punct = (data > 32) & (data < 127) & ~letter & ~((data >= 48) & (data <= 57)) & (data != 39)
+    letters, puncts = (np.concatenate(([0], np.cumsum(x))) for x in (letter, punct))
+    head = letters[ends] - letters[starts]
+    plain = (head + puncts[ends] - puncts[starts] == ends - starts) & (letters[starts + head] - letters[starts] == head)
+    two = plain & (head > 0) & (head < ends - starts)
+    which = np.repeat(np.arange(len(starts)), 1 + two)
+    second = np.zeros(len(which), bool)
+    second[1:] = which[1:] == which[:-1]
+    middle = (starts + head)[which]
+    cut = two[which]
+    return np.where(second, middle, starts[which]), np.where(cut & ~second, middle, ends[which]), rows[which], plain[which]
+
+
 class WordTokenizer:
     """Ids of whole texts from ids of their white-space separated words.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of
-    its words in turn.  Each distinct word of a batch is encoded once.
+    The tokenizer drops white space and never joins across it, and it takes letters and punctuation apart, so
+    the ids of a text are those of its parts in turn.  Each distinct part of a batch is encoded once, and
+    plain parts many at a time.
     """
 
     def __init__(self, path: str):
@@ -56,25 +82,35 @@ class WordTokenizer:
         self.encoder = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {}
 
-    def _ids(self, found: list[bytes]) -> list[bytes]:
+    def _encode(self, new: list[bytes], plain: list[bool]) -> None:
+        encode = self.encoder.encode
+        for part in (p for p, q in zip(new, plain, strict=True) if not q):
+            self.kept[part] = np.array(encode(part.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+        joint = [p for p, q in zip(new, plain, strict=True) if q]
+        for at in range(0, len(joint), 256):
+            some = joint[at : at + 256]
+            coded = encode(b" ".join(some).decode(), add_special_tokens=False)
+            ids = np.array(coded.ids, np.uint32).tobytes()
+            ends = (4 * np.cumsum(np.bincount(coded.word_ids, minlength=len(some)))).tolist()
+            self.kept.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _ids(self, found: list[bytes], plain: list[bool]) -> list[bytes]:
         kept = self.kept
-        new = [w for w in found if w not in kept]
-        if len(kept) + len(new) > KEPT_WORDS:
+        if len(kept) > KEPT_WORDS:
             kept.clear()
-            new = found
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = self.encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            kept.update((w, np.array(c.ids, np.uint32).tobytes()) for w, c in zip(part, coded, strict=True))
+        new = [i for i, w in enumerate(found) if w not in kept]
+        self._encode([found[i] for i in new], [plain[i] for i in new])
         return [kept[w] for w in found]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and row offsets of a batch of texts."""
-        starts, ends, rows = words(data, offsets)
+        if b"<|" not in data.tobytes():  # the names of special tokens are not in lower case only
+            data = lowered(data)
+        starts, ends, rows, plain = word_parts(data, offsets)
         hashes = span_hashes(prefix_hashes(data), starts, ends)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        coded = self._ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        coded = self._ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], plain[first].tolist())
         sizes = np.array([len(c) // 4 for c in coded], np.int64)
         flat = np.frombuffer(b"".join(coded), np.uint32)
         begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
@@ -90,8 +126,9 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
     """Rows (doc_id, piece, start, length, ids_crc32): every document's ids and end id, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizers.setdefault(path, None) or WordTokenizer(path)
-        _tokenizers[path] = tokenizer
+        if path not in _tokenizers:
+            _tokenizers[path] = WordTokenizer(path)
+        tokenizer = _tokenizers[path]
         for part, data, offsets in steps(batches):
             ids, at = tokenizer(data, offsets)
             lengths = np.diff(at) + 1
@@ -110,7 +147,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
             yield pa.RecordBatch.from_arrays([ids_of_row, *(pa.array(x.astype(np.int64)) for x in (piece, start, length)), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    return picked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint".replace("piece int", "piece bigint"))
+    return picked.mapInArrow(run, "doc_id bigint, piece bigint, start bigint, length bigint, ids_crc32 bigint")
 
 
 def _largest(left: np.ndarray, most: int) -> int:
@@ -197,7 +234,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     lows = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "per", "base", "first"))).alias("slots"))
     placed = ranked.join(lows, "length").withColumn("slot", _slot("slots", "rank"))
     k = F.col("rank") - F.col("slot.low")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("slot.first") + F.floor(k / F.col("slot.per"))).alias("sequence_id"), (F.col("slot.base") + (k % F.col("slot.per")) * F.col("length")).alias("offset"))
+    return placed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", (F.col("slot.first") + F.floor(k / F.col("slot.per"))).alias("sequence_id"), (F.col("slot.base") + (k % F.col("slot.per")) * F.col("length")).alias("offset"))
 
 
 def _slot(slots: str, rank: str):
