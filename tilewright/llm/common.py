@@ -169,6 +169,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     each shuffle, so a node with very many links is no hot task.
     """
     both = links.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = written(both, "links")
     both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c")), "labels")
     while True:

@@ -261,7 +261,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     # the commonest members of a prefix, as many as may be left out
     of = F.sort_array("of", asc=False)
     left = F.filter(of, lambda x, i: (i >= F.col("spare")) | (x["n"] == 0))
-    regions = touched.select("s", F.array_distinct(F.transform(left, lambda x: x["p"])).alias("p"))
+    regions = written(touched.select("s", F.array_distinct(F.transform(left, lambda x: x["p"])).alias("p")), "regions")
     pivots = regions.select(F.explode("p").alias("p")).distinct().select(F.col("p").alias("s"), F.array("p").alias("p"))
     regions = regions.unionByName(pivots).groupBy("s").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p"))
     first = sets.where("n_shingles > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
