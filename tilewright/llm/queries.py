@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .columns import dedup_bytes
 from .common import table
 from .jaccard import jaccard_components
+from .lines import dedup_lines
 from .media import to_media
+from .mixing import mix
 from .packing import pack_documents
 from .substrings import dedup_substrings
 from .topk import top_k
@@ -26,6 +28,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -38,8 +44,12 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_media(table(spark, sf_dir, "documents"), keep_media=False).withColumnRenamed("id", "doc_id")
 
 
+def op10_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), share=0.8, epochs=2)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op4_substring_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op10_mixing_to_weights)}
 
 
 def oracle_sql() -> dict[str, str]:
