@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .common import mixed, powers, prefix_hashes, ranges, span_hashes, steps, wo
 
 #: Occurrences from which a k-gram's windows are grouped by all their symbols.
 COMMON = 2000
+#: Bytes of contexts that a task works on at once.
+GROUP_BYTES = 2 << 20
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -191,18 +194,31 @@ def _decided(rule: Rule, parts: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
             yield runs_of(doc[later], v[later], start[later])
     if (zero := np.flatnonzero(kind == 0)).size:
         key, doc, v, start, n, left = get(zero, "key", "doc_id", "v", "start", "n", "left")
-        order = np.lexsort((start + left, v, doc))
-        content = table["content"].combine_chunks().take(pa.array(zero[order]))
-        key, doc, v, start, n, left = (x[order] for x in (key, doc, v, start, n, left))
-        _, group, size = np.unique(key, return_inverse=True, return_counts=True)
-        alone = size[group] < 2
-        if not alone.all():
-            many = np.flatnonzero(~alone)
-            key, doc, v, start, n, left = (x[many] for x in (key, doc, v, start, n, left))
-            covered = earlier(rule, content.take(pa.array(many)), left.astype(np.int64), n.astype(np.int64), np.unique(key, return_inverse=True)[1], doc)
+        content = table["content"].combine_chunks()
+        for some in whole_groups(key, np.asarray(pc.binary_length(content))[zero]):
+            some = some[np.lexsort(((start + left)[some], v[some], doc[some]))]
+            covered = earlier(rule, content.take(pa.array(zero[some])), left[some].astype(np.int64), n[some].astype(np.int64), np.unique(key[some], return_inverse=True)[1], doc[some])
             where, offset = np.nonzero(covered)
             if len(where):
-                yield runs_of(doc[where], v[where], start[where].astype(np.int64) + left[where] - offset)
+                row = some[where]
+                yield runs_of(doc[row], v[row], start[row].astype(np.int64) + left[row] - offset)
+
+
+def whole_groups(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of whole groups of two or more, some GROUP_BYTES of content at a time (or one larger group)."""
+    order = np.argsort(key, kind="stable")
+    first = np.ones(len(key), bool)
+    first[1:] = key[order[1:]] != key[order[:-1]]
+    begin = np.append(np.flatnonzero(first), len(key))
+    total = np.concatenate(([0], np.cumsum(size[order])))[begin]
+    many = np.repeat(np.diff(begin), np.diff(begin)) > 1
+    at = 0
+    while at < len(begin) - 1:
+        end = max(at + 1, int(np.searchsorted(total, total[at] + GROUP_BYTES, "right")) - 1)
+        rows = order[begin[at] : begin[end]][many[begin[at] : begin[end]]]
+        if len(rows):
+            yield rows
+        at = end
 
 
 def earlier(rule: Rule, content: pa.Array, left: np.ndarray, n: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
