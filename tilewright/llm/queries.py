@@ -12,6 +12,7 @@ from .lines import dedup_lines
 from .media import to_media
 from .mixing import mix
 from .packing import pack_documents
+from .quality import fit, scored
 from .substrings import dedup_substrings
 from .topk import top_k
 
@@ -24,6 +25,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).withColumn("keep", F.col("p_quality") >= 0.5)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -49,7 +55,7 @@ def op10_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op10_mixing_to_weights)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op10_mixing_to_weights)}
 
 
 def oracle_sql() -> dict[str, str]:
