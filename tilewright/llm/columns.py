@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import steps, text_bytes
 from .repeats import COMMON, Rule, removed_symbols, with_runs
 
-LENGTH, K = 100, 32
+LENGTH, K = 100, 24
 END = 256
 
 

@@ -26,10 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, powers, prefix_hashes, ranges, span_hashes, steps, word_hashes, words
+from .common import mixed, powers, prefix_hashes, ranges, span_hashes, steps, word_hashes, words, written
 
 #: Occurrences from which a k-gram's windows are grouped by all their symbols.
 COMMON = 2000
+#: Marks a text hash among a document's repeated anchors: the whole text is a copy of an earlier document's.
+COPY = 2
 #: Bytes of contexts that a task works on at once.
 GROUP_BYTES = 2 << 20
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -90,11 +92,11 @@ def anchor_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in steps(batches):
             values, at, _, _ = symbols(rule.unit, data, offsets)
-            place, gram, row, _, _ = anchors(prefix_hashes(values), at, rule.length, rule.k)
+            _, gram, row, _, _ = anchors(prefix_hashes(values), at, rule.length, rule.k)
             ids = np.asarray(part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[row]), pa.array((place - at[row]).astype(np.int32))], ["g", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[row])], ["g", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "g bigint, doc_id bigint, pos int")
+    return docs.select("doc_id", "text").mapInArrow(run, "g bigint, doc_id bigint")
 
 
 OUT = ["kind", "key", "doc_id", "v", "start", "n", "left", "content"]
@@ -148,19 +150,31 @@ def contexts(docs: DataFrame, rule: Rule) -> DataFrame:
             if not counts.sum():
                 continue
             flat = found.flatten()
-            wanted = (np.repeat(np.arange(len(part)), counts) << 32) | np.asarray(flat.field(0)).astype(np.int64)
-            order = np.argsort(wanted)
-            wanted, common, check = wanted[order], np.asarray(flat.field(1).cast(pa.int8()))[order], np.asarray(flat.field(2))[order]
+            owner = np.repeat(np.arange(len(part)), counts)
+            told, kind = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+            ids, texts = np.asarray(part.column(0)), np.asarray(part.column(1))
             values, at, begin, end = symbols(rule.unit, data, offsets)
+            copies = np.unique(owner[(kind == COPY) & (told == texts[owner])])
+            if len(copies):
+                size = np.diff(at)[copies]
+                long = copies[size >= rule.length]
+                yield _out(2, mixed((ids[long] ^ texts[long]).view(np.uint64)), ids[long], texts[long], np.zeros(len(long), np.int64), size[size >= rule.length] - rule.length + 1)
+            mine = (kind != COPY) & ~np.isin(owner, copies)
+            owner, told, kind = owner[mine], told[mine], kind[mine]
+            if not len(owner):
+                continue
+            wanted = mixed(told.view(np.uint64) ^ mixed(owner.astype(np.uint64)))
+            order = np.argsort(wanted)
+            wanted, common = wanted[order], kind[order]
             prefix = prefix_hashes(values)
             place, gram, row, s0, s1 = anchors(prefix, at, rule.length, rule.k)
             if not len(place):
                 continue
-            mine = (row << 32) | (place - at[row])
-            hit = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
-            good = (wanted[hit] == mine) & (check[hit] == gram.astype(np.uint32).view(np.int32))
+            here = mixed(gram ^ mixed(row.astype(np.uint64)))
+            hit = np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)
+            good = wanted[hit] == here
             place, gram, row, s0, s1, common = (x[good] for x in (place, gram, row, s0, s1, common[hit]))
-            doc, v = np.asarray(part.column(0))[row], np.asarray(part.column(1))[row]
+            doc, v = ids[row], texts[row]
             a = common == 0
             if a.any():
                 content = slices(data, begin[s0[a]], end[s1[a] + rule.length - 1])
@@ -262,10 +276,13 @@ def with_runs(docs: DataFrame, rule: Rule, id_col: str, text_col: str, common: i
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
     marked = docs.select("doc_id", F.xxhash64("text").alias("v"), "text")
     found = anchor_rows(docs.where("doc_id is not null"), rule)
-    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g", (F.col("m") > common).alias("common"))
-    check = F.expr("cast(case when (g & 4294967295) >= 2147483648 then (g & 4294967295) - 4294967296 else g & 4294967295 end as int)")
-    again = found.join(often, "g").select("doc_id", F.struct("pos", "common", check.alias("h")).alias("a"))
-    of_doc = again.groupBy("doc_id").agg(F.collect_list("a").alias("found"))
+    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g", (F.col("m") > common).cast("int").alias("kind"))
+    # written, so that both sides of the next join are plain shuffles, whose large partitions Spark can split
+    again = found.join(written(often, "often"), "g").select("doc_id", F.struct("g", "kind").alias("a"))
+    whole = marked.where("doc_id is not null").select("doc_id", "v")
+    first = whole.groupBy("v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = whole.join(written(first, "first"), "v").where("doc_id > first").select("doc_id", F.struct(F.col("v").alias("g"), F.lit(COPY).alias("kind")).alias("a"))
+    of_doc = again.unionByName(copies).groupBy("doc_id").agg(F.collect_list("a").alias("found"))
     sent = contexts(marked.join(of_doc.hint("shuffle_hash"), "doc_id", "left"), rule)
     runs = repeated_runs(sent, rule, parts).groupBy("doc_id").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
     return marked.join(runs.hint("shuffle_hash"), "doc_id", "left")
