@@ -29,7 +29,7 @@ LENGTH, K = 100, 24
 END = 256
 
 
-def inserted(columns: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def inserted(columns: np.ndarray, group: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """The order of the strings (rows) by group and symbols, and each one's common prefix with the one before.
 
     Columns are inserted from the last to the first.  After a round, the order is that of the suffixes from
@@ -47,15 +47,15 @@ def inserted(columns: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nda
         names[order] = np.cumsum(fresh) - 1
     order = order[np.argsort(group[order], kind="stable")]
     a, b = columns[order[1:]], columns[order[:-1]]
-    differ = (a != b) | (a == END)
+    differ = (a != b) | (a == end)
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     lcp = np.where(group[order[1:]] == group[order[:-1]], lcp, -1)
     return order, np.concatenate(([-1], lcp))
 
 
-def intervals(columns: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+def intervals(columns: np.ndarray, group: np.ndarray, end: int = END) -> list[np.ndarray]:
     """For each depth, the number of the suffix-array interval that holds each string."""
-    order, lcp = inserted(columns, group)
+    order, lcp = inserted(columns, group, end)
     out = []
     for depth in range(columns.shape[1] + 1):
         number = np.empty(len(group), np.int64)
@@ -77,7 +77,7 @@ def byte_contexts(content: pa.Array, left: np.ndarray, group: np.ndarray, depth:
     return intervals(before, group), intervals(after, group)
 
 
-RULE = Rule("bytes", LENGTH, K, True, byte_contexts)
+RULE = Rule("bytes", LENGTH, K, "earlier", byte_contexts)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, common: int = COMMON) -> DataFrame:

@@ -276,3 +276,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     of_set = named.join(least, "c").select("s", "component_id")
     out = sets.join(of_set, "s", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, without those linked to a smaller id; one document of each group stays."""
+    dropped = jaccard_components(docs, n, percent, id_col, text_col).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(dropped.withColumnRenamed("doc_id", "dropped_id").hint("shuffle_hash"), F.col(id_col).cast("bigint") == F.col("dropped_id"), "left_anti")

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,3 +169,30 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     schema = "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
     return with_covered(marked(docs, id_col, text_col), min_words).mapInArrow(run, schema)
+
+
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with all its columns, its texts without repeated runs of lines.
+
+    A document all of whose lines are copies goes; ``length_col``, if named, becomes the new length in characters.
+    """
+    names, schema = docs.columns, docs.schema
+    others = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(names)]
+    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("v"), F.col(text_col).cast("string").alias("text"), *(o for c, o in zip(names, others, strict=True) if c != text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in steps(batches):
+            kept, n, removed = kept_text(part, data, offsets)
+            columns = []
+            for i, c in enumerate(names):
+                if c == text_col:
+                    was = part.column(2)
+                    columns.append(pc.if_else(pa.array(removed == 0), was, pa.array([k.decode() for k in kept], was.type)))
+                else:
+                    columns.append(part.column(part.schema.get_field_index(f"kept_{i}")))
+            if length_col:
+                i = names.index(length_col)
+                columns[i] = pc.if_else(pa.array(removed == 0), columns[i], pc.utf8_length(columns[names.index(text_col)]).cast(columns[i].type))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array((removed == 0) | (removed < n)))
+
+    return with_covered(picked, min_words).mapInArrow(run, schema)

@@ -112,3 +112,10 @@ def chosen(sizes: DataFrame, share: float, epochs: int, seed: str = SEED) -> Dat
 def mix(docs: DataFrame, share: float = 0.8, epochs: int = 2, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each time that a document is taken: doc_id, domain, lang, source, tokens, epoch, start."""
     return chosen(written(sized(docs, id_col, text_col), "sizes"), share, epochs, seed).drop("v")
+
+
+def mixed_documents(docs: DataFrame, share: float = 0.8, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that one epoch takes."""
+    taken = chosen(written(sized(docs, id_col, text_col), "sizes"), share, 1, seed).select(F.col("doc_id").alias("taken_id"), F.col("v").alias("taken_v")).distinct()
+    same = (F.col(id_col).cast("bigint") == F.col("taken_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("taken_v"))
+    return docs.join(taken.hint("shuffle_hash"), same, "left_semi")

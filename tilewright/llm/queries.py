@@ -12,6 +12,7 @@ from .lines import dedup_lines
 from .media import to_media
 from .mixing import mix
 from .packing import pack_documents
+from .pages import main_text
 from .quality import fit, scored
 from .substrings import dedup_substrings
 from .topk import top_k
@@ -50,12 +51,16 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_media(table(spark, sf_dir, "documents"), keep_media=False).withColumnRenamed("id", "doc_id")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), share=0.8, epochs=2)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op10_mixing_to_weights)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op9_html_extraction, op10_mixing_to_weights)}
 
 
 def oracle_sql() -> dict[str, str]:

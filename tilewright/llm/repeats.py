@@ -41,14 +41,15 @@ LOW32 = np.uint64(0xFFFFFFFF)
 class Rule:
     """What a symbol is, the window and k-gram lengths, and which earlier windows count.
 
-    ``own`` tells whether an earlier start in the same document counts, or only smaller doc_ids.
+    ``counts``: "earlier" for any earlier start, "smaller" for a start in a document with a smaller doc_id,
+    "shared" for a start in any other document.
     ``nodes(contents, left, group)`` gives node numbers of the left and right contexts by depth.
     """
 
     unit: str
     length: int
     k: int
-    own: bool
+    counts: str
     nodes: Callable
 
 
@@ -93,10 +94,11 @@ def anchor_rows(docs: DataFrame, rule: Rule) -> DataFrame:
         for part, data, offsets in steps(batches):
             values, at, _, _ = symbols(rule.unit, data, offsets)
             _, gram, row, _, _ = anchors(prefix_hashes(values), at, rule.length, rule.k)
-            ids = np.asarray(part.column(0))
+            ids, salt = np.asarray(part.column(0)), np.asarray(part.column(1)).view(np.uint64)
+            gram = mixed(gram ^ salt[row])
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[row])], ["g", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "g bigint, doc_id bigint")
+    return docs.select("doc_id", "salt", "text").mapInArrow(run, "g bigint, doc_id bigint")
 
 
 OUT = ["kind", "key", "doc_id", "v", "start", "n", "left", "content"]
@@ -128,16 +130,28 @@ def runs_of(doc: np.ndarray, v: np.ndarray, start: np.ndarray) -> tuple[np.ndarr
     return doc[begin], v[begin], start[begin], np.diff(np.append(begin, len(doc)))
 
 
-def merged_windows(key: np.ndarray, doc: np.ndarray, v: np.ndarray, start: np.ndarray, own: bool) -> np.ndarray:
-    """Which windows have an equal one earlier among the given: all but the first, or all of later documents."""
-    order = np.lexsort((start, v, doc, key))
-    key, doc = key[order], doc[order]
+def judged(key: np.ndarray, doc: np.ndarray, counts: str) -> np.ndarray:
+    """Which windows have an equal one that counts; rows are in order of key, document and place."""
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-    later = np.empty(len(key), bool)
-    later[order] = ~fresh if own else doc != doc[first]
-    return later
+    begin = np.flatnonzero(fresh)
+    if counts == "earlier":
+        return ~fresh
+    first = np.repeat(doc[begin], np.diff(np.append(begin, len(key))))
+    if counts == "smaller":
+        return doc != first
+    return np.repeat(np.logical_or.reduceat(doc != first, begin), np.diff(np.append(begin, len(key)))) if len(key) else fresh
+
+
+def merged_windows(key: np.ndarray, doc: np.ndarray, v: np.ndarray, start: np.ndarray, counts: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows are decided by the given ones alone, and which must be told to others."""
+    order = np.lexsort((start, v, doc, key))
+    found = judged(key[order], doc[order], counts)
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    decided, told = np.empty(len(key), bool), np.empty(len(key), bool)
+    decided[order], told[order] = found, ~found | fresh
+    return decided, told
 
 
 def contexts(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -145,14 +159,14 @@ def contexts(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in steps(batches):
-            found = part.column(3)
-            counts = np.diff(np.asarray(found.offsets)) if not found.null_count else np.asarray([len(x) if x.is_valid else 0 for x in found])
+            found, salt = part.column(4), np.asarray(part.column(2)).view(np.uint64)
+            counts = np.asarray(found.value_lengths().fill_null(0)).astype(np.int64)
             if not counts.sum():
                 continue
             flat = found.flatten()
             owner = np.repeat(np.arange(len(part)), counts)
             told, kind = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-            ids, texts = np.asarray(part.column(0)), np.asarray(part.column(1))
+            ids, texts = np.asarray(part.column(0).fill_null(0)), np.asarray(part.column(1))
             values, at, begin, end = symbols(rule.unit, data, offsets)
             copies = np.unique(owner[(kind == COPY) & (told == texts[owner])])
             if len(copies):
@@ -170,6 +184,7 @@ def contexts(docs: DataFrame, rule: Rule) -> DataFrame:
             place, gram, row, s0, s1 = anchors(prefix, at, rule.length, rule.k)
             if not len(place):
                 continue
+            gram = mixed(gram ^ salt[row])
             here = mixed(gram ^ mixed(row.astype(np.uint64)))
             hit = np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)
             good = wanted[hit] == here
@@ -183,16 +198,15 @@ def contexts(docs: DataFrame, rule: Rule) -> DataFrame:
             if len(b):
                 which = np.repeat(b, (s1 - s0 + 1)[b])
                 start = ranges(s0[b], (s1 - s0 + 1)[b])
-                key = span_hashes(prefix, start, start + rule.length)
+                key = mixed(span_hashes(prefix, start, start + rule.length) ^ salt[row[which]])
                 doc, v, start = doc[which], v[which], start - at[row[which]]
-                later = merged_windows(key, doc, v, start, rule.own)
-                keep = ~later
+                later, keep = merged_windows(key, doc, v, start, rule.counts)
                 yield _out(1, key[keep], doc[keep], v[keep], start[keep], np.ones(int(keep.sum()), np.int64))
                 if later.any():
                     doc, v, start, n = runs_of(doc[later], v[later], start[later])
                     yield _out(2, mixed((doc ^ v).astype(np.uint64) + start.astype(np.uint64)), doc, v, start, n)
 
-    return docs.mapInArrow(run, OUT_SCHEMA)
+    return docs.select("doc_id", "v", "salt", "text", "found").mapInArrow(run, OUT_SCHEMA)
 
 
 def _decided(rule: Rule, parts: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -203,7 +217,7 @@ def _decided(rule: Rule, parts: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield tuple(get(two, "doc_id", "v", "start", "n"))
     if (one := kind == 1).any():
         key, doc, v, start = get(one, "key", "doc_id", "v", "start")
-        later = merged_windows(key, doc, v, start, rule.own)
+        later, _ = merged_windows(key, doc, v, start, rule.counts)
         if later.any():
             yield runs_of(doc[later], v[later], start[later])
     if (zero := np.flatnonzero(kind == 0)).size:
@@ -211,7 +225,7 @@ def _decided(rule: Rule, parts: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         content = table["content"].combine_chunks()
         for some in whole_groups(key, np.asarray(pc.binary_length(content))[zero]):
             some = some[np.lexsort(((start + left)[some], v[some], doc[some]))]
-            covered = earlier(rule, content.take(pa.array(zero[some])), left[some].astype(np.int64), n[some].astype(np.int64), np.unique(key[some], return_inverse=True)[1], doc[some])
+            covered = counted(rule, content.take(pa.array(zero[some])), left[some].astype(np.int64), n[some].astype(np.int64), np.unique(key[some], return_inverse=True)[1], doc[some])
             where, offset = np.nonzero(covered)
             if len(where):
                 row = some[where]
@@ -235,10 +249,10 @@ def whole_groups(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
-def earlier(rule: Rule, content: pa.Array, left: np.ndarray, n: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """covered[i, l]: context i's window with l symbols before the anchor occurs earlier.
+def counted(rule: Rule, content: pa.Array, left: np.ndarray, n: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """covered[i, l]: context i's window with l symbols before the anchor has an equal one that counts.
 
-    Contexts come in order of document and place, so the first of a node pair is the earliest.
+    Contexts come in order of document and place.
     """
     depth = rule.length - rule.k
     before, after = rule.nodes(content, left, group, depth)
@@ -251,10 +265,7 @@ def earlier(rule: Rule, content: pa.Array, left: np.ndarray, n: np.ndarray, grou
         pair = a.astype(np.int64) * (int(b.max()) + 1) + b
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
-        fresh = np.ones(len(pair), bool)
-        fresh[1:] = pair[1:] != pair[:-1]
-        first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(pair)), 0))]
-        covered[has[order], l] = ~fresh if rule.own else doc[has[order]] != doc[has[first]]
+        covered[has[order], l] = judged(pair, doc[has[order]], rule.counts)
     return covered
 
 
@@ -270,27 +281,33 @@ def repeated_runs(contexts_: DataFrame, rule: Rule, parts: int) -> DataFrame:
     return contexts_.repartition(parts, "key").mapInArrow(run, "doc_id bigint, v bigint, start int, n int")
 
 
-def with_runs(docs: DataFrame, rule: Rule, id_col: str, text_col: str, common: int = COMMON) -> DataFrame:
-    """Every document as (doc_id, v, text, found): ``found`` lists the runs of windows that occur earlier."""
+def with_runs(docs: DataFrame, rule: Rule, id_col: str, text_col: str, common: int = COMMON, salt: str | None = None, keep: list[str] = (), only: str = "true") -> DataFrame:
+    """Every document as (doc_id, v, salt, text, .., found): ``found`` lists its runs of windows that have an equal one that counts.
+
+    Windows only count for each other if their documents have the same ``salt``.  ``keep`` names further columns,
+    ``only`` says which documents are returned (all are searched).
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    marked = docs.select("doc_id", F.xxhash64("text").alias("v"), "text")
+    text = F.col(text_col).cast("string")
+    marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("v"), (F.col(salt) if salt else F.lit(0)).cast("bigint").alias("salt"), text.alias("text"))
+    back = docs.where(only).select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("v"), (F.col(salt) if salt else F.lit(0)).cast("bigint").alias("salt"), text.alias("text"), *keep) if keep or only != "true" else marked
+    docs = marked
     found = anchor_rows(docs.where("doc_id is not null"), rule)
     often = found.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g", (F.col("m") > common).cast("int").alias("kind"))
     # written, so that both sides of the next join are plain shuffles, whose large partitions Spark can split
     again = found.join(written(often, "often"), "g").select("doc_id", F.struct("g", "kind").alias("a"))
     whole = marked.where("doc_id is not null").select("doc_id", "v")
     first = whole.groupBy("v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = whole.join(written(first, "first"), "v").where("doc_id > first").select("doc_id", F.struct(F.col("v").alias("g"), F.lit(COPY).alias("kind")).alias("a"))
+    copies = whole.where(F.lit(rule.counts != "shared")).join(written(first, "first"), "v").where("doc_id > first").select("doc_id", F.struct(F.col("v").alias("g"), F.lit(COPY).alias("kind")).alias("a"))
     of_doc = again.unionByName(copies).groupBy("doc_id").agg(F.collect_list("a").alias("found"))
     sent = contexts(marked.join(of_doc.hint("shuffle_hash"), "doc_id", "left"), rule)
     runs = repeated_runs(sent, rule, parts).groupBy("doc_id").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
-    return marked.join(runs.hint("shuffle_hash"), "doc_id", "left")
+    return back.join(runs.hint("shuffle_hash"), "doc_id", "left")
 
 
 def removed_symbols(part: pa.RecordBatch, at: np.ndarray, length: int) -> np.ndarray:
     """Mask of the symbols that the runs of a batch from :func:`with_runs` cover."""
-    found = part.column(3)
+    found = part.column(part.schema.get_field_index("found"))
     edges = np.zeros(int(at[-1]) + 1, np.int64)
     counts = np.asarray(found.value_lengths().fill_null(0)).astype(np.int64)
     if counts.sum():

@@ -60,7 +60,7 @@ def suffix_trees(content: pa.Array, left: np.ndarray, group: np.ndarray, depth:
     return before, after
 
 
-RULE = Rule("words", LENGTH, K, False, suffix_trees)
+RULE = Rule("words", LENGTH, K, "smaller", suffix_trees)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, common: int = COMMON) -> DataFrame:
