@@ -232,6 +232,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = pieces.withColumn("bucket", bucket).withColumn("r", F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["bucket", "length"]).withColumn("rank", F.col("before") + F.col("r"))
     lows = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "per", "base", "first"))).alias("slots"))
+    # written: at most ``capacity`` rows whose size Spark knows, and a plain shuffle that it can split if it has to
+    lows = written(lows, "slots")
     placed = ranked.join(lows, "length").withColumn("slot", _slot("slots", "rank"))
     k = F.col("rank") - F.col("slot.low")
     return placed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", (F.col("slot.first") + F.floor(k / F.col("slot.per"))).alias("sequence_id"), (F.col("slot.base") + (k % F.col("slot.per")) * F.col("length")).alias("offset"))
