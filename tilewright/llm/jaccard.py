@@ -7,8 +7,9 @@ pivot says nothing.  So the space is cut in two steps, both exact:
    sets with similarity of at least t share a member among their first n - ceil(t * n) + 1, so each of
    these prefix members that occurs in two different sets makes a region.  Its pivot is its least
    set; regions of the same pivot are one region.  A document is replicated into every region that its
-   prefix touches.  Prefixes are longer by a small share, so that very common members can be
-   left out: a pair shares c of them, and each document may leave out its c - 1 commonest.
+   prefix touches.  Prefixes are longer by a share c - 1, so that a pair shares c of their members, and each
+   document leaves out its c - 1 commonest: the least common member of a pair's c is left out by neither.  So
+   documents that share no more than a passage mostly touch no region at all.
 2. *Voronoi cells.*  Inside a region, members whose locally rarest n-grams occur nowhere else in it
    have no partner.  For the rest, pivots get exact distances to all members in their window: members
    within the distance bound of a pivot are its cell and its component, a member beyond it becomes a
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import components, lowered, mixed, steps, word_hashes, words, written
 
-#: Share of a set by which prefixes are longer, as 1 / SLACK, and the count from which a member is common.
-SLACK, COMMON = 64, 1000
+#: Share of a set by which prefixes are longer, as 1 / SLACK.
+SLACK = 24
 FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -257,10 +258,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     known = docs.where("doc_id is not null")
     prefixes = _prefixes(known, n, percent)
     shared = prefixes.groupBy("g").agg(F.min("s").alias("p"), F.max("s").alias("last"), F.count(F.lit(1)).alias("n")).where("p <> last").drop("last")
-    touched = prefixes.join(shared, "g").groupBy("s").agg(F.max("spare").alias("spare"), F.collect_set(F.struct(F.when(F.col("n") > COMMON, F.col("n")).otherwise(0).alias("n"), "g", "p")).alias("of"))
-    # the commonest members of a prefix, as many as may be left out
+    touched = prefixes.join(shared, "g").groupBy("s").agg(F.max("spare").alias("spare"), F.collect_set(F.struct("n", "g", "p")).alias("of"))
+    # without the commonest members of a prefix, as many as may be left out
     of = F.sort_array("of", asc=False)
-    left = F.filter(of, lambda x, i: (i >= F.col("spare")) | (x["n"] == 0))
+    left = F.slice(of, F.col("spare") + 1, F.greatest(F.size(of) - F.col("spare"), F.lit(0)))
     regions = written(touched.select("s", F.array_distinct(F.transform(left, lambda x: x["p"])).alias("p")), "regions")
     pivots = regions.select(F.explode("p").alias("p")).distinct().select(F.col("p").alias("s"), F.array("p").alias("p"))
     regions = regions.unionByName(pivots).groupBy("s").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p"))
