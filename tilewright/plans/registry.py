@@ -1,11 +1,21 @@
-"""All registered queries of the slide, grid and annotation operators, with their SQL."""
+"""All registered queries of the slide, grid and annotation operators, with their SQL.
+
+Each entry runs an operator over tables that are selected from the given ones (see ``fixtures``); the SQL is written
+independently of the operator's own formulation wherever that is possible.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from . import grid_queries, shape_queries, table_queries
+
+GROUPS = (grid_queries, shape_queries, table_queries)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    return {name: run for group in GROUPS for name, (run, _) in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}
