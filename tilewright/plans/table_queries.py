@@ -123,11 +123,11 @@ def q_visibility(s, d):
 def q_sidecar(s, d):
     p = fx.table(s, d, "pages")
     slides = p.select("page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"))
-    files = p.where("page_id % 2 = 0").select(F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("_map.xml")).alias("path"))
+    files = p.where("page_id % 2 = 0").select(F.concat(F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"\.[^./]*$", ""), F.lit("_map.xml")).alias("path"))
     return catalog.sidecars(slides, files, "_map").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-SIDECAR = "WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages) SELECT a.page_id, count(*) AS n FROM p a JOIN p b ON a.path = b.path AND b.page_id % 2 = 0 GROUP BY 1"
+SIDECAR = "WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '\\.[^./]*$', '') AS path FROM pages) SELECT a.page_id, count(*) AS n FROM p a JOIN p b ON a.path = b.path AND b.page_id % 2 = 0 GROUP BY 1"
 
 
 def q_path(s, d):

@@ -14,11 +14,10 @@ from ..functions.geom import nm_to_pixel
 from ..functions.text import base_name, extension
 from ..operators.vector import accepted_files
 
-NATIVE = """struct<
- Annotations: struct<Annotation: array<struct<_Name:string,_Type:string,_PartOfGroup:string,_Color:string,
-  Coordinates: struct<Coordinate: array<struct<_Order:int,_X:double,_Y:double>>>>>>,
- AnnotationGroups: struct<Group: array<struct<_Name:string,_PartOfGroup:string,_Color:string,
-  Attributes: struct<Attribute: array<struct<_Name:string,_Value:string>>>>>>>""".replace("\n", "")[7:-1]
+NATIVE = (
+    "Annotations struct<Annotation:array<struct<_Name:string,_Type:string,_PartOfGroup:string,_Color:string,Coordinates:struct<Coordinate:array<struct<_Order:int,_X:double,_Y:double>>>>>>, "
+    "AnnotationGroups struct<Group:array<struct<_Name:string,_PartOfGroup:string,_Color:string,Attributes:struct<Attribute:array<struct<_Name:string,_Value:string>>>>>>"
+)
 IMAGESCOPE = "Annotation array<struct<_Id:int,_Name:string,_LineColor:bigint,Regions:struct<Region:array<struct<_Id:int,_Text:string,Vertices:struct<Vertex:array<struct<_X:double,_Y:double>>>>>>>>"
 NDPA = "ndpviewstate array<struct<_id:int,title:string,annotation:struct<_type:string,_color:string,pointlist:struct<point:array<struct<x:double,y:double>>>>>>"
 COORDS = "array<struct<ord:int,x:double,y:double>>"
