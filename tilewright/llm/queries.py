@@ -11,6 +11,7 @@ from .jaccard import jaccard_components
 from .lines import dedup_lines
 from .media import to_media
 from .mixing import mix
+from .oracle import oracle_sql  # noqa: F401
 from .packing import pack_documents
 from .pages import main_text
 from .quality import fit, scored
@@ -62,6 +63,3 @@ def op10_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op9_html_extraction, op10_mixing_to_weights)}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
