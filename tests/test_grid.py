@@ -78,3 +78,14 @@ def test_sobel_of_a_ramp(spark):
 
 def test_empty_grid(spark):
     assert morph.connected_components(frame(spark, {(0, 0): 1}).limit(0)).count() == 0
+
+
+def test_samples_and_spacing(spark):
+    tiles = raster.to_tiles(frame(spark, {(1, 2): 9}), 4)
+    at = raster.sample_at(F.col("samples"), F.lit(1), F.lit(2), F.lit(0), F.col("tile_w"), F.col("n_channels"))
+    assert tiles.select(at.alias("v")).first().v == 9.0
+    assert tiles.select(raster.with_sample(F.col("samples"), F.lit(0), F.lit(4.0))[0].alias("v")).first().v == 4.0
+    assert raster.patch_min_max(raster.filled(tiles, 2.0)).first().min_value == 2.0
+    r = raster.region_with_spacing(raster.read_region(tiles, 0, 0, 4, 4, size=(4, 4)), 0.5, 0.25, 2.0).first()
+    assert (r.spacing_x, r.spacing_y, r.min_value, r.max_value) == (1.0, 0.5, 0.0, 9.0)
+    assert tiles.select(raster.physical_area(F.lit(8), F.lit(0.5), F.lit(0.5)).alias("a")).first().a == 2.0

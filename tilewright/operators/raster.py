@@ -187,3 +187,29 @@ def scale_samples(tiles: DataFrame, op: str, k: float) -> DataFrame:
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """A multi-resolution store: partitioned by slide and level and sorted by tile, so that regions prune files and row groups."""
     tiles.repartition("slide_id", "level", F.expr("tile_y div 16")).sortWithinPartitions("tile_y", "tile_x").write.mode("overwrite").partitionBy("slide_id", "level").parquet(path)
+
+
+def region_with_spacing(region: DataFrame, spacing_x: float, spacing_y: float, downsample: float = 1.0) -> DataFrame:
+    """A region with its spacing (um a pixel at its level) and its slide's extremes inside it."""
+    known = min_max(region)
+    return region.join(known, "slide_id").withColumn("spacing_x", F.lit(spacing_x * downsample)).withColumn("spacing_y", F.lit(spacing_y * downsample))
+
+
+def filled(tiles: DataFrame, value: float) -> DataFrame:
+    """Every sample set to one value."""
+    return tiles.withColumn("samples", F.array_repeat(F.lit(value).cast("double"), F.size("samples")))
+
+
+def sample_at(samples: Column, x: Column, y: Column, c: Column, width: Column, channels: Column) -> Column:
+    """One sample of a packed tile, null outside."""
+    return F.try_element_at(samples, ((y * width + x) * channels + c + 1).cast("int"))
+
+
+def with_sample(samples: Column, at: Column, value: Column) -> Column:
+    """The samples with the one at a flat index replaced."""
+    return F.transform(samples, lambda v, i: F.when(i == at, value).otherwise(v))
+
+
+def physical_area(area_pixels: Column, spacing_x: Column, spacing_y: Column) -> Column:
+    """um2 of an area in level-0 pixels."""
+    return area_pixels * spacing_x * spacing_y
