@@ -176,10 +176,10 @@ def _dense(s, d):
 
 
 def q_sobel(s, d):
-    return morph.sobel(_dense(s, d), 200, 160).select("slide_id", "x", "y", _unsigned_zero(F.round("gx", 5)).alias("gx"), _unsigned_zero(F.round("gy", 5)).alias("gy"))
+    return morph.sobel(_dense(s, d).withColumn("value", F.floor(F.col("value") * 1000).cast("double")), 200, 160).select("slide_id", "x", "y", _unsigned_zero(F.round("gx", 5)).alias("gx"), _unsigned_zero(F.round("gy", 5)).alias("gy"))
 
 
-CLAMP = f"WITH m AS (SELECT x, y, round(value, 6) AS v FROM ({MOSAIC}) WHERE x < 200 AND y < 160), o AS (SELECT m.x, m.y, dx.i AS dx, dy.i AS dy, n.v FROM m, range(-1, 2) dx(i), range(-1, 2) dy(i), m n WHERE n.x = greatest(0, least(199, m.x + dx.i)) AND n.y = greatest(0, least(159, m.y + dy.i)))"
+CLAMP = f"WITH m AS (SELECT x, y, floor(round(value, 6) * 1000) AS v FROM ({MOSAIC}) WHERE x < 200 AND y < 160), o AS (SELECT m.x, m.y, dx.i AS dx, dy.i AS dy, n.v FROM m, range(-1, 2) dx(i), range(-1, 2) dy(i), m n WHERE n.x = greatest(0, least(199, m.x + dx.i)) AND n.y = greatest(0, least(159, m.y + dy.i)))"
 SOBEL = CLAMP + " SELECT 'm' AS slide_id, x, y, CASE WHEN gx = 0 THEN 0.0::DOUBLE ELSE gx END AS gx, CASE WHEN gy = 0 THEN 0.0::DOUBLE ELSE gy END AS gy FROM (SELECT x, y, round(sum(v * dx * (2 - abs(dy))), 5) AS gx, round(sum(v * dy * (2 - abs(dx))), 5) AS gy FROM o GROUP BY x, y)"
 
 
