@@ -111,6 +111,22 @@ def test_jaccard(docs, n, percent):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_jaccard_of_large_regions(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 6])):
+            words[r.randrange(120)] = f"n{i}x{r.randrange(99)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"u{i}x{k}" for k in range(50))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "REGION_ROWS", 7)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(df, 4, 85).collect()}
+    assert got == linked(rows, 4, 85)
+
+
 def test_region_links_on_chains():
     r = random.Random(2)
     base = list(range(200))

@@ -15,7 +15,8 @@ pivot says nothing.  So the space is cut in two steps, both exact:
    within the distance bound of a pivot are its cell and its component, a member beyond it becomes a
    new pivot, and by the triangle inequality only members whose distances to every common pivot differ
    by the bound at most are compared (the boundary documents of two cells).  This goes on until
-   no member is without a cell.  Pairs that are already in one component are not compared again.
+   no member is without a cell.  Pairs that are already in one component are not compared again.  A region too large for a
+   task is cut into chunks, which meet its pivot first and then, in blocks, the members that did not link to it.
 
 Documents with equal sets are one node from the start, so that copies are never paired.  Links between
 nodes become components with partial aggregation in every round.
@@ -38,6 +39,8 @@ from .common import components, lowered, mixed, steps, word_hashes, words, writt
 
 #: Share of a set by which prefixes are longer, as 1 / SLACK.
 SLACK = 24
+#: Members of a region that one task takes.
+REGION_ROWS = 4096
 FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -250,6 +253,65 @@ def _region_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
     return placed.mapInArrow(run, "a bigint, b bigint")
 
 
+def _in_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Groups of rows (p, chunk, block, s, role, text) of a partition: key, set hashes, roles and sets."""
+    kept, keys = [], []
+    for part, data, offsets in steps(batches):
+        flat, at = shingles(data, offsets, n)
+        kept.append(np.stack([np.asarray(part.column(i)).astype(np.int64) for i in range(5)], 1))
+        keys += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    if keys:
+        rows = np.concatenate(kept)
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+        cuts = np.flatnonzero((np.diff(rows[order, :3], axis=0) != 0).any(axis=1)) + 1
+        for group in np.split(order, cuts):
+            yield tuple(rows[group[0], :3].tolist()), rows[group, 3], rows[group, 4], [keys[i] for i in group.tolist()]
+
+
+GROUPED = ["p", "chunk", "block", "s", "role", "text"]
+
+
+def _large_region_links(placed: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+    """Links of regions that are too large for a task: (p, m members, s, text) in.
+
+    First every chunk of a region is compared with the pivot; what links to it is one component.  Only members
+    that do not link (mostly few) go on: in blocks they meet every chunk of their region, and inside a chunk and a
+    block the cells are formed as in a small region.  A task holds at most some two times REGION_ROWS members.
+    """
+    chunks = F.ceil(F.col("m") / REGION_ROWS).cast("bigint")
+    chunk = F.pmod(F.xxhash64("s"), chunks)
+    is_pivot = F.col("s") == F.col("p")
+    # the pivot goes to every chunk
+    at = F.explode(F.when(is_pivot, F.sequence(F.lit(0).cast("bigint"), chunks - 1)).otherwise(F.array(chunk)))
+    first = placed.select("p", at.alias("chunk"), F.lit(0).alias("block"), "s", is_pivot.cast("int").alias("role"), "text")
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (p, _, _), s, role, keys in _in_groups(batches, n):
+            if not role.any():
+                continue
+            linked, _ = Region(keys, percent).measured(int(np.argmax(role)), np.arange(len(keys)))
+            mine = role == 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mine.sum()), p)), pa.array(s[mine]), pa.array(linked[mine])], ["p", "s", "linked"])
+
+    found = written(first.select(*GROUPED).repartition(parts, "p", "chunk").mapInArrow(star, "p bigint, s bigint, linked boolean"), "stars")
+    left = found.where("not linked").select("p", "s").distinct()
+    blocks = written(left.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).cast("bigint").alias("blocks")), "blocks")
+    open_ = placed.join(blocks, "p")
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+    members = open_.select("p", chunk.alias("chunk"), every("blocks").alias("block"), "s", F.lit(0).alias("role"), "text")
+    rest = open_.join(left, ["p", "s"], "left_semi").withColumn("chunks", chunks)
+    rest = rest.select("p", every("chunks").alias("chunk"), F.pmod(F.xxhash64("s", F.lit(1)), F.col("blocks")).alias("block"), "s", F.lit(1).alias("role"), "text")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, s, _, keys in _in_groups(batches, n):
+            s, first_of = np.unique(s, return_index=True)
+            links = region_links([keys[i] for i in first_of.tolist()], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([int(s[x[i]]) for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    met = members.unionByName(rest).select(*GROUPED).repartition(parts, "p", "chunk", "block").mapInArrow(meet, "a bigint, b bigint")
+    return found.where("linked").select(F.col("p").alias("a"), F.col("s").alias("b")).unionByName(met)
+
+
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least id that links reach)."""
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
@@ -269,8 +331,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     members = regions.join(first, "s")
     of_doc = members.groupBy("doc_id").agg(F.collect_list(F.struct("s", "p")).alias("of"))
     placed = known.join(of_doc.hint("shuffle_hash"), "doc_id").select("text", F.explode("of").alias("of"))
-    placed = placed.select(F.explode("of.p").alias("p"), F.col("of.s").alias("s"), "text").repartition(parts, "p")
-    links = _region_links(placed, n, percent)
+    placed = placed.select(F.explode("of.p").alias("p"), F.col("of.s").alias("s"), "text")
+    large = regions.select(F.explode("p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REGION_ROWS)
+    large = written(large, "large")
+    if large.limit(1).count():
+        links = _region_links(placed.join(large, "p", "left_anti").repartition(parts, "p"), n, percent)
+        links = links.unionByName(_large_region_links(placed.join(large, "p"), n, percent, parts))
+    else:
+        links = _region_links(placed.repartition(parts, "p"), n, percent)
     joined = components(links)
     named = first.join(joined.withColumnRenamed("node", "s"), "s", "left").select("s", "doc_id", F.coalesce("component", "s").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
