@@ -18,7 +18,8 @@ def connected_components(pixels: DataFrame, threshold: float = 0.5, neighbours:
     jumping, so rounds grow with the logarithm of a component's depth in runs and not with its pixels.
     """
     mask = pixels.where(F.col("value") > threshold).select("slide_id", "x", "y").distinct()
-    runs = to_runs(mask).withColumn("id", F.struct("y", "x0"))
+    # one number per run that sorts like (y, x0); columns are below 2 ** 31
+    runs = to_runs(mask).withColumn("id", F.col("y").cast("bigint") * 4294967296 + F.col("x0"))
     runs = written(runs, "runs")
     reach = 0 if neighbours == 4 else 1
     a = runs.select("slide_id", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("u"))
