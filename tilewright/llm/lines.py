@@ -83,7 +83,8 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
 def repeated(blocks: DataFrame) -> DataFrame:
     """The blocks whose name occurs more than once."""
     often = blocks.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("name")
-    return blocks.join(often, "name")
+    # written, so that both sides of the join are plain shuffles, whose large partitions Spark can split
+    return blocks.join(written(often, "often"), "name")
 
 
 def doubled(blocks: DataFrame, h: int) -> DataFrame:
@@ -114,7 +115,7 @@ def covered_runs(lines: DataFrame, min_words: int) -> DataFrame:
         windows = windows.unionByName(more)
     windows = written(windows, "windows")
     least = windows.groupBy("name").agg(F.min(F.struct("doc_id", "v", "start")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    return windows.join(least, "name").where(F.col("first") < F.struct("doc_id", "v", "start")).select("doc_id", "v", "start", "c")
+    return windows.join(written(least, "least"), "name").where(F.col("first") < F.struct("doc_id", "v", "start")).select("doc_id", "v", "start", "c")
 
 
 def with_covered(docs: DataFrame, min_words: int) -> DataFrame:
