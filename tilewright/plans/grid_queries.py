@@ -19,6 +19,12 @@ def _unsigned_zero(c):
     return F.when(c == 0, 0.0).otherwise(c)
 
 
+def _size(tiles):
+    """Width and height in pixels that the tiles span, from one aggregated row."""
+    size = tiles.agg(F.max((F.col("tile_x") + 1) * F.col("tile_w")), F.max((F.col("tile_y") + 1) * F.col("tile_h"))).first()
+    return size[0] or 0, size[1] or 0
+
+
 def q_threshold(s, d):
     return raster.threshold(fx.grid(s, d), 2, 4).select("slide_id", "x", "y", F.col("value").cast(B).alias("value"))
 
@@ -110,7 +116,7 @@ def q_downscale_nearest(s, d):
 
 def q_pyramid(s, d):
     px = raster.to_pixels(fx.tiles(s, d)).select("slide_id", "x", "y", F.floor(F.col("value") * 1000).alias("value"))
-    return raster.build_pyramid(px, 200, 160, 2, 3, integer=True).select("slide_id", F.col("level").cast(B).alias("level"), F.col("x").cast(B).alias("x"), F.col("y").cast(B).alias("y"), F.col("value").cast(B).alias("value"))
+    return raster.build_pyramid(px, *_size(fx.tiles(s, d)), 2, 3, integer=True).select("slide_id", F.col("level").cast(B).alias("level"), F.col("x").cast(B).alias("x"), F.col("y").cast(B).alias("y"), F.col("value").cast(B).alias("value"))
 
 
 def _down(src, n):
@@ -171,12 +177,20 @@ BOX = f"SELECT ann_id, cx - hx AS x0, cy - hy AS y0, 2 * hx AS w, 2 * hy AS h FR
 
 
 def _dense(s, d):
-    px = raster.to_pixels(fx.tiles(s, d)).select("slide_id", "x", "y", F.round("value", 6).alias("value"))
-    return px.where("x < 200 and y < 160")
+    """All pixels, their width and height; tiles that are missing in the rows of tiles are 0."""
+    t = fx.tiles(s, d)
+    width, height = _size(t)
+    across, down = width // 8, height // 8
+    cells = s.range(across * down).select((F.col("id") % max(across, 1)).alias("tile_x"), F.expr(f"id div {max(across, 1)}").alias("tile_y"))
+    blank = cells.join(t.select("tile_x", "tile_y"), ["tile_x", "tile_y"], "left_anti")
+    blank = blank.select(F.lit("m").alias("slide_id"), F.lit(0).alias("level"), "tile_x", "tile_y", F.lit(8).alias("tile_w"), F.lit(8).alias("tile_h"), F.lit(1).alias("n_channels"), F.array_repeat(F.lit(0.0).cast("float"), 64).alias("samples"))
+    px = raster.to_pixels(t.unionByName(blank)).select("slide_id", "x", "y", F.round("value", 6).alias("value"))
+    return px, width, height
 
 
 def q_sobel(s, d):
-    return morph.sobel(_dense(s, d).withColumn("value", F.floor(F.col("value") * 1000).cast("double")), 200, 160).select("slide_id", "x", "y", _unsigned_zero(F.round("gx", 5)).alias("gx"), _unsigned_zero(F.round("gy", 5)).alias("gy"))
+    px, width, height = _dense(s, d)
+    return morph.sobel(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), width, height).select("slide_id", "x", "y", _unsigned_zero(F.round("gx", 5)).alias("gx"), _unsigned_zero(F.round("gy", 5)).alias("gy"))
 
 
 CLAMP = f"WITH m AS (SELECT x, y, floor(round(value, 6) * 1000) AS v FROM ({MOSAIC}) WHERE x < 200 AND y < 160), o AS (SELECT m.x, m.y, dx.i AS dx, dy.i AS dy, n.v FROM m, range(-1, 2) dx(i), range(-1, 2) dy(i), m n WHERE n.x = greatest(0, least(199, m.x + dx.i)) AND n.y = greatest(0, least(159, m.y + dy.i)))"
@@ -192,12 +206,13 @@ VOTE = f"SELECT slide_id, greatest(0, least({SIDE - 1}, x + 2 * (x % 3 - 1))) AS
 
 
 def q_symmetry(s, d):
-    out = morph.radial_symmetry(_dense(s, d), [2.0, 3.0], 2.0, 0.05, 200, 160)
+    px, width, height = _dense(s, d)
+    out = morph.radial_symmetry(px, [2.0, 3.0], 2.0, 0.05, width, height)
     return out.select("slide_id", "x", "y", F.round("value", 6).alias("value"))
 
 
 def q_hmax(s, d):
-    return _whole(morph.h_maxima(_dense(s, d), 0.2), "slide_id", "x", "y")
+    return _whole(morph.h_maxima(_dense(s, d)[0], 0.2), "slide_id", "x", "y")
 
 
 def q_boundary(s, d):
@@ -205,7 +220,7 @@ def q_boundary(s, d):
 
 
 def q_nuclei(s, d):
-    out = morph.detect_nuclei(_dense(s, d), 200, 160, radii=(2.0, 3.0, 1.0))
+    out = morph.detect_nuclei(*_dense(s, d), radii=(2.0, 3.0, 1.0))
     return out.select("slide_id", "label", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
