@@ -147,7 +147,7 @@ NEAREST = f"WITH p AS (SELECT p_partkey AS point_id, CAST(p_partkey * 31 % {SIDE
 
 
 def q_stitch(s, d):
-    r = fx.rings(s, d).select((F.col("ring") % 20).cast("string").alias("file"), F.lit("g").alias("group_name"), F.col("ring").cast("int").alias("ord"), F.lit("").alias("name"), "coords")
+    r = fx.rings(s, d).select(F.expr("ring div 50").cast("string").alias("file"), F.lit("g").alias("group_name"), F.col("ring").cast("int").alias("ord"), F.lit("").alias("name"), "coords")
     out = vector.stitch_regions(r, 60.0)
     return out.select("file", "ord", F.size("coords").cast(B).alias("n"), F.round(geom.area(F.col("coords")), 3).alias("area"))
 

@@ -107,10 +107,14 @@ def q_worklist_update(s, d):
 
 
 def q_worklist_lists(s, d):
-    items = _items(s, d).where("length(image_id) > 0")
-    lists = catalog.worklist_lists(items)
-    back = catalog.worklist_items(lists)
-    return lists.select("worklist_id", F.length("images").cast(B).alias("chars"), "n").join(back.groupBy("worklist_id").agg(F.count(F.lit(1)).alias("back")), "worklist_id")
+    # a worklist is kept as lists of the images of 4,000 orders at most, so that no string grows with the table
+    part = F.concat_ws("/", "worklist_id", F.expr("cast(image_id as bigint) div 4000"))
+    lists = catalog.worklist_lists(_items(s, d).where("length(image_id) > 0").withColumn("worklist_id", part))
+    back = catalog.worklist_items(lists).groupBy("worklist_id").agg(F.count(F.lit(1)).alias("back"))
+    both = lists.select("worklist_id", F.length("images").alias("chars"), "n").join(back, "worklist_id")
+    # the lists of a worklist are joined by commas
+    whole = both.groupBy(F.split_part("worklist_id", F.lit("/"), F.lit(1)).alias("worklist_id"))
+    return whole.agg((F.sum("chars") + F.count(F.lit(1)) - 1).alias("chars"), F.sum("n").alias("n"), F.sum("back").alias("back"))
 
 
 def q_visibility(s, d):
@@ -177,12 +181,19 @@ def q_catalog(s, d):
 CATALOG = "WITH p AS (SELECT '/slides/' || p_brand || '/s' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || CASE WHEN p_size % 3 = 0 THEN '.svs' WHEN p_size % 3 = 1 THEN '.TIF' ELSE '.txt' END AS location, 's' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS title, p_size FROM part) SELECT row_number() OVER (ORDER BY location) - 1 AS id, location, title FROM p WHERE p_size % 3 < 2"
 
 
+def _bounded(key, size):
+    """The number of the block of ``size`` keys in a row; the number of blocks grows with the table."""
+    return F.expr(f"{key} div {size}")
+
+
 def q_xml_roundtrip(s, d):
-    rings = fx.rings(s, d).select((F.col("ring") % 10).cast("string").alias("slide_id"), F.col("ring").cast("int").alias("ord"), F.concat(F.lit("a<"), F.col("ring").cast("string")).alias("name"), F.lit("Polygon").alias("type"), F.when(F.col("ring") % 3 == 0, "None").otherwise("g & h").alias("group_name"), F.lit("#F4FA58").alias("color"), "coords")
+    # a slide's rings are spread over files of some 50, so that no file grows with the table
+    rings = fx.rings(s, d).select(F.concat_ws("/", F.col("ring") % 10, _bounded("ring", 500)).alias("slide_id"), F.col("ring").cast("int").alias("ord"), F.concat(F.lit("a<"), F.col("ring").cast("string")).alias("name"), F.lit("Polygon").alias("type"), F.when(F.col("ring") % 3 == 0, "None").otherwise("g & h").alias("group_name"), F.lit("#F4FA58").alias("color"), "coords")
     groups = rings.select("slide_id").distinct().select("slide_id", F.lit("g & h").alias("name"), F.lit(None).cast("string").alias("parent_name"), F.lit("#00ff00").alias("color"), F.create_map(F.lit("k"), F.lit('v"1')).alias("attributes"))
     anns, read = xml.native(xml.to_xml(rings, groups))
     back = anns.select("slide_id", "name", "group_name", F.posexplode("coords").alias("pos", "p")).select("slide_id", "name", "group_name", F.col("p.ord").cast(B).alias("ord"), "p.x", "p.y")
-    return back.join(read.select("slide_id", F.element_at("attributes", "k").alias("k")), "slide_id")
+    back = back.join(read.select("slide_id", F.element_at("attributes", "k").alias("k")), "slide_id")
+    return back.withColumn("slide_id", F.split_part("slide_id", F.lit("/"), F.lit(1)))
 
 
 XML = f"SELECT CAST(ring % 10 AS VARCHAR) AS slide_id, 'a<' || ring AS name, CASE WHEN ring % 3 = 0 THEN 'None' ELSE 'g & h' END AS group_name, CAST(ord AS BIGINT) AS ord, x, y, 'v\"1' AS k FROM ({VERTICES})"
@@ -192,7 +203,8 @@ def q_imagescope(s, d):
     v = fx.rings(s, d)
     point = lambda p: F.concat(F.lit('<Vertex X="'), p["x"].cast("string"), F.lit('" Y="'), p["y"].cast("string"), F.lit('"/>'))
     region = F.concat(F.lit('<Region Id="'), F.col("ring").cast("string"), F.lit('" Text="r"><Vertices>'), F.array_join(F.transform("coords", point), ""), F.lit("</Vertices></Region>"))
-    docs = v.select((F.col("ring") % 10).alias("f"), region.alias("r")).groupBy("f").agg(F.array_join(F.collect_list("r"), "").alias("r"))
+    # each f has one XML string for some 50 rings; the rows of an f are put together only as sums
+    docs = v.select((F.col("ring") % 10).alias("f"), _bounded("ring", 500).alias("part"), region.alias("r")).groupBy("f", "part").agg(F.array_join(F.collect_list("r"), "").alias("r"))
     raw = docs.select(F.col("f").cast("string").alias("file"), F.col("f").cast("string").alias("slide_id"), F.concat(F.lit('<Annotations><Annotation Id="1" Name="tumour" LineColor="65280"><Regions>'), "r", F.lit("</Regions></Annotation></Annotations>")).alias("xml"))
     out = xml.imagescope(raw)
     return out.select("file", "group_name", "color", F.explode("coords").alias("p")).groupBy("file", "group_name", "color").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p.x"), 4).alias("x"), F.round(F.sum(F.col("p.y") * F.col("p.ord")), 4).alias("y"))
