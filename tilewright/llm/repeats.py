@@ -300,7 +300,9 @@ def with_runs(docs: DataFrame, rule: Rule, id_col: str, text_col: str, common: i
     first = whole.groupBy("v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = whole.where(F.lit(rule.counts != "shared")).join(written(first, "first"), "v").where("doc_id > first").select("doc_id", F.struct(F.col("v").alias("g"), F.lit(COPY).alias("kind")).alias("a"))
     of_doc = again.unionByName(copies).groupBy("doc_id").agg(F.collect_list("a").alias("found"))
-    sent = contexts(marked.join(of_doc.hint("shuffle_hash"), "doc_id", "left"), rule)
+    # in an order of their own, so that a task that runs again decides and tells the same windows
+    held = marked.join(of_doc.hint("shuffle_hash"), "doc_id", "left").sortWithinPartitions("doc_id", "v", "salt")
+    sent = contexts(held, rule)
     runs = repeated_runs(sent, rule, parts).groupBy("doc_id").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
     return back.join(runs.hint("shuffle_hash"), "doc_id", "left")
 
