@@ -3,8 +3,8 @@
 Built for a whole corpus of long documents, column-wise insertion would need one pass for each byte of the
 longest document.  So it is applied where it is at home, to many short strings: the contexts of repeated
 anchors (see :mod:`repeats`), at most ``length`` bytes to each side.  One symbol of every string is inserted a
-round, from the last column to the first; each round updates the order of all suffixes in hand (the
-collection's transform is the column of symbols in that order) and the common prefixes of neighbours.  Runs of
+round, from the last column to the first; each round updates the order of all suffixes in hand.  The common
+prefixes of neighbours are computed once, at the end; no transform and no external files are built.  Runs of
 neighbours whose common prefix reaches a depth are the suffix-array intervals of that depth.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document with a
@@ -33,8 +33,7 @@ def inserted(columns: np.ndarray, group: np.ndarray, end: int = END) -> tuple[np
     """The order of the strings (rows) by group and symbols, and each one's common prefix with the one before.
 
     Columns are inserted from the last to the first.  After a round, the order is that of the suffixes from
-    this column on, and ``lcp`` holds the common prefixes of neighbours in that order: one more than
-    before where neighbours stay neighbours with the same new symbol, the least over those between them otherwise, 0 where it differs.
+    this column on.  ``lcp`` is computed once at the end, by comparing neighbours.
     """
     many, width = columns.shape
     names = np.zeros(many, np.int64)
