@@ -198,6 +198,28 @@ def test_top_k_table(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_top_k_slices_decide(sf, scale):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{sf.replace('sf0.001', scale)}/embeddings.parquet").to_pydict()
+    v, ids = np.floor(256 * np.array(t["embedding"], float)).astype(np.int64), np.array(t["vec_id"])
+    planes, low, _ = topk._slices(v, topk.SLICES)
+    valid = np.packbits(np.arange(planes.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
+    left = [len(topk.boundary_rows(planes, low, q, valid, 5)) for q in v[ids % 50 == 0]]
+    assert np.mean(left) <= 0.05 * len(v)
+
+
+def test_top_k_repeated_ids_and_wide_values(spark):
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 2.0]), (1, [3.0, 1.0]), (1, [4.0, 0.0]), (2, [1e7, -1e7]), (50, [1e7, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=3).where("query_id = 0").orderBy("rank").collect()]
+    q = (128, 512)  # the least vector of id 0; no row of id 0 is its candidate, both rows of id 1 are
+    fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i]
+    best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in fine)[:3]
+    assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 

@@ -4,19 +4,21 @@ Every component x becomes the integer floor(256 * x).  The index holds blocks of
 for each dimension, the bits of (value - least value of the block) as bitmaps over its rows, the
 top ``SLICES`` of them as the searchable slices and the integers themselves for exact resolution.
 
-For a block of queries the score of every row is summed with bitmap arithmetic only: for each
-dimension, slice and bit of the query's absolute value there is one bitmap (complemented where the
-query is negative), and a tree of carry-save adders turns all bitmaps of one weight into one and
-carries to the next weight.  The result is the score's own bit slices.  Rows are then selected from
-the most significant slice downward until k rows are certain; as low bits were left out, every row
-within the proven error of the k-th score is a boundary row, and those are resolved exactly with
-integer inner products.  Nothing is approximate in the result.
-
-Work is a join of query blocks with index blocks (each query meets each row once, in blocks), and
-only the k best of every pair of blocks are shuffled.  Vectors that are null or hold null or
-non-finite components take no part, nor do rows without id.  Vectors of different lengths are not
-compared.  An id that occurs more than once counts as rows of the same id: none of them is a
-candidate of its own query, and a query id is answered once, for its least vector.
+A query's components are written in signed binary digits (no two neighbours are set), so that a
+component of eight bits has some three of them.  The score of every row is summed with bitmap arithmetic
+only: each digit adds the slices of its dimension at its weight (complemented where the digit is
+negative), and carry-save adders turn all bitmaps of one weight into one and carries to the next.  The
+result is the score's own bit slices, too small by the slices left out at most, a proven bound.  Rows
+are then selected from the most significant slice downward until k rows are certain; every row within
+the bound of the k-th score is a boundary row, and those are resolved exactly with integer inner
+products.  Nothing is approximate in the result.
+
+Index blocks are dealt round to shards and shuffled once; query blocks, the small side, are copied to each
+shard.  Each query meets each row once, in blocks, and only the k best of every pair of blocks go on.
+
+Vectors that are null or hold null or non-finite components take no part, nor do rows without id.  Vectors
+of different lengths are not compared.  An id that occurs more than once counts as rows of the same id: none
+of them is a candidate of its own query, and a query id is answered once, for its least vector.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows in a block of the index, queries in a block of queries, slices kept for the search.
-BLOCK_ROWS, BLOCK_QUERIES, SLICES, QUERY_BITS = 4096, 64, 5, 5
+BLOCK_ROWS, BLOCK_QUERIES, SLICES = 16384, 512, 8
 SCALE = 256
 
 
@@ -40,10 +44,11 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.where(fine).select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v")).withColumn("dims", F.size("v"))
 
 
-def blocked(rows: DataFrame, size: int, count: str) -> DataFrame:
-    """Rows (dims, block, n, ids binary, values binary): at most ``size`` vectors of one length each.
+def blocked(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (dims, n, ids binary, vals binary, block): at most ``size`` vectors of one length each.
 
-    Blocks are cut inside the partitions that the scan gives, so nothing is shuffled.
+    Blocks are cut inside the partitions that the scan gives, so nothing is shuffled; integers take four bytes
+    where they fit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +59,8 @@ def blocked(rows: DataFrame, size: int, count: str) -> DataFrame:
             parts = waiting.pop(dims)
             held.pop(dims)
             ids, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            if np.abs(values).max(initial=0) < 1 << 31:
+                values = values.astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["dims", "n", "ids", "vals"])
 
         for batch in batches:
@@ -78,7 +85,7 @@ def blocked(rows: DataFrame, size: int, count: str) -> DataFrame:
 
 def _slices(values: np.ndarray, keep: int) -> tuple[np.ndarray, int, int]:
     """Bitmaps [dimension, slice, word] of the top ``keep`` bits, the number of bits left out, all bits."""
-    base = values - values.min()
+    base = values.astype(np.int64) - int(values.min())
     bits = max(1, int(base.max()).bit_length())
     low = max(0, bits - keep)
     rows = -(-len(values) // 64) * 64
@@ -88,49 +95,57 @@ def _slices(values: np.ndarray, keep: int) -> tuple[np.ndarray, int, int]:
     return np.stack(planes, axis=1), low, bits
 
 
-def _summed(weighted: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
-    """Bit slices, least first, of a sum of weighted bitmaps, by carry-save adders."""
-    out, weight = [], 0
-    while weighted:
-        left = weighted.pop(weight, [])
-        carry = weighted.setdefault(weight + 1, []) if len(left) > 1 else weighted.get(weight + 1, [])
-        while len(left) > 2:
-            a, b, c = left.pop(), left.pop(), left.pop()
-            half = a ^ b
-            left.insert(0, half ^ c)
-            carry.append((a & b) | (half & c))
-        if len(left) == 2:
-            a, b = left
-            carry.append(a & b)
-            left = [a ^ b]
-        out.append(left[0] if left else None)
+def _digits(query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dimension, weight and sign of the signed binary digits of a query, no two of them neighbours."""
+    left, weight, found = query.astype(np.int64), 0, []
+    while left.any():
+        digit = np.where(left & 1, 2 - (left & 3), 0)
+        on = np.flatnonzero(digit)
+        found.append((on, np.full(len(on), weight), digit[on]))
+        left = (left - digit) >> 1
         weight += 1
-    return out
-
-
-def _scores(planes: np.ndarray, queries: np.ndarray, low: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Score slices [slice, query, word] of all rows and the largest error of each query's scores.
-
-    With y the row's offset value, or its complement to 2**bits - 1 where the query is negative, the
-    inner product is a constant of the query plus sum(abs(q) * y); the slices hold that sum with the
-    low bits of y and of abs(q) left out, so that it is too small by the error at most.
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _added(bitmaps: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """One bitmap and the carries of a sum of bitmaps [n, word] of one weight, by carry-save adders."""
+    carries = []
+    while len(bitmaps) > 2:
+        m = len(bitmaps) // 3 * 3
+        a, b, c = bitmaps[0:m:3], bitmaps[1:m:3], bitmaps[2:m:3]
+        half = a ^ b
+        carries.append((a & b) | (half & c))
+        bitmaps = np.concatenate((half ^ c, bitmaps[m:]))
+    if len(bitmaps) == 2:
+        carries.append((bitmaps[0] & bitmaps[1])[None])
+        bitmaps = (bitmaps[0] ^ bitmaps[1])[None]
+    return bitmaps[0], carries
+
+
+def _scores(planes: np.ndarray, query: np.ndarray, low: int) -> tuple[np.ndarray, int]:
+    """Score slices [slice, word] of all rows, least first, and the largest error of the scores.
+
+    Up to a constant of the query, the inner product is the sum of the slices' digits at their weights, times
+    2 ** low, plus an error from 0 to the bound, as the low bits of the rows are left out.
     """
-    size = np.abs(queries)
-    most = max(1, int(size.max()).bit_length())
-    skip = max(0, most - QUERY_BITS)
-    kept = (size >> skip) << skip
-    error = kept.sum(axis=1) * ((1 << low) - 1) + (size - kept).sum(axis=1) * ((1 << bits) - 1)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    flip = np.where(queries < 0, full, np.uint64(0))
-    weighted: dict[int, list[np.ndarray]] = {}
-    for b in range(skip, most):
-        on = np.where((size >> b) & 1, full, np.uint64(0))
-        for d in np.flatnonzero(on.any(axis=0)).tolist():
-            for s in range(planes.shape[1]):
-                weighted.setdefault(s + b - skip, []).append((planes[d, s][None, :] ^ flip[:, d, None]) & on[:, d, None])
-    out = _summed(weighted)
-    nothing = np.zeros((len(queries), planes.shape[2]), np.uint64)
-    return np.stack([nothing if x is None else x for x in out] or [nothing]), error, low + skip
+    keep, words = planes.shape[1:]
+    flat = planes.reshape(-1, words)
+    dim, weight, sign = _digits(query)
+    s = np.arange(keep)
+    plane, at, flip = (dim[:, None] * keep + s).ravel(), (weight[:, None] + s).ravel(), np.repeat(sign < 0, keep)
+    order = np.argsort(at, kind="stable")
+    plane, at, flip = plane[order], at[order], np.where(flip[order], np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    cut = np.searchsorted(at, np.arange(int(at.max(initial=-1)) + 2))
+    out, carries, w = [], [], 0
+    while w < len(cut) - 1 or carries:
+        mine = slice(cut[w], cut[w + 1]) if w < len(cut) - 1 else slice(0, 0)
+        bitmaps = np.concatenate([flat[plane[mine]] ^ flip[mine, None], *carries])
+        one, carries = _added(bitmaps) if len(bitmaps) else (np.zeros(words, np.uint64), [])
+        out.append(one)
+        w += 1
+    return np.array(out or [np.zeros(words, np.uint64)]), int(np.abs(query).astype(object).sum()) * ((1 << low) - 1)
 
 
 def _boundary(slices: np.ndarray, error: int, shift: int, alive: np.ndarray, k: int) -> np.ndarray:
@@ -159,61 +174,64 @@ def _boundary(slices: np.ndarray, error: int, shift: int, alive: np.ndarray, k:
     return above | equal
 
 
+def boundary_rows(planes: np.ndarray, low: int, query: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
+    """The rows that the slices can't exclude from the k best of one query."""
+    slices, error = _scores(planes, query, low)
+    near = _boundary(slices, error, low, alive, k)
+    return np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
+
+
 def search_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best rows of one index block for each query: query ids, row ids, scores."""
-    planes, low, bits = _slices(values, SLICES) if values.shape[1] else (np.zeros((0, 1, -(-len(ids) // 64)), np.uint64), 0, 1)
+    wide = int(np.abs(values.astype(object)).max(initial=0)).bit_length() + int(np.abs(queries.astype(object)).max(initial=0)).bit_length() + values.shape[1].bit_length() > 62 if values.dtype.itemsize > 4 or queries.dtype.itemsize > 4 else False
+    sliced = values.shape[1] > 0 and not wide  # a block of integers that need over 62 bits in a product is resolved exactly as a whole
+    planes, low, _ = _slices(values, SLICES) if sliced else (np.zeros((0, 1, -(-len(ids) // 64)), np.uint64), 0, 1)
     valid = np.packbits(np.arange(planes.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
     found: list[tuple[int, np.ndarray, np.ndarray]] = []
     order = np.argsort(ids, kind="stable")
     ordered = ids[order]
-    wide = int(np.abs(values).max(initial=0)).bit_length() + int(np.abs(queries).max(initial=0)).bit_length() + values.shape[1].bit_length() > 62
-    for at in range(0, len(query_ids), BLOCK_QUERIES):
-        some = queries[at : at + BLOCK_QUERIES]
-        if values.shape[1]:
-            slices, error, shift = _scores(planes, some, low, bits)
-        else:
-            slices, error, shift = np.zeros((1, len(some), planes.shape[2]), np.uint64), np.zeros(len(some), np.int64), 0
-        for i, q in enumerate(query_ids[at : at + BLOCK_QUERIES].tolist()):
-            alive = valid.copy()
-            own = order[np.searchsorted(ordered, q, "left") : np.searchsorted(ordered, q, "right")]
-            if len(own):
-                np.bitwise_and.at(alive, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
-            near = _boundary(slices[:, i], int(error[i]), shift, alive, k)
-            rows = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
-            exact = (values[rows].astype(object) @ some[i].astype(object)) if wide else values[rows] @ some[i]
-            if not values.shape[1]:
-                exact = np.zeros(len(rows), np.int64)
-            best = np.lexsort((ids[rows], -exact))[:k]
-            found.append((q, ids[rows][best], exact[best]))
+    kind = object if wide else np.int64
+    for q, query in zip(query_ids.tolist(), queries, strict=True):
+        alive = valid.copy()
+        own = order[np.searchsorted(ordered, q, "left") : np.searchsorted(ordered, q, "right")]
+        if len(own):
+            np.bitwise_and.at(alive, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
+        rows = boundary_rows(planes, low, query if sliced else query[:0], alive, k)
+        exact = values[rows].astype(kind) @ query.astype(kind) if values.shape[1] else np.zeros(len(rows), np.int64)
+        best = np.lexsort((ids[rows], -exact))[:k]
+        found.append((q, ids[rows][best], exact[best]))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
     return np.concatenate([np.full(len(f[1]), f[0], np.int64) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]).astype(np.int64)
 
 
+def _vectors(raw: bytes, n: int, dims: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n * dims else np.int64).reshape(n, dims)
+
+
 def top_k(vectors: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k best rows for every query: (query_id, rank, vec_id, score).
 
     ``query_ids`` is a Column condition on ``vec_id`` that states which rows are queries.
     """
     rows = quantised(vectors, id_col, vector_col)
-    index = blocked(rows, block_rows, "rows")
+    shards = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # both written, so that blocks stay the same when a task runs again
+    index = written(blocked(rows, block_rows), "index").withColumn("shard", F.pmod(F.expr("(block >> 33) + (block & ((1L << 33) - 1))"), F.lit(shards)).cast("int"))
     asked = rows.where(query_ids).groupBy("vec_id", "dims").agg(F.min("v").alias("v")).select("vec_id", "v", "dims")
-    asks = blocked(asked, 8 * BLOCK_QUERIES, "queries").select("dims", F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))
+    asks = written(blocked(asked, BLOCK_QUERIES).select("dims", F.col("n").alias("asked"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")), "queries")
+    asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                d = row["dims"]
-                values = np.frombuffer(row["vals"], np.int64).reshape(row["n"], d)
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                queries = np.frombuffer(row["q_vals"], np.int64).reshape(len(q_ids), d)
-                q, v, s = search_block(np.frombuffer(row["ids"], np.int64), values, q_ids, queries, k)
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                values, queries = _vectors(row["vals"], row["n"], row["dims"]), _vectors(row["q_vals"], row["asked"], row["dims"])
+                q, v, s = search_block(np.frombuffer(row["ids"], np.int64), values, np.frombuffer(row["q_ids"], np.int64), queries, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    # Each query block goes to every index block of its length; a block is a row of some 2 MB.
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = index.join(asks, "dims").repartition(4 * parts, "block", F.xxhash64("q_ids"))
-    best = pairs.select("dims", "n", "ids", "vals", "q_ids", "q_vals").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    pairs = index.join(asks, ["shard", "dims"]).select("dims", "n", "ids", "vals", "asked", "q_ids", "q_vals")
+    best = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
