@@ -58,8 +58,8 @@ def test_substrings(docs):
                 gone[j : j + 50] = True
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         want[i] = (len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept)
-    for common in (2000, 1):
-        got = {r[0]: tuple(r[1:]) for r in substrings.dedup_substrings(docs, common=common).collect()}
+    for fit in (None, 3, 2, 1):
+        got = {r[0]: tuple(r[1:]) for r in substrings.dedup_substrings(docs, fit=fit).collect()}
         assert got == want
     assert sum(v[1] for v in want.values()) > 100
 
@@ -76,11 +76,37 @@ def test_bytes(docs):
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         want[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept)
-    for common in (2000, 1):
-        got = {r[0]: (*r[1:5], bytes(r[5])) for r in columns.dedup_bytes(docs, common=common).collect()}
+    for fit in (None, 3, 2, 1):
+        got = {r[0]: (*r[1:5], bytes(r[5])) for r in columns.dedup_bytes(docs, fit=fit).collect()}
         assert got == want
 
 
+def test_rounds_of_insertion():
+    rng = np.random.default_rng(5)
+    cols = rng.integers(97, 100, (60, 12)).astype(np.uint16)
+    for i in range(60):  # strings end at different places
+        cols[i, rng.integers(3, 13) :] = columns.END
+    cols[40:50] = cols[:10]
+    group = rng.integers(0, 5, 60)
+    rounds = []
+
+    def watch(c, order, segment, lcp):
+        rounds.append(c)
+        text = lambda i: [int(x) for x in cols[i, c:]]
+        assert [(group[i], text(i)) for i in order] == sorted((group[i], text(i)) for i in range(60))
+        previous = [i for _, _, i in sorted((group[i], [int(x) for x in cols[i, c + 1 :]], k) for k, i in enumerate(range(60)))]
+        assert sorted(segment.tolist()) == sorted(cols[previous, c].tolist())
+        for at in range(60):
+            want = -1
+            if at and group[order[at]] == group[order[at - 1]]:
+                a, b = text(order[at - 1]), text(order[at])
+                want = next((k for k in range(len(a)) if a[k] != b[k] or a[k] == columns.END), len(a))
+            assert lcp[at] == want
+
+    columns.inserted(cols, group, watch=watch)
+    assert rounds == list(range(11, -1, -1))
+
+
 def sets(t, n):
     w = WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())

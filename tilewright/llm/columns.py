@@ -3,8 +3,12 @@
 Built for a whole corpus of long documents, column-wise insertion would need one pass for each byte of the
 longest document.  So it is applied where it is at home, to many short strings: the contexts of repeated
 anchors (see :mod:`repeats`), at most ``length`` bytes to each side.  One symbol of every string is inserted a
-round, from the last column to the first; each round updates the order of all suffixes in hand.  The common
-prefixes of neighbours are computed once, at the end; no transform and no external files are built.  Runs of
+round, from the last column to the first.  A round takes the transform's newest segment (the symbols that stand before
+the strings' current suffixes, in the order of those), sorts the suffixes by it, stably and within their group, and
+updates the common prefixes of neighbours: one more than the least of the old ones between them where their symbols
+agree, else 0.  Only the newest segment can change the order, so older ones are not kept, and the state of
+a round (order, segment, common prefixes) is a few numbers a string: it stays in the memory of the task, whose
+groups are bounded, and no external files are written.  Runs of
 neighbours whose common prefix reaches a depth are the suffix-array intervals of that depth.
 
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document with a
@@ -16,40 +20,45 @@ ordered by the hash of their text, and equal such rows are one document; further
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import steps, text_bytes
-from .repeats import COMMON, Rule, removed_symbols, with_runs
+from .repeats import Rule, removed_symbols, with_runs
 
 LENGTH, K = 100, 24
 END = 256
 
 
-def inserted(columns: np.ndarray, group: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the strings (rows) by group and symbols, and each one's common prefix with the one before.
+def inserted(columns: np.ndarray, group: np.ndarray, end: int = END, watch: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings (rows) by group and symbols, and each one's common prefix with the one before (-1: none).
 
-    Columns are inserted from the last to the first.  After a round, the order is that of the suffixes from
-    this column on.  ``lcp`` is computed once at the end, by comparing neighbours.
+    ``watch(column, order, segment, lcp)`` is called after each round.
     """
     many, width = columns.shape
-    names = np.zeros(many, np.int64)
+    order = np.argsort(group, kind="stable")
+    groups = np.unique(group[order], return_inverse=True)[1]  # of each place in the order, in all rounds
+    small = groups.astype(np.uint16) if len(groups) and groups[-1] < 1 << 16 else groups
+    inside = np.zeros(many, bool)
+    inside[1:] = groups[1:] == groups[:-1]
+    lcp = np.append(np.where(inside, 0, -1), 0)
     for c in range(width - 1, -1, -1):
-        # names: rank of the suffix after this column; insert this column's symbol before it
-        key = columns[:, c].astype(np.int64) * many + names
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(many, bool)
-        fresh[1:] = key[order[1:]] != key[order[:-1]]
-        names[order] = np.cumsum(fresh) - 1
-    order = order[np.argsort(group[order], kind="stable")]
-    a, b = columns[order[1:]], columns[order[:-1]]
-    differ = (a != b) | (a == end)
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    lcp = np.where(group[order[1:]] == group[order[:-1]], lcp, -1)
-    return order, np.concatenate(([-1], lcp))
+        segment = columns[order, c]
+        into = np.argsort(segment, kind="stable")
+        into = into[np.argsort(small[into], kind="stable")]
+        a, b = into[:-1], into[1:]
+        agree = np.flatnonzero(inside[1:] & (segment[a] == segment[b]) & (segment[b] != end))
+        new = np.where(inside, 0, -1)
+        if len(agree):
+            between = np.stack((a[agree] + 1, b[agree] + 1), 1).ravel()
+            new[agree + 1] = 1 + np.minimum.reduceat(lcp, between)[::2]
+        order, lcp[:-1] = order[into], new
+        if watch:
+            watch(c, order, segment, lcp[:-1])
+    return order, lcp[:-1]
 
 
 def intervals(columns: np.ndarray, group: np.ndarray, end: int = END) -> list[np.ndarray]:
@@ -63,23 +72,23 @@ def intervals(columns: np.ndarray, group: np.ndarray, end: int = END) -> list[np
     return out
 
 
-def byte_contexts(content: pa.Array, left: np.ndarray, group: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def byte_contexts(content: pa.Array, left: np.ndarray, group: np.ndarray, depth: int, k: int = K) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Intervals of what stands before (read backwards) and after the anchors, by depth."""
     data, offsets = text_bytes(content)
     anchor = offsets[:-1] + left
-    room = offsets[1:] - anchor - K
+    room = offsets[1:] - anchor - k
     d = np.arange(depth)[None, :]
-    padded = np.append(data.astype(np.int16), END).astype(np.int16)
+    padded = np.append(data.astype(np.uint16), np.uint16(END))
     none = len(data)
     before = padded[np.where(d < left[:, None], anchor[:, None] - 1 - d, none)]
-    after = padded[np.where(d < room[:, None], anchor[:, None] + K + d, none)]
+    after = padded[np.where(d < room[:, None], anchor[:, None] + k + d, none)]
     return intervals(before, group), intervals(after, group)
 
 
 RULE = Rule("bytes", LENGTH, K, "earlier", byte_contexts)
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, common: int = COMMON) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, fit: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,4 +111,4 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
-    return with_runs(docs, RULE, id_col, text_col, common).mapInArrow(run, schema)
+    return with_runs(docs, RULE, id_col, text_col, fit).mapInArrow(run, schema)

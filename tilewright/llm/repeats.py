@@ -5,12 +5,15 @@
    leaves about 2 / (L - k + 2) anchors a symbol.
 2. *Repeated anchors.*  Counting anchors by hash (partial counts before the shuffle) tells which occur more
    than once; a window whose anchor occurs once is not repeated.  This goes back to the documents by doc_id.
-3. *Groups by prefix.*  A repeated anchor's context (all windows that have this anchor) is sent to the group
-   of its k-gram.  Where a k-gram is very common, its windows are grouped by all L symbols instead: the prefix
-   that cuts suffixes into groups is as long as memory needs it to be.  Equal long-prefix windows of a task are
-   merged before they are sent, so that no group grows with a passage that everyone quotes.
-4. In a group the operator's own structure (see ``substrings`` and ``columns``) finds the windows that
-   occur earlier; a bounded list of window runs goes back to each document.
+3. *Groups by prefix, of variable length.*  A repeated anchor's context (all windows that have this anchor) is sent to
+   the group of its k-gram.  Where the contexts of a k-gram would not fit ``GROUP_BYTES``, the prefix is extended: the
+   windows are cut by the offset of their anchor into 2, 4 or all L - k + 1 ranges, and what all windows of a range
+   have in common, up to the whole window, is the prefix.  So no group grows beyond some 16 times ``GROUP_BYTES``.
+   Equal contexts of a task are merged before they are sent: the first stands for all, the others are decided at once.
+   So no group grows with a passage that everyone quotes, nor with copies of a document.
+4. In a group, in every case, the operator's own structure (see ``substrings`` and ``columns``) finds the windows that
+   occur earlier; a bounded list of window runs goes back to each document.  Groups come sorted and are worked on
+   some ``GROUP_BYTES`` at a time.
 
 The text is shuffled once, by doc_id, and that exchange serves steps 3 and 4.
 """
@@ -28,12 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import mixed, powers, prefix_hashes, ranges, span_hashes, steps, word_hashes, words, written
 
-#: Occurrences from which a k-gram's windows are grouped by all their symbols.
-COMMON = 2000
-#: Marks a text hash among a document's repeated anchors: the whole text is a copy of an earlier document's.
-COPY = 2
-#: Bytes of contexts that a task works on at once.
+#: Bytes of contexts that a task works on at once; the prefix of a group is extended until it fits.
 GROUP_BYTES = 2 << 20
+#: Contexts that a task remembers for merging equal ones; when it is full, merging begins anew.
+SEEN = 1 << 20
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -42,8 +43,9 @@ class Rule:
     """What a symbol is, the window and k-gram lengths, and which earlier windows count.
 
     ``counts``: "earlier" for any earlier start, "smaller" for a start in a document with a smaller doc_id,
-    "shared" for a start in any other document.
-    ``nodes(contents, left, group)`` gives node numbers of the left and right contexts by depth.
+    "shared" for a start in a document of another version.
+    ``nodes(contents, left, group, depth, k)`` gives node numbers of the left and right contexts by depth, with
+    prefixes of k symbols.
     """
 
     unit: str
@@ -52,6 +54,14 @@ class Rule:
     counts: str
     nodes: Callable
 
+    def fit(self) -> int:
+        """Contexts of a k-gram that fit GROUP_BYTES."""
+        return GROUP_BYTES // ((2 * self.length - self.k) * (1 if self.unit == "bytes" else 8))
+
+    def parts(self, level: int) -> int:
+        """Ranges of anchor offsets into which windows are cut."""
+        return (1, 2, 4, self.length - self.k + 1)[level]
+
 
 def symbols(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbol values, row offsets into them, and the byte span of each symbol."""
@@ -89,7 +99,32 @@ def anchors(prefix: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np
     return place[begin], grams[place[begin]], row[begin], starts[begin], starts[end]
 
 
+def anchor_counts(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (g, m, c): anchors of a part of the texts, how many there are and how many different contexts they have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in steps(batches):
+            values, at, _, _ = symbols(rule.unit, data, offsets)
+            prefix = prefix_hashes(values)
+            place, gram, row, s0, s1 = anchors(prefix, at, rule.length, rule.k)
+            gram = mixed(gram ^ np.asarray(part.column(1)).view(np.uint64)[row])
+            context = mixed(span_hashes(prefix, s0, s1 + rule.length) ^ (place - s0).astype(np.uint64))
+            order = np.lexsort((context, gram))
+            gram, context = gram[order], context[order]
+            fresh = np.ones(len(gram), bool)
+            fresh[1:] = gram[1:] != gram[:-1]
+            new = fresh.copy()
+            new[1:] |= context[1:] != context[:-1]
+            begin = np.flatnonzero(fresh)
+            c = np.add.reduceat(new.astype(np.int64), begin) if len(begin) else begin
+            yield pa.RecordBatch.from_arrays([pa.array(gram[begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(gram)))), pa.array(c)], ["g", "m", "c"])
+
+    return docs.select("doc_id", "salt", "text").mapInArrow(run, "g bigint, m bigint, c bigint")
+
+
 def anchor_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (g, doc_id): the anchors of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in steps(batches):
             values, at, _, _ = symbols(rule.unit, data, offsets)
@@ -101,15 +136,8 @@ def anchor_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "salt", "text").mapInArrow(run, "g bigint, doc_id bigint")
 
 
-OUT = ["kind", "key", "doc_id", "v", "start", "n", "left", "content"]
-OUT_SCHEMA = "kind int, key bigint, doc_id bigint, v bigint, start int, n int, left int, content binary"
-
-
-def _out(kind: int, key, doc, v, start, n, left=None, content=None) -> pa.RecordBatch:
-    m = len(key)
-    left = np.zeros(m, np.int32) if left is None else left.astype(np.int32)
-    content = pa.nulls(m, pa.binary()) if content is None else content
-    return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(v), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(left), content], OUT)
+OUT_SCHEMA = "key bigint, doc_id bigint, v bigint, start int, n int, left int, k int, content binary, more binary"
+OUT = [x.split()[0] for x in OUT_SCHEMA.split(", ")]
 
 
 def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -130,34 +158,112 @@ def runs_of(doc: np.ndarray, v: np.ndarray, start: np.ndarray) -> tuple[np.ndarr
     return doc[begin], v[begin], start[begin], np.diff(np.append(begin, len(doc)))
 
 
-def judged(key: np.ndarray, doc: np.ndarray, counts: str) -> np.ndarray:
+def judged(key: np.ndarray, doc: np.ndarray, v: np.ndarray, counts: str) -> np.ndarray:
     """Which windows have an equal one that counts; rows are in order of key, document and place."""
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
-    begin = np.flatnonzero(fresh)
-    if counts == "earlier":
+    if counts == "earlier" or not len(key):
         return ~fresh
-    first = np.repeat(doc[begin], np.diff(np.append(begin, len(key))))
+    begin = np.flatnonzero(fresh)
+    size = np.diff(np.append(begin, len(key)))
     if counts == "smaller":
-        return doc != first
-    return np.repeat(np.logical_or.reduceat(doc != first, begin), np.diff(np.append(begin, len(key)))) if len(key) else fresh
-
-
-def merged_windows(key: np.ndarray, doc: np.ndarray, v: np.ndarray, start: np.ndarray, counts: str) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows are decided by the given ones alone, and which must be told to others."""
-    order = np.lexsort((start, v, doc, key))
-    found = judged(key[order], doc[order], counts)
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = key[order[1:]] != key[order[:-1]]
-    decided, told = np.empty(len(key), bool), np.empty(len(key), bool)
-    decided[order], told[order] = found, ~found | fresh
-    return decided, told
+        return doc != np.repeat(doc[begin], size)
+    return np.repeat(np.logical_or.reduceat(v != np.repeat(v[begin], size), begin), size)
+
+
+@dataclass
+class Pieces:
+    """Contexts, or ranges of their windows: prefix key, content hash, owner, first window, windows, place and length of the prefix."""
+
+    key: np.ndarray
+    content: np.ndarray
+    doc: np.ndarray
+    v: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    left: np.ndarray
+    k: np.ndarray
+    row: np.ndarray
+
+    def take(self, which: np.ndarray) -> Pieces:
+        return Pieces(*(x[which] for x in vars(self).values()))
+
+
+def pieces(rule: Rule, prefix: np.ndarray, place: np.ndarray, row: np.ndarray, s0: np.ndarray, s1: np.ndarray, level: int, salt: np.ndarray) -> list[np.ndarray]:
+    """Ranges of the anchors' windows at a level: key, content hash, row, first window (in the batch), windows, left, k."""
+    depth, parts = rule.length - rule.k, rule.parts(level)
+    if parts > depth:
+        which, first = np.repeat(np.arange(len(place)), s1 - s0 + 1), ranges(s0, s1 - s0 + 1)
+        last, begin, k = first, first, np.full(len(first), rule.length)
+    else:
+        edge = np.arange(parts + 1) * (depth + 1) // parts
+        which, j = np.repeat(np.arange(len(place)), parts), np.tile(np.arange(parts), len(place))
+        a, b = edge[j], edge[j + 1]
+        first, last = np.maximum(s0[which], place[which] - b + 1), np.minimum(s1[which], place[which] - a)
+        good = first <= last
+        which, first, last, begin, k = which[good], first[good], last[good], (place[which] - a)[good], (rule.length - (b - 1 - a))[good]
+    row = row[which]
+    key = mixed(span_hashes(prefix, begin, begin + k) ^ salt[row] ^ mixed(k.astype(np.uint64)))
+    content = mixed(span_hashes(prefix, first, last + rule.length) ^ key ^ (begin - first).astype(np.uint64))
+    return [key, content, row, first, last - first + 1, begin - first, k]
+
+
+class Merger:
+    """The first document of each context that a task has met, in order of documents."""
+
+    def __init__(self, rule: Rule):
+        self.rule = rule
+        self.content, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __call__(self, found: Pieces) -> tuple[Pieces, np.ndarray, Pieces]:
+        """Pieces to tell, the number of places (in order) that each stands for, and pieces that are decided already.
+
+        A told piece stands for all places of its context in its document; its further places follow it.
+        """
+        order = np.lexsort((found.start, found.v, found.doc, found.content))
+        p = found.take(order)
+        same = np.zeros(len(order), bool)
+        same[1:] = (p.content[1:] == p.content[:-1]) & (p.doc[1:] == p.doc[:-1]) & (p.v[1:] == p.v[:-1])
+        repeat = same.copy()
+        repeat[1:] &= p.start[1:] == p.start[:-1]  # the same row twice
+        p, same = p.take(~repeat), same[~repeat]
+        if self.rule.counts == "shared":
+            decided = np.zeros(len(same), bool)
+        else:
+            fresh = np.ones(len(same), bool)
+            fresh[1:] = p.content[1:] != p.content[:-1]
+            begin = np.flatnonzero(fresh)
+            first = p.doc[begin]
+            at = np.minimum(np.searchsorted(self.content, p.content[begin]), max(0, len(self.content) - 1))
+            known = self.content[at] == p.content[begin] if len(self.content) else np.zeros(len(begin), bool)
+            size = np.diff(np.append(begin, len(same)))
+            old = np.repeat(known, size)
+            head = np.repeat(np.where(known, self.doc[at] if len(self.doc) else first, first), size)
+            decided = (p.doc != head) if self.rule.counts == "smaller" else old | ~fresh
+            if self.rule.counts == "earlier":
+                decided[begin] = known
+            new = begin[~known]
+            if len(self.content) + len(new) > SEEN:
+                self.content, self.doc = p.content[new], p.doc[new]
+            else:
+                content, doc = np.concatenate((self.content, p.content[new])), np.concatenate((self.doc, p.doc[new]))
+                order = np.argsort(content, kind="stable")
+                self.content, self.doc = content[order], doc[order]
+        told = p.take(~decided)
+        heads = np.flatnonzero(~same[~decided])
+        return told, heads, p.take(decided)
 
 
 def contexts(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Contexts of repeated anchors (kind 0), windows of common ones (1) and windows already decided (2)."""
+    """Pieces of repeated anchors' contexts with their prefix (k > 0), and windows already decided (k = 0)."""
+
+    def rows(p: Pieces, key: np.ndarray, content: pa.Array | None, more: pa.Array | None) -> pa.RecordBatch:
+        none = pa.nulls(len(key), pa.binary())
+        small = [pa.array(x.astype(np.int32)) for x in (p.start, p.n, p.left, p.k)]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(p.doc), pa.array(p.v), *small, none if content is None else content, none if more is None else more], OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = Merger(rule)
         for part, data, offsets in steps(batches):
             found, salt = part.column(4), np.asarray(part.column(2)).view(np.uint64)
             counts = np.asarray(found.value_lengths().fill_null(0)).astype(np.int64)
@@ -165,75 +271,71 @@ def contexts(docs: DataFrame, rule: Rule) -> DataFrame:
                 continue
             flat = found.flatten()
             owner = np.repeat(np.arange(len(part)), counts)
-            told, kind = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-            ids, texts = np.asarray(part.column(0).fill_null(0)), np.asarray(part.column(1))
-            values, at, begin, end = symbols(rule.unit, data, offsets)
-            copies = np.unique(owner[(kind == COPY) & (told == texts[owner])])
-            if len(copies):
-                size = np.diff(at)[copies]
-                long = copies[size >= rule.length]
-                yield _out(2, mixed((ids[long] ^ texts[long]).view(np.uint64)), ids[long], texts[long], np.zeros(len(long), np.int64), size[size >= rule.length] - rule.length + 1)
-            mine = (kind != COPY) & ~np.isin(owner, copies)
-            owner, told, kind = owner[mine], told[mine], kind[mine]
-            if not len(owner):
-                continue
-            wanted = mixed(told.view(np.uint64) ^ mixed(owner.astype(np.uint64)))
+            wanted = mixed(np.asarray(flat.field(0)).view(np.uint64) ^ mixed(owner.astype(np.uint64)))
             order = np.argsort(wanted)
-            wanted, common = wanted[order], kind[order]
+            wanted, level = wanted[order], np.asarray(flat.field(1))[order]
+            ids, versions = np.asarray(part.column(0).fill_null(0)), np.asarray(part.column(1))
+            values, at, begin, end = symbols(rule.unit, data, offsets)
             prefix = prefix_hashes(values)
             place, gram, row, s0, s1 = anchors(prefix, at, rule.length, rule.k)
-            if not len(place):
-                continue
-            gram = mixed(gram ^ salt[row])
-            here = mixed(gram ^ mixed(row.astype(np.uint64)))
+            here = mixed(mixed(gram ^ salt[row]) ^ mixed(row.astype(np.uint64)))
             hit = np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)
             good = wanted[hit] == here
-            place, gram, row, s0, s1, common = (x[good] for x in (place, gram, row, s0, s1, common[hit]))
-            doc, v = ids[row], texts[row]
-            a = common == 0
-            if a.any():
-                content = slices(data, begin[s0[a]], end[s1[a] + rule.length - 1])
-                yield _out(0, gram[a], doc[a], v[a], (s0 - at[row])[a], (s1 - s0 + 1)[a], (place - s0)[a], content)
-            b = np.flatnonzero(common)
-            if len(b):
-                which = np.repeat(b, (s1 - s0 + 1)[b])
-                start = ranges(s0[b], (s1 - s0 + 1)[b])
-                key = mixed(span_hashes(prefix, start, start + rule.length) ^ salt[row[which]])
-                doc, v, start = doc[which], v[which], start - at[row[which]]
-                later, keep = merged_windows(key, doc, v, start, rule.counts)
-                yield _out(1, key[keep], doc[keep], v[keep], start[keep], np.ones(int(keep.sum()), np.int64))
-                if later.any():
-                    doc, v, start, n = runs_of(doc[later], v[later], start[later])
-                    yield _out(2, mixed((doc ^ v).astype(np.uint64) + start.astype(np.uint64)), doc, v, start, n)
+            place, row, s0, s1, level = (x[good] for x in (place, row, s0, s1, level[hit]))
+            made = [pieces(rule, prefix, *(x[level == e] for x in (place, row, s0, s1)), e, salt) for e in np.unique(level).tolist()]
+            if not made:
+                continue
+            key, content, row, first, n, left, k = (np.concatenate(x) for x in zip(*made, strict=True))
+            told, heads, decided = merger(Pieces(key, content, ids[row], versions[row], first - at[row], n, left, k, row))
+            if len(heads):
+                many = np.diff(np.append(heads, len(told.key)))
+                head = told.take(heads)
+                first = head.start + at[head.row]
+                open_ = head.k < rule.length
+                spans = slices(data, np.where(open_, begin[first], 0), np.where(open_, end[first + head.n - 1 + rule.length - 1], 0))
+                others = told.start.astype(np.int32)
+                more = slices(others.view(np.uint8), 4 * (heads + 1), 4 * (heads + many))
+                yield rows(head, head.key, spans, more)
+            if len(decided.key):
+                doc, v, start, n = decided.doc, decided.v, decided.start, decided.n
+                decided.k = np.zeros(len(doc), np.int64)
+                yield rows(decided, mixed((doc ^ v).astype(np.uint64) + start.astype(np.uint64)), None, None)
 
     return docs.select("doc_id", "v", "salt", "text", "found").mapInArrow(run, OUT_SCHEMA)
 
 
-def _decided(rule: Rule, parts: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    table = pa.Table.from_batches(parts)
-    kind = np.asarray(table["kind"])
-    get = lambda mask, *names: [np.asarray(table[n])[mask] for n in names]
-    if (two := kind == 2).any():
-        yield tuple(get(two, "doc_id", "v", "start", "n"))
-    if (one := kind == 1).any():
-        key, doc, v, start = get(one, "key", "doc_id", "v", "start")
-        later, _ = merged_windows(key, doc, v, start, rule.counts)
-        if later.any():
-            yield runs_of(doc[later], v[later], start[later])
-    if (zero := np.flatnonzero(kind == 0)).size:
-        key, doc, v, start, n, left = get(zero, "key", "doc_id", "v", "start", "n", "left")
-        content = table["content"].combine_chunks()
-        for some in whole_groups(key, np.asarray(pc.binary_length(content))[zero]):
-            some = some[np.lexsort(((start + left)[some], v[some], doc[some]))]
-            covered = counted(rule, content.take(pa.array(zero[some])), left[some].astype(np.int64), n[some].astype(np.int64), np.unique(key[some], return_inverse=True)[1], doc[some])
+def _found(rule: Rule, table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs (doc, v, start, n) of windows that have an equal one that counts, in whole groups."""
+    columns = {n: np.asarray(table[n]) for n in OUT[:7]}
+    content, more = table["content"].combine_chunks(), table["more"].combine_chunks()
+    size = np.asarray(pc.binary_length(content))
+    further = np.asarray(pc.binary_length(more)) // 4
+    for k in np.unique(columns["k"]).tolist():
+        mine = np.flatnonzero(columns["k"] == k)
+        for some in whole_groups(columns["key"][mine], size[mine] + 64, further[mine]):
+            some = mine[some]
+            key, doc, v, start, n, left = (columns[x][some] for x in ("key", "doc_id", "v", "start", "n", "left"))
+            order = np.lexsort((start + left, v, doc, key))
+            key, doc, v, start, n, left = (x[order] for x in (key, doc, v, start, n, left))
+            row = some[order]
+            group = np.unique(key, return_inverse=True)[1]
+            covered = counted(rule, content.take(pa.array(row)), left.astype(np.int64), n.astype(np.int64), group, doc, v, k)
             where, offset = np.nonzero(covered)
-            if len(where):
-                row = some[where]
-                yield runs_of(doc[row], v[row], start[row].astype(np.int64) + left[row] - offset)
-
-
-def whole_groups(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of whole groups of two or more, some GROUP_BYTES of content at a time (or one larger group)."""
+            if not len(where):
+                continue
+            first = (start[where] + left[where] - offset).astype(np.int64)
+            yield runs_of(doc[where], v[where], first)
+            # the other places of the same contexts
+            again = np.flatnonzero(further[row[where]])
+            if len(again):
+                taken = more.take(pa.array(row[where[again]]))
+                moved = np.frombuffer(b"".join(x.as_py() for x in taken), np.int32).astype(np.int64)
+                which = np.repeat(where[again], further[row[where[again]]])
+                yield runs_of(doc[which], v[which], moved + np.repeat(first[again] - start[where[again]], further[row[where[again]]]))
+
+
+def whole_groups(key: np.ndarray, size: np.ndarray, further: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of whole groups of two or more places, some GROUP_BYTES of content at a time (or one larger group)."""
     order = np.argsort(key, kind="stable")
     first = np.ones(len(key), bool)
     first[1:] = key[order[1:]] != key[order[:-1]]
@@ -249,13 +351,13 @@ def whole_groups(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
-def counted(rule: Rule, content: pa.Array, left: np.ndarray, n: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """covered[i, l]: context i's window with l symbols before the anchor has an equal one that counts.
+def counted(rule: Rule, content: pa.Array, left: np.ndarray, n: np.ndarray, group: np.ndarray, doc: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """covered[i, l]: context i's window with l symbols before the prefix of k symbols has an equal one that counts.
 
-    Contexts come in order of document and place.
+    Contexts come in order of group, document and place.
     """
-    depth = rule.length - rule.k
-    before, after = rule.nodes(content, left, group, depth)
+    depth = rule.length - k
+    before, after = rule.nodes(content, left, group, depth, k) if depth else ([group], [group])
     covered = np.zeros((len(left), depth + 1), bool)
     for l in range(depth + 1):  # noqa: E741
         has = np.flatnonzero((l <= left) & (l >= left - n + 1))
@@ -264,46 +366,66 @@ def counted(rule: Rule, content: pa.Array, left: np.ndarray, n: np.ndarray, grou
         a, b = before[l][has], after[depth - l][has]
         pair = a.astype(np.int64) * (int(b.max()) + 1) + b
         order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-        covered[has[order], l] = judged(pair, doc[has[order]], rule.counts)
+        covered[has[order], l] = judged(pair[order], doc[has[order]], v[has[order]], rule.counts)
     return covered
 
 
-def repeated_runs(contexts_: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """Rows (doc_id, v, start, n): the windows start .. start + n - 1 occur earlier."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if sum(map(len, held)):
-            for doc, v, start, n in _decided(rule, held):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(v), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "v", "start", "n"])
-
-    return contexts_.repartition(parts, "key").mapInArrow(run, "doc_id bigint, v bigint, start int, n int")
+def repeated_runs(contexts_: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (doc_id, v, start, n): the windows start .. start + n - 1 have an equal one that counts."""
 
+    def out(runs: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        doc, v, start, n = runs
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(v), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "v", "start", "n"])
 
-def with_runs(docs: DataFrame, rule: Rule, id_col: str, text_col: str, common: int = COMMON, salt: str | None = None, keep: list[str] = (), only: str = "true") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            k = np.asarray(batch.column(6))
+            if not k.all():
+                done = batch.filter(pa.array(k == 0))
+                yield out(tuple(np.asarray(done.column(i)) for i in (1, 2, 3, 4)))
+                batch = batch.filter(pa.array(k > 0))
+            if not len(batch):
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size > 2 * GROUP_BYTES:
+                table = pa.Table.from_batches(held).combine_chunks()
+                keys = np.asarray(table["key"])
+                cut = int(np.searchsorted(keys, keys[-1]))  # rows are sorted by key; the last group may go on
+                if cut:
+                    for runs in _found(rule, table.slice(0, cut)):
+                        yield out(runs)
+                held, size = table.slice(cut).to_batches(), 0
+        if held:
+            for runs in _found(rule, pa.Table.from_batches(held)):
+                yield out(runs)
+
+    return contexts_.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, v bigint, start int, n int")
+
+
+def with_runs(docs: DataFrame, rule: Rule, id_col: str, text_col: str, fit: int | None = None, salt: str | None = None, version: str | None = None, keep: list[str] = (), only: str = "true") -> DataFrame:
     """Every document as (doc_id, v, salt, text, .., found): ``found`` lists its runs of windows that have an equal one that counts.
 
-    Windows only count for each other if their documents have the same ``salt``.  ``keep`` names further columns,
-    ``only`` says which documents are returned (all are searched).
+    Windows only count for each other if their documents have the same ``salt``.  ``version`` names a number that
+    tells documents of one id apart, else it is the hash of the text.  ``keep`` names further columns,
+    ``only`` says which documents are returned (all are searched).  ``fit`` replaces the rule's number of contexts in a group.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fit = fit or rule.fit()
     text = F.col(text_col).cast("string")
-    marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("v"), (F.col(salt) if salt else F.lit(0)).cast("bigint").alias("salt"), text.alias("text"))
-    back = docs.where(only).select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("v"), (F.col(salt) if salt else F.lit(0)).cast("bigint").alias("salt"), text.alias("text"), *keep) if keep or only != "true" else marked
-    docs = marked
-    found = anchor_rows(docs.where("doc_id is not null"), rule)
-    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g", (F.col("m") > common).cast("int").alias("kind"))
+    columns = [F.col(id_col).cast("bigint").alias("doc_id"), (F.col(version) if version else F.xxhash64(text)).alias("v"), (F.col(salt) if salt else F.lit(0)).cast("bigint").alias("salt"), text.alias("text")]
+    marked = docs.select(*columns)
+    back = docs.where(only).select(*columns, *keep) if keep or only != "true" else marked
+    known = marked.where("doc_id is not null")
+    often = anchor_counts(known, rule).groupBy("g").agg(F.sum("m").alias("m"), F.sum("c").alias("c")).where("m > 1")
+    level = F.when(F.col("c") <= fit, 0).when(F.col("c") <= 4 * fit, 1).when(F.col("c") <= 16 * fit, 2).otherwise(3)
     # written, so that both sides of the next join are plain shuffles, whose large partitions Spark can split
-    again = found.join(written(often, "often"), "g").select("doc_id", F.struct("g", "kind").alias("a"))
-    whole = marked.where("doc_id is not null").select("doc_id", "v")
-    first = whole.groupBy("v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = whole.where(F.lit(rule.counts != "shared")).join(written(first, "first"), "v").where("doc_id > first").select("doc_id", F.struct(F.col("v").alias("g"), F.lit(COPY).alias("kind")).alias("a"))
-    of_doc = again.unionByName(copies).groupBy("doc_id").agg(F.collect_list("a").alias("found"))
-    # in an order of their own, so that a task that runs again decides and tells the same windows
-    held = marked.join(of_doc.hint("shuffle_hash"), "doc_id", "left").sortWithinPartitions("doc_id", "v", "salt")
-    sent = contexts(held, rule)
-    runs = repeated_runs(sent, rule, parts).groupBy("doc_id").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
+    often = written(often.select("g", level.alias("level")), "often")
+    of_doc = anchor_rows(known, rule).join(often, "g").groupBy("doc_id").agg(F.collect_list(F.struct("g", "level")).alias("found"))
+    # in an order of their own, so that a task that runs again merges and tells the same contexts
+    held = marked.join(of_doc.hint("shuffle_hash"), "doc_id").sortWithinPartitions("doc_id", "v", "salt")
+    runs = repeated_runs(contexts(held, rule), rule).groupBy("doc_id").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
     return back.join(runs.hint("shuffle_hash"), "doc_id", "left")
 
 

@@ -1,7 +1,7 @@
 """Operator 4, substring dedup of word sequences by prefix-partitioned suffix trees.
 
-Suffixes are cut into memory-sized groups by a prefix (a k-gram, or all the words of a window where the
-k-gram is common; see :mod:`repeats`).  A group's suffixes form a tree that is built level by level: the
+Suffixes are cut into memory-sized groups by a prefix (a k-gram, extended up to a whole window until its group
+fits; see :mod:`repeats`).  A group's suffixes form a tree that is built level by level: the
 children of a node are the distinct next words of its suffixes.  A second tree holds what stands before the
 prefix, read backwards.  A pair of nodes whose depths and prefix add up to the window length is a deep
 internal node: if suffixes of several documents share it, the later ones' windows are repeats.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ranges, steps, text_bytes, word_hashes, words
-from .repeats import COMMON, Rule, removed_symbols, symbols, with_runs
+from .repeats import Rule, removed_symbols, symbols, with_runs
 
 LENGTH, K = 50, 13
 
@@ -47,7 +47,7 @@ def levels(values: np.ndarray, first: np.ndarray, step: int, room: np.ndarray, g
     return out
 
 
-def suffix_trees(content: pa.Array, left: np.ndarray, group: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def suffix_trees(content: pa.Array, left: np.ndarray, group: np.ndarray, depth: int, k: int = K) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Levels of the backward and the forward tree of word contexts."""
     data, offsets = text_bytes(content)
     starts, ends, rows = words(data, offsets)
@@ -56,14 +56,14 @@ def suffix_trees(content: pa.Array, left: np.ndarray, group: np.ndarray, depth:
     at = np.cumsum(count) - count
     anchor = at + left
     before = levels(values, anchor - 1, -1, left, group, depth)
-    after = levels(values, anchor + K, 1, at + count - anchor - K, group, depth)
+    after = levels(values, anchor + k, 1, at + count - anchor - k, group, depth)
     return before, after
 
 
 RULE = Rule("words", LENGTH, K, "smaller", suffix_trees)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, common: int = COMMON) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, fit: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, if wanted, the kept text (words joined by a space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,4 +88,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
-    return with_runs(docs, RULE, id_col, text_col, common).mapInArrow(run, schema)
+    return with_runs(docs, RULE, id_col, text_col, fit).mapInArrow(run, schema)
