@@ -3,8 +3,10 @@
 1. *Anchors.*  In every window the least of its k-gram hashes marks one k-gram, the window's anchor, so that
    equal windows have equal anchors at equal offsets.  Neighbouring windows mostly share an anchor, which
    leaves about 2 / (L - k + 2) anchors a symbol.
-2. *Repeated anchors.*  Counting anchors by hash (partial counts before the shuffle) tells which occur more
-   than once; a window whose anchor occurs once is not repeated.  This goes back to the documents by doc_id.
+2. *Repeated anchors.*  Equal texts are one string of the collection, the one with the least doc_id; the windows of the
+   others are decided by that alone.  Aggregating anchors by hash (partially before the shuffle) tells which occur in
+   two different texts or twice in one; a window of any other anchor is not repeated.  This goes back to the
+   documents by doc_id.
 3. *Groups by prefix, of variable length.*  A repeated anchor's context (all windows that have this anchor) is sent to
    the group of its k-gram.  Where the contexts of a k-gram would not fit ``GROUP_BYTES``, the prefix is extended: the
    windows are cut by the offset of their anchor into 2, 4 or all L - k + 1 ranges, and what all windows of a range
@@ -33,6 +35,8 @@ from .common import mixed, powers, prefix_hashes, ranges, span_hashes, steps, wo
 
 #: Bytes of contexts that a task works on at once; the prefix of a group is extended until it fits.
 GROUP_BYTES = 2 << 20
+#: Marks a text hash among a document's anchors: the whole text is a copy of an earlier document's.
+COPY = -1
 #: Contexts that a task remembers for merging equal ones; when it is full, merging begins anew.
 SEEN = 1 << 20
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -100,26 +104,27 @@ def anchors(prefix: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np
 
 
 def anchor_counts(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (g, m, c): anchors of a part of the texts, how many there are and how many different contexts they have."""
+    """Rows (g, v, m, c): anchors of each text, how often it has them and how many different contexts they have there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in steps(batches):
             values, at, _, _ = symbols(rule.unit, data, offsets)
             prefix = prefix_hashes(values)
             place, gram, row, s0, s1 = anchors(prefix, at, rule.length, rule.k)
-            gram = mixed(gram ^ np.asarray(part.column(1)).view(np.uint64)[row])
+            gram = mixed(gram ^ np.asarray(part.column(2)).view(np.uint64)[row])
             context = mixed(span_hashes(prefix, s0, s1 + rule.length) ^ (place - s0).astype(np.uint64))
-            order = np.lexsort((context, gram))
-            gram, context = gram[order], context[order]
+            order = np.argsort(mixed(gram ^ mixed(row.astype(np.uint64))), kind="stable")
+            gram, row, context = gram[order], row[order], context[order]
             fresh = np.ones(len(gram), bool)
-            fresh[1:] = gram[1:] != gram[:-1]
+            fresh[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+            begin = np.flatnonzero(fresh)
             new = fresh.copy()
             new[1:] |= context[1:] != context[:-1]
-            begin = np.flatnonzero(fresh)
             c = np.add.reduceat(new.astype(np.int64), begin) if len(begin) else begin
-            yield pa.RecordBatch.from_arrays([pa.array(gram[begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(gram)))), pa.array(c)], ["g", "m", "c"])
+            versions = np.asarray(part.column(1))[row[begin]]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[begin].view(np.int64)), pa.array(versions), pa.array(np.diff(np.append(begin, len(gram)))), pa.array(c)], ["g", "v", "m", "c"])
 
-    return docs.select("doc_id", "salt", "text").mapInArrow(run, "g bigint, m bigint, c bigint")
+    return docs.select("doc_id", "v", "salt", "text").mapInArrow(run, "g bigint, v bigint, m bigint, c bigint")
 
 
 def anchor_rows(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -271,11 +276,23 @@ def contexts(docs: DataFrame, rule: Rule) -> DataFrame:
                 continue
             flat = found.flatten()
             owner = np.repeat(np.arange(len(part)), counts)
-            wanted = mixed(np.asarray(flat.field(0)).view(np.uint64) ^ mixed(owner.astype(np.uint64)))
-            order = np.argsort(wanted)
-            wanted, level = wanted[order], np.asarray(flat.field(1))[order]
             ids, versions = np.asarray(part.column(0).fill_null(0)), np.asarray(part.column(1))
             values, at, begin, end = symbols(rule.unit, data, offsets)
+            anchor, level = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+            copies = np.unique(owner[(level == COPY) & (anchor == versions[owner])])
+            size = np.diff(at)[copies]
+            copies, size = copies[size >= rule.length], size[size >= rule.length]
+            if len(copies):
+                zero = np.zeros(len(copies), np.int64)
+                whole = Pieces(zero, zero, ids[copies], versions[copies], zero, size - rule.length + 1, zero, zero, copies)
+                yield rows(whole, mixed((whole.doc ^ whole.v).view(np.uint64)), None, None)
+            mine = (level != COPY) & ~np.isin(owner, copies)
+            owner, anchor, level = owner[mine], anchor[mine], level[mine]
+            if not len(owner):
+                continue
+            wanted = mixed(anchor.view(np.uint64) ^ mixed(owner.astype(np.uint64)))
+            order = np.argsort(wanted)
+            wanted, level = wanted[order], level[order]
             prefix = prefix_hashes(values)
             place, gram, row, s0, s1 = anchors(prefix, at, rule.length, rule.k)
             here = mixed(mixed(gram ^ salt[row]) ^ mixed(row.astype(np.uint64)))
@@ -418,11 +435,15 @@ def with_runs(docs: DataFrame, rule: Rule, id_col: str, text_col: str, fit: int
     marked = docs.select(*columns)
     back = docs.where(only).select(*columns, *keep) if keep or only != "true" else marked
     known = marked.where("doc_id is not null")
-    often = anchor_counts(known, rule).groupBy("g").agg(F.sum("m").alias("m"), F.sum("c").alias("c")).where("m > 1")
+    often = anchor_counts(known, rule).groupBy("g").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.max("m").alias("m"), F.sum("c").alias("c")).where("least < most or m > 1")
     level = F.when(F.col("c") <= fit, 0).when(F.col("c") <= 4 * fit, 1).when(F.col("c") <= 16 * fit, 2).otherwise(3)
     # written, so that both sides of the next join are plain shuffles, whose large partitions Spark can split
     often = written(often.select("g", level.alias("level")), "often")
-    of_doc = anchor_rows(known, rule).join(often, "g").groupBy("doc_id").agg(F.collect_list(F.struct("g", "level")).alias("found"))
+    again = anchor_rows(known, rule).join(often, "g").select("doc_id", F.struct("g", "level").alias("a"))
+    whole = known.where(F.lit(rule.counts != "shared")).select("doc_id", "v")
+    first = whole.groupBy("v").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = whole.join(written(first, "first"), "v").where("doc_id > first").select("doc_id", F.struct(F.col("v").alias("g"), F.lit(COPY).alias("level")).alias("a"))
+    of_doc = again.unionByName(copies).groupBy("doc_id").agg(F.collect_list("a").alias("found"))
     # in an order of their own, so that a task that runs again merges and tells the same contexts
     held = marked.join(of_doc.hint("shuffle_hash"), "doc_id").sortWithinPartitions("doc_id", "v", "salt")
     runs = repeated_runs(contexts(held, rule), rule).groupBy("doc_id").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
