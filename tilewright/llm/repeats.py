@@ -445,7 +445,8 @@ def with_runs(docs: DataFrame, rule: Rule, id_col: str, text_col: str, fit: int
     copies = whole.join(written(first, "first"), "v").where("doc_id > first").select("doc_id", F.struct(F.col("v").alias("g"), F.lit(COPY).alias("level")).alias("a"))
     of_doc = again.unionByName(copies).groupBy("doc_id").agg(F.collect_list("a").alias("found"))
     # in an order of their own, so that a task that runs again merges and tells the same contexts
-    held = marked.join(of_doc.hint("shuffle_hash"), "doc_id").sortWithinPartitions("doc_id", "v", "salt")
+    # (a left join, as an inner one filters the ids and so shuffles the texts once more for the last join)
+    held = marked.join(of_doc.hint("shuffle_hash"), "doc_id", "left").sortWithinPartitions("doc_id", "v", "salt")
     runs = repeated_runs(contexts(held, rule), rule).groupBy("doc_id").agg(F.collect_list(F.struct("v", "start", "n")).alias("found"))
     return back.join(runs.hint("shuffle_hash"), "doc_id", "left")
 
