@@ -41,6 +41,15 @@ def padded_hex(i: Column, width: int = 6) -> Column:
     return F.concat(F.lit("0x"), F.when(F.length(digits) < width - 2, F.lpad(digits, width - 2, "0")).otherwise(digits))
 
 
+def number_text(v: Column, precision: int | None = None) -> Column:
+    """A number as text, with a fixed number of digits after the point if one is given."""
+    return v.cast("string") if precision is None else F.format_string(f"%.{precision}f", v.cast("double"))
+
+
+def list_text(values: Column, separator: str = ";", precision: int | None = None) -> Column:
+    return F.array_join(F.transform(values, lambda v: number_text(v, precision)), separator)
+
+
 # ---- paths
 
 

@@ -63,6 +63,23 @@ def worklist_update(items: DataFrame, new: DataFrame) -> DataFrame:
     return items.join(new.select("worklist_id").distinct(), "worklist_id", "left_anti").unionByName(new)
 
 
+def concatenated(headers: DataFrame) -> DataFrame:
+    """Instances that name the same ``source`` are parts of one image: it keeps the least instance and all their frames.
+
+    headers with a column ``source`` (null: an instance of its own) and ``n_frames``.
+    """
+    names = [c for c in headers.columns if c not in ("source", "n_frames", "instance")]
+    whole = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.concat(F.lit("i"), F.col("instance").cast("string")))
+    first = F.min_by(F.struct(*names), "instance")
+    out = headers.groupBy("study", "series", whole.alias("_whole")).agg(F.min("instance").alias("instance"), F.sum("n_frames").alias("n_frames"), F.count(F.lit(1)).alias("n_parts"), first.alias("_h"))
+    return out.select("instance", "n_frames", "n_parts", "_h.*")
+
+
+def associated_images(headers: DataFrame) -> DataFrame:
+    """(study, series, kind, instance): the label and the overview of each series, its least instance of that kind."""
+    return headers.where("kind in ('label', 'overview')").groupBy("study", "series", "kind").agg(F.min("instance").alias("instance"))
+
+
 def series_levels(headers: DataFrame) -> DataFrame:
     """(study, series, level, instance, width, downsample): pyramid levels of each series, from its largest volume image.
 
@@ -87,9 +104,23 @@ def frames(levels: DataFrame, positions: DataFrame, tile: int) -> DataFrame:
 
 
 def full_frame(col: str, row: str, tiles_x: str):
+    """The frame number of a tile where every tile has a frame."""
     return F.col(col) + F.col(row) * F.col(tiles_x)
 
 
+def full_frames(levels: DataFrame, tile: int) -> DataFrame:
+    """(slide_id, col, row, frame) of images that are tiled without gaps."""
+    none = levels.select("slide_id").where("false").select("slide_id", *(F.lit(None).cast("bigint").alias(c) for c in ("x", "y", "frame")))
+    at = frames(levels, none, tile).drop("frame").join(levels.select("slide_id", F.ceil(F.col("width") / tile).alias("_n")), "slide_id")
+    return at.select("slide_id", "col", "row", full_frame("col", "row", "_n").alias("frame"))
+
+
+def frame_samples(grid: DataFrame, decoded: DataFrame, size: int, fill: float = 255.0) -> DataFrame:
+    """Samples of every tile of a grid of frames; a tile without a frame is filled.  decoded: slide_id, frame, samples."""
+    blank = F.array_repeat(F.lit(fill), size)
+    return grid.join(decoded.select("slide_id", "frame", F.col("samples").cast("array<double>").alias("samples")), ["slide_id", "frame"], "left").select("slide_id", "col", "row", "frame", F.coalesce("samples", blank).alias("samples"))
+
+
 def extents(tiles: DataFrame, tile: int) -> DataFrame:
     """(slide_id, index, width, height) of the index with the most pixels of each slide."""
     one = tiles.groupBy("slide_id", "index").agg(((F.max("tile_x") + 1) * tile).alias("width"), ((F.max("tile_y") + 1) * tile).alias("height"))

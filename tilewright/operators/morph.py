@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ from ..plans.iterate import iterate, written
 from .raster import to_runs
 
 
+#: Columns of a cell in which runs of neighbouring rows meet; rows of a band whose components are numbered together.
+CELL, BAND = 64, 256
+#: Lines that one task of a reconstruction raises together.
+ROWS = 64
+
+
 def connected_components(pixels: DataFrame, threshold: float = 0.5, neighbours: int = 4) -> DataFrame:
     """(slide_id, x, y, label): components of the pixels above the threshold, numbered 1.. by their first pixel in raster order.
 
@@ -24,8 +32,10 @@ def connected_components(pixels: DataFrame, threshold: float = 0.5, neighbours:
     reach = 0 if neighbours == 4 else 1
     a = runs.select("slide_id", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("u"))
     b = runs.select("slide_id", (F.col("y") - 1).alias("ya"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("id").alias("v"))
-    # runs of a row and of the next one, an equi-join on the row; both lists are bounded by the slide's width
-    edges = a.join(b, ["slide_id", "ya"]).where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select("slide_id", "u", "v")
+    # runs of a row and of the next one meet in the cells of CELL columns that both touch
+    cells = lambda lo, hi, more: F.explode(F.sequence(F.floor((F.col(lo) - more) / CELL), F.floor((F.col(hi) + more) / CELL)))
+    edges = a.withColumn("cell", cells("a0", "a1", reach)).join(b.withColumn("cell", cells("b0", "b1", 0)), ["slide_id", "ya", "cell"])
+    edges = edges.where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select("slide_id", "u", "v").distinct()
     edges = written(edges.unionByName(edges.select("slide_id", F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
 
     def step(state: DataFrame) -> DataFrame:
@@ -36,7 +46,12 @@ def connected_components(pixels: DataFrame, threshold: float = 0.5, neighbours:
         return new.select("slide_id", "u", "c", (F.col("c") != F.col("old")).alias("changed"))
 
     labels = iterate(runs.select("slide_id", F.col("id").alias("u"), F.col("id").alias("c")), step)
-    roots = labels.select("slide_id", "c").distinct().withColumn("label", F.row_number().over(Window.partitionBy("slide_id").orderBy("c")))
+    # labels in raster order: numbers inside bands of BAND rows, after the counts of the bands above
+    roots = labels.where("u = c").select("slide_id", "c", F.floor(F.col("c") / (4294967296 * BAND)).alias("band"))
+    counts = roots.groupBy("slide_id", "band").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("slide_id").orderBy("band")) - F.col("n")).drop("n")
+    roots = roots.withColumn("r", F.row_number().over(Window.partitionBy("slide_id", "band").orderBy("c"))).join(counts, ["slide_id", "band"])
+    roots = roots.select("slide_id", "c", (F.col("before") + F.col("r")).alias("label"))
     named = runs.join(labels.withColumnRenamed("u", "id"), ["slide_id", "id"]).join(roots, ["slide_id", "c"])
     return named.select("slide_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "label")
 
@@ -135,11 +150,16 @@ def votes(grads: DataFrame, radius: float, width: int, height: int, polarity: st
     return out.groupBy("slide_id", "x", "y").agg(F.sum("n").alias("n"))
 
 
-def radial_symmetry(pixels: DataFrame, radii: list[float], alpha: float, beta: float, width: int, height: int, kappa: float = 9.9, polarity: str = "light", mode: str = "orientation") -> DataFrame:
-    """(slide_id, x, y, value): the mean over radii of the blurred symmetry maps."""
+def radial_symmetry(pixels: DataFrame, radii: list[float], alpha: float, beta: float, width: int, height: int, kappa: float = 9.9, polarity: str = "light", mode: str = "orientation", tile: int | None = None) -> DataFrame:
+    """(slide_id, x, y, value): the mean over radii of the blurred symmetry maps.
+
+    Gradients count from a share ``beta`` of the greatest of the slide, or of their tile x tile square.
+    """
     g = written(gradients(pixels, width, height).select("slide_id", "x", "y", "mag", "ux", "uy"), "gradients")
-    top = g.groupBy("slide_id").agg(F.max("mag").alias("top"))
-    gated = g.join(top, "slide_id").where(F.col("mag") >= beta * F.col("top"))
+    square = [] if tile is None else [F.expr(f"x div {tile}").alias("_tx"), F.expr(f"y div {tile}").alias("_ty")]
+    keyed = g.select("*", *square)
+    keys = ["slide_id", "_tx", "_ty"][: 1 + len(square)]
+    gated = keyed.join(keyed.groupBy(*keys).agg(F.max("mag").alias("top")), keys).where(F.col("mag") >= beta * F.col("top"))
     maps = None
     for r in radii:
         found = g.select("slide_id", "x", "y", "mag").join(votes(gated, r, width, height, polarity), ["slide_id", "x", "y"], "left")
@@ -153,22 +173,72 @@ def radial_symmetry(pixels: DataFrame, radii: list[float], alpha: float, beta: f
     return maps.groupBy("slide_id", "x", "y").agg((F.sum("value") / len(radii)).alias("value"))
 
 
-def reconstruct(marker: DataFrame, mask: DataFrame) -> DataFrame:
-    """Greyscale reconstruction by dilation, 8 neighbours, 0 outside: (slide_id, x, y, value).
-
-    Each round takes the greatest marker of the 3 x 3 neighbourhood, below the mask, until nothing rises.
+def _risen(low: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The greyscale reconstruction of a block of rows: sweeps down and up until nothing rises."""
+
+    def along(m: np.ndarray, t: np.ndarray) -> np.ndarray:
+        # v -> min(t, max(m, v)) from the left, for all columns at once: such steps compose by doubling
+        m, t, reach = m.copy(), t.copy(), 1
+        while reach < m.shape[0]:
+            new = np.minimum(t[reach:], np.maximum(m[reach:], m[:-reach]))
+            t[reach:] = np.minimum(t[reach:], np.maximum(m[reach:], t[:-reach]))
+            m[reach:] = new
+            reach *= 2
+        return m
+
+    while True:
+        before = low.copy()
+        for rows in (range(len(low)), range(len(low) - 1, -1, -1)):
+            last = None
+            for y in rows:
+                if last is not None:
+                    wide = np.pad(last, 1, constant_values=-np.inf)
+                    low[y] = np.minimum(top[y], np.maximum(low[y], np.maximum(np.maximum(wide[:-2], wide[2:]), last)))
+                low[y] = along(along(low[y], top[y])[::-1], top[y][::-1])[::-1]
+                last = low[y]
+        if np.array_equal(low, before):
+            return low
+
+
+def reconstruct(marker: DataFrame, mask: DataFrame, band: int = ROWS) -> DataFrame:
+    """Greyscale reconstruction by dilation, 8 neighbours: (slide_id, x, y, value).
+
+    The image becomes one row of values for each line; a band of ``band`` lines, with the nearest line of each
+    neighbouring band, is raised as far as it goes in one task, and bands exchange their border lines until nothing
+    rises.  Rounds grow with the number of bands that a plateau crosses.  Pixels that are missing let nothing pass.
     """
-    state = marker.select("slide_id", "x", "y", F.col("value").alias("m")).join(mask.select("slide_id", "x", "y", F.col("value").alias("top")), ["slide_id", "x", "y"]).withColumn("m", F.least("m", "top"))
+    both = marker.select("slide_id", "x", "y", F.col("value").cast("double").alias("m")).join(mask.select("slide_id", "x", "y", F.col("value").cast("double").alias("top")), ["slide_id", "x", "y"])
+    line = F.array_sort(F.collect_list(F.struct(F.col("x").cast("bigint").alias("x"), F.least("m", "top").alias("m"), "top")))
+    state = both.groupBy("slide_id", F.col("y").cast("bigint").alias("y")).agg(line.alias("l"))
+    parts = [F.col(f"l.{k}").alias(k) for k in ("x", "m", "top")]
+    state = written(state.select("slide_id", "y", *parts), "lines")
+    slide = marker.schema["slide_id"].dataType.simpleString()
+    schema = f"slide_id {slide}, y bigint, x array<bigint>, m array<double>, top array<double>, changed boolean"
+
+    def raised(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("y")
+        x0, x1 = min(x[0] for x in rows["x"]), max(x[-1] for x in rows["x"])
+        y0, y1 = rows["y"].min(), rows["y"].max()
+        low = np.full((y1 - y0 + 1, x1 - x0 + 1), -np.inf)
+        top = low.copy()
+        for y, x, m, t in zip(rows["y"], rows["x"], rows["m"], rows["top"], strict=True):
+            low[y - y0, x - x0], top[y - y0, x - x0] = m, t
+        low = _risen(low, top)
+        mine = rows[rows["y"] // band == key[1]]
+        new = [low[y - y0, x - x0] for y, x in zip(mine["y"], mine["x"], strict=True)]
+        changed = [bool((n > m).any()) for n, m in zip(new, mine["m"], strict=True)]
+        return pd.DataFrame({"slide_id": mine["slide_id"], "y": mine["y"], "x": mine["x"], "m": new, "top": mine["top"], "changed": changed})
 
     def step(now: DataFrame) -> DataFrame:
-        for axis, other in (("x", "y"), ("y", "x")):
-            w = Window.partitionBy("slide_id", other).orderBy(axis).rangeBetween(-1, 1)
-            now = now.withColumn("best" if axis == "x" else "best2", F.max("m" if axis == "x" else "best").over(w))
-        new = F.least(F.col("top"), F.greatest("m", "best2"))
-        # outside the image the marker is 0, which lifts negative border values
-        return now.select("slide_id", "x", "y", new.alias("m2"), "m", "top").select("slide_id", "x", "y", F.col("m2").alias("m"), "top", (F.col("m2") > F.col("m")).alias("changed"))
+        own = F.expr(f"y div {band}")
+        to = F.array_distinct(F.array(own, F.expr(f"(y - 1) div {band}"), F.expr(f"(y + 1) div {band}")))
+        sent = now.withColumn("band", F.explode(to))
+        known = now.select("slide_id", own.alias("band")).distinct()  # no task for bands beyond the image
+        return sent.join(known, ["slide_id", "band"], "left_semi").select("slide_id", "band", "y", "x", "m", "top").groupBy("slide_id", "band").applyInPandas(raised, schema)
 
-    return iterate(state, step).select("slide_id", "x", "y", F.col("m").alias("value"))
+    out = iterate(state, step)
+    pixel = F.explode(F.arrays_zip("x", "m"))
+    return out.select("slide_id", "y", pixel.alias("p")).select("slide_id", "p.x", "y", F.col("p.m").alias("value"))
 
 
 def h_maxima(pixels: DataFrame, h: float) -> DataFrame:
@@ -189,10 +259,13 @@ def outer_boundary(mask: DataFrame, width: int, height: int) -> DataFrame:
     return blobs.join(near, ["slide_id", "x", "y"])
 
 
-def detect_nuclei(pixels: DataFrame, width: int, height: int, spacing: float = 1.0, h: float = 0.01, alpha: float = 2.0, beta: float = 0.01, radii: tuple[float, float, float] = (1.5, 5.0, 1.0)) -> DataFrame:
-    """Centres (slide_id, label, x, y) of bright round spots of dense pixels; radii (least, most, step) in um."""
+def detect_nuclei(pixels: DataFrame, width: int, height: int, spacing: float = 1.0, h: float = 0.01, alpha: float = 2.0, beta: float = 0.01, radii: tuple[float, float, float] = (1.5, 5.0, 1.0), tile: int | None = None) -> DataFrame:
+    """Centres (slide_id, label, x, y) of bright round spots of dense pixels; radii (least, most, step) in um.
+
+    With ``tile``, the gate on gradients is relative to the greatest of each tile x tile square and not of the whole slide.
+    """
     low, high, step = radii
     sizes = [(low + i * step) / spacing for i in range(int((high - low) / step + 1e-9) + 1)]
-    symmetry = written(radial_symmetry(pixels, sizes, alpha, beta, width, height), "symmetry")
+    symmetry = written(radial_symmetry(pixels, sizes, alpha, beta, width, height, tile=tile), "symmetry")
     edge = outer_boundary(h_maxima(symmetry, h), width, height)
     return edge.groupBy("slide_id", "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import hsv_to_rgb, rgb_to_hsv
 
-# Three of the default colour lookup tables as (index, (red, green, blue, alpha)), and whether indices are relative.
+# The default colour lookup tables as (index, (red, green, blue, alpha)), and whether indices are relative.
 LUTS = {
     "Background": (True, [(0.0, (0, 0, 0, 255)), (1.0, (255, 255, 255, 255))]),
     "Normal": (False, [(0.0, (0, 0, 0, 255)), (1.0, (255, 255, 255, 255))]),
+    "Label": (False, [(0.0, (0, 0, 0, 0)), (1.0, (0, 224, 249, 255)), (2.0, (0, 249, 50, 255)), (3.0, (174, 249, 0, 255)), (4.0, (249, 100, 0, 255)), (5.0, (249, 0, 125, 255)), (6.0, (149, 0, 249, 255)), (7.0, (0, 0, 206, 255)), (8.0, (0, 185, 206, 255)), (9.0, (0, 206, 41, 255)), (10.0, (143, 206, 0, 255)), (11.0, (206, 82, 0, 255)), (12.0, (206, 0, 103, 255)), (13.0, (124, 0, 206, 255)), (14.0, (0, 0, 162, 255)), (15.0, (0, 145, 162, 255)), (16.0, (0, 162, 32, 255)), (17.0, (114, 162, 0, 255)), (18.0, (162, 65, 0, 255)), (19.0, (162, 0, 81, 255)), (20.0, (97, 0, 162, 255)), (21.0, (0, 0, 119, 255)), (22.0, (0, 107, 119, 255)), (23.0, (0, 119, 23, 255)), (24.0, (83, 119, 0, 255)), (25.0, (119, 47, 0, 255)), (26.0, (119, 0, 59, 255)), (27.0, (71, 0, 119, 255)), (28.0, (100, 100, 249, 255)), (29.0, (100, 234, 249, 255))]),
     "Traffic Light (0 - 255)": (False, [(0.0, (0, 0, 0, 0)), (10.0, (0, 255, 0, 255)), (127.0, (255, 255, 0, 255)), (255.0, (255, 0, 0, 255))]),
     "Traffic Light (0 - 1)": (False, [(0.0, (0, 0, 0, 0)), (10.0 / 255, (0, 255, 0, 255)), (127.0 / 255, (255, 255, 0, 255)), (1.0, (255, 0, 0, 255))]),
 }
@@ -73,11 +72,18 @@ def on_overlay(pixels: DataFrame, result: DataFrame, scale: int) -> DataFrame:
     return keyed.join(key, ["slide_id", "_x", "_y"], "left").drop("_x", "_y")
 
 
-def scale_steps(scale: float) -> int:
-    return int(round(math.log2(scale))) if scale > 0 else 0
-
+def foreground_levels(slides: DataFrame, results: DataFrame, requests: DataFrame) -> DataFrame:
+    """(.., fg_level, residual): the level of a result image to draw over each request, and how far it is still to be scaled.
 
-def running_level(levels: DataFrame) -> DataFrame:
-    """Levels with the downsample to the level before them."""
-    w = Window.partitionBy("slide_id").orderBy("level")
-    return levels.withColumn("step", F.col("downsample") / F.lag("downsample").over(w))
+    slides: slide_id, level, width, downsample; results: slide_id, result_id, level, width; requests: slide_id,
+    result_id, level, scale.  The level is the request's, less the slide's best level for the result's scale, inside
+    the levels that the result has.
+    """
+    asked = requests.select("slide_id", "result_id", F.col("scale").cast("double").alias("downsample")).distinct()
+    offset = best_level(slides, asked).select("slide_id", "result_id", F.col("downsample").alias("_scale"), F.col("level").alias("_offset"))
+    at = requests.withColumn("_scale", F.col("scale").cast("double")).join(offset, ["slide_id", "result_id", "_scale"])
+    top = results.groupBy("slide_id", "result_id").agg(F.max("level").alias("_top"))
+    at = at.join(top, ["slide_id", "result_id"]).withColumn("fg_level", F.greatest(F.lit(0), F.least(F.col("level") - F.col("_offset"), F.col("_top"))))
+    own = slides.select("slide_id", "level", F.col("width").alias("_w"))
+    theirs = results.select("slide_id", "result_id", F.col("level").alias("fg_level"), F.col("width").alias("_fw"))
+    return at.join(own, ["slide_id", "level"]).join(theirs, ["slide_id", "result_id", "fg_level"]).select(*requests.columns, "fg_level", (F.col("_fw") / F.col("_w")).alias("residual"))

@@ -6,37 +6,50 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import written
+
 #: The least positive 32-bit float; the default lower bound keeps values above 0.
 FLT_MIN, FLT_MAX = 1.1754943508222875e-38, 3.4028234663852886e38
 
 
-def to_pixels(tiles: DataFrame) -> DataFrame:
-    """(slide_id, level, x, y, c, value) of all samples."""
+def to_pixels(tiles: DataFrame, *keep: str) -> DataFrame:
+    """(slide_id, level, x, y, c, value) of all samples, with further columns of their tiles."""
     i, n, w = F.col("i"), F.col("n_channels"), F.col("tile_w")
     p = F.expr("i div n_channels")
-    out = tiles.select("slide_id", "level", "tile_x", "tile_y", "tile_w", "tile_h", "n_channels", F.posexplode("samples").alias("i", "value"))
-    return out.select("slide_id", "level", (F.col("tile_x") * w + p % w).alias("x"), (F.col("tile_y") * F.col("tile_h") + F.floor(p / w)).cast("bigint").alias("y"), (i % n).alias("c"), F.col("value").cast("double").alias("value"))
+    out = tiles.select("slide_id", "level", "tile_x", "tile_y", "tile_w", "tile_h", "n_channels", *(k for k in keep if k != "n_channels"), F.posexplode("samples").alias("i", "value"))
+    return out.select("slide_id", "level", *keep, (F.col("tile_x") * w + p % w).alias("x"), (F.col("tile_y") * F.col("tile_h") + F.floor(p / w)).cast("bigint").alias("y"), (i % n).alias("c"), F.col("value").cast("double").alias("value"))
 
 
 def to_tiles(pixels: DataFrame, size: int = 512, channels: int = 1, fill: float = 0.0) -> DataFrame:
     """Pixels regrouped into size x size tiles; absent samples become ``fill``.
 
-    One row per tile is bounded by size * size * channels samples.
+    Pixels may carry their slide's ``n_channels``, else all have ``channels``.  A group is one tile, at most
+    size * size * channels samples, which are put in place by their flat index.
     """
     c = F.col("c") if "c" in pixels.columns else F.lit(0)
     level = F.col("level") if "level" in pixels.columns else F.lit(0)
-    at = ((F.col("y") % size) * size + F.col("x") % size) * channels + c
-    keyed = pixels.select("slide_id", level.alias("level"), F.expr(f"x div {size}").alias("tile_x"), F.expr(f"y div {size}").alias("tile_y"), at.cast("int").alias("at"), F.col("value").cast("double").alias("value"))
-    grouped = keyed.groupBy("slide_id", "level", "tile_x", "tile_y").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
-    samples = F.transform(F.sequence(F.lit(0), F.lit(size * size * channels - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(fill)))
-    return grouped.select("slide_id", "level", "tile_x", "tile_y", F.lit(size).alias("tile_w"), F.lit(size).alias("tile_h"), F.lit(channels).alias("n_channels"), samples.alias("samples"))
+    n = F.col("n_channels") if "n_channels" in pixels.columns else F.lit(channels)
+    at = ((F.col("y") % size) * size + F.col("x") % size) * n + c
+    keyed = pixels.select("slide_id", level.cast("int").alias("level"), F.expr(f"cast(x as bigint) div {size}").alias("tile_x"), F.expr(f"cast(y as bigint) div {size}").alias("tile_y"), n.cast("int").alias("n_channels"), at.cast("int").alias("at"), F.col("value").cast("double").alias("value"))
+    keys = ["slide_id", "level", "tile_x", "tile_y", "n_channels"]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        samples = np.full(size * size * key[4], fill)
+        samples[rows["at"]] = rows["value"]
+        return pd.DataFrame([[*key[:4], size, size, key[4], samples]])
+
+    slide = pixels.schema["slide_id"].dataType.simpleString()
+    return keyed.groupBy(*keys).applyInPandas(run, f"slide_id {slide}, level int, tile_x bigint, tile_y bigint, tile_w int, tile_h int, n_channels int, samples array<double>")
 
 
-def retile(tiles: DataFrame, size: int = 512) -> DataFrame:
-    return to_tiles(to_pixels(tiles).where("c = 0"), size)
+def retile(tiles: DataFrame, size: int = 512, fill: float = 0.0) -> DataFrame:
+    """All slides, levels and channels in tiles of another size."""
+    return to_tiles(to_pixels(tiles, "n_channels"), size, fill=fill)
 
 
 def to_runs(pixels: DataFrame, keys: tuple[str, ...] = ("slide_id", "y")) -> DataFrame:
@@ -97,12 +110,45 @@ def tile_keys(boxes: DataFrame, tw: int, th: int) -> DataFrame:
 
 
 def extract_patches(tiles: DataFrame, requests: DataFrame, tw: int, th: int) -> DataFrame:
-    """Pixels of many boxes (request, slide_id, x0, y0, w, h) by an equi-join on tile keys: (request, x, y, value)."""
-    hit = tile_keys(requests, tw, th).join(tiles, ["slide_id", "tile_x", "tile_y"])
-    px = hit.select("request", "x0", "y0", "w", "h", "tile_x", "tile_y", "tile_w", "tile_h", "n_channels", F.posexplode("samples").alias("i", "value")).where("i % n_channels = 0")
+    """Pixels of many boxes (request, slide_id, [level,] x0, y0, w, h) by an equi-join on tile keys: (request, x, y, c, value).
+
+    Boxes are in pixels of their level, by default 0.
+    """
+    asked = requests if "level" in requests.columns else requests.withColumn("level", F.lit(0))
+    hit = tile_keys(asked, tw, th).join(tiles, ["slide_id", "level", "tile_x", "tile_y"])
+    px = hit.select("request", "x0", "y0", "w", "h", "tile_x", "tile_y", "tile_w", "tile_h", "n_channels", F.posexplode("samples").alias("i", "value"))
     p = F.expr("i div n_channels")
-    px = px.select("request", "x0", "y0", "w", "h", (F.col("tile_x") * F.col("tile_w") + p % F.col("tile_w")).alias("x"), (F.col("tile_y") * F.col("tile_h") + F.expr("(i div n_channels) div tile_w")).alias("y"), F.col("value").cast("double").alias("value"))
-    return px.where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h").select("request", "x", "y", "value")
+    px = px.select("request", "x0", "y0", "w", "h", (F.col("tile_x") * F.col("tile_w") + p % F.col("tile_w")).alias("x"), (F.col("tile_y") * F.col("tile_h") + F.expr("(i div n_channels) div tile_w")).alias("y"), (F.col("i") % F.col("n_channels")).alias("c"), F.col("value").cast("double").alias("value"))
+    return px.where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h").select("request", "x", "y", "c", "value")
+
+
+def patch_arrays(tiles: DataFrame, requests: DataFrame, tw: int, th: int, fill: float = 0.0) -> DataFrame:
+    """(request, w, h, n_channels, samples): every box of an existing level as a dense (h, w, channel) array, absent pixels filled."""
+    asked = requests if "level" in requests.columns else requests.withColumn("level", F.lit(0))
+    channels = tiles.groupBy("slide_id", "level").agg(F.max("n_channels").cast("int").alias("n_channels"))
+    boxes = asked.join(channels, ["slide_id", "level"]).select("request", F.col("x0").cast("bigint").alias("x0"), F.col("y0").cast("bigint").alias("y0"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "n_channels")
+    rows = boxes.join(extract_patches(tiles, asked, tw, th), "request", "left")
+    at = ((F.col("y") - F.col("y0")) * F.col("w") + F.col("x") - F.col("x0")) * F.col("n_channels") + F.col("c")
+    rows = rows.select("request", "w", "h", "n_channels", at.alias("at"), "value")
+
+    def run(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        samples = np.full(key[1] * key[2] * key[3], fill)
+        found = found[found["at"].notna()]
+        samples[found["at"].astype(np.int64)] = found["value"]
+        return pd.DataFrame([[*key, samples]])
+
+    kind = requests.schema["request"].dataType.simpleString()
+    return rows.groupBy("request", "w", "h", "n_channels").applyInPandas(run, f"request {kind}, w int, h int, n_channels int, samples array<double>")
+
+
+def patches_with_spacing(tiles: DataFrame, requests: DataFrame, levels: DataFrame, slides: DataFrame, tw: int, th: int) -> DataFrame:
+    """:func:`extract_patches` with the spacing at each request's level and the extremes of its slide's channel.
+
+    levels: slide_id, level, downsample; slides: slide_id, spacing_x, spacing_y of level 0.
+    """
+    at = requests.select("request", "slide_id", "level").join(levels.select("slide_id", "level", "downsample"), ["slide_id", "level"]).join(slides.select("slide_id", "spacing_x", "spacing_y"), "slide_id")
+    at = at.select("request", "slide_id", (F.col("spacing_x") * F.col("downsample")).alias("spacing_x"), (F.col("spacing_y") * F.col("downsample")).alias("spacing_y"))
+    return extract_patches(tiles, requests, tw, th).join(at, "request").join(channel_extremes(tiles), ["slide_id", "c"])
 
 
 def label_statistics(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -115,6 +161,20 @@ def min_max(pixels: DataFrame, *keys: str) -> DataFrame:
     return pixels.groupBy(*(keys or ("slide_id",))).agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 
 
+def channel_extremes(tiles: DataFrame) -> DataFrame:
+    """(slide_id, c, min_value, max_value) of each channel, over the base level."""
+    base = tiles.where("level = 0")
+    per = F.transform(F.sequence(F.lit(0), F.col("n_channels") - 1), lambda c: F.filter("samples", lambda _, i: i % F.col("n_channels") == c))
+    one = base.select("slide_id", F.posexplode(per).alias("c", "v")).select("slide_id", "c", F.array_min("v").cast("double").alias("a"), F.array_max("v").cast("double").alias("b"))
+    return one.groupBy("slide_id", "c").agg(F.min("a").alias("min_value"), F.max("b").alias("max_value"))
+
+
+def levels_of(tiles: DataFrame) -> DataFrame:
+    """(slide_id, level, width, height, downsample) that the tiles span."""
+    size = tiles.groupBy("slide_id", "level").agg(F.max((F.col("tile_x") + 1) * F.col("tile_w")).alias("width"), F.max((F.col("tile_y") + 1) * F.col("tile_h")).alias("height"))
+    return size.withColumn("downsample", F.max(F.when(F.col("level") == 0, F.col("width"))).over(Window.partitionBy("slide_id")) / F.col("width"))
+
+
 def patch_min_max(tiles: DataFrame, channel_: int | None = None) -> DataFrame:
     """Extremes of each tile, of one channel or of all."""
     samples = F.col("samples") if channel_ is None else F.filter("samples", lambda v, i: i % F.col("n_channels") == channel_)
@@ -148,7 +208,8 @@ def build_pyramid(pixels: DataFrame, width: int, height: int, factor: int = 2, m
     level = pixels.select("slide_id", "x", "y", "value")
     out = level.withColumn("level", F.lit(0))
     for n in range(1, level_count(width, factor, max_levels) + (max_levels >= 0)):
-        level = downscale(level, factor, interpolation, integer).where((F.col("x") < width // factor**n) & (F.col("y") < height // factor**n))
+        # written, so that a level is made from the one before and not from the base again
+        level = written(downscale(level, factor, interpolation, integer).where((F.col("x") < width // factor**n) & (F.col("y") < height // factor**n)), "level")
         out = out.unionByName(level.withColumn("level", F.lit(n)))
     return out
 
@@ -185,8 +246,30 @@ def scale_samples(tiles: DataFrame, op: str, k: float) -> DataFrame:
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    """A multi-resolution store: partitioned by slide and level and sorted by tile, so that regions prune files and row groups."""
-    tiles.repartition("slide_id", "level", F.expr("tile_y div 16")).sortWithinPartitions("tile_y", "tile_x").write.mode("overwrite").partitionBy("slide_id", "level").parquet(path)
+    """Tiles partitioned by slide and level and sorted by tile, so that regions prune files and row groups."""
+    tiles.repartition("slide_id", "level", F.expr("tile_y div 16")).sortWithinPartitions("tile_y", "tile_x").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide_id", "level").parquet(path)
+
+
+def write_store(tiles: DataFrame, path: str, slides: DataFrame | None = None) -> None:
+    """A multi-resolution store: ``tiles``, ``levels`` (size, downsample) and ``slides`` (extremes of each channel, spacing).
+
+    slides: slide_id, spacing_x, spacing_y.
+    """
+    write_tiles(tiles, f"{path}/tiles")
+    levels_of(tiles).write.mode("overwrite").parquet(f"{path}/levels")
+    known = channel_extremes(tiles)
+    known = known.join(slides, "slide_id", "left") if slides is not None else known.withColumn("spacing_x", F.lit(None).cast("double")).withColumn("spacing_y", F.lit(None).cast("double"))
+    known.select("slide_id", "c", "min_value", "max_value", "spacing_x", "spacing_y").write.mode("overwrite").parquet(f"{path}/slides")
+
+
+def write_tiles_at(tiles: DataFrame, path: str) -> None:
+    """Put tiles at their places (level, tile_x, tile_y) of a store's ``tiles``; only the levels that they touch are rewritten."""
+    spark, columns = tiles.sparkSession, tiles.columns
+    have = spark.read.parquet(path).withColumn("level", F.col("level").cast("int")).withColumn("slide_id", F.col("slide_id").cast("string")).select(*columns)
+    touched = have.join(tiles.select("slide_id", "level").distinct(), ["slide_id", "level"], "left_semi")
+    kept = touched.join(tiles.select("slide_id", "level", "tile_x", "tile_y"), ["slide_id", "level", "tile_x", "tile_y"], "left_anti")
+    # written, as the same folders are read and replaced
+    write_tiles(written(kept.select(*columns).unionByName(tiles), "placed"), path)
 
 
 def region_with_spacing(region: DataFrame, spacing_x: float, spacing_y: float, downsample: float = 1.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Polyline simplification of ordered series: (key, ord, x, y) in, the kept rows out.
 
-One-pass methods are folds over a key's sorted points inside Spark (``aggregate``); Douglas-Peucker runs level by level
-over all keys at once; only the look-ahead and the exact-count methods need a task's loop per key.  Series of fewer
+Methods whose next key depends on the last one are one linear pass over a key's sorted points in a grouped task; Douglas-Peucker
+works round by round on the points of all keys at once, each of which knows its segment.  Series of fewer
 than three points, and tolerances of 0, are copied.
 """
 
@@ -10,25 +10,13 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import dist2, line_dist2, ray_dist2, segment_dist2
+from ..functions.geom import segment_dist2
 from ..plans.iterate import written
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    return df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("pts"))
-
-
-def _rows(arrays: DataFrame, kept: Column) -> DataFrame:
-    return arrays.select("key", F.explode(kept).alias("p")).select("key", "p.ord", "p.x", "p.y")
-
-
-def _d(f, *points: Column) -> Column:
-    return f(*(p[k] for p in points for k in ("x", "y")))
-
-
 def nth_point(df: DataFrame, n: int) -> DataFrame:
     """Every n-th point and the last."""
     last = F.max("ord").over(Window.partitionBy("key"))
@@ -36,97 +24,133 @@ def nth_point(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_k", place).withColumn("_last", last).where((F.col("_k") % max(n, 1) == 0) | (F.col("ord") == F.col("_last"))).select("key", "ord", "x", "y")
 
 
-def _copied(pts: Column, kept: Column, tol: float) -> Column:
-    return F.when((F.size(pts) < 3) | F.lit(tol == 0), pts).otherwise(kept)
-
-
 def radial_distance(df: DataFrame, tol: float) -> DataFrame:
     """Points nearer than the tolerance to the last kept one go; first and last stay."""
-    pts = F.col("pts")
-    middle = F.slice(pts, 2, F.greatest(F.size(pts) - 2, F.lit(0)))
-    kept = F.aggregate(middle, F.slice(pts, 1, 1), lambda keys, p: F.when(_d(dist2, F.element_at(keys, -1), p) < tol * tol, keys).otherwise(F.concat(keys, F.array(p))))
-    return _rows(gathered(df), _copied(pts, F.concat(kept, F.slice(pts, -1, 1)), tol))
+
+    def pick(p: list) -> list[int]:
+        if len(p) < 3 or tol == 0:
+            return list(range(len(p)))
+        keys = [0]
+        for i in range(1, len(p) - 1):
+            a, b = p[keys[-1]], p[i]
+            if (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 >= tol * tol:
+                keys.append(i)
+        return [*keys, len(p) - 1]
+
+    return _per_key(df, pick)
 
 
 def perpendicular_distance(df: DataFrame, tol: float, repeat: int = 1) -> DataFrame:
-    """A point nearer than the tolerance to the segment of its neighbours goes, one after the other; repeated on the result."""
-    out = df
-    for _ in range(repeat):
-        pts = F.col("pts")
-        # state: kept keys, the waiting point p1 (null: the next point becomes it)
-        start = F.struct(F.slice(pts, 1, 1).alias("keys"), F.element_at(pts, 2).alias("p1"))
-
-        def step(s: Column, p2: Column) -> Column:
-            near = _d(segment_dist2, F.element_at(s["keys"], -1), p2, s["p1"]) < tol * tol
-            taken = F.struct(F.concat(s["keys"], F.array(p2)).alias("keys"), F.lit(None).cast("struct<ord:int,x:double,y:double>").alias("p1"))
-            moved = F.struct(F.concat(s["keys"], F.array(s["p1"])).alias("keys"), p2.alias("p1"))
-            waiting = F.struct(s["keys"].alias("keys"), p2.alias("p1"))
-            return F.when(s["p1"].isNull(), waiting).when(near, taken).otherwise(moved)
-
-        folded = F.aggregate(F.slice(pts, 3, F.greatest(F.size(pts) - 2, F.lit(0))), start, step, lambda s: F.when(s["p1"].isNull(), s["keys"]).otherwise(F.concat(s["keys"], F.array(s["p1"]))))
-        out = _rows(gathered(out.withColumn("ord", F.col("ord").cast("int"))), _copied(pts, folded, tol))
-    return out
+    """A point nearer than the tolerance to the segment of its neighbours goes, one after the other.
+
+    Repeated on the result, up to ``repeat`` times or until a pass removes nothing.
+    """
+
+    def once(p: list, at: list[int]) -> list[int]:
+        if len(at) < 3 or tol == 0:
+            return at
+        keys, waiting = [at[0]], at[1]
+        for i in at[2:]:
+            if waiting is None:
+                waiting = i
+            elif _segment(p[keys[-1]], p[i], p[waiting]) < tol * tol:
+                keys.append(i)
+                waiting = None
+            else:
+                keys.append(waiting)
+                waiting = i
+        return keys if waiting is None else [*keys, waiting]
+
+    def pick(p: list) -> list[int]:
+        at = list(range(len(p)))
+        for _ in range(repeat):
+            before, at = len(at), once(p, at)
+            if len(at) == before:
+                break
+        return at
+
+    return _per_key(df, pick)
 
 
 def reumann_witkam(df: DataFrame, tol: float) -> DataFrame:
     """A strip around the line through a key and its next point; the last point inside it is the next key."""
-    pts = F.col("pts")
-    second = F.element_at(pts, 2)
-    start = F.struct(F.slice(pts, 1, 1).alias("keys"), second.alias("p1"), second.alias("pj"))
 
-    def step(s: Column, p: Column) -> Column:
-        inside = _d(line_dist2, F.element_at(s["keys"], -1), s["p1"], p) < tol * tol
-        return F.when(inside, F.struct(s["keys"].alias("keys"), s["p1"].alias("p1"), p.alias("pj"))).otherwise(F.struct(F.concat(s["keys"], F.array(s["pj"])).alias("keys"), p.alias("p1"), p.alias("pj")))
+    def pick(p: list) -> list[int]:
+        if len(p) < 3 or tol == 0:
+            return list(range(len(p)))
+        keys, ahead = [0], 1
+        for i in range(2, len(p)):
+            if _line(p[keys[-1]], p[ahead], p[i]) >= tol * tol:
+                keys.append(i - 1)
+                ahead = i
+        return [*keys, len(p) - 1]
 
-    kept = F.aggregate(F.slice(pts, 3, F.greatest(F.size(pts) - 2, F.lit(0))), start, step, lambda s: F.concat(s["keys"], F.array(s["pj"])))
-    return _rows(gathered(df.withColumn("ord", F.col("ord").cast("int"))), _copied(pts, kept, tol))
+    return _per_key(df, pick)
 
 
 def opheim(df: DataFrame, min_tol: float, max_tol: float) -> DataFrame:
     """Like a strip, around a ray set by the last point within the lesser tolerance, up to the greater one."""
-    pts = F.col("pts")
-    none = F.lit(None).cast("struct<ord:int,x:double,y:double>")
-    start = F.struct(F.slice(pts, 1, 1).alias("keys"), none.alias("r1"), F.element_at(pts, 2).alias("pj"))
-    lo, hi = min_tol * min_tol, max_tol * max_tol
+    low, high = min_tol * min_tol, max_tol * max_tol
 
-    def step(s: Column, p: Column) -> Column:
-        r0 = F.element_at(s["keys"], -1)
-        close = s["r1"].isNull() & (_d(dist2, r0, p) < lo)
-        r1 = F.coalesce(s["r1"], s["pj"])
-        inside = (_d(dist2, r0, p) < hi) & (_d(ray_dist2, r0, r1, p) < lo)
-        return F.when(close, F.struct(s["keys"].alias("keys"), s["r1"].alias("r1"), p.alias("pj"))).when(inside, F.struct(s["keys"].alias("keys"), r1.alias("r1"), p.alias("pj"))).otherwise(F.struct(F.concat(s["keys"], F.array(s["pj"])).alias("keys"), none.alias("r1"), p.alias("pj")))
+    def pick(p: list) -> list[int]:
+        if len(p) < 3 or min_tol * max_tol == 0:
+            return list(range(len(p)))
+        keys, ray = [0], None
+        for i in range(2, len(p)):
+            k = p[keys[-1]]
+            d = (p[i][0] - k[0]) ** 2 + (p[i][1] - k[1]) ** 2
+            if ray is None and d < low:
+                continue
+            ray = i - 1 if ray is None else ray
+            if not (d < high and _line(k, p[ray], p[i], 0.0) < low):
+                keys.append(i - 1)
+                ray = None
+        return [*keys, len(p) - 1]
 
-    kept = F.aggregate(F.slice(pts, 3, F.greatest(F.size(pts) - 2, F.lit(0))), start, step, lambda s: F.concat(s["keys"], F.array(s["pj"])))
-    return _rows(gathered(df.withColumn("ord", F.col("ord").cast("int"))), _copied(pts, kept, min_tol * max_tol))
+    return _per_key(df, pick)
 
 
 def douglas_peucker(df: DataFrame, tol: float, radial: bool = True) -> DataFrame:
     """Splits at the furthest point while it is further than the tolerance, after a radial pass with the same tolerance.
 
-    A round handles the open segments of all keys together: their points' distances, one greatest per segment, and a
-    split there.  Rounds grow with the depth of the splits, not with the number of keys.
+    Each point carries the ends of its segment.  A round takes one furthest point of every open segment of all keys, and
+    hands its points on to the two halves by an equi-join on the segment; points of closed segments drop out.
+    Rounds grow with the depth of the splits, not with the number of keys.
     """
+    if tol == 0:
+        return df.select("key", "ord", "x", "y")
     base = radial_distance(df, tol) if radial else df
     w = Window.partitionBy("key")
-    pts = written(base.withColumn("n", F.row_number().over(w.orderBy("ord"))).withColumn("m", F.count(F.lit(1)).over(w)), "points")
-    if tol == 0:
-        return pts.select("key", "ord", "x", "y")
-    small = pts.where("m < 3").select("key", "ord", "x", "y")
-    large = pts.where("m >= 3").drop("m")
-    keys = large.join(large.groupBy("key").agg(F.max("n").alias("last")), "key").where("n = 1 or n = last").select("key", "n")
-    open_ = written(large.groupBy("key").agg(F.lit(1).alias("a"), F.max("n").alias("b")).where("b > a + 1"), "open")
-    end = lambda side: large.select("key", F.col("n").alias(side), F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"))
-    while open_.limit(1).count():
-        seg = open_.join(end("a"), ["key", "a"]).join(end("b"), ["key", "b"])
-        inner = large.join(seg, "key").where("n > a and n < b")
-        c = F.col
+    n = F.row_number().over(w.orderBy("ord"))
+    c = F.col
+    pts = written(base.select("key", "ord", c("x").cast("double").alias("x"), c("y").cast("double").alias("y"), n.alias("n"), F.count(F.lit(1)).over(w).alias("m")), "points")
+    ends = lambda i, s: pts.where(i).select("key", c("n").alias(s), c("x").alias(f"{s}x"), c("y").alias(f"{s}y"))
+    kept = [pts.where("n = 1 or n = m").select("key", "ord", "x", "y")]
+    open_ = pts.where("n > 1 and n < m").drop("m").join(ends("n = 1", "a"), "key").join(ends("n = m", "b"), "key")
+    while True:
         d2 = segment_dist2(c("ax"), c("ay"), c("bx"), c("by"), c("x"), c("y"))
-        far = inner.groupBy("key", "a", "b").agg(F.max(F.struct(d2.alias("d2"), (-c("n")).alias("n"))).alias("f")).where(c("f.d2") > tol * tol).select("key", "a", "b", (-c("f.n")).alias("k"))
-        far = written(far, "far")
-        keys = keys.unionByName(far.select("key", c("k").alias("n")))
-        halves = far.select("key", "a", c("k").alias("b")).unionByName(far.select("key", c("k").alias("a"), "b"))
-        open_ = written(halves.where("b > a + 1"), "open")
-    return large.join(keys.distinct(), ["key", "n"]).select("key", "ord", "x", "y").unionByName(small)
+        far = open_.groupBy("key", "a", "b").agg(F.max(F.struct(d2.alias("d2"), (-c("n")).alias("n"), "x", "y")).alias("f")).where(c("f.d2") > tol * tol)
+        split = open_.join(far.select("key", "a", "b", (-c("f.n")).alias("k"), c("f.x").alias("kx"), c("f.y").alias("ky")), ["key", "a", "b"])
+        side = lambda s, first: F.when((c("n") < c("k")) == F.lit(first), c(f"{s}")).otherwise
+        halves = [side(f"a{e}", True)(c(f"k{e}")).alias(f"a{e}") for e in ("", "x", "y")] + [side(f"b{e}", False)(c(f"k{e}")).alias(f"b{e}") for e in ("", "x", "y")]
+        split = written(split.select("key", "ord", "x", "y", "n", *halves, (c("n") == c("k")).alias("top")), "split")
+        if not split.limit(1).count():
+            break
+        kept.append(split.where("top").select("key", "ord", "x", "y"))
+        open_ = split.where("not top").drop("top")
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _line(a, b, p, least: float | None = None) -> float:
+    """Squared distance to the line through a and b; with ``least`` 0, to the ray from a."""
+    vx, vy, wx, wy = b[0] - a[0], b[1] - a[1], p[0] - a[0], p[1] - a[1]
+    cv = vx * vx + vy * vy
+    t = (wx * vx + wy * vy) / cv if cv else 0.0
+    t = t if least is None else max(least, t)
+    return (wx - t * vx) ** 2 + (wy - t * vy) ** 2
 
 
 def _segment(a, b, p) -> float:
@@ -141,7 +165,8 @@ def _per_key(df: DataFrame, pick) -> DataFrame:
         rows = rows.sort_values("ord", kind="stable")
         return rows.iloc[pick(list(zip(rows["x"], rows["y"], strict=True)))]
 
-    return df.select("key", F.col("ord").cast("int").alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy("key").applyInPandas(run, "key bigint, ord int, x double, y double")
+    key = df.schema["key"].dataType.simpleString()
+    return df.select("key", F.col("ord").cast("int").alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy("key").applyInPandas(run, f"key {key}, ord int, x double, y double")
 
 
 def lang(df: DataFrame, tol: float, look_ahead: int) -> DataFrame:

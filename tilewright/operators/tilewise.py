@@ -47,24 +47,34 @@ def tile_flat_map(tiles: DataFrame, fn: Callable[[np.ndarray, int, int], pd.Data
 def with_halo(tiles: DataFrame, k: int, fill: float = 0.0) -> DataFrame:
     """Tiles widened by k samples of their neighbours on each side, so that filters have no seams; k up to a tile's size.
 
-    Each tile goes to itself and its eight neighbours; one group per tile has at most nine rows.
+    Each tile goes whole to itself, and to its eight neighbours only as the strip or corner of width k that they need;
+    one group per tile has at most nine rows.
     """
-    at = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    sent = tiles.select(*KEYS, "samples", at.alias("o")).withColumn("to_x", F.col("tile_x") + F.col("o.dx")).withColumn("to_y", F.col("tile_y") + F.col("o.dy")).select(*KEYS, "samples", "to_x", "to_y")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        mine = rows[(rows.tile_x == rows.to_x) & (rows.tile_y == rows.to_y)]
+    def strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                image, h, w = _image(r), r.tile_h, r.tile_w
+                for dy, ys in ((-1, slice(0, k)), (0, slice(0, h)), (1, slice(h - k, h))):
+                    for dx, xs in ((-1, slice(0, k)), (0, slice(0, w)), (1, slice(w - k, w))):
+                        part = image[ys, xs]
+                        # where it lies in the wide tile: before the neighbour's own samples if it comes from its left
+                        top, left = (0, k, h + k)[1 - dy], (0, k, w + k)[1 - dx]
+                        out.append((r.slide_id, r.level, r.tile_x + dx, r.tile_y + dy, w, h, r.n_channels, dx == 0 and dy == 0, top, left, part.shape[0], part.shape[1], part.ravel().astype(float)))
+            yield pd.DataFrame(out, columns=[*KEYS, "own", "top", "left", "rows", "columns", "samples"])
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = rows[rows["own"]]
         if mine.empty:
             return pd.DataFrame(columns=[*KEYS, "samples"])
-        m = next(mine.itertuples(index=False))
-        h, w, c = m.tile_h, m.tile_w, m.n_channels
-        wide = np.full((3 * h, 3 * w, c), fill)
+        m = mine.iloc[0]
+        wide = np.full((m.tile_h + 2 * k, m.tile_w + 2 * k, m.n_channels), fill)
         for r in rows.itertuples(index=False):
-            y, x = (r.tile_y - r.to_y + 1) * h, (r.tile_x - r.to_x + 1) * w
-            wide[y : y + h, x : x + w] = _image(r)
-        part = wide[h - k : 2 * h + k, w - k : 2 * w + k]
+            wide[r.top : r.top + r.rows, r.left : r.left + r.columns] = np.asarray(r.samples).reshape(r.rows, r.columns, r.n_channels)
         out = mine[KEYS].copy()
-        out["tile_w"], out["tile_h"], out["samples"] = w + 2 * k, h + 2 * k, [part.ravel()]
+        out["tile_w"], out["tile_h"], out["samples"] = m.tile_w + 2 * k, m.tile_h + 2 * k, [wide.ravel()]
         return out
 
-    return sent.groupBy("slide_id", "level", "to_x", "to_y").applyInPandas(run, TILE + ", samples array<double>")
+    sent = tiles.select(*KEYS, "samples").mapInPandas(strips, TILE + ", own boolean, top int, left int, rows int, columns int, samples array<double>")
+    return sent.groupBy("slide_id", "level", "tile_x", "tile_y").applyInPandas(join, TILE + ", samples array<double>")

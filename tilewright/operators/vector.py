@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..plans.iterate import written
+from ..plans.iterate import discard, written
 
 
 def edges(polygons: DataFrame, *keep: str) -> DataFrame:
@@ -17,76 +17,118 @@ def edges(polygons: DataFrame, *keep: str) -> DataFrame:
     return polygons.select("ann_id", *keep, F.posexplode(pairs).alias("i", "e")).select("ann_id", *keep, "i", "e.*")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, rule: str = "winding", exact: bool = False, cell: int = 64, shared: tuple[str, ...] = ()) -> DataFrame:
-    """(x, y, ann_id): points inside polygons.
+def _shared(a: DataFrame, b: DataFrame) -> tuple[str, ...]:
+    """Tables that both know their slide only meet inside it."""
+    return ("slide_id",) if "slide_id" in a.columns and "slide_id" in b.columns else ()
 
-    Polygons are cut into the cells that their boxes cover, points join by cell, so no pair is formed outside a
-    shared cell and a large polygon is spread over its cells.  Edge tests follow as a partial sum by (point, polygon).
-    The box is strict and side tests are truncated to integers unless ``exact``.
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, rule: str = "winding", exact: bool = False, cell: int = 64, shared: tuple[str, ...] | None = None) -> DataFrame:
+    """(.., x, y, ann_id): points inside polygons of the same slide, if both tables have slide_id (or the ``shared`` columns).
+
+    Boxes of polygons are cut into cells and points join by cell, so no pair is formed outside a shared cell and no
+    vertices travel with it.  Edges are cut by rows of cells; each pair meets the edges of its polygon in its row only,
+    and turns add up by (point, polygon) with partial sums.  With ``exact``, cells that no edge touches are settled
+    once for all their points.  The box is strict and side tests are truncated to integers unless ``exact``.
+    Equal points count once.
     """
-    boxed = polygons.withColumn("box", geom.bbox(F.col("coords"))).select("ann_id", *shared, "box", "coords")
+    shared = _shared(points, polygons) if shared is None else shared
+    names = points.columns
+    box = geom.bbox(F.col("coords"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    cells = boxed.withColumn("cx", F.explode(span("box.x0", "box.x1"))).withColumn("cy", F.explode(span("box.y0", "box.y1")))
-    keyed = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    inside = (F.col("x") > F.col("box.x0")) & (F.col("x") < F.col("box.x1")) & (F.col("y") > F.col("box.y0")) & (F.col("y") < F.col("box.y1"))
+    boxed = polygons.select("ann_id", *shared, box.alias("box")).select("ann_id", *shared, "box.*")
+    cells = boxed.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    e = edges(polygons, *shared)
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    by_row = e.where("ay <> by").withColumn("_cy", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    keyed = points.distinct().withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    px, py = F.col("x"), F.col("y")
+    inside = (px > F.col("x0")) & (px < F.col("x1")) & (py > F.col("y0")) & (py < F.col("y1"))
     if exact:
-        inside = (F.col("x") >= F.col("box.x0")) & (F.col("x") <= F.col("box.x1")) & (F.col("y") >= F.col("box.y0")) & (F.col("y") <= F.col("box.y1"))
-    near = keyed.join(cells, [*shared, "cx", "cy"]).where(inside)
-    c, px, py = F.col("coords"), F.col("x"), F.col("y")
-    after = F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, 1))
-
-    def side(a, b) -> Column:
-        cross = (b["x"] - a["x"]) * (py - a["y"]) - (px - a["x"]) * (b["y"] - a["y"])
-        return cross if exact else cross.cast("int")
-
-    def turn(a, b) -> Column:
-        return F.when((a["y"] <= py) & (b["y"] > py) & (side(a, b) > 0), 1).when((a["y"] > py) & (b["y"] <= py) & (side(a, b) < 0), -1).otherwise(0)
-
-    def crossing(a, b) -> Column:
-        at = a["x"] + (py - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) * (b["x"] - a["x"])
-        return F.when(((a["y"] <= py) & (b["y"] > py) | (a["y"] > py) & (b["y"] <= py)) & (px < at), 1).otherwise(0)
-
-    total = F.aggregate(F.zip_with(c, after, turn if rule == "winding" else crossing), F.lit(0), lambda s, v: s + v)
-    hit = total != 0 if rule == "winding" else total % 2 == 1
-    return near.where(hit).select(*points.columns, "ann_id")
-
-
-def named_labels(annotations: DataFrame, name_to_label: DataFrame | None) -> DataFrame:
-    """label of each annotation's group by name: unknown ones 0, and 1 for all without a map."""
+        inside = (px >= F.col("x0")) & (px <= F.col("x1")) & (py >= F.col("y0")) & (py <= F.col("y1"))
+    cross = (F.col("bx") - F.col("ax")) * (py - F.col("ay")) - (px - F.col("ax")) * (F.col("by") - F.col("ay"))
+    side = cross if exact else cross.cast("int")
+    up, down = (F.col("ay") <= py) & (F.col("by") > py), (F.col("ay") > py) & (F.col("by") <= py)
+    if rule == "winding":
+        turn = F.when(up & (side > 0), 1).when(down & (side < 0), -1).otherwise(0)
+        hit = F.col("_t") != 0
+    else:
+        at = F.col("ax") + (py - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+        turn = F.when((up | down) & (px < at), 1).otherwise(0)
+        hit = F.col("_t") % 2 == 1
+
+    def tested(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        return pairs.join(by_row, [*shared, "ann_id", "_cy"]).groupBy(*keys).agg(F.sum(turn).alias("_t")).where(hit).drop("_t")
+
+    if not exact:
+        near = keyed.join(cells, [*shared, "_cx", "_cy"]).where(inside).select(*names, "ann_id", "_cy")
+        return tested(near, [*names, "ann_id"])
+    # cells that an edge's box touches need a test for each point; the others are inside or outside as their centre is
+    spread = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
+    mixed = e.withColumn("_cx", spread("ax", "bx")).withColumn("_cy", spread("ay", "by")).select(*shared, "ann_id", "_cx", "_cy").distinct().withColumn("_mixed", F.lit(True))
+    cells = cells.join(mixed, [*shared, "ann_id", "_cx", "_cy"], "left")
+    centres = cells.where("_mixed is null").select(*shared, "ann_id", "_cx", "_cy", ((F.col("_cx") + 0.5) * cell).alias("x"), ((F.col("_cy") + 0.5) * cell).alias("y"))
+    whole = tested(centres, [*shared, "ann_id", "_cx", "_cy"])
+    near = keyed.join(cells.where("_mixed").drop("_mixed"), [*shared, "_cx", "_cy"]).where(inside).select(*names, "ann_id", "_cy")
+    return tested(near, [*names, "ann_id"]).unionByName(keyed.join(whole, [*shared, "_cx", "_cy"]).select(*names, "ann_id"))
+
+
+def named_labels(annotations: DataFrame, name_to_label: DataFrame | None, groups: DataFrame | None = None) -> DataFrame:
+    """Annotations with a label by name: unknown names 0, and 1 for all without a map (name, label).
+
+    On slides that have groups the name is the group's, and annotations without a group are left out; on others it is
+    the annotation's own.  Without a table of groups every slide counts as having some.
+    """
     if name_to_label is None:
         return annotations.withColumn("label", F.lit(1))
-    return annotations.join(name_to_label.select(F.col("name").alias("group_name"), F.col("label").alias("_label")), "group_name", "left").withColumn("label", F.coalesce("_label", F.lit(0))).drop("_label")
+    if groups is None:
+        known = annotations.withColumn("_grouped", F.lit(True))
+    else:
+        known = annotations.join(groups.select("slide_id").distinct().withColumn("_grouped", F.lit(True)), "slide_id", "left")
+    none = F.coalesce(F.col("group_name"), F.lit("None")) == "None"
+    known = known.where(F.col("_grouped").isNull() | ~none).withColumn("_name", F.when(F.col("_grouped"), F.col("group_name")).otherwise(F.col("name")) if "name" in annotations.columns else F.col("group_name"))
+    labels = name_to_label.select(F.col("name").alias("_name"), F.col("label").alias("_label"))
+    return known.join(labels, "_name", "left").select(*annotations.columns, F.coalesce("_label", F.lit(0)).alias("label"))
 
 
 def rasterize(points: DataFrame, polygons: DataFrame, order: DataFrame | None = None, exact: bool = False) -> DataFrame:
-    """(x, y, value): the greatest label that covers each point, or, with an ``order`` (label, pos), the one painted last.
+    """([slide_id,] x, y, value): the greatest label that covers each point, or, with an ``order`` (label, pos), the one painted last.
 
     In paint order polygons that are not listed are dropped and equal positions are painted by ann_id.
     """
-    inside = points_in_polygons(points, polygons, exact=exact).join(polygons.select("ann_id", "label"), "ann_id")
+    shared = _shared(points, polygons)
+    inside = points_in_polygons(points, polygons, exact=exact).join(polygons.select(*shared, "ann_id", "label"), [*shared, "ann_id"])
     if order is None:
-        return inside.groupBy("x", "y").agg(F.max("label").alias("value"))
-    return inside.join(order, "label").groupBy("x", "y").agg(F.max_by("label", F.struct("pos", "ann_id")).alias("value"))
+        return inside.groupBy(*shared, "x", "y").agg(F.max("label").alias("value"))
+    return inside.join(order, "label").groupBy(*shared, "x", "y").agg(F.max_by("label", F.struct("pos", "ann_id")).alias("value"))
 
 
 def closure(groups: DataFrame) -> DataFrame:
-    """(ancestor, name) for every group and all groups above it, itself included; doubling the reach each round."""
-    reach = written(groups.select(F.col("name"), F.col("name").alias("ancestor"), F.col("parent_name").alias("next")), "closure")
-    while reach.where("next is not null").limit(1).count():
-        done = reach.where("next is null")
-        up = groups.select(F.col("name").alias("next"), F.col("parent_name").alias("after"))
-        more = reach.where("next is not null")
-        step = more.join(up, "next").select("name", F.col("next").alias("ancestor"), F.col("after").alias("next"))
-        kept = more.withColumn("next", F.lit(None).cast("string"))
-        reach = written(done.unionByName(kept).unionByName(step).groupBy("name", "ancestor").agg(F.max("next").alias("next")), "closure")
-    return reach.select("ancestor", "name")
+    """([slide_id,] ancestor, name) for every group and all groups above it, itself included; names count inside a slide.
+
+    The reach doubles each round and ends when nothing is new, so a cycle of parents ends too: its groups are all
+    above each other.
+    """
+    keys = ["slide_id"] if "slide_id" in groups.columns else []
+    own = groups.select(*keys, "name", F.col("name").alias("ancestor")).distinct()
+    up = groups.where("parent_name is not null").select(*keys, "name", F.col("parent_name").alias("ancestor"))
+    reach = written(up.join(own.select(*keys, "ancestor"), [*keys, "ancestor"], "left_semi").unionByName(own).distinct(), "closure")
+    size = reach.count()
+    while True:
+        further = reach.select(*keys, F.col("name").alias("ancestor"), F.col("ancestor").alias("_top"))
+        more = written(reach.join(further, [*keys, "ancestor"]).select(*keys, "name", F.col("_top").alias("ancestor")).distinct(), "closure")
+        before, size = size, more.count()
+        discard(reach)
+        reach = more
+        if size == before:
+            return reach.select(*keys, "ancestor", "name")
 
 
 def group_rollup(annotations: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per group, over members and nested groups: area, n_points, box and centre."""
-    own = annotations.select("group_name", geom.area(F.col("coords")).alias("area"), geom.n_points(F.col("coords")).alias("n"), geom.bbox(F.col("coords")).alias("b"))
-    part = own.groupBy("group_name").agg(F.sum("area").alias("area"), F.sum("n").alias("n"), F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"))
-    up = closure(groups).join(part.withColumnRenamed("group_name", "name"), "name").groupBy(F.col("ancestor").alias("name"))
+    """Per group (of a slide), over members and nested groups: area, n_points, box and centre."""
+    keys = list(_shared(annotations, groups))
+    own = annotations.select(*keys, "group_name", geom.area(F.col("coords")).alias("area"), geom.n_points(F.col("coords")).alias("n"), geom.bbox(F.col("coords")).alias("b"))
+    part = own.groupBy(*keys, "group_name").agg(F.sum("area").alias("area"), F.sum("n").alias("n"), F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"))
+    up = closure(groups).join(part.withColumnRenamed("group_name", "name"), [*keys, "name"]).groupBy(*keys, F.col("ancestor").alias("name"))
     out = up.agg(F.sum("area").alias("area"), F.sum("n").alias("n_points"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return out.withColumn("center_x", (F.col("x0") + F.col("x1")) / 2).withColumn("center_y", (F.col("y0") + F.col("y1")) / 2)
 
@@ -100,9 +142,10 @@ def accepted_files(annotations: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def drop_groups(annotations: DataFrame, groups: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables without the named groups, the groups below them and all their members."""
-    gone = closure(groups).join(names.select(F.col("name").alias("ancestor")), "ancestor").select("name").distinct()
-    return annotations.join(gone.withColumnRenamed("name", "group_name"), "group_name", "left_anti"), groups.join(gone, "name", "left_anti")
+    """Both tables without the named groups (of a slide), the groups below them and all their members."""
+    keys = list(_shared(annotations, groups))
+    gone = closure(groups).join(names.select(*(k for k in keys if k in names.columns), F.col("name").alias("ancestor")).distinct(), [*(k for k in keys if k in names.columns), "ancestor"]).select(*keys, "name").distinct()
+    return annotations.join(gone.withColumnRenamed("name", "group_name"), [*keys, "group_name"], "left_anti").select(*annotations.columns), groups.join(gone, [*keys, "name"], "left_anti").select(*groups.columns)
 
 
 def move_members(annotations: DataFrame, moves: DataFrame) -> DataFrame:
@@ -123,11 +166,16 @@ def by_name(annotations: DataFrame, name: str) -> DataFrame:
 
 
 def by_index(annotations: DataFrame, index: int) -> DataFrame:
-    """The annotation at a place of each slide's list; a negative one counts from the end."""
+    """The annotation at a place of each slide's list; a negative one counts from the end.  Works on groups with ``ord`` as well."""
     w = Window.partitionBy("slide_id").orderBy(F.asc("ord") if index >= 0 else F.desc("ord"))
     return annotations.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == (index + 1 if index >= 0 else -index)).drop("_r")
 
 
+def without(annotations: DataFrame, found: DataFrame) -> DataFrame:
+    """The list without the rows that :func:`by_name` or :func:`by_index` found."""
+    return annotations.join(found.select("slide_id", "ord"), ["slide_id", "ord"], "left_anti").select(*annotations.columns)
+
+
 def nearest_shape(points: DataFrame, polygons: DataFrame, tolerance: float) -> DataFrame:
     """Per point (point_id, x, y): the nearest vertex, else the nearest edge, within the tolerance.
 
@@ -191,12 +239,25 @@ def stitch_regions(regions: DataFrame, closing_distance: float = 30.0) -> DataFr
     return regions.select("file", "group_name", "ord", "name", "coords").groupBy("file", "group_name").applyInPandas(run, "file string, group_name string, ord int, name string, coords array<struct<ord:int,x:double,y:double>>")
 
 
-def flatten_spline(coords: DataFrame, key: str = "ann_id", steps: int = 10) -> DataFrame:
-    """Points along closed centripetal splines: (key, segment, t, x, y); four neighbouring vertices make each segment."""
+def flatten_spline(coords: DataFrame, key: str = "ann_id", steps: int = 10, closed: bool = True) -> DataFrame:
+    """Points along centripetal splines: (key, segment, t, x, y); four neighbouring vertices make each segment.
+
+    A closed spline wraps around; an open one goes on beyond its ends as its first and last segments do.
+    """
     c = F.col("coords")
     n = F.size(c)
-    at = lambda k: F.element_at(c, (F.pmod(F.col("i") + k, n) + 1).cast("int"))
-    seg = coords.where(n >= 3).select(key, "coords", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(key, "i", at(-1).alias("p0"), at(0).alias("p1"), at(1).alias("p2"), at(2).alias("p3"))
+    wrapped = lambda k: F.element_at(c, (F.pmod(F.col("i") + k, n) + 1).cast("int"))
+    if closed:
+        rows = coords.where(n >= 3).select(key, "coords", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+        seg = rows.select(key, "i", *(wrapped(k).alias(f"p{k + 1}") for k in (-1, 0, 1, 2)))
+    else:
+        rows = coords.where(n >= 2).select(key, "coords", F.explode(F.sequence(F.lit(0), n - 2)).alias("i"))
+        p1, p2 = wrapped(0), wrapped(1)
+        beyond = lambda a, b: F.struct((2 * a["x"] - b["x"]).alias("x"), (2 * a["y"] - b["y"]).alias("y"))
+        plain = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
+        p0 = F.when(F.col("i") == 0, beyond(p1, p2)).otherwise(plain(wrapped(-1)))
+        p3 = F.when(F.col("i") == n - 2, beyond(p2, p1)).otherwise(plain(wrapped(2)))
+        seg = rows.select(key, "i", p0.alias("p0"), plain(p1).alias("p1"), plain(p2).alias("p2"), p3.alias("p3"))
     seg = seg.withColumn("b", geom.bezier_controls(F.col("p0"), F.col("p1"), F.col("p2"), F.col("p3"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("t", F.col("k") / steps)
     t, u = F.col("t"), 1 - F.col("t")
     cubic = lambda k: u * u * u * F.col(f"p1.{k}") + 3 * u * u * t * F.col(f"b.{k}1") + 3 * u * t * t * F.col(f"b.{k}2") + t * t * t * F.col(f"p2.{k}")

@@ -10,21 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SIDE = 128
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Width and height of the grids: they grow with lineitem, at some four rows a cell."""
+    return max(16, int((table(spark, sf_dir, "lineitem").count() / 4) ** 0.5))
+
+
+SIDE = "(SELECT greatest(16, CAST(floor(sqrt(count(*) / 4.0)) AS BIGINT)) FROM lineitem)"
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse monochrome slides: (slide_id, x, y, value)."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("slide_id"), (F.col("l_orderkey") % SIDE).alias("x"), (F.col("l_partkey") % SIDE).alias("y")).agg(F.count(F.lit(1)).alias("value"))
+    li, n = table(spark, sf_dir, "lineitem"), side(spark, sf_dir)
+    return li.groupBy(F.col("l_returnflag").alias("slide_id"), (F.col("l_orderkey") % n).alias("x"), (F.col("l_partkey") % n).alias("y")).agg(F.count(F.lit(1)).alias("value"))
 
 
 GRID = f"SELECT l_returnflag AS slide_id, l_orderkey % {SIDE} AS x, l_partkey % {SIDE} AS y, count(*) AS value FROM lineitem GROUP BY 1, 2, 3"
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_returnflag").alias("slide_id"), (F.col("l_orderkey") % SIDE).alias("x"), (F.col("l_partkey") % SIDE).alias("y"), F.col("l_linenumber").alias("value"))
+    li, n = table(spark, sf_dir, "lineitem"), side(spark, sf_dir)
+    return li.select(F.col("l_returnflag").alias("slide_id"), (F.col("l_orderkey") % n).alias("x"), (F.col("l_partkey") % n).alias("y"), F.col("l_linenumber").alias("value"))
 
 
 LABELLED = f"SELECT l_returnflag AS slide_id, l_orderkey % {SIDE} AS x, l_partkey % {SIDE} AS y, l_linenumber AS value FROM lineitem"
@@ -47,24 +52,36 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOSAIC = "SELECT 'm' AS slide_id, vec_id % 25 * 8 + i % 8 AS x, vec_id // 25 * 8 + i // 8 AS y, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, range(64) t(i)"
 
 
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides of two levels and two channels in 4 x 8 tiles; the second level is sparse and negative."""
+    e = table(spark, sf_dir, "embeddings")
+    at = e.select(F.concat(F.lit("s"), (F.col("label") % 2).cast("string")).alias("slide_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("level"), "vec_id", "embedding").where("level = 0 or vec_id % 4 = 0")
+    samples = F.transform("embedding", lambda v: v.cast("double") * (1 - 2 * F.col("level")))
+    return at.select("slide_id", "level", (F.col("vec_id") % 25).alias("tile_x"), F.expr("vec_id div 25").alias("tile_y"), F.lit(4).alias("tile_w"), F.lit(8).alias("tile_h"), F.lit(2).alias("n_channels"), samples.alias("samples"))
+
+
+LAYERS = "SELECT 's' || (label % 2) AS slide_id, CAST(l.i AS INT) AS level, vec_id % 25 * 4 + t.i // 2 % 4 AS x, vec_id // 25 * 8 + t.i // 8 AS y, t.i % 2 AS c, CAST(embedding[t.i + 1] AS DOUBLE) * (1 - 2 * l.i) AS value FROM embeddings, range(64) t(i), range(2) l(i) WHERE l.i = 0 OR vec_id % 4 = 0"
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quads of suppliers: key, group, label, centre and half sizes."""
-    s = table(spark, sf_dir, "supplier")
-    return s.select(F.col("s_suppkey").alias("ann_id"), F.col("s_nationkey").cast("bigint").alias("nation"), (F.col("s_nationkey") + 1).cast("bigint").alias("label"), (F.col("s_suppkey") * 37 % SIDE).alias("cx"), (F.col("s_suppkey") * 53 % SIDE).alias("cy"), (3 + F.col("s_nationkey") % 9).cast("bigint").alias("hx"), (3 + F.col("s_suppkey") % 7).alias("hy"))
+    s, n = table(spark, sf_dir, "supplier"), side(spark, sf_dir)
+    slide = F.element_at(F.array(*(F.lit(x) for x in "ANR")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return s.select(slide.alias("slide_id"), F.col("s_suppkey").alias("ann_id"), F.col("s_nationkey").cast("bigint").alias("nation"), (F.col("s_nationkey") + 1).cast("bigint").alias("label"), (F.col("s_suppkey") * 37 % n).alias("cx"), (F.col("s_suppkey") * 53 % n).alias("cy"), (3 + F.col("s_nationkey") % 9).cast("bigint").alias("hx"), (3 + F.col("s_suppkey") % 7).alias("hy"))
 
 
-BOXES = f"SELECT s_suppkey AS ann_id, CAST(s_nationkey AS BIGINT) AS nation, CAST(s_nationkey + 1 AS BIGINT) AS label, s_suppkey * 37 % {SIDE} AS cx, s_suppkey * 53 % {SIDE} AS cy, CAST(3 + s_nationkey % 9 AS BIGINT) AS hx, 3 + s_suppkey % 7 AS hy FROM supplier"
+BOXES = f"SELECT substr('ANR', CAST(s_suppkey % 3 + 1 AS INT), 1) AS slide_id, s_suppkey AS ann_id, CAST(s_nationkey AS BIGINT) AS nation, CAST(s_nationkey + 1 AS BIGINT) AS label, s_suppkey * 37 % {SIDE} AS cx, s_suppkey * 53 % {SIDE} AS cy, CAST(3 + s_nationkey % 9 AS BIGINT) AS hx, 3 + s_suppkey % 7 AS hy FROM supplier"
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ann_id, label, nation, coords): clockwise quads."""
+    """(slide_id, ann_id, label, nation, coords): clockwise quads, dealt to the slides of the grid."""
     p = lambda x, y, i: F.struct(F.lit(i).alias("ord"), x.cast("double").alias("x"), y.cast("double").alias("y"))
     c = F.col
     ring = F.array(p(c("cx") - c("hx"), c("cy") - c("hy"), 0), p(c("cx") + c("hx"), c("cy") - c("hy"), 1), p(c("cx") + c("hx") + 2, c("cy") + c("hy"), 2), p(c("cx") - c("hx"), c("cy") + c("hy"), 3))
-    return boxes(spark, sf_dir).select("ann_id", "nation", "label", ring.alias("coords"))
+    return boxes(spark, sf_dir).select("slide_id", "ann_id", "nation", "label", ring.alias("coords"))
 
 
-CORNERS = f"SELECT ann_id, nation, label, 0 AS ord, cx - hx AS x, cy - hy AS y FROM ({BOXES}) UNION ALL SELECT ann_id, nation, label, 1, cx + hx, cy - hy FROM ({BOXES}) UNION ALL SELECT ann_id, nation, label, 2, cx + hx + 2, cy + hy FROM ({BOXES}) UNION ALL SELECT ann_id, nation, label, 3, cx - hx, cy + hy FROM ({BOXES})"
+CORNERS = f"SELECT slide_id, ann_id, nation, label, 0 AS ord, cx - hx AS x, cy - hy AS y FROM ({BOXES}) UNION ALL SELECT slide_id, ann_id, nation, label, 1, cx + hx, cy - hy FROM ({BOXES}) UNION ALL SELECT slide_id, ann_id, nation, label, 2, cx + hx + 2, cy + hy FROM ({BOXES}) UNION ALL SELECT slide_id, ann_id, nation, label, 3, cx - hx, cy + hy FROM ({BOXES})"
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

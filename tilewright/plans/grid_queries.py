@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import morph, overlay, raster, tilewise
 from . import fixtures as fx
-from .fixtures import GRID, LABELLED, MOSAIC, SIDE
+from .fixtures import GRID, LABELLED, LAYERS, MOSAIC, SIDE
 
 B = "bigint"
 
@@ -63,10 +63,10 @@ def q_component_stats(s, d):
 
 
 REACH = f"""WITH RECURSIVE g AS (SELECT slide_id, x, y FROM ({GRID}) WHERE value > 1.5),
-e AS (SELECT a.slide_id, a.y * 1000 + a.x AS u, b.y * 1000 + b.x AS v FROM g a JOIN g b ON a.slide_id = b.slide_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
-r(slide_id, u, c) AS (SELECT slide_id, y * 1000 + x, y * 1000 + x FROM g UNION SELECT e.slide_id, e.v, r.c FROM r JOIN e ON e.slide_id = r.slide_id AND e.u = r.u WHERE r.c < e.v),
+e AS (SELECT a.slide_id, a.y * 1000000 + a.x AS u, b.y * 1000000 + b.x AS v FROM g a JOIN g b ON a.slide_id = b.slide_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+r(slide_id, u, c) AS (SELECT slide_id, y * 1000000 + x, y * 1000000 + x FROM g UNION SELECT e.slide_id, e.v, r.c FROM r JOIN e ON e.slide_id = r.slide_id AND e.u = r.u WHERE r.c < e.v),
 m AS (SELECT slide_id, u, min(c) AS c FROM r GROUP BY 1, 2),
-n AS (SELECT slide_id, u % 1000 AS x, u // 1000 AS y, dense_rank() OVER (PARTITION BY slide_id ORDER BY c) AS label FROM m)"""
+n AS (SELECT slide_id, u % 1000000 AS x, u // 1000000 AS y, dense_rank() OVER (PARTITION BY slide_id ORDER BY c) AS label FROM m)"""
 
 
 def q_components_8(s, d):
@@ -76,16 +76,18 @@ def q_components_8(s, d):
 
 def q_distance(s, d):
     src = fx.grid(s, d).where("value >= 4")
-    return morph.distance_transform(src, SIDE, SIDE).select("slide_id", "x", "y", F.col("d").cast(B).alias("d"))
+    n = fx.side(s, d)
+    return morph.distance_transform(src, n, n).select("slide_id", "x", "y", F.col("d").cast(B).alias("d"))
 
 
 def q_distance_within(s, d):
     src = fx.grid(s, d).where("value >= 4")
-    return morph.within(morph.distance_transform(src, SIDE, SIDE), 3).groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"))
+    n = fx.side(s, d)
+    return morph.within(morph.distance_transform(src, n, n), 3).groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-DISTANCE = f"""WITH s AS (SELECT slide_id, x, y FROM ({GRID}) WHERE value >= 4), g AS (SELECT t.slide_id, a.i AS x, b.i AS y FROM (SELECT DISTINCT slide_id FROM s) t, range({SIDE}) a(i), range({SIDE}) b(i))
-SELECT g.slide_id, g.x, g.y, CAST(least(min(abs(g.x - s.x) + abs(g.y - s.y)), {SIDE + SIDE // 2 + 1}) AS BIGINT) AS d FROM g JOIN s ON g.slide_id = s.slide_id GROUP BY 1, 2, 3"""
+DISTANCE = f"""WITH s AS (SELECT slide_id, x, y FROM ({GRID}) WHERE value >= 4), g AS (SELECT t.slide_id, a.i AS x, b.i AS y FROM (SELECT DISTINCT slide_id FROM s) t, (SELECT unnest(range({SIDE})) AS i) a, (SELECT unnest(range({SIDE})) AS i) b)
+SELECT g.slide_id, g.x, g.y, CAST(least(min(abs(g.x - s.x) + abs(g.y - s.y)), {SIDE} + {SIDE} // 2 + 1) AS BIGINT) AS d FROM g JOIN s ON g.slide_id = s.slide_id GROUP BY 1, 2, 3"""
 
 
 def q_runs(s, d):
@@ -119,8 +121,11 @@ def q_pyramid(s, d):
     return raster.build_pyramid(px, *_size(fx.tiles(s, d)), 2, 3, integer=True).select("slide_id", F.col("level").cast(B).alias("level"), F.col("x").cast(B).alias("x"), F.col("y").cast(B).alias("y"), F.col("value").cast(B).alias("value"))
 
 
+HIGH = "(SELECT (max(vec_id) // 25 + 1) * 8 FROM embeddings)"
+
+
 def _down(src, n):
-    return f"SELECT slide_id, {n} AS level, x // 2 AS x, y // 2 AS y, CAST(trunc(avg(value)) AS BIGINT) AS value FROM ({src}) WHERE x // 2 < {200 // 2**n} AND y // 2 < {160 // 2**n} GROUP BY 1, 3, 4"
+    return f"SELECT slide_id, {n} AS level, x // 2 AS x, y // 2 AS y, CAST(trunc(avg(value)) AS BIGINT) AS value FROM ({src}) WHERE x // 2 < {200 // 2**n} AND y // 2 < {HIGH} // {2**n} GROUP BY 1, 3, 4"
 
 
 L0 = f"SELECT slide_id, 0 AS level, x, y, CAST(floor(value * 1000) AS BIGINT) AS value FROM ({MOSAIC})"
@@ -148,6 +153,63 @@ def q_patches(s, d):
     return got.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.max("value"), 6).alias("top"))
 
 
+def _asked(s, d):
+    r = _requests(s, d)
+    return r.select("request", F.concat(F.lit("s"), (F.col("request") % 2).cast("string")).alias("slide_id"), (F.col("request") % 3 % 2).cast("int").alias("level"), (F.col("x0") % 97).alias("x0"), "y0", "w", "h")
+
+
+ASKED = f"SELECT request, 's' || (request % 2) AS slide_id, request % 3 % 2 AS level, x0 % 97 AS x0, y0, w, h FROM ({REQUESTS})"
+
+
+def q_patches_layers(s, d):
+    got = raster.extract_patches(fx.layers(s, d), _asked(s, d), 4, 8)
+    return got.groupBy("request", F.col("c").cast(B).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def q_patch_arrays(s, d):
+    got = raster.patch_arrays(fx.layers(s, d), _asked(s, d), 4, 8, fill=255.0)
+    return got.select("request", F.size("samples").cast(B).alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 5).alias("total"), F.round(F.aggregate(F.transform("samples", lambda v, i: v * i), F.lit(0.0), lambda t, v: t + v), 4).alias("placed"))
+
+
+PATCH_ARRAYS = f"WITH l AS ({LAYERS}), r AS ({ASKED}), k AS (SELECT DISTINCT slide_id, level FROM l), e AS (SELECT r.request, r.w, r.x0, r.y0, r.slide_id, r.level, r.x0 + t.i % r.w AS x, r.y0 + t.i // r.w AS y, c.i AS c FROM r JOIN k USING (slide_id, level), range(200) t(i), range(2) c(i) WHERE t.i < r.w * r.h) SELECT request, count(*) AS n, round(sum(coalesce(value, 255)), 5) AS total, round(sum(coalesce(value, 255) * (((e.y - e.y0) * e.w + e.x - e.x0) * 2 + e.c)), 4) AS placed FROM e LEFT JOIN l ON l.slide_id = e.slide_id AND l.level = e.level AND l.x = e.x AND l.y = e.y AND l.c = e.c GROUP BY 1"
+
+
+def q_patches_spacing(s, d):
+    t = fx.layers(s, d)
+    slides = t.select("slide_id").distinct().withColumn("spacing_x", F.lit(0.25)).withColumn("spacing_y", F.lit(0.5))
+    levels = t.select("slide_id", "level").distinct().withColumn("downsample", F.pow(F.lit(2.0), F.col("level")))
+    got = raster.patches_with_spacing(t, _asked(s, d), levels, slides, 4, 8)
+    return got.groupBy("request", F.col("c").cast(B).alias("c"), "spacing_x", "spacing_y", F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+IN_ASKED = f"FROM ({ASKED}) r JOIN ({LAYERS}) l ON l.slide_id = r.slide_id AND l.level = r.level AND l.x >= x0 AND l.x < x0 + w AND l.y >= y0 AND l.y < y0 + h"
+SPACED = f"WITH m AS (SELECT slide_id, c, min(value) AS lo, max(value) AS hi FROM ({LAYERS}) WHERE level = 0 GROUP BY 1, 2) SELECT request, l.c, 0.25::DOUBLE * pow(2, r.level) AS spacing_x, 0.5::DOUBLE * pow(2, r.level) AS spacing_y, round(lo, 6) AS min_value, round(hi, 6) AS max_value, count(*) AS n {IN_ASKED} JOIN m ON m.slide_id = l.slide_id AND m.c = l.c GROUP BY ALL"
+
+
+def q_retile_layers(s, d):
+    t = raster.retile(fx.layers(s, d), 16)
+    odd = F.filter("samples", lambda v, i: i % 2 == 1)
+    return t.select("slide_id", F.col("level").cast(B).alias("level"), "tile_x", "tile_y", F.col("n_channels").cast(B).alias("n_channels"), F.size("samples").cast(B).alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 5).alias("total"), F.round(F.aggregate(odd, F.lit(0.0), lambda a, v: a + v), 5).alias("second"))
+
+
+def q_store_levels(s, d):
+    out = raster.levels_of(fx.layers(s, d)).join(raster.channel_extremes(fx.layers(s, d)), "slide_id")
+    return out.select("slide_id", F.col("level").cast(B).alias("level"), F.col("width").cast(B).alias("width"), F.col("height").cast(B).alias("height"), F.round("downsample", 6).alias("downsample"), F.col("c").cast(B).alias("c"), F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value"))
+
+
+STORE = f"WITH l AS ({LAYERS}), z AS (SELECT slide_id, level, (max(x) // 4 + 1) * 4 AS width, (max(y) // 8 + 1) * 8 AS height FROM l GROUP BY 1, 2), m AS (SELECT slide_id, c, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value FROM l WHERE level = 0 GROUP BY 1, 2) SELECT z.slide_id, CAST(z.level AS BIGINT) AS level, z.width, z.height, round(b.width / CAST(z.width AS DOUBLE), 6) AS downsample, c, min_value, max_value FROM z JOIN z b ON b.slide_id = z.slide_id AND b.level = 0 JOIN m ON m.slide_id = z.slide_id"
+
+
+def q_samples(s, d):
+    t = fx.tiles(s, d).withColumn("samples", F.transform("samples", lambda v: v.cast("double")))
+    two = t.withColumn("tile_w", F.lit(4)).withColumn("n_channels", F.lit(2))
+    at = lambda c: raster.sample_at(F.col("samples"), F.lit(2), F.lit(3), F.lit(c), F.col("tile_w"), F.col("n_channels"))
+    changed = raster.with_sample(F.col("samples"), F.lit(5), F.lit(7.0))
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda x, v: x + v), 5)
+    blank = raster.filled(two, 2.5).select("tile_x", "tile_y", total(F.col("samples")).alias("filled"))
+    return two.select("tile_x", "tile_y", F.round((at(0) + at(1)) / 2, 6).alias("mean"), total(changed).alias("changed"), F.round(raster.physical_area(F.abs(at(0)), F.lit(0.5), F.lit(0.25)), 6).alias("um2")).join(blank, ["tile_x", "tile_y"])
+
+
 def q_coverage(s, d):
     t = fx.tiles(s, d).where("tile_x % 5 <> 3")
     levels = fx.tiles(s, d).select("slide_id", "level").distinct().withColumn("width", F.lit(205)).withColumn("height", F.lit(161))
@@ -193,16 +255,35 @@ def q_sobel(s, d):
     return morph.sobel(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), width, height).select("slide_id", "x", "y", _unsigned_zero(F.round("gx", 5)).alias("gx"), _unsigned_zero(F.round("gy", 5)).alias("gy"))
 
 
-CLAMP = f"WITH m AS (SELECT x, y, floor(round(value, 6) * 1000) AS v FROM ({MOSAIC}) WHERE x < 200 AND y < 160), o AS (SELECT m.x, m.y, dx.i AS dx, dy.i AS dy, n.v FROM m, range(-1, 2) dx(i), range(-1, 2) dy(i), m n WHERE n.x = greatest(0, least(199, m.x + dx.i)) AND n.y = greatest(0, least(159, m.y + dy.i)))"
+CELLS = f"SELECT a.i AS x, b.i AS y, floor(round(coalesce(m.value, 0), 6) * 1000) AS v FROM (SELECT unnest(range(200)) AS i) a, (SELECT unnest(range({HIGH})) AS i) b LEFT JOIN ({MOSAIC}) m ON m.x = a.i AND m.y = b.i"
+CLAMP = f"WITH m AS MATERIALIZED ({CELLS}), o AS (SELECT m.x, m.y, dx.i AS dx, dy.i AS dy, n.v FROM m, range(-1, 2) dx(i), range(-1, 2) dy(i), m n WHERE n.x = greatest(0, least(199, m.x + dx.i)) AND n.y = greatest(0, least({HIGH} - 1, m.y + dy.i)))"
 SOBEL = CLAMP + " SELECT 'm' AS slide_id, x, y, CASE WHEN gx = 0 THEN 0.0::DOUBLE ELSE gx END AS gx, CASE WHEN gy = 0 THEN 0.0::DOUBLE ELSE gy END AS gy FROM (SELECT x, y, round(sum(v * dx * (2 - abs(dy))), 5) AS gx, round(sum(v * dy * (2 - abs(dx))), 5) AS gy FROM o GROUP BY x, y)"
 
 
+def q_gradients(s, d):
+    px, width, height = _dense(s, d)
+    g = morph.gradients(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), width, height)
+    return g.select("slide_id", "x", "y", F.round("mag", 5).alias("mag"), _unsigned_zero(F.round("ux", 5)).alias("ux"), _unsigned_zero(F.round("uy", 5)).alias("uy"))
+
+
+GRADIENTS = f"SELECT slide_id, x, y, round(sqrt(gx * gx + gy * gy), 5) AS mag, CASE WHEN gx = 0 THEN 0.0::DOUBLE ELSE round(gx / sqrt(gx * gx + gy * gy), 5) END AS ux, CASE WHEN gy = 0 THEN 0.0::DOUBLE ELSE round(gy / sqrt(gx * gx + gy * gy), 5) END AS uy FROM ({SOBEL})"
+
+
+def q_blur(s, d):
+    px, width, height = _dense(s, d)
+    b = morph.blur(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), 3.0, width, height)
+    return b.select("slide_id", "x", "y", _unsigned_zero(F.round("value", 5)).alias("value"))
+
+
+BLUR = CLAMP + " SELECT 'm' AS slide_id, x, y, CASE WHEN round(s, 5) = 0 THEN 0.0::DOUBLE ELSE round(s, 5) END AS value FROM (SELECT x, y, sum(v * exp(-(dx * dx + dy * dy) / 1.125)) / pow(1 + 2 * exp(-1 / 1.125), 2) AS s FROM o GROUP BY x, y)"
+
+
 def q_vote(s, d):
     g = fx.grid(s, d).select("slide_id", "x", "y", (F.col("x") % 3 - 1).cast("double").alias("ux"), (F.col("y") % 3 - 1).cast("double").alias("uy"))
-    return _whole(morph.votes(g, 2.0, SIDE, SIDE), "slide_id", "x", "y", "n")
+    return _whole(morph.votes(g, 2.0, fx.side(s, d), fx.side(s, d)), "slide_id", "x", "y", "n")
 
 
-VOTE = f"SELECT slide_id, greatest(0, least({SIDE - 1}, x + 2 * (x % 3 - 1))) AS x, greatest(0, least({SIDE - 1}, y + 2 * (y % 3 - 1))) AS y, count(*) AS n FROM ({GRID}) GROUP BY 1, 2, 3"
+VOTE = f"SELECT slide_id, greatest(0, least({SIDE} - 1, x + 2 * (x % 3 - 1))) AS x, greatest(0, least({SIDE} - 1, y + 2 * (y % 3 - 1))) AS y, count(*) AS n FROM ({GRID}) GROUP BY 1, 2, 3"
 
 
 def q_symmetry(s, d):
@@ -216,7 +297,15 @@ def q_hmax(s, d):
 
 
 def q_boundary(s, d):
-    return _whole(morph.outer_boundary(fx.grid(s, d).where("value > 2").withColumn("value", F.lit(1)), SIDE, SIDE), "slide_id", "x", "y", "label")
+    n = fx.side(s, d)
+    return _whole(morph.outer_boundary(fx.grid(s, d).where("value > 2").withColumn("value", F.lit(1)), n, n), "slide_id", "x", "y", "label")
+
+
+BOUNDARY = REACH.replace("value > 1.5", "value > 2").replace("abs(a.x - b.x) + abs(a.y - b.y) = 1", "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)") + f""",
+f AS (SELECT t.slide_id, a.i AS x, b.i AS y FROM (SELECT DISTINCT slide_id FROM g) t, (SELECT unnest(range(-1, {SIDE} + 1)) AS i) a, (SELECT unnest(range(-1, {SIDE} + 1)) AS i) b),
+w AS (SELECT f.* FROM f ANTI JOIN g USING (slide_id, x, y)),
+o(slide_id, x, y) AS (SELECT DISTINCT slide_id, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM g UNION SELECT w.slide_id, w.x, w.y FROM o, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy), w WHERE w.slide_id = o.slide_id AND w.x = o.x + v.dx AND w.y = o.y + v.dy)
+SELECT DISTINCT n.slide_id, n.x, n.y, n.label FROM n JOIN o ON o.slide_id = n.slide_id AND abs(o.x - n.x) + abs(o.y - n.y) = 1"""
 
 
 def q_nuclei(s, d):
@@ -273,6 +362,14 @@ QUERIES = {
     "q_pyramid": (q_pyramid, PYRAMID),
     "q_region": (q_region, REGION),
     "q_patches": (q_patches, f"SELECT request, count(*) AS n, round(sum(value), 6) AS total, round(max(value), 6) AS top FROM ({REQUESTS}) r JOIN ({MOSAIC}) m ON m.x >= x0 AND m.x < x0 + w AND m.y >= y0 AND m.y < y0 + h GROUP BY 1"),
+    "q_patches_layers": (q_patches_layers, f"SELECT request, l.c, count(*) AS n, round(sum(value), 6) AS total {IN_ASKED} GROUP BY 1, 2"),
+    "q_patch_arrays": (q_patch_arrays, PATCH_ARRAYS),
+    "q_patches_spacing": (q_patches_spacing, SPACED),
+    "q_retile_layers": (q_retile_layers, f"SELECT slide_id, CAST(level AS BIGINT) AS level, x // 16 AS tile_x, y // 16 AS tile_y, CAST(2 AS BIGINT) AS n_channels, CAST(512 AS BIGINT) AS n, round(sum(value), 5) AS total, round(sum(CASE WHEN c = 1 THEN value ELSE 0 END), 5) AS second FROM ({LAYERS}) GROUP BY 1, 2, 3, 4"),
+    "q_store_levels": (q_store_levels, STORE),
+    "q_samples": (q_samples, "SELECT vec_id % 25 AS tile_x, vec_id // 25 AS tile_y, round((CAST(embedding[29] AS DOUBLE) + CAST(embedding[30] AS DOUBLE)) / 2, 6) AS mean, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) - CAST(embedding[6] AS DOUBLE) + 7, 5) AS changed, round(abs(CAST(embedding[29] AS DOUBLE)) * 0.125, 6) AS um2, 160.0::DOUBLE AS filled FROM embeddings"),
+    "q_gradients": (q_gradients, GRADIENTS),
+    "q_blur": (q_blur, BLUR),
     "q_coverage": (q_coverage, "SELECT 'm' AS slide_id, CAST(0 AS BIGINT) AS level, CAST(26 * 21 AS BIGINT) AS expected, count(*) AS present FROM embeddings WHERE vec_id % 25 % 5 <> 3"),
     "q_retile": (q_retile, f"SELECT x // 16 AS tile_x, y // 16 AS tile_y, CAST(256 AS BIGINT) AS n, round(sum(value), 6) AS total FROM ({MOSAIC}) GROUP BY 1, 2"),
     "q_scale_samples": (q_scale_samples, "SELECT vec_id % 25 AS tile_x, vec_id // 25 AS tile_y, round(CAST(embedding[3] AS DOUBLE) * 2, 6) AS third FROM embeddings"),
@@ -281,7 +378,7 @@ QUERIES = {
     "q_vote": (q_vote, VOTE),
     "q_symmetry": (q_symmetry, None),
     "q_hmax": (q_hmax, None),
-    "q_boundary": (q_boundary, None),
+    "q_boundary": (q_boundary, BOUNDARY),
     "q_nuclei": (q_nuclei, None),
     "q_tile_map": (q_tile_map, "SELECT vec_id % 25 AS tile_x, vec_id // 25 AS tile_y, round(CAST(embedding[57] AS DOUBLE) * 2, 6) AS first FROM embeddings"),
     "q_tile_rows": (q_tile_rows, f"SELECT slide_id, x, y FROM ({MOSAIC}) WHERE value > 0.3"),

@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a frame below ``spark.checkpoint.dir`` (a temporary folder where it is unset) and read it again."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of the session, ``spark.checkpoint.dir``; on local masters only, a temporary one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tilewright.steps", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tilewright-")
         spark.conf.set("tilewright.steps", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a frame below the shared folder and read it again, which cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str = "changed", rounds: int = 1000) -> DataFrame:
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a frame from :func:`written` that nothing reads any more."""
+    spark = df.sparkSession
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str = "changed") -> DataFrame:
     """Apply ``step`` until no row has ``changed`` set; the column is dropped from the result.
 
-    Every round's rows are written once; only one Boolean comes to the driver.
+    Every round's rows are written once and those of the round before are deleted; only one Boolean comes to the driver.
     """
-    for _ in range(rounds):
-        state = written(step(state))
-        if not state.where(changed).limit(1).count():
-            return state.drop(changed)
-        state = state.drop(changed)
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+    before = None
+    while True:
+        new = written(step(state))
+        if before is not None:
+            discard(before)
+        if not new.where(changed).limit(1).count():
+            return new.drop(changed)
+        before, state = new, new.drop(changed)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.color import int_to_hex
 from ..functions.geom import nm_to_pixel
 from ..functions.text import base_name, extension
-from ..operators.vector import accepted_files
+from ..operators.vector import accepted_files, stitch_regions
 
 NATIVE = (
     "Annotations struct<Annotation:array<struct<_Name:string,_Type:string,_PartOfGroup:string,_Color:string,Coordinates:struct<Coordinate:array<struct<_Order:int,_X:double,_Y:double>>>>>>, "
@@ -48,9 +48,9 @@ def native(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def imagescope(raw: DataFrame) -> DataFrame:
     """Regions (file, group_name, color, ord, name, coords) of ImageScope XML, for ``stitch_regions``."""
-    doc = raw.select("file", "slide_id", F.explode(F.from_xml("xml", IMAGESCOPE)["Annotation"]).alias("a"))
-    out = doc.select("file", "slide_id", F.coalesce(F.nullif(F.col("a._Name"), F.lit("")), F.concat(F.lit("Annotation "), F.col("a._Id"))).alias("group_name"), int_to_hex(F.col("a._LineColor")).alias("color"), F.posexplode("a.Regions.Region").alias("ord", "r"))
-    return out.select("file", "slide_id", "group_name", "color", "ord", F.coalesce("r._Text", F.lit("")).alias("name"), _points(F.col("r.Vertices.Vertex")).alias("coords"))
+    doc = raw.select("file", "slide_id", F.posexplode(F.from_xml("xml", IMAGESCOPE)["Annotation"]).alias("pos", "a"))
+    out = doc.select("file", "slide_id", "pos", F.coalesce(F.nullif(F.col("a._Name"), F.lit("")), F.concat(F.lit("Annotation "), F.col("a._Id"))).alias("group_name"), int_to_hex(F.col("a._LineColor")).alias("color"), F.posexplode("a.Regions.Region").alias("ord", "r"))
+    return out.select("file", "slide_id", "pos", "group_name", "color", "ord", F.coalesce("r._Text", F.lit("")).alias("name"), _points(F.col("r.Vertices.Vertex")).alias("coords"))
 
 
 def ndpa(raw: DataFrame, slides: DataFrame) -> DataFrame:
@@ -63,9 +63,14 @@ def ndpa(raw: DataFrame, slides: DataFrame) -> DataFrame:
 
 
 def kind_of(raw: DataFrame) -> DataFrame:
-    """Files with ``kind``: native, imagescope or ndpa, by extension and root element."""
-    root = F.regexp_extract("xml", r"<([A-Za-z_]+)[\s>/]", 1)
-    kind = F.when(F.col("ext") == "ndpa", "ndpa").when((F.col("ext") == "xml") & F.col("xml").contains("LineColor"), "imagescope").when(F.col("ext") == "xml", "native")
+    """Files with ``kind``: native, imagescope or ndpa, by extension and root element.
+
+    XML whose root is ``Annotations`` is ImageScope's, unless it holds coordinates or groups of the native form.
+    """
+    body = F.regexp_replace("xml", r"(?s)<[?!].*?>", "")
+    root = F.regexp_extract(body, r"<([A-Za-z_][\w.-]*)", 1)
+    native_parts = F.col("xml").contains("<Coordinate") | F.col("xml").contains("<AnnotationGroups")
+    kind = F.when(F.col("ext") == "ndpa", "ndpa").when((F.col("ext") == "xml") & (root == "Annotations") & ~native_parts, "imagescope").when(F.col("ext") == "xml", "native")
     return raw.withColumn("root", root).withColumn("kind", kind)
 
 
@@ -89,5 +94,37 @@ def write_annotations(annotations: DataFrame, groups: DataFrame, path: str) -> N
     to_xml(annotations, groups).write.mode("overwrite").partitionBy("slide_id").text(path)
 
 
-def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return native(kind_of(files(spark, path)).where("kind = 'native'"))
+LIST = ("slide_id", "ord", "name", "type", "group_name", "color", "coords")
+
+
+def imagescope_list(raw: DataFrame, closing_distance: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """(annotations, groups) of ImageScope XML: open regions are stitched, each Annotation element is a group."""
+    regions = imagescope(raw)
+    groups = regions.groupBy("file", "slide_id", "group_name").agg(F.min("pos").alias("pos"), F.first("color").alias("color"))
+    stitched = stitch_regions(regions.withColumn("ord", F.col("ord").cast("int")), closing_distance)
+    joined = stitched.withColumnRenamed("ord", "place").join(groups, ["file", "group_name"])
+    ord_ = F.row_number().over(Window.partitionBy("slide_id").orderBy("pos", "place")) - 1
+    anns = joined.select("slide_id", ord_.alias("ord"), "name", F.lit("Polygon").alias("type"), "group_name", "color", "coords")
+    none = F.lit(None).cast("string").alias("parent_name")
+    return anns, groups.select("slide_id", F.col("group_name").alias("name"), none, "color", F.create_map().cast("map<string,string>").alias("attributes"))
+
+
+def annotation_lists(raw: DataFrame, slides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(annotations, groups) of files of all three kinds, each read by its own reader.
+
+    NDPA coordinates need ``slides`` (see :func:`ndpa`); without it a file of that kind is an error, as is an unknown kind.
+    """
+    kinds = kind_of(raw)
+    if kinds.where("kind is null" if slides is not None else "kind is null or kind = 'ndpa'").limit(1).count():
+        raise ValueError("files of an unknown kind, or NDPA files without a table of slides")
+    anns, groups = native(kinds.where("kind = 'native'"))
+    more, their_groups = imagescope_list(kinds.where("kind = 'imagescope'"))
+    anns, groups = anns.select(*LIST).unionByName(more.select(*LIST)), groups.unionByName(their_groups)
+    if slides is not None:
+        anns = anns.unionByName(ndpa(kinds.where("kind = 'ndpa'"), slides).select(*LIST))
+    return anns, groups
+
+
+def read_annotations(spark: SparkSession, path: str, slides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(annotations, groups) of all annotation files of a folder."""
+    return annotation_lists(files(spark, path), slides)

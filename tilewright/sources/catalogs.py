@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, extension
+from ..plans.iterate import written
 
 EXTENSIONS = ("svs", "tif", "tiff", "mrxs", "ndpi", "vsi", "lif", "dcm", "jp2", "scn", "bif")
 
@@ -17,12 +18,13 @@ def supported(path, extensions: tuple[str, ...] = EXTENSIONS):
 def numbered(paths: DataFrame) -> DataFrame:
     """(id, location, title) with ids from 0 in the order of the paths.
 
-    Ids number a whole listing; its rows are small and sorted by range, and counts of the parts give the offsets.
+    Ids number a whole listing: paths are sorted by range and written, and counts of the written parts give the offsets.
     """
     part = paths.select("location").distinct().repartitionByRange("location").withColumn("p", F.spark_partition_id())
+    part = written(part, "listing")  # the parts stay as they are, whatever plan reads them
     part = part.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("location")) - 1)
     sizes = part.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row for each part
     return part.join(before, "p").select((F.col("before") + F.col("r")).alias("id"), "location", base_name(F.col("location")).alias("title"))
 
 
