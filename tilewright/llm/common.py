@@ -7,8 +7,7 @@ Python loop runs over words.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -18,8 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.iterate import discard, scratch
+
 #: Bytes of text that one step of a task works on; a single longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+LONG = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -31,31 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it again, which cuts the lineage.
-
-    The folder is ``spark.checkpoint.dir`` of the session.  Only where it is unset, as in tests, is
-    a folder of this machine used.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("tilewright.scratch", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-tilewright-")
-            spark.conf.set("tilewright.scratch", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` below the session's shared folder (``spark.checkpoint.dir``) and read it again, which cuts the lineage."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a frame from :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    parents = {os.path.dirname(f) for f in df.inputFiles()}
-    for p in parents:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -149,7 +130,11 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_hashes(data), starts, ends)
+    """64-bit hashes of words or lines; spans of over LONG bytes, for which colliding texts are known, by BLAKE2."""
+    out = span_hashes(prefix_hashes(data), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -169,8 +154,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     each shuffle, so a node with very many links is no hot task.
     """
     both = links.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = written(both, "links")
-    both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    links = written(both, "links")
+    both = written(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c")), "labels")
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
@@ -178,6 +163,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = labels.select(F.col("u").alias("m"), F.col("c").alias("mc"))
         new = written(step.join(up, "m", "left").select("u", "old", F.least("m", F.coalesce("mc", "m")).alias("c")), "labels")
         changed = new.where("c <> old").limit(1).count()
+        discard(labels)
         labels = new.select("u", "c")
         if not changed:
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))

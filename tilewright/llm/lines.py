@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hashes, ranges, span_hashes, steps, words, written
+from .common import ranges, steps, word_hashes, words, written
 
 MIN_WORDS = 6
 PLACE = ["doc_id", "v", "ln"]
@@ -48,7 +48,7 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(begin, len(line)))
     closing = np.append(edges[1:], len(data))
     last = ends[begin + count - 1] if len(begin) else ends[:0]
-    hashes = span_hashes(prefix_hashes(data), starts[begin], last)
+    hashes = word_hashes(data, starts[begin], last)
     return rows[begin], edges[line[begin]], closing[line[begin]], hashes, count
 
 
