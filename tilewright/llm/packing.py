@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, prefix_hashes, ranges, span_hashes, steps, words, written
+from .common import lowered, ranges, steps, word_hashes, words, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -68,6 +68,18 @@ def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(second, middle, starts[which]), np.where(cut & ~second, middle, ends[which]), rows[which], plain[which]
 
 
+def lowered_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A-Z to a-z, but for words that may hold the name of a special token, which is not in lower case only."""
+    low = lowered(data)
+    mark = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    if len(mark):
+        starts, ends, _ = words(data, offsets)
+        held = np.unique(np.searchsorted(starts, mark, "right") - 1)
+        at = ranges(starts[held], (ends - starts)[held])
+        low[at] = data[at]
+    return low
+
+
 class WordTokenizer:
     """Ids of whole texts from ids of their white-space separated words.
 
@@ -104,10 +116,9 @@ class WordTokenizer:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and row offsets of a batch of texts."""
-        if b"<|" not in data.tobytes():  # the names of special tokens are not in lower case only
-            data = lowered(data)
+        data = lowered_words(data, offsets)
         starts, ends, rows, plain = word_parts(data, offsets)
-        hashes = span_hashes(prefix_hashes(data), starts, ends)
+        hashes = word_hashes(data, starts, ends)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
         coded = self._ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], plain[first].tolist())
@@ -240,7 +251,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _slot(slots: str, rank: str):
-    """The slot whose range holds the rank, by binary search in Spark: ranges are sorted and gapless."""
+    """The slot whose range holds the rank; a length has a slot for each pattern that uses it."""
     found = F.filter(F.col(slots), lambda s: (s["low"] <= F.col(rank)) & (F.col(rank) < s["high"]))
     return F.element_at(found, 1)
 
