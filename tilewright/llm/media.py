@@ -122,12 +122,11 @@ def _shrink(n: int) -> np.ndarray:
 
 def perceptual_hash(pixels: np.ndarray) -> str:
     """64 bits as 16 hexadecimal digits from the low frequencies of a 32 x 32 mean image."""
-    sums = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1), np.int64)
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.int64), axis=1, out=sums[1:, 1:])
     y, x = _shrink(pixels.shape[0]), _shrink(pixels.shape[1])
-    y1, x1 = np.maximum(y[1:], y[:-1] + 1), np.maximum(x[1:], x[:-1] + 1)
-    block = sums[y1][:, x1] - sums[y[:-1]][:, x1] - sums[y1][:, x[:-1]] + sums[y[:-1]][:, x[:-1]]
-    mean = block / ((y1 - y[:-1])[:, None] * (x1 - x[:-1])[None, :])
+    height, width = np.maximum(y[1:] - y[:-1], 1), np.maximum(x[1:] - x[:-1], 1)
+    # sums of parts of rows, then of columns: only GRID rows are held as integers
+    block = np.add.reduceat(np.add.reduceat(pixels, y[:-1], axis=0, dtype=np.int64), x[:-1], axis=1)
+    mean = block / (height[:, None] * width[None, :])
     low = np.round(_DCT @ mean @ _DCT.T, 3).ravel()
     bits = low > np.median(low[1:])
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
