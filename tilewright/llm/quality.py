@@ -10,8 +10,9 @@ Fitting uses at most ``FIT_ROWS`` labelled and ``POOL_ROWS`` unlabelled rows (th
 so its cost does not grow.  Scoring is one pass over all documents without a shuffle.
 
 Defined cases: a null or empty text has the shape of an empty text; null language, source and length are categories of
-their own; without labels, or with labels of one class, all rows get that class's share (1 without labels);
-labels that are null are no labels; an id labelled twice has its greater label; further columns are kept aside.
+their own; with fewer than two labelled rows of a class all rows get the share of good ones (1 without labels) and none is
+rejected; labels that are null are no labels; an id labelled twice has its greater label, an id with several
+documents is fitted on one of them; rows with a null id are scored like others; an empty table gives no rows; further columns are kept aside.
 """
 
 from __future__ import annotations
@@ -146,10 +147,10 @@ class Model:
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
     """Fit both views on labelled rows and a pool of unlabelled ones; every fifth labelled row is for calibration."""
     share = float(y.mean()) if len(y) else 1.0
-    if len(y) < 20 or not 0 < y.sum() < len(y):
+    if min(y.sum(), len(y) - y.sum()) < 2:
         return Model(share)
     held = np.arange(len(y)) % 5 == 0
-    if not 0 < y[held].sum() < held.sum():
+    if not (0 < y[held].sum() < held.sum() and 0 < y[~held].sum() < (~held).sum()):
         held[:] = False
     learn, check = ~held, held if held.any() else ~held
     views = [(text, pool_text, 0.02), (meta, pool_meta, 1.0)]
@@ -221,7 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     known = least(ids.distinct().join(known, "doc_id"), fit_rows)
     pool = least(ids.distinct().join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti"), pool_rows).withColumn("label", F.lit(None).cast("int"))
     some = known.unionByName(pool)  # at most fit_rows + pool_rows ids
-    x, m, y = _features(_picked(docs).join(F.broadcast(some), "doc_id").select(*FIELDS, "label"))
+    # one row for each id, so that the rows are bounded as well
+    one = _picked(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*FIELDS[1:])).alias("d"))
+    x, m, y = _features(one.select("doc_id", *(F.col(f"d.{c}") for c in FIELDS[1:]), "label"))
     on = y >= 0
     return co_train(x[on], m[on], y[on].astype(float), x[~on], m[~on])
 
@@ -240,6 +243,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def good_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the model does not reject; one pass without a shuffle."""
     names = docs.columns
+    if model.text is None:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in small_steps(batches):
