@@ -39,16 +39,15 @@ from .common import components, lowered, mixed, steps, word_hashes, words, writt
 
 #: Share of a set by which prefixes are longer, as 1 / SLACK.
 SLACK = 24
-#: Members of a region that one task takes.
-REGION_ROWS = 4096
+#: Members of a region that one task takes, and pivots whose distances are kept for its windows.
+REGION_ROWS, PIVOTS = 1024, 64
 FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of each row as sorted 64-bit keys, and row offsets into them.
+def shingles(data: np.ndarray, offsets: np.ndarray, n: int, ranked: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of each row as sorted 64-bit hashes, and row offsets into them.
 
-    The top 8 bits of a key rank n-grams by the bytes of their words, longest first, so that
-    ascending keys begin with n-grams that are rare.
+    ``ranked`` puts n-grams of more bytes of words first, so that each row begins with n-grams that are rare.
     """
     data = lowered(data)
     starts, ends, rows = words(data, offsets)
@@ -67,9 +66,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
         w = begin[short[on]] + i
         extra[on], extra_size[on] = mixed(extra[on] ^ hashes[w]), extra_size[on] + sizes[w]
     key = np.concatenate((key, mixed(extra ^ count[short].astype(np.uint64))))
-    size = np.minimum(np.concatenate((size, extra_size)), 255)
-    key = ((255 - size).astype(np.uint64) << np.uint64(56)) | (key >> np.uint64(8))
     order = np.argsort(key)
+    if ranked:
+        rank = (255 - np.minimum(np.concatenate((size, extra_size)), 255)).astype(np.uint8)
+        order = order[np.argsort(rank[order], kind="stable")]
     small = np.uint16 if len(offsets) <= 65536 else np.int64
     order = order[np.argsort(owner[order].astype(small), kind="stable")]
     key, owner = key[order], owner[order]
@@ -106,7 +106,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in steps(batches):
-            keys, at = shingles(data, offsets, n)
+            keys, at = shingles(data, offsets, n, ranked=True)
             size = np.diff(at)
             hashes, first = np.unique(set_hashes(keys, at), return_index=True)
             keep = size[first] > 0
@@ -189,7 +189,7 @@ def region_links(keys: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     links: list[tuple[int, int]] = []
     if len(keys) < 2:
         return links
-    bound = 1 - percent / 100 + 1e-9
+    bound = 1 - percent / 100 + 1e-6
     for group in _partners(keys, percent) if len(keys) > 2 else [np.array([0, 1])]:
         region = Region([keys[i] for i in group.tolist()], percent)
         m = len(group)
@@ -204,7 +204,8 @@ def region_links(keys: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                 if union.join(p, y):
                     links.append((int(group[p]), int(group[y])))
             cell[linked & (cell < 0)] = p
-            near.append(distance)
+            if len(near) < PIVOTS:  # any of them give windows
+                near.append(distance.astype(np.float32))
         if len(near) > 1:
             links += [(int(group[a]), int(group[b])) for a, b in _boundary_links(region, np.array(near), union, bound)]
     return links
@@ -230,48 +231,47 @@ def _boundary_links(region: Region, near: np.ndarray, union: Union, bound: float
     return links
 
 
+def _groups(batches: Iterator[pa.RecordBatch], n: int, keys: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Whole groups of rows sorted by their first ``keys`` columns: all columns but the text, and the sets."""
+    held: list[np.ndarray] = []
+    sets: list[np.ndarray] = []
+    for part, data, offsets in steps(batches):
+        flat, at = shingles(data, offsets, n)
+        rows = np.stack([np.asarray(part.column(i)).astype(np.int64) for i in range(part.num_columns - 1)], 1)
+        first = np.ones(len(rows), bool)
+        first[1:] = (rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)
+        first[0] = not held or (held[-1][-1, :keys] != rows[0, :keys]).any()
+        cuts = np.flatnonzero(first).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            if a in cuts and held:
+                yield np.concatenate(held), sets
+                held, sets = [], []
+            if b > a:
+                held.append(rows[a:b])
+                sets += [flat[i:j] for i, j in zip(at[a:b].tolist(), at[a + 1 : b + 1].tolist(), strict=True)]
+    if held:
+        yield np.concatenate(held), sets
+
+
 def _region_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows (a, b): links of all regions; a partition holds whole regions."""
+    """Rows (a, b): links of all regions; regions come one after the other, so that a task holds one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, sets, keys = [], [], []
-        for part, data, offsets in steps(batches):
-            flat, at = shingles(data, offsets, n)
-            pivot.append(np.asarray(part.column(0)))
-            sets.append(np.asarray(part.column(1)))
-            keys += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        if keys:
-            p, s = np.concatenate(pivot), np.concatenate(sets)
-            order = np.argsort(p, kind="stable")
-            found = []
-            for region in np.split(order, np.flatnonzero(np.diff(p[order])) + 1):
-                # the pivot first: it is the region's first Voronoi centre
-                region = region[np.argsort(s[region] != p[region], kind="stable")]
-                found += [(s[region[a]], s[region[b]]) for a, b in region_links([keys[i] for i in region.tolist()], percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return placed.mapInArrow(run, "a bigint, b bigint")
-
-
-def _in_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Groups of rows (p, chunk, block, s, role, text) of a partition: key, set hashes, roles and sets."""
-    kept, keys = [], []
-    for part, data, offsets in steps(batches):
-        flat, at = shingles(data, offsets, n)
-        kept.append(np.stack([np.asarray(part.column(i)).astype(np.int64) for i in range(5)], 1))
-        keys += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    if keys:
-        rows = np.concatenate(kept)
-        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-        cuts = np.flatnonzero((np.diff(rows[order, :3], axis=0) != 0).any(axis=1)) + 1
-        for group in np.split(order, cuts):
-            yield tuple(rows[group[0], :3].tolist()), rows[group, 3], rows[group, 4], [keys[i] for i in group.tolist()]
+        for rows, sets in _groups(batches, n, 1):
+            # the pivot first: it is the region's first Voronoi centre
+            order = np.argsort(rows[:, 1] != rows[:, 0], kind="stable")
+            s = rows[order, 1]
+            links = region_links([sets[i] for i in order.tolist()], percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([int(s[x[i]]) for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return placed.select("p", "s", "text").repartition("p").sortWithinPartitions("p").mapInArrow(run, "a bigint, b bigint")
 
 
 GROUPED = ["p", "chunk", "block", "s", "role", "text"]
 
 
-def _large_region_links(placed: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+def _large_region_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
     """Links of regions that are too large for a task: (p, m members, s, text) in.
 
     First every chunk of a region is compared with the pivot; what links to it is one component.  Only members
@@ -286,14 +286,15 @@ def _large_region_links(placed: DataFrame, n: int, percent: int, parts: int) ->
     first = placed.select("p", at.alias("chunk"), F.lit(0).alias("block"), "s", is_pivot.cast("int").alias("role"), "text")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (p, _, _), s, role, keys in _in_groups(batches, n):
+        for rows, keys in _groups(batches, n, 3):
+            p, s, role = rows[0, 0], rows[:, 3], rows[:, 4]
             if not role.any():
                 continue
             linked, _ = Region(keys, percent).measured(int(np.argmax(role)), np.arange(len(keys)))
             mine = role == 0
             yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mine.sum()), p)), pa.array(s[mine]), pa.array(linked[mine])], ["p", "s", "linked"])
 
-    found = written(first.select(*GROUPED).repartition(parts, "p", "chunk").mapInArrow(star, "p bigint, s bigint, linked boolean"), "stars")
+    found = written(first.select(*GROUPED).repartition("p", "chunk").sortWithinPartitions("p", "chunk").mapInArrow(star, "p bigint, s bigint, linked boolean"), "stars")
     left = found.where("not linked").select("p", "s").distinct()
     blocks = written(left.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).cast("bigint").alias("blocks")), "blocks")
     open_ = placed.join(blocks, "p")
@@ -303,19 +304,18 @@ def _large_region_links(placed: DataFrame, n: int, percent: int, parts: int) ->
     rest = rest.select("p", every("chunks").alias("chunk"), F.pmod(F.xxhash64("s", F.lit(1)), F.col("blocks")).alias("block"), "s", F.lit(1).alias("role"), "text")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s, _, keys in _in_groups(batches, n):
-            s, first_of = np.unique(s, return_index=True)
+        for rows, keys in _groups(batches, n, 3):
+            s, first_of = np.unique(rows[:, 3], return_index=True)
             links = region_links([keys[i] for i in first_of.tolist()], percent)
             yield pa.RecordBatch.from_arrays([pa.array([int(s[x[i]]) for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    met = members.unionByName(rest).select(*GROUPED).repartition(parts, "p", "chunk", "block").mapInArrow(meet, "a bigint, b bigint")
+    met = members.unionByName(rest).select(*GROUPED).repartition("p", "chunk", "block").sortWithinPartitions("p", "chunk", "block").mapInArrow(meet, "a bigint, b bigint")
     return found.where("linked").select(F.col("p").alias("a"), F.col("s").alias("b")).unionByName(met)
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least id that links reach)."""
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = written(_sets(docs, n), "sets")
     known = docs.where("doc_id is not null")
     prefixes = _prefixes(known, n, percent)
@@ -335,10 +335,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     large = regions.select(F.explode("p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REGION_ROWS)
     large = written(large, "large")
     if large.limit(1).count():
-        links = _region_links(placed.join(large, "p", "left_anti").repartition(parts, "p"), n, percent)
-        links = links.unionByName(_large_region_links(placed.join(large, "p"), n, percent, parts))
+        links = _region_links(placed.join(large, "p", "left_anti"), n, percent)
+        links = links.unionByName(_large_region_links(placed.join(large, "p"), n, percent))
     else:
-        links = _region_links(placed.repartition(parts, "p"), n, percent)
+        links = _region_links(placed, n, percent)
     joined = components(links)
     named = first.join(joined.withColumnRenamed("node", "s"), "s", "left").select("s", "doc_id", F.coalesce("component", "s").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
