@@ -292,10 +292,38 @@ def q_symmetry(s, d):
     return out.select("slide_id", "x", "y", F.round("value", 6).alias("value"))
 
 
+_RADII = "(VALUES (2.0::DOUBLE), (3.0::DOUBLE)) q(r)"
+
+
+def _symmetry_sql(beta: float) -> str:
+    """CTEs up to y (x, y, value): the mean over radii of the blurred maps of clipped and squared votes."""
+    around = lambda t: f"{t} m, range(-1, 2) dx(i), range(-1, 2) dy(i), {t} n WHERE n.x = greatest(0, least(199, m.x + dx.i)) AND n.y = greatest(0, least({HIGH} - 1, m.y + dy.i))"
+    return f"""m AS MATERIALIZED (SELECT a.i AS x, b.i AS y, round(coalesce(z.value, 0), 6) AS v FROM (SELECT unnest(range(200)) AS i) a, (SELECT unnest(range({HIGH})) AS i) b LEFT JOIN ({MOSAIC}) z ON z.x = a.i AND z.y = b.i),
+s AS (SELECT m.x, m.y, sum(n.v * dx.i * (2 - abs(dy.i))) AS gx, sum(n.v * dy.i * (2 - abs(dx.i))) AS gy FROM {around("m")} GROUP BY 1, 2),
+g AS MATERIALIZED (SELECT *, sqrt(gx * gx + gy * gy) AS mag FROM s),
+t AS (SELECT r, CAST(greatest(0, least(199, x + floor(0.5 + r * gx / mag))) AS BIGINT) AS x, CAST(greatest(0, least({HIGH} - 1, y + floor(0.5 + r * gy / mag))) AS BIGINT) AS y, count(*) AS n FROM g, {_RADII} WHERE mag > 0 AND mag >= {beta} * (SELECT max(mag) FROM g) GROUP BY 1, 2, 3),
+f AS MATERIALIZED (SELECT m.x, m.y, sum(pow(least(coalesce(n, 0), 9.9::DOUBLE) / 9.9, 2)) AS v FROM m CROSS JOIN {_RADII} LEFT JOIN t ON t.r = q.r AND t.x = m.x AND t.y = m.y GROUP BY 1, 2),
+y AS MATERIALIZED (SELECT m.x, m.y, sum(n.v * exp(-(dx.i * dx.i + dy.i * dy.i) / 1.125)) / pow(1 + 2 * exp(-1 / 1.125), 2) / 2 AS value FROM {around("f")} GROUP BY 1, 2)"""
+
+
 def q_hmax(s, d):
     return _whole(morph.h_maxima(_dense(s, d)[0], 0.2), "slide_id", "x", "y")
 
 
+# a pixel is no maximum if a path of pixels above its value less h leads from it to a higher one; a few steps settle most
+def _maxima_sql(h: float) -> str:
+    """CTEs from p (x, y, v) to h (x, y)."""
+    return f"""i AS MATERIALIZED (SELECT *, x * 1000000 + y AS id FROM p),
+e AS MATERIALIZED (SELECT i.id AS u, q.id AS w, q.v FROM i, range(-1, 2) dx(i), range(-1, 2) dy(i), i q WHERE q.x = i.x + dx.i AND q.y = i.y + dy.i AND q.id <> i.id),
+near(s, v0, u, v, n) AS (SELECT id, v, id, v, 0 FROM i UNION SELECT near.s, near.v0, e.w, e.v, n + 1 FROM near JOIN e ON e.u = near.u AND e.v > v0 - {h} + 1e-12 WHERE near.v <= v0 + 1e-12 AND n < 3),
+c AS MATERIALIZED (SELECT s, v0 FROM near GROUP BY 1, 2 HAVING max(v) <= v0 + 1e-12),
+far(s, v0, u, v) AS (SELECT s, v0, s, v0 FROM c UNION SELECT far.s, far.v0, e.w, e.v FROM far JOIN e ON e.u = far.u AND e.v > v0 - {h} + 1e-12 WHERE far.v <= v0 + 1e-12),
+h AS MATERIALIZED (SELECT s // 1000000 AS x, s % 1000000 AS y FROM far GROUP BY s, v0 HAVING max(v) <= v0 + 1e-12)"""
+
+
+HMAX = f"WITH RECURSIVE p AS MATERIALIZED (SELECT a.i AS x, b.i AS y, round(coalesce(m.value, 0), 6) AS v FROM (SELECT unnest(range(200)) AS i) a, (SELECT unnest(range({HIGH})) AS i) b LEFT JOIN ({MOSAIC}) m ON m.x = a.i AND m.y = b.i), {_maxima_sql(0.2)} SELECT 'm' AS slide_id, x, y FROM h"
+
+
 def q_boundary(s, d):
     n = fx.side(s, d)
     return _whole(morph.outer_boundary(fx.grid(s, d).where("value > 2").withColumn("value", F.lit(1)), n, n), "slide_id", "x", "y", "label")
@@ -376,8 +404,8 @@ QUERIES = {
     "q_box_join": (q_box_join, f"WITH b AS ({BOX}) SELECT a.ann_id AS a, b.ann_id AS b, greatest(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0) AS w, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0) AS h FROM b a JOIN b ON a.ann_id < b.ann_id AND a.x0 < b.x0 + b.w AND b.x0 < a.x0 + a.w AND a.y0 < b.y0 + b.h AND b.y0 < a.y0 + a.h"),
     "q_sobel": (q_sobel, SOBEL),
     "q_vote": (q_vote, VOTE),
-    "q_symmetry": (q_symmetry, None),
-    "q_hmax": (q_hmax, None),
+    "q_symmetry": (q_symmetry, f"WITH {_symmetry_sql(0.05)} SELECT 'm' AS slide_id, x, y, round(value, 6) AS value FROM y"),
+    "q_hmax": (q_hmax, HMAX),
     "q_boundary": (q_boundary, BOUNDARY),
     "q_nuclei": (q_nuclei, None),
     "q_tile_map": (q_tile_map, "SELECT vec_id % 25 AS tile_x, vec_id // 25 AS tile_y, round(CAST(embedding[57] AS DOUBLE) * 2, 6) AS first FROM embeddings"),

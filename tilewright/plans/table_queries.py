@@ -57,6 +57,67 @@ def q_frames(s, d):
 FRAMES = "WITH l AS (SELECT n_nationkey, n_name AS slide_id, 500 + n_nationkey * 37 AS w, 400 + n_regionkey * 91 AS h FROM nation), g AS (SELECT l.slide_id, n_nationkey, a.i AS col, b.i AS row FROM l, range(20) a(i), range(20) b(i) WHERE a.i < ceil(w / 128.0) AND b.i < ceil(h / 128.0)) SELECT slide_id, col, row, min(s_suppkey) AS frame FROM g LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 4 = col AND s_suppkey % 3 = row GROUP BY 1, 2, 3"
 
 
+def q_series_parts(s, d):
+    h = fx.headers(s, d).withColumn("source", F.when(F.col("instance") % 3 > 0, F.expr("instance div 7"))).withColumn("n_frames", F.col("instance") % 5 + 1)
+    out = catalog.concatenated(h)
+    return out.select("study", "series", "instance", "n_frames", "n_parts", "width")
+
+
+PARTS = f"SELECT study, series, min(instance) AS instance, CAST(sum(instance % 5 + 1) AS BIGINT) AS n_frames, count(*) AS n_parts, arg_min(width, instance) AS width FROM ({HEADERS}) GROUP BY study, series, CASE WHEN instance % 3 > 0 THEN 's' || (instance // 7) ELSE 'i' || instance END"
+
+
+def q_associated(s, d):
+    return catalog.associated_images(fx.headers(s, d))
+
+
+def _frame_levels(s, d):
+    n = fx.table(s, d, "nation")
+    return n.select(F.col("n_name").alias("slide_id"), (500 + F.col("n_nationkey") * 37).cast(B).alias("width"), (400 + F.col("n_regionkey") * 91).cast(B).alias("height"))
+
+
+def q_full_frames(s, d):
+    return catalog.full_frames(_frame_levels(s, d), 128)
+
+
+FULL_FRAMES = "SELECT n_name AS slide_id, a.i AS col, b.i AS row, CAST(a.i + b.i * ceil((500 + n_nationkey * 37) / 128.0) AS BIGINT) AS frame FROM nation, range(20) a(i), range(20) b(i) WHERE a.i < ceil((500 + n_nationkey * 37) / 128.0) AND b.i < ceil((400 + n_regionkey * 91) / 128.0)"
+
+
+def q_frame_samples(s, d):
+    grid = q_frames(s, d)
+    decoded = fx.table(s, d, "supplier").join(fx.table(s, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_name").alias("slide_id"), F.col("s_suppkey").alias("frame"), F.array(*(F.col("s_suppkey") % k for k in (3, 5, 7, 11))).alias("samples"))
+    out = catalog.frame_samples(grid, decoded, 4)
+    return out.select("slide_id", "col", "row", F.aggregate("samples", F.lit(0.0), lambda t, v: t + v).alias("total"))
+
+
+def q_numbers(s, d):
+    o = fx.table(s, d, "orders")
+    listed = text.list_text(F.array(F.col("o_totalprice"), F.col("o_totalprice") / 3), ",", 1)
+    return o.select("o_orderkey", text.number_text(F.col("o_totalprice"), 2).alias("fixed"), text.number_text(F.col("o_orderkey")).alias("plain"), listed.alias("listed"), F.round(text.number_text(F.col("o_totalprice") / 7, 3).cast("double"), 3).alias("back"), F.replace(F.lower("o_orderpriority"), F.lit("-"), F.lit("_")).alias("replaced"))
+
+
+NUMBERS = "SELECT o_orderkey, printf('%.2f', o_totalprice) AS fixed, CAST(o_orderkey AS VARCHAR) AS plain, printf('%.1f', o_totalprice) || ',' || printf('%.1f', o_totalprice / 3) AS listed, CAST(printf('%.3f', o_totalprice / 7) AS DOUBLE) AS back, replace(lower(o_orderpriority), '-', '_') AS replaced FROM orders"
+
+
+def q_annotation_files(s, d):
+    # each ring is a file of its own: native, ImageScope or NDPA by its number
+    point = lambda x, y: lambda p: F.concat(F.lit(x), p["x"].cast("string"), F.lit(y), p["y"].cast("string"))
+    ring = fx.rings(s, d).where(F.size("coords") >= 3)
+    name = F.col("ring").cast("string")
+    body = lambda open_, x, y, end: F.array_join(F.transform("coords", lambda p, i: F.concat(F.format_string(open_, i), point(x, y)(p), F.lit(end))), "")
+    native = F.concat(F.lit('<?xml version="1.0"?><Root><Annotations><Annotation Name="n'), name, F.lit('" Type="Polygon" PartOfGroup="None" Color="#F4FA58"><Coordinates>'), body('<Coordinate Order="%d" ', 'X="', '" Y="', '"/>'), F.lit("</Coordinates></Annotation></Annotations><AnnotationGroups></AnnotationGroups></Root>"))
+    scope = F.concat(F.lit('<Annotations MicronsPerPixel="0.5"><Annotation Id="4" Name="" LineColor="255"><Regions><Region Id="1" Text="r'), name, F.lit('"><Vertices>'), body("<Vertex ", 'X="', '" Y="', '"/>'), F.lit("</Vertices></Region></Regions></Annotation></Annotations>"))
+    nm = F.concat(F.lit('<annotations><ndpviewstate id="1"><title>t'), name, F.lit('</title><annotation type="freehand" color="#ff0000"><pointlist>'), body("<point>", "<x>", "</x><y>", "</y></point>"), F.lit("</pointlist></annotation></ndpviewstate></annotations>"))
+    kind = F.col("ring") % 3
+    raw = ring.select(F.concat(F.lit("f"), name, F.when(kind == 2, ".ndpa").otherwise(".xml")).alias("file"), F.concat(F.lit("f"), name).alias("slide_id"), F.when(kind == 2, "ndpa").otherwise("xml").alias("ext"), F.when(kind == 0, native).when(kind == 1, scope).otherwise(nm).alias("xml"))
+    slides = raw.select("slide_id", *(F.lit(v).alias(n) for n, v in (("offset_x", 0.0), ("offset_y", 0.0), ("mpp_x", 0.25), ("mpp_y", 0.5), ("width", 1000.0), ("height", 2000.0))))
+    anns, groups = xml.annotation_lists(raw, slides)
+    out = anns.select("slide_id", "name", F.coalesce("group_name", F.lit("")).alias("group_name"), F.col("ord").cast(B).alias("ord"), F.size("coords").cast(B).alias("n"), F.round(F.aggregate("coords", F.lit(0.0), lambda t, p: t + p["x"] + 2 * p["y"]), 4).alias("total"))
+    return out.join(groups.groupBy("slide_id").agg(F.count(F.lit(1)).alias("groups")), "slide_id", "left").withColumn("groups", F.coalesce("groups", F.lit(0).cast(B)))
+
+
+ANNOTATION_FILES = f"WITH v AS ({VERTICES}), a AS (SELECT ring, count(*) AS n, sum(x) AS x, sum(y) AS y FROM v GROUP BY 1 HAVING count(*) >= 3) SELECT 'f' || ring AS slide_id, CASE ring % 3 WHEN 0 THEN 'n' || ring WHEN 1 THEN 'r' || ring ELSE 't' || ring || '_0' END AS name, CASE ring % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'Annotation 4' ELSE '' END AS group_name, CAST(0 AS BIGINT) AS ord, n, round(CASE WHEN ring % 3 < 2 THEN x + 2 * y ELSE x / 250.0 + n * 500 + 2 * (y / 500.0 + n * 1000) END, 4) AS total, CASE WHEN ring % 3 = 1 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS groups FROM a"
+
+
 def q_extent(s, d):
     c = fx.table(s, d, "customer")
     t = c.select(F.col("c_mktsegment").alias("slide_id"), (F.col("c_nationkey") % 3).cast(B).alias("index"), (F.col("c_custkey") % 17).alias("tile_x"), (F.col("c_custkey") % 13).alias("tile_y"))
@@ -228,6 +289,12 @@ QUERIES = {
     "q_overlay": (q_overlay, OVERLAY),
     "q_series": (q_series, SERIES_SQL),
     "q_frames": (q_frames, FRAMES),
+    "q_series_parts": (q_series_parts, PARTS),
+    "q_associated": (q_associated, f"SELECT study, series, kind, min(instance) AS instance FROM ({HEADERS}) WHERE kind <> 'volume' GROUP BY 1, 2, 3"),
+    "q_full_frames": (q_full_frames, FULL_FRAMES),
+    "q_frame_samples": (q_frame_samples, f"SELECT slide_id, col, row, CAST(CASE WHEN frame IS NULL THEN 1020 ELSE frame % 3 + frame % 5 + frame % 7 + frame % 11 END AS DOUBLE) AS total FROM ({FRAMES})"),
+    "q_numbers": (q_numbers, NUMBERS),
+    "q_annotation_files": (q_annotation_files, ANNOTATION_FILES),
     "q_extent": (q_extent, EXTENT),
     "q_levels": (q_levels, LEVELS),
     "q_worklist_images": (q_worklist_images, "SELECT CAST(o_orderkey AS VARCHAR) AS image_id, o_custkey AS study_id, CAST(c_nationkey AS BIGINT) AS patient_id FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 5000 AND n_regionkey < 3 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)"),
