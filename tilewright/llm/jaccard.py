@@ -16,7 +16,7 @@ pivot says nothing.  So the space is cut in two steps, both exact:
    new pivot, and by the triangle inequality only members whose distances to every common pivot differ
    by the bound at most are compared (the boundary documents of two cells).  This goes on until
    no member is without a cell.  Pairs that are already in one component are not compared again.  A region too large for a
-   task is cut into chunks, which meet its pivot first and then, in blocks, the members that did not link to it.
+   task is cut into chunks, which meet some of its pivots first and then, in blocks, the members that no link of those joins.
 
 Documents with equal sets are one node from the start, so that copies are never paired.  Links between
 nodes become components with partial aggregation in every round.
@@ -32,15 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lowered, mixed, steps, word_hashes, words, written
 
 #: Share of a set by which prefixes are longer, as 1 / SLACK.
 SLACK = 24
-#: Members of a region that one task takes, and pivots whose distances are kept for its windows.
-REGION_ROWS, PIVOTS = 1024, 64
+#: Members of a region that one task takes, pivots whose distances are kept for its windows, and pivots that all
+#: chunks of a larger region are compared with.
+REGION_ROWS, PIVOTS, STARS = 4096, 64, 16
 FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -274,28 +275,37 @@ GROUPED = ["p", "chunk", "block", "s", "role", "text"]
 def _large_region_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
     """Links of regions that are too large for a task: (p, m members, s, text) in.
 
-    First every chunk of a region is compared with the pivot; what links to it is one component.  Only members
-    that do not link (mostly few) go on: in blocks they meet every chunk of their region, and inside a chunk and a
+    First every chunk of a region is compared with STARS pivots.  Pivots that share a linked member are one component, and
+    all that links to the component of the region's own pivot is joined by it.  Only members that do not (mostly
+    few) go on: in blocks they meet every chunk of their region, and inside a chunk and a
     block the cells are formed as in a small region.  A task holds at most some two times REGION_ROWS members.
     """
     chunks = F.ceil(F.col("m") / REGION_ROWS).cast("bigint")
     chunk = F.pmod(F.xxhash64("s"), chunks)
-    is_pivot = F.col("s") == F.col("p")
-    # the pivot goes to every chunk
-    at = F.explode(F.when(is_pivot, F.sequence(F.lit(0).cast("bigint"), chunks - 1)).otherwise(F.array(chunk)))
-    first = placed.select("p", at.alias("chunk"), F.lit(0).alias("block"), "s", is_pivot.cast("int").alias("role"), "text")
+    # the region's own pivot, and the members with the least hashes
+    order = Window.partitionBy("p").orderBy(F.col("s") != F.col("p"), F.xxhash64("s", F.lit(7)), "s")
+    stars = placed.select("p", "s").distinct().withColumn("role", F.row_number().over(order) - 1).where(F.col("role") < STARS)
+    stars = placed.join(stars, ["p", "s"]).select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), F.lit(0).alias("block"), "s", "role", "text")
+    first = placed.select("p", chunk.alias("chunk"), F.lit(0).alias("block"), "s", F.lit(-1).alias("role"), "text").unionByName(stars)
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, keys in _groups(batches, n, 3):
-            p, s, role = rows[0, 0], rows[:, 3], rows[:, 4]
-            if not role.any():
+            mine, role = np.flatnonzero(rows[:, 4] < 0), rows[:, 4]
+            if not len(mine):
                 continue
-            linked, _ = Region(keys, percent).measured(int(np.argmax(role)), np.arange(len(keys)))
-            mine = role == 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mine.sum()), p)), pa.array(s[mine]), pa.array(linked[mine])], ["p", "s", "linked"])
-
-    found = written(first.select(*GROUPED).repartition("p", "chunk").sortWithinPartitions("p", "chunk").mapInArrow(star, "p bigint, s bigint, linked boolean"), "stars")
-    left = found.where("not linked").select("p", "s").distinct()
+            region, mask = Region(keys, percent), np.zeros(len(rows), np.int64)
+            for i in np.flatnonzero(role >= 0).tolist():
+                mask |= region.measured(i, np.arange(len(rows)))[0].astype(np.int64) << role[i]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[mine, 0]), pa.array(rows[mine, 3]), pa.array(mask[mine])], ["p", "s", "mask"])
+
+    found = first.select(*GROUPED).repartition("p", "chunk").sortWithinPartitions("p", "chunk").mapInArrow(star, "p bigint, s bigint, mask bigint")
+    found = written(found, "stars")
+    bit = lambda j: F.shiftleft(F.lit(1).cast("bigint"), j)
+    near = found.groupBy("p").agg(F.array(*(F.coalesce(F.bit_or(F.when(F.col("mask").bitwiseAND(bit(j)) != 0, F.col("mask"))), F.lit(0)) for j in range(STARS))).alias("near"))
+    step = lambda reach, i: F.when(reach.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % STARS).cast("int"))) != 0, reach.bitwiseOR(F.element_at("near", (i % STARS + 1).cast("int")))).otherwise(reach)
+    near = written(near.select("p", F.aggregate(F.sequence(F.lit(0), F.lit(STARS * STARS - 1)), F.lit(1).cast("bigint"), step).alias("reach")), "reach")
+    found = found.join(near, "p").select("p", "s", (F.col("mask").bitwiseAND(F.col("reach")) != 0).alias("linked"))
+    left = written(found.where("not linked").select("p", "s").distinct(), "left")
     blocks = written(left.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).cast("bigint").alias("blocks")), "blocks")
     open_ = placed.join(blocks, "p")
     every = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
