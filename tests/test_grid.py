@@ -34,6 +34,13 @@ def test_components_match_flood_fill(spark, neighbours):
     assert got == want
 
 
+@pytest.mark.parametrize("neighbours", [4, 8])
+def test_components_across_bands(spark, monkeypatch, neighbours):
+    monkeypatch.setattr(morph, "BAND", 2)
+    monkeypatch.setattr(morph, "CELL", 4)
+    test_components_match_flood_fill(spark, neighbours)
+
+
 def test_distance_is_exact_and_capped(spark):
     src = {(3, 2): 1, (9, 7): 1}
     got = {(r.x, r.y): r.d for r in morph.distance_transform(frame(spark, src), 12, 10).collect()}

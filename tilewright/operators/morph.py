@@ -13,29 +13,61 @@ from ..plans.iterate import iterate, written
 from .raster import to_runs
 
 
-#: Columns of a cell in which runs of neighbouring rows meet; rows of a band whose components are numbered together.
+#: Columns of a cell in which runs of neighbouring bands meet; rows of a band that one task merges.
 CELL, BAND = 64, 256
 #: Lines that one task of a reconstruction raises together.
 ROWS = 64
 
 
+def _merged(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
+    """For runs in the order of (y, x0): the first run of each one's component."""
+    n = len(y)
+    wide = int(x1.max() - x0.min()) + 3 + 2 * reach
+    begin, end = y * wide + x0 - x0.min(), y * wide + x1 - x0.min()
+    low = np.searchsorted(end, begin + wide - reach)
+    high = np.maximum(np.searchsorted(begin, end + wide + reach, "right"), low)
+    a = np.repeat(np.arange(n), high - low)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    up = np.arange(n)
+    while True:
+        p, q = up[a], up[b]
+        differ = p != q
+        if not differ.any():
+            return up
+        least = np.minimum(p, q)[differ]
+        np.minimum.at(up, p[differ], least)
+        np.minimum.at(up, q[differ], least)
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+
+
 def connected_components(pixels: DataFrame, threshold: float = 0.5, neighbours: int = 4) -> DataFrame:
     """(slide_id, x, y, label): components of the pixels above the threshold, numbered 1.. by their first pixel in raster order.
 
-    Rows become runs, runs of neighbouring rows that touch become edges, and the least run id spreads with pointer
-    jumping, so rounds grow with the logarithm of a component's depth in runs and not with its pixels.
+    Rows become runs.  A task merges the runs of a band of BAND rows; runs of neighbouring bands that touch become
+    edges between merged parts, and the least part spreads with pointer jumping, so rounds grow with the
+    logarithm of a component's depth in bands and not with its pixels, and only parts at borders take part.
     """
-    mask = pixels.where(F.col("value") > threshold).select("slide_id", "x", "y").distinct()
-    # one number per run that sorts like (y, x0); columns are below 2 ** 31
-    runs = to_runs(mask).withColumn("id", F.col("y").cast("bigint") * 4294967296 + F.col("x0"))
-    runs = written(runs, "runs")
+    mask = pixels.where(F.col("value") > threshold).select("slide_id", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).distinct()
     reach = 0 if neighbours == 4 else 1
-    a = runs.select("slide_id", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("u"))
-    b = runs.select("slide_id", (F.col("y") - 1).alias("ya"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("id").alias("v"))
-    # runs of a row and of the next one meet in the cells of CELL columns that both touch
+    slide = pixels.schema["slide_id"].dataType.simpleString()
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x0"])
+        y, x0, x1 = (rows[c].to_numpy() for c in ("y", "x0", "x1"))
+        # one number per run that sorts like (y, x0); columns are below 2 ** 31
+        number = y * 4294967296 + x0
+        return pd.DataFrame({"slide_id": rows["slide_id"], "y": y, "x0": x0, "x1": x1, "id": number, "part": number[_merged(y, x0, x1, reach)]})
+
+    runs = to_runs(mask).withColumn("band", F.floor(F.col("y") / BAND))
+    runs = written(runs.groupBy("slide_id", "band").applyInPandas(merge, f"slide_id {slide}, y bigint, x0 bigint, x1 bigint, id bigint, part bigint"), "runs")
+    a = runs.where(F.pmod(F.col("y"), F.lit(BAND)) == BAND - 1).select("slide_id", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("part").alias("u"))
+    b = runs.where(F.pmod(F.col("y"), F.lit(BAND)) == 0).select("slide_id", (F.col("y") - 1).alias("ya"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("part").alias("v"))
+    # runs on both sides of a border meet in the cells of CELL columns that both touch
     cells = lambda lo, hi, more: F.explode(F.sequence(F.floor((F.col(lo) - more) / CELL), F.floor((F.col(hi) + more) / CELL)))
     edges = a.withColumn("cell", cells("a0", "a1", reach)).join(b.withColumn("cell", cells("b0", "b1", 0)), ["slide_id", "ya", "cell"])
     edges = edges.where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select("slide_id", "u", "v").distinct()
+    edges = written(edges, "borders")
     edges = written(edges.unionByName(edges.select("slide_id", F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
 
     def step(state: DataFrame) -> DataFrame:
@@ -45,14 +77,17 @@ def connected_components(pixels: DataFrame, threshold: float = 0.5, neighbours:
         new = low.join(up, ["slide_id", "m"], "left").select("slide_id", "u", F.least("m", F.coalesce("mc", "m")).alias("c"), "old")
         return new.select("slide_id", "u", "c", (F.col("c") != F.col("old")).alias("changed"))
 
-    labels = iterate(runs.select("slide_id", F.col("id").alias("u"), F.col("id").alias("c")), step)
-    # labels in raster order: numbers inside bands of BAND rows, after the counts of the bands above
-    roots = labels.where("u = c").select("slide_id", "c", F.floor(F.col("c") / (4294967296 * BAND)).alias("band"))
+    labels = iterate(edges.select("slide_id", "u", F.col("u").alias("c")).distinct(), step)
+    labels = labels.select("slide_id", F.col("u").alias("part"), "c")
+    # labels in raster order: numbers inside bands, after the counts of the bands above
+    parts = runs.where("id = part").select("slide_id", "part").join(labels, ["slide_id", "part"], "left").select("slide_id", "part", F.coalesce("c", "part").alias("c"))
+    parts = written(parts, "parts")
+    roots = parts.where("part = c").select("slide_id", "c", F.floor(F.col("c") / (4294967296 * BAND)).alias("band"))
     counts = roots.groupBy("slide_id", "band").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("slide_id").orderBy("band")) - F.col("n")).drop("n")
     roots = roots.withColumn("r", F.row_number().over(Window.partitionBy("slide_id", "band").orderBy("c"))).join(counts, ["slide_id", "band"])
     roots = roots.select("slide_id", "c", (F.col("before") + F.col("r")).alias("label"))
-    named = runs.join(labels.withColumnRenamed("u", "id"), ["slide_id", "id"]).join(roots, ["slide_id", "c"])
+    named = runs.join(parts.join(roots, ["slide_id", "c"]), ["slide_id", "part"])
     return named.select("slide_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "label")
 
 
