@@ -182,6 +182,20 @@ def test_stages_on_odd_and_empty_tables(spark, odd, sf, name):
     assert stage(spark, spark.createDataFrame([], DOC), sf).count() == 0
 
 
+def test_run_leaves_only_what_its_result_reads(spark, sf, tmp_path, monkeypatch):
+    from tilewright.llm import common
+    from tilewright.plans import iterate
+
+    for module in (iterate, common):
+        monkeypatch.setattr(module, "scratch", lambda _: f"file://{tmp_path}")
+    begun = common.marked_now()
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0
+    left = [path.rsplit("/", 1)[1].split("-")[0] for path, _ in common._written[begun:]]
+    assert left.count("stage") == 1 and set(left) == {"stage", "pieces", "slots"}
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"stage", "pieces", "slots", "step", "edges", "labels"}
+
+
 def test_line_stage_brute_force(spark, odd, sf):
     """Runs of lines of six words or more that occur earlier go; a document of nothing else goes."""
     docs = odd.where("doc_id >= 10").select("doc_id", "text", "lang", "source", "n_chars")

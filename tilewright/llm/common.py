@@ -26,6 +26,8 @@ LONG = 512
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: What the driver has written: path and frame.
+_written: list[tuple[str, DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,24 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` below the session's shared folder (``spark.checkpoint.dir``) and read it again, which cuts the lineage."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append((path, back))
+    return back
+
+
+def marked_now() -> int:
+    """A mark for :func:`drop_written`."""
+    return len(_written)
+
+
+def drop_written(since: int, keep: DataFrame) -> None:
+    """Delete what :func:`written` has left since a mark, but for ``keep``; for jobs whose steps nothing reads any more."""
+    gone = [path for path, df in _written[since:] if df is not keep]
+    _written[since:] = [(path, df) for path, df in _written[since:] if df is keep]
+    jvm, conf = keep.sparkSession._jvm, keep.sparkSession._jsc.hadoopConfiguration()
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
