@@ -105,3 +105,12 @@ def test_closure_and_cascade(spark):
     anns = spark.createDataFrame([(1, "d"), (2, "z")], "ann_id int, group_name string")
     left, kept = vector.drop_groups(anns, groups, spark.createDataFrame([("b",)], "name string"))
     assert [r.ann_id for r in left.collect()] == [2] and {r.name for r in kept.collect()} == {"a", "z"}
+
+
+def test_number_texts_round_the_binary_value(spark):
+    r = random.Random(3)
+    values = [0.0, 0.5, 1.5, 2.5, 0.15, 0.25, 70266.25, 70035.45, 1e-9, 0.005, 0.015, 9.995, 99.9999, -0.125, -3.375, 123456789.125, 0.1 + 0.2] + [r.uniform(-1000, 1000) for _ in range(300)] + [r.randrange(10**6) / 10**4 for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for p in (0, 1, 2, 3, 6):
+        got = df.select("v", text.number_text(F.col("v"), p).alias("t")).collect()
+        assert all(x.t == f"{x.v:.{p}f}" for x in got)

@@ -42,8 +42,33 @@ def padded_hex(i: Column, width: int = 6) -> Column:
 
 
 def number_text(v: Column, precision: int | None = None) -> Column:
-    """A number as text, with a fixed number of digits after the point if one is given."""
-    return v.cast("string") if precision is None else F.format_string(f"%.{precision}f", v.cast("double"))
+    """A number as text, with a fixed number of digits after the point if one is given.
+
+    Digits are rounded by the exact binary value, halves to the even digit, and not by its shortest decimal form;
+    only numbers of less than 2 ** -9, 0 apart, are rounded by the latter.
+    """
+    if precision is None:
+        return v.cast("string")
+    v = v.cast("double")
+    one, bits = 10**precision, 1 << 62
+    size = F.abs(v)
+    whole = F.floor(size)
+    part = (size - whole) * float(bits)  # the fraction in units of 2 ** -62, exact
+    units = F.floor(part)
+    # units * 10 ** precision = digits * 2 ** 62 + rest, in long arithmetic by halves of 31 bits
+    high, low = F.shiftright(units, 31), units.bitwiseAND(F.lit((1 << 31) - 1))
+    top, bottom = high * one, low * one
+    middle = F.shiftleft(top.bitwiseAND(F.lit((1 << 31) - 1)), 31) + bottom
+    digits = F.shiftright(top, 31) + F.shiftright(middle, 62)
+    rest = middle.bitwiseAND(F.lit(bits - 1))
+    odd = (digits % 2 if precision else whole % 2) == 1
+    up = (rest > bits // 2) | ((rest == bits // 2) & (odd | (part != units)))
+    digits = digits + up.cast("int")
+    text = F.concat(F.when(v < 0, "-").otherwise(""), (whole + F.floor(digits / one)).cast("string"))
+    if precision:
+        text = F.concat(text, F.lit("."), F.lpad((digits % one).cast("string"), precision, "0"))
+    # long arithmetic holds for up to nine digits
+    return F.when((size < 9e15) & ((size == 0) | (size >= 2.0**-9)) & F.lit(precision <= 9), text).otherwise(F.format_string(f"%.{precision}f", v))
 
 
 def list_text(values: Column, separator: str = ";", precision: int | None = None) -> Column:
