@@ -202,7 +202,21 @@ NEAREST = f"WITH p AS (SELECT p_partkey AS point_id, CAST(p_partkey * 31 % {SIDE
 def q_stitch(s, d):
     r = fx.rings(s, d).select(F.expr("ring div 50").cast("string").alias("file"), F.lit("g").alias("group_name"), F.col("ring").cast("int").alias("ord"), F.lit("").alias("name"), "coords")
     out = vector.stitch_regions(r, 60.0)
-    return out.select("file", "ord", F.size("coords").cast(B).alias("n"), F.round(geom.area(F.col("coords")), 3).alias("area"))
+    return out.select("file", F.col("ord").cast(B).alias("ord"), F.size("coords").cast(B).alias("n"), F.round(geom.area(F.col("coords")), 3).alias("area"))
+
+
+_FAR = lambda a, b: f"(({a}.x - {b}.x) ** 2 + ({a}.y - {b}.y) ** 2 > 3600)"
+_ENDS = [_FAR("pts[-1]", "r.p[1]"), _FAR("pts[-1]", "r.p[-1]"), _FAR("pts[1]", "r.p[-1]"), _FAR("pts[1]", "r.p[1]")]
+_CODE = f"CASE WHEN NOT {_FAR('r.p[1]', 'r.p[-1]')} THEN 0 " + " ".join(f"WHEN NOT {far} THEN {i + 1}" for i, far in enumerate(_ENDS)) + " ELSE 0 END"
+_PTS = "STRUCT(x DOUBLE, y DOUBLE)[]"
+# one action a step: take the first region that is left, join the first that fits, or put out the region in hand
+STITCH = f"""WITH RECURSIVE g AS (SELECT ring, list({{'x': x, 'y': y}} ORDER BY ord) AS pts FROM ({VERTICES}) GROUP BY 1),
+s(file, todo, ord, pts, out_ord, out_pts) AS (SELECT CAST(ring // 50 AS VARCHAR), list({{'o': ring, 'p': pts}} ORDER BY ring), CAST(NULL AS BIGINT), CAST(NULL AS {_PTS}), CAST(NULL AS BIGINT), CAST(NULL AS {_PTS}) FROM g GROUP BY 1
+UNION ALL SELECT file, CASE WHEN ord IS NULL THEN todo[2:] WHEN k > 0 THEN list_concat(todo[:k - 1], todo[k + 1:]) ELSE todo END, CASE WHEN ord IS NULL THEN todo[1].o WHEN k > 0 THEN ord END,
+CASE WHEN ord IS NULL THEN todo[1].p WHEN k > 0 THEN CASE codes[k] WHEN 1 THEN list_concat(pts, todo[k].p) WHEN 2 THEN list_concat(pts, list_reverse(todo[k].p)) WHEN 3 THEN list_concat(todo[k].p, pts) ELSE list_concat(list_reverse(todo[k].p), pts) END END,
+CASE WHEN ord IS NOT NULL AND coalesce(k, 0) = 0 THEN ord END, CASE WHEN ord IS NOT NULL AND coalesce(k, 0) = 0 THEN pts END
+FROM (SELECT *, list_position(list_transform(codes, lambda c: c > 0), true) AS k FROM (SELECT *, CASE WHEN ord IS NOT NULL AND {_FAR("pts[1]", "pts[-1]")} THEN list_transform(todo, lambda r: {_CODE}) END AS codes FROM s)) WHERE ord IS NOT NULL OR len(todo) > 0)
+SELECT file, out_ord AS ord, len(out_pts) AS n, round(abs(0.5 * list_sum(list_transform(range(1, len(out_pts) + 1), lambda i: (out_pts[i].x + out_pts[i % len(out_pts) + 1].x) * (out_pts[i].y - out_pts[i % len(out_pts) + 1].y)))), 3) AS area FROM s WHERE out_ord IS NOT NULL"""
 
 
 def q_spline(s, d):
@@ -400,7 +414,7 @@ QUERIES = {
     "q_lookup": (q_lookup, LOOKUP),
     "q_accepted_files": (q_accepted_files, ACCEPTED),
     "q_nearest_segment": (q_nearest_segment, NEAREST),
-    "q_stitch": (q_stitch, None),
+    "q_stitch": (q_stitch, STITCH),
     "q_spline": (q_spline, _spline_sql(CLOSED, "ann_id", 4, 6)),
     "q_spline_open": (q_spline_open, _spline_sql(OPENED, "ring", 3, 4)),
     "q_simplify_nth": (q_simplify_nth, f"WITH v AS ({SERIES}), l AS (SELECT key, max(ord) AS last FROM v GROUP BY 1) SELECT v.key, CAST(ord AS BIGINT) AS ord FROM v JOIN l ON l.key = v.key WHERE ord % 5 = 0 OR ord = last"),
