@@ -186,3 +186,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("u", "c")
         if not changed:
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words each followed by one space in one flat array, and where each starts in it (with the end as last)."""
+    size = ends - starts
+    into = np.concatenate(([0], np.cumsum(size + 1)))
+    flat = np.full(int(into[-1]), 32, np.uint8)
+    flat[ranges(into[:-1], size)] = data[ranges(starts, size)]
+    return flat, into
+
+
+def row_texts(flat: np.ndarray, into: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The words of each row joined by one space; row i has words ``at[i] .. at[i + 1] - 1`` of :func:`joined_words`."""
+    raw, cuts = flat.tobytes(), into[at].tolist()
+    return [raw[a : max(a, b - 1)] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
