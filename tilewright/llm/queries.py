@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .pages import main_text
 from .periods import collapse_runs, planted, run_digests
 from .quality import fit, scored
+from .simhash import simhash_components
 from .substrings import dedup_substrings
 from .topk import top_k
 
@@ -61,10 +62,14 @@ def op10_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), share=0.8, epochs=2)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(collapse_runs(table(spark, sf_dir, "documents"), rebuild=planted))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op9_html_extraction, op10_mixing_to_weights, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op9_html_extraction, op10_mixing_to_weights, op11_simhash_near_dedup, op12_periodic_runs)}
 
