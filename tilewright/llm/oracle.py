@@ -60,6 +60,21 @@ e AS (SELECT s.*, CAST(t.i AS INT) AS epoch, floor(c.budget + 1e-6) - t.i * l.to
 SELECT doc_id, domain, lang, source, tokens, epoch, CAST(start AS BIGINT) AS start FROM e WHERE rest > 0 AND start < rest"""
 
 
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"
+
+TRIE = f"""WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, {CRC.format('conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, t.i, t.k, t.size FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i < c.h UNION ALL SELECT c.conv_id, t.i, t.k, t.size FROM c JOIN t USING (conv_id) WHERE t.i >= c.h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, k, size FROM r),
+p AS MATERIALIZED (SELECT conv_id, d, size, md5(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d)) AS path FROM o UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS MATERIALIZED (SELECT path, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(size) AS size FROM p GROUP BY 1),
+u AS MATERIALIZED (SELECT n.path, up.path AS above FROM n JOIN p ON p.path = n.path AND p.conv_id = n.conv_id LEFT JOIN p up ON up.conv_id = n.conv_id AND up.d = n.depth - 1),
+k AS (SELECT above AS path, count(*) AS n_children FROM u WHERE above IS NOT NULL GROUP BY 1),
+s AS (SELECT a.path, sum((n.n_convs - 1) * n.size) AS saved, count(*) FILTER (WHERE k.path IS NULL) AS leaves FROM n JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.depth LEFT JOIN k ON k.path = n.path GROUP BY 1),
+e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(path, d) AS path FROM p GROUP BY 1) GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256 FROM n JOIN u ON u.path = n.path LEFT JOIN n up ON up.path = u.above LEFT JOIN k ON k.path = n.path JOIN s ON s.path = n.path LEFT JOIN e ON e.path = n.path"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": TOP_K,
@@ -67,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": SUBSTRINGS,
         "op5_line_dedup": LINES,
         "op10_mixing_to_weights": MIX,
+        "op13_conversation_trie": TRIE,
     }

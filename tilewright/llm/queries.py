@@ -19,6 +19,7 @@ from .quality import fit, scored
 from .simhash import simhash_components
 from .substrings import dedup_substrings
 from .topk import top_k
+from .tries import paths, prefix_trie, shared_heads
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(collapse_runs(table(spark, sf_dir, "documents"), rebuild=planted))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(paths(table(spark, sf_dir, "conversations"), shared_heads))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op9_html_extraction, op10_mixing_to_weights, op11_simhash_near_dedup, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_suffix_array_dedup, op8_media_columns, op9_html_extraction, op10_mixing_to_weights, op11_simhash_near_dedup, op12_periodic_runs, op13_conversation_trie)}
 
