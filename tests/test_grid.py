@@ -57,7 +57,7 @@ def test_reconstruction_and_h_maxima(spark):
 
 def test_pyramid_of_a_constant_is_constant(spark):
     px = frame(spark, {(x, y): 7 for x in range(16) for y in range(8)})
-    got = raster.build_pyramid(px, 16, 8, 2, 2).groupBy("level").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count("*").alias("n")).collect()
+    got = raster.build_pyramid(px, spark.createDataFrame([("s", 16, 8)], "slide_id string, width int, height int"), 2, 2).groupBy("level").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count("*").alias("n")).collect()
     assert {(r.level, r.a, r.b, r.n) for r in got} == {(0, 7.0, 7.0, 128), (1, 7.0, 7.0, 32), (2, 7.0, 7.0, 8)}
 
 
@@ -93,6 +93,6 @@ def test_samples_and_spacing(spark):
     assert tiles.select(at.alias("v")).first().v == 9.0
     assert tiles.select(raster.with_sample(F.col("samples"), F.lit(0), F.lit(4.0))[0].alias("v")).first().v == 4.0
     assert raster.patch_min_max(raster.filled(tiles, 2.0)).first().min_value == 2.0
-    r = raster.region_with_spacing(raster.read_region(tiles, 0, 0, 4, 4, size=(4, 4)), 0.5, 0.25, 2.0).first()
+    r = raster.region_with_spacing(raster.read_region(tiles, 0, 0, 4, 4), 0.5, 0.25, 2.0).first()
     assert (r.spacing_x, r.spacing_y, r.min_value, r.max_value) == (1.0, 0.5, 0.0, 9.0)
     assert tiles.select(raster.physical_area(F.lit(8), F.lit(0.5), F.lit(0.5)).alias("a")).first().a == 2.0

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import catalog, morph, overlay, raster, vector
+from tilewright.operators import catalog, morph, overlay, packed, raster, vector
 from tilewright.plans import iterate
 from tilewright.sources import annotations
 
@@ -31,7 +31,7 @@ def layered(spark):
 def test_retile_keeps_levels_and_channels(spark):
     tiles = layered(spark)
     want = {tuple(r) for r in raster.to_pixels(tiles).collect()}
-    again = raster.retile(raster.retile(tiles, 3), 4)
+    again = packed.retiled(packed.retiled(tiles, 3), 4)
     got = {tuple(r) for r in raster.to_pixels(again).where("x < 8 and y < 8 and (level = 0 or (x < 4 and y < 4))").collect()}
     assert got == want
 
@@ -45,30 +45,14 @@ def test_large_tiles_are_linear(spark):
 
 def test_patches_of_levels_and_channels(spark):
     asked = spark.createDataFrame([(1, "s0", 0, 3, 2, 3, 2), (2, "s1", 1, 2, 1, 4, 1), (3, "s0", 1, 9, 9, 1, 1)], "request int, slide_id string, level int, x0 int, y0 int, w int, h int")
-    got = {(r.request, r.x, r.y, r.c): r.value for r in raster.extract_patches(layered(spark), asked, 4, 4).collect()}
+    got = {(r.request, r.x, r.y, r.c): r.value for r in raster.extract_patches(layered(spark), asked).collect()}
     want = {(1, x, y, c): 10.0 * x + y + 0.5 * c for x in (3, 4, 5) for y in (2, 3) for c in (0, 1)}
     want |= {(2, x, 1, c): 1500.0 + 10 * x + 1 + 0.5 * c for x in (2, 3) for c in (0, 1)}
     assert got == want
-    arrays = {r.request: (r.w, r.h, r.n_channels, list(r.samples)) for r in raster.patch_arrays(layered(spark), asked, 4, 4, fill=255.0).collect()}
+    arrays = {r.request: (r.w, r.h, r.n_channels, list(r.samples)) for r in raster.patch_arrays(layered(spark), asked, fill=255.0).collect()}
     assert arrays[2] == (4, 1, 2, [1521.0, 1521.5, 1531.0, 1531.5, 255, 255, 255, 255]) and arrays[3] == (1, 1, 2, [255, 255])
 
 
-def test_store_and_tiles_at_places(spark, tmp_path):
-    path = str(tmp_path / "store")
-    slides = spark.createDataFrame([("s0", 0.25, 0.5)], "slide_id string, spacing_x double, spacing_y double")
-    raster.write_store(layered(spark), path, slides)
-    levels = {(r.slide_id, r.level): (r.width, r.height, r.downsample) for r in spark.read.parquet(f"{path}/levels").collect()}
-    assert levels == {(s, level): (8 >> level, 8 >> level, 1.0 + level) for s in ("s0", "s1") for level in (0, 1)}
-    known = {(r.slide_id, r.c): (r.min_value, r.max_value, r.spacing_x) for r in spark.read.parquet(f"{path}/slides").collect()}
-    assert known[("s0", 1)] == (0.5, 77.5, 0.25) and known[("s1", 0)] == (1000.0, 1077.0, None)
-    new = spark.createDataFrame([("s0", 0, 1, 0, 4, 4, 2, [7.0] * 32), ("s0", 0, 5, 5, 4, 4, 2, [8.0] * 32)], TILES)
-    raster.write_tiles_at(new, f"{path}/tiles")
-    back = spark.read.parquet(f"{path}/tiles")
-    assert back.count() == 11
-    placed = {(r.tile_x, r.tile_y): r.samples[0] for r in back.where("slide_id = 's0' and level = 0").collect()}
-    assert placed == {(0, 0): 0.0, (1, 0): 7.0, (0, 1): 4.0, (1, 1): 44.0, (5, 5): 8.0}
-
-
 def test_slides_stay_apart(spark):
     ring = [(0, 0.0, 0.0), (1, 9.0, 0.0), (2, 9.0, 9.0), (3, 0.0, 9.0)]
     polygons = spark.createDataFrame([("a", 1, 3, ring), ("b", 2, 5, [(i, x + 4, y) for i, x, y in ring])], "slide_id string, ann_id int, label int, coords array<struct<ord:int,x:double,y:double>>")

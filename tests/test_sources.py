@@ -50,13 +50,6 @@ def test_statistics_csv_and_detections(spark, tmp_path):
     assert vector.points_to_annotation(px.select("slide_id", "x", "y")).first().name == "Detected nuclei"
 
 
-def test_tile_store(spark, tmp_path):
-    px = spark.createDataFrame([("s", x, y, float(x + y)) for x in range(8) for y in range(8)], "slide_id string, x bigint, y bigint, value double")
-    raster.write_tiles(raster.to_tiles(px, 4), str(tmp_path / "t"))
-    back = spark.read.parquet(str(tmp_path / "t"))
-    assert raster.to_pixels(back).agg(F.sum("value")).first()[0] == 448.0
-
-
 def test_running_statistics(spark, tmp_path):
     schema = "slide_id string, x bigint, y bigint, value int"
     src = str(tmp_path / "in")

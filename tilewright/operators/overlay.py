@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import hsv_to_rgb, rgb_to_hsv
+from ..plans.keyed import per_slide
 
 # The default colour lookup tables as (index, (red, green, blue, alpha)), and whether indices are relative.
 LUTS = {
@@ -24,38 +25,47 @@ def lut(spark: SparkSession, name: str) -> DataFrame:
 
 
 def best_level(levels: DataFrame, requests: DataFrame) -> DataFrame:
-    """(.., level): the level whose downsample is nearest to each request (slide_id, downsample); below 1 it is 0, ties go to the coarser."""
-    d = levels.select("slide_id", "level", F.col("downsample").alias("_d"))
-    key = F.struct(F.abs(F.col("_d") - F.col("downsample")), -F.col("level"))
-    names = requests.columns
-    out = requests.join(d, "slide_id").groupBy(*names).agg(F.min_by("level", key).alias("_l"))
-    return out.select(*names, F.when(F.col("downsample") < 1, 0).otherwise(F.col("_l")).alias("level"))
+    """(.., level): the level whose downsample is nearest to each request (slide_id, downsample); below 1 it is 0, ties go to the coarser.
+
+    Every request keeps its row; those of slides without levels go.
+    """
+    known = levels.groupBy("slide_id").agg(F.collect_list(F.struct("level", F.col("downsample").alias("d"))).alias("_levels"))  # a slide has few levels
+    near = F.array_min(F.transform("_levels", lambda v: F.struct(F.abs(v["d"] - F.col("downsample")).alias("far"), (-v["level"]).alias("n"))))
+    out = per_slide(requests, known)
+    return out.select(*requests.columns, F.when(F.col("downsample") < 1, 0).otherwise(-near["n"]).alias("level"))
 
 
 def colorize(pixels: DataFrame, table: DataFrame, value: str = "value", minmax: DataFrame | None = None) -> DataFrame:
     """red, green, blue, alpha (0 .. 255) of each value.
 
-    Each distinct value is coloured once and joined back.  A value takes the last index up to it; between two
-    indices colours are mixed in HSV and alpha linearly; beyond the ends the end colours hold.  With a relative table
-    values are first scaled by their slide's (min_value, max_value).
+    A value takes the last index up to it; between two indices colours are mixed in HSV and alpha linearly; beyond the ends the
+    end colours hold; an empty table gives 0.  With a relative table values are first scaled by their slide's (min_value, max_value);
+    where these are equal the last colour holds.  A null value has null colours.  The palette is a constant of the
+    plan, so no rows are shuffled.
     """
     relative = minmax is not None
-    keyed = pixels.join(minmax, "slide_id") if relative else pixels
-    keyed = keyed.withColumn("_v", ((F.col(value) - F.col("min_value")) / (F.col("max_value") - F.col("min_value"))) if relative else F.col(value).cast("double"))
-    # the table is a fixed palette; as one array column it is a constant of a few rows
-    palette = table.agg(F.array_sort(F.collect_list(F.struct("index_value", "r", "g", "b", "a"))).alias("p"))
-    seen = keyed.select("_v").distinct().crossJoin(F.broadcast(palette))
-    at = F.size(F.filter("p", lambda e: e["index_value"] <= F.col("_v")))
-    seen = seen.withColumn("at", at).withColumn("lo", F.element_at("p", F.greatest(F.col("at"), F.lit(1)))).withColumn("hi", F.element_at("p", F.least(F.greatest(F.col("at"), F.lit(1)) + F.when(F.col("at") > 0, 1).otherwise(0), F.size("p"))))
-    exact = (F.abs(F.col("_v") - F.col("lo.index_value")) <= 0.0001) | (F.col("at") == 0) | (F.col("at") == F.size("p"))
-    t = F.when(exact, 0.0).otherwise((F.col("_v") - F.col("lo.index_value")) / (F.col("hi.index_value") - F.col("lo.index_value")))
-    seen = seen.withColumn("t", t).withColumn("h0", rgb_to_hsv(*(F.col(f"lo.{c}") / 255.0 for c in "rgb"))).withColumn("h1", rgb_to_hsv(*(F.col(f"hi.{c}") / 255.0 for c in "rgb")))
-    mixed = [F.col(f"h0.{k}") * (1 - F.col("t")) + F.col(f"h1.{k}") * F.col("t") for k in "hsv"]
-    seen = seen.withColumn("c", hsv_to_rgb(*mixed))
-    whole = lambda mixed_, plain: F.when(exact, plain).otherwise(mixed_).cast("int")
+    keyed = per_slide(pixels, minmax.select("slide_id", "min_value", "max_value")) if relative else pixels
+    wide = F.col("max_value") - F.col("min_value")
+    scaled = F.when(wide != 0, (F.col(value) - F.col("min_value")) / wide).when(F.col(value).isNotNull(), F.lit(float("nan"))) if relative else F.col(value).cast("double")
+    # a fixed palette of a few rows
+    rows = sorted(tuple(r) for r in table.select("index_value", "r", "g", "b", "a").collect())
+    entry = lambda r: F.struct(*(F.lit(v).alias(n) for v, n in zip(r, ("index_value", "r", "g", "b", "a"), strict=True)), rgb_to_hsv(*(F.lit(v / 255.0) for v in r[1:4])).alias("hsv"))
+    n = len(rows)
+    if not n:
+        return keyed.select("*", *(F.when(F.col(value).isNotNull(), 0).alias(c) for c in ("red", "green", "blue", "alpha")))
+    out = keyed.withColumn("_v", scaled).withColumn("_p", F.array(*(entry(r) for r in rows)))
+    at = sum((F.col("_v") >= F.lit(r[0])).cast("int") for r in rows)
+    out = out.withColumn("_at", at).withColumn("_lo", F.element_at("_p", F.greatest(F.col("_at"), F.lit(1)))).withColumn("_hi", F.element_at("_p", F.least(F.col("_at") + 1, F.lit(n))))
+    exact = (F.abs(F.col("_v") - F.col("_lo.index_value")) <= 0.0001) | (F.col("_at") == 0) | (F.col("_at") == n)
+    t = F.when(exact, 0.0).otherwise((F.col("_v") - F.col("_lo.index_value")) / (F.col("_hi.index_value") - F.col("_lo.index_value")))
+    out = out.withColumn("_exact", exact).withColumn("_t", t)
+    mixed = [F.col(f"_lo.hsv.{k}") * (1 - F.col("_t")) + F.col(f"_hi.hsv.{k}") * F.col("_t") for k in "hsv"]
+    out = out.withColumn("_c", hsv_to_rgb(*mixed))
+    whole = lambda mixed_, plain: F.when(F.col("_v").isNotNull(), F.when(F.col("_exact"), plain).otherwise(mixed_)).cast("int")
     # a tiny lift before truncation keeps 255 * 1.0 at 255 whatever the rounding of HSV
-    color = seen.select("_v", *(whole(F.floor(F.col(f"c.{k}") * 255 + 1e-9), F.col(f"lo.{k}")).alias(n) for k, n in zip("rgb", ("red", "green", "blue"), strict=True)), whole(F.floor(F.col("lo.a") * (1 - F.col("t")) + F.col("hi.a") * F.col("t") + 1e-9), F.col("lo.a")).alias("alpha"))
-    return keyed.join(color, "_v").drop("_v")
+    colors = [whole(F.floor(F.col(f"_c.{k}") * 255 + 1e-9), F.col(f"_lo.{k}")).alias(name) for k, name in zip("rgb", ("red", "green", "blue"), strict=True)]
+    alpha = whole(F.floor(F.col("_lo.a") * (1 - F.col("_t")) + F.col("_hi.a") * F.col("_t") + 1e-9), F.col("_lo.a")).alias("alpha")
+    return out.select(*keyed.columns, *colors, alpha)
 
 
 def overlay(slides: DataFrame, results: DataFrame) -> DataFrame:

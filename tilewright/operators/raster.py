@@ -6,12 +6,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import written
+from ..plans.keyed import per_slide
 
 #: The least positive 32-bit float; the default lower bound keeps values above 0.
 FLT_MIN, FLT_MAX = 1.1754943508222875e-38, 3.4028234663852886e38
@@ -28,14 +31,14 @@ def to_pixels(tiles: DataFrame, *keep: str) -> DataFrame:
 def to_tiles(pixels: DataFrame, size: int = 512, channels: int = 1, fill: float = 0.0) -> DataFrame:
     """Pixels regrouped into size x size tiles; absent samples become ``fill``.
 
-    Pixels may carry their slide's ``n_channels``, else all have ``channels``.  A group is one tile, at most
+    Places left of or above the origin are in tiles with negative numbers.  Pixels may carry their slide's ``n_channels``, else all have ``channels``.  A group is one tile, at most
     size * size * channels samples, which are put in place by their flat index.
     """
     c = F.col("c") if "c" in pixels.columns else F.lit(0)
     level = F.col("level") if "level" in pixels.columns else F.lit(0)
     n = F.col("n_channels") if "n_channels" in pixels.columns else F.lit(channels)
-    at = ((F.col("y") % size) * size + F.col("x") % size) * n + c
-    keyed = pixels.select("slide_id", level.cast("int").alias("level"), F.expr(f"cast(x as bigint) div {size}").alias("tile_x"), F.expr(f"cast(y as bigint) div {size}").alias("tile_y"), n.cast("int").alias("n_channels"), at.cast("int").alias("at"), F.col("value").cast("double").alias("value"))
+    at = (F.pmod(F.col("y"), F.lit(size)) * size + F.pmod(F.col("x"), F.lit(size))) * n + c
+    keyed = pixels.select("slide_id", level.cast("int").alias("level"), F.floor(F.col("x") / size).cast("bigint").alias("tile_x"), F.floor(F.col("y") / size).cast("bigint").alias("tile_y"), n.cast("int").alias("n_channels"), at.cast("int").alias("at"), F.col("value").cast("double").alias("value"))
     keys = ["slide_id", "level", "tile_x", "tile_y", "n_channels"]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -47,11 +50,6 @@ def to_tiles(pixels: DataFrame, size: int = 512, channels: int = 1, fill: float
     return keyed.groupBy(*keys).applyInPandas(run, f"slide_id {slide}, level int, tile_x bigint, tile_y bigint, tile_w int, tile_h int, n_channels int, samples array<double>")
 
 
-def retile(tiles: DataFrame, size: int = 512, fill: float = 0.0) -> DataFrame:
-    """All slides, levels and channels in tiles of another size."""
-    return to_tiles(to_pixels(tiles, "n_channels"), size, fill=fill)
-
-
 def to_runs(pixels: DataFrame, keys: tuple[str, ...] = ("slide_id", "y")) -> DataFrame:
     """Runs of neighbouring pixels of a row: (slide_id, y, x0, x1); pixels must be distinct."""
     w = Window.partitionBy(*keys).orderBy("x")
@@ -87,47 +85,56 @@ def remove_labels_by(pixels: DataFrame, labels: DataFrame) -> DataFrame:
     return pixels.join(gone, "value", "left").withColumn("value", F.when((F.col("value") > 0) & F.col("gone").isNull(), F.col("value")).otherwise(F.lit(0))).drop("gone")
 
 
-def read_region(tiles: DataFrame, x: int, y: int, w: int, h: int, level: int = 0, downsample: float = 1.0, fill: float = 0.0, size: tuple[int, int] | None = None, channel_: int = 0) -> DataFrame:
-    """A dense w x h region at ``level`` whose origin (x, y) is in level-0 pixels: (slide_id, x, y, value).
+def tile_sizes(tiles: DataFrame) -> DataFrame:
+    """(slide_id, level, tile_w, tile_h) that occur; reads these columns only."""
+    return tiles.select("slide_id", "level", "tile_w", "tile_h").distinct()
 
-    Tiles are pruned by their keys before samples are unpacked.  Slides without a tile at the level give no rows.
-    """
-    import math
-
-    x0, y0 = math.floor(x / downsample + 0.5), math.floor(y / downsample + 0.5)
-    tw, th = size or (512, 512)
-    hit = tiles.where((F.col("level") == level) & F.col("tile_x").between(x0 // tw, (x0 + w - 1) // tw) & F.col("tile_y").between(y0 // th, (y0 + h - 1) // th))
-    found = to_pixels(hit).where((F.col("c") == channel_) & F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1))
-    slides = tiles.where(F.col("level") == level).select("slide_id").distinct()
-    dense = slides.select("slide_id", F.explode(F.sequence(F.lit(x0).cast("bigint"), F.lit(x0 + w - 1).cast("bigint"))).alias("x")).select("*", F.explode(F.sequence(F.lit(y0).cast("bigint"), F.lit(y0 + h - 1).cast("bigint"))).alias("y"))
-    return dense.join(found.select("slide_id", "x", "y", "value"), ["slide_id", "x", "y"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
 
+def read_region(tiles: DataFrame, x: int, y: int, w: int, h: int, level: int = 0, downsample: float = 1.0, fill: float = 0.0, channel_: int | None = 0) -> DataFrame:
+    """A dense w x h region at ``level`` whose origin (x, y) is in level-0 pixels: (slide_id, x, y, [c,] value).
 
-def tile_keys(boxes: DataFrame, tw: int, th: int) -> DataFrame:
-    """One row for each tile that a box (x0, y0, w, h) overlaps."""
+    One channel, or with None all channels of each slide.  Tiles are pruned by their keys and sizes before samples
+    are unpacked.  Slides without a tile at the level give no rows.
+    """
+    x0, y0 = math.floor(x / downsample + 0.5), math.floor(y / downsample + 0.5)
+    here = tiles.where(F.col("level") == level)
+    hit = here.where((F.col("tile_x") * F.col("tile_w") < x0 + w) & ((F.col("tile_x") + 1) * F.col("tile_w") > x0) & (F.col("tile_y") * F.col("tile_h") < y0 + h) & ((F.col("tile_y") + 1) * F.col("tile_h") > y0))
+    found = to_pixels(hit).where(F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1))
+    span = lambda a, n: F.explode(F.sequence(F.lit(a).cast("bigint"), F.lit(a + n - 1).cast("bigint")))
+    slides = here.groupBy("slide_id").agg(F.max("n_channels").alias("n"))
+    channels = F.array(F.lit(channel_)) if channel_ is not None else F.sequence(F.lit(0), F.col("n") - 1)
+    dense = slides.select("slide_id", F.explode(channels.cast("array<int>")).alias("c")).withColumn("x", span(x0, w)).withColumn("y", span(y0, h))
+    keys = ["slide_id", "x", "y", "c"]
+    out = dense.join(found.select(*keys, "value"), keys, "left").withColumn("value", F.coalesce("value", F.lit(fill)))
+    return out.select("slide_id", "x", "y", "value") if channel_ is not None else out.select(*keys, "value")
+
+
+def tile_keys(boxes: DataFrame, tw: Column | int, th: Column | int) -> DataFrame:
+    """One row for each tile that a box (x0, y0, w, h) overlaps; tile sizes are numbers or columns of the boxes."""
     span = lambda start, size, step: F.sequence(F.floor(F.col(start) / step), F.floor((F.col(start) + F.col(size) - 1) / step))
     return boxes.where("w > 0 and h > 0").withColumn("tile_x", F.explode(span("x0", "w", tw))).withColumn("tile_y", F.explode(span("y0", "h", th)))
 
 
-def extract_patches(tiles: DataFrame, requests: DataFrame, tw: int, th: int) -> DataFrame:
+def extract_patches(tiles: DataFrame, requests: DataFrame) -> DataFrame:
     """Pixels of many boxes (request, slide_id, [level,] x0, y0, w, h) by an equi-join on tile keys: (request, x, y, c, value).
 
-    Boxes are in pixels of their level, by default 0.
+    Boxes are in pixels of their level, by default 0; each meets the tile sizes that its slide has at that level.
     """
     asked = requests if "level" in requests.columns else requests.withColumn("level", F.lit(0))
-    hit = tile_keys(asked, tw, th).join(tiles, ["slide_id", "level", "tile_x", "tile_y"])
+    keyed = tile_keys(asked.join(tile_sizes(tiles), ["slide_id", "level"]), F.col("tile_w"), F.col("tile_h"))
+    hit = keyed.join(tiles, ["slide_id", "level", "tile_x", "tile_y", "tile_w", "tile_h"])
     px = hit.select("request", "x0", "y0", "w", "h", "tile_x", "tile_y", "tile_w", "tile_h", "n_channels", F.posexplode("samples").alias("i", "value"))
     p = F.expr("i div n_channels")
     px = px.select("request", "x0", "y0", "w", "h", (F.col("tile_x") * F.col("tile_w") + p % F.col("tile_w")).alias("x"), (F.col("tile_y") * F.col("tile_h") + F.expr("(i div n_channels) div tile_w")).alias("y"), (F.col("i") % F.col("n_channels")).alias("c"), F.col("value").cast("double").alias("value"))
     return px.where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h").select("request", "x", "y", "c", "value")
 
 
-def patch_arrays(tiles: DataFrame, requests: DataFrame, tw: int, th: int, fill: float = 0.0) -> DataFrame:
+def patch_arrays(tiles: DataFrame, requests: DataFrame, fill: float = 0.0) -> DataFrame:
     """(request, w, h, n_channels, samples): every box of an existing level as a dense (h, w, channel) array, absent pixels filled."""
     asked = requests if "level" in requests.columns else requests.withColumn("level", F.lit(0))
     channels = tiles.groupBy("slide_id", "level").agg(F.max("n_channels").cast("int").alias("n_channels"))
     boxes = asked.join(channels, ["slide_id", "level"]).select("request", F.col("x0").cast("bigint").alias("x0"), F.col("y0").cast("bigint").alias("y0"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "n_channels")
-    rows = boxes.join(extract_patches(tiles, asked, tw, th), "request", "left")
+    rows = boxes.join(extract_patches(tiles, asked), "request", "left")
     at = ((F.col("y") - F.col("y0")) * F.col("w") + F.col("x") - F.col("x0")) * F.col("n_channels") + F.col("c")
     rows = rows.select("request", "w", "h", "n_channels", at.alias("at"), "value")
 
@@ -141,14 +148,14 @@ def patch_arrays(tiles: DataFrame, requests: DataFrame, tw: int, th: int, fill:
     return rows.groupBy("request", "w", "h", "n_channels").applyInPandas(run, f"request {kind}, w int, h int, n_channels int, samples array<double>")
 
 
-def patches_with_spacing(tiles: DataFrame, requests: DataFrame, levels: DataFrame, slides: DataFrame, tw: int, th: int) -> DataFrame:
+def patches_with_spacing(tiles: DataFrame, requests: DataFrame, levels: DataFrame, slides: DataFrame) -> DataFrame:
     """:func:`extract_patches` with the spacing at each request's level and the extremes of its slide's channel.
 
     levels: slide_id, level, downsample; slides: slide_id, spacing_x, spacing_y of level 0.
     """
     at = requests.select("request", "slide_id", "level").join(levels.select("slide_id", "level", "downsample"), ["slide_id", "level"]).join(slides.select("slide_id", "spacing_x", "spacing_y"), "slide_id")
     at = at.select("request", "slide_id", (F.col("spacing_x") * F.col("downsample")).alias("spacing_x"), (F.col("spacing_y") * F.col("downsample")).alias("spacing_y"))
-    return extract_patches(tiles, requests, tw, th).join(at, "request").join(channel_extremes(tiles), ["slide_id", "c"])
+    return extract_patches(tiles, requests).join(at, "request").join(channel_extremes(tiles), ["slide_id", "c"])
 
 
 def label_statistics(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -182,36 +189,49 @@ def patch_min_max(tiles: DataFrame, channel_: int | None = None) -> DataFrame:
 
 
 def downscale(pixels: DataFrame, d: int = 2, interpolation: str = "linear", integer: bool = False) -> DataFrame:
-    """Blocks of d x d pixels become their mean (truncated for integer samples) or their top left pixel."""
+    """Blocks of d x d pixels become their mean (truncated for integer samples) or their top left pixel.
+
+    Blocks are formed inside all further columns, such as slide, level and channel.
+    """
+    keys = [c for c in pixels.columns if c not in ("x", "y", "value")]
+    x, y = (F.floor(F.col(c) / d).cast("bigint").alias(c) for c in ("x", "y"))
     if interpolation == "nearest":
-        return pixels.where((F.col("x") % d == 0) & (F.col("y") % d == 0)).withColumn("x", F.expr(f"x div {d}")).withColumn("y", F.expr(f"y div {d}"))
+        return pixels.where((F.col("x") % d == 0) & (F.col("y") % d == 0)).select(*keys, x, y, "value")
     mean = F.avg("value")
     mean = F.when(mean >= 0, F.floor(mean)).otherwise(F.ceil(mean)).cast("bigint") if integer else mean
-    return pixels.groupBy("slide_id", F.expr(f"x div {d}").alias("x"), F.expr(f"y div {d}").alias("y")).agg(mean.alias("value"))
+    return pixels.groupBy(*keys, x, y).agg(mean.alias("value"))
+
 
+def level_count(width: Column, factor: int = 2, most: int = -1) -> Column:
+    """Levels above the base: ``most``, or as many as bring the width at or just above 1024, whichever is nearer to it.
 
-def level_count(width: int, factor: int = 2, most: int = -1) -> int:
-    """Levels of a pyramid: halved until the width is at most 1024, one less if the width before is nearer to it."""
+    The first width at or below 1024 is the last level's, unless twice that width is nearer to 1024.
+    """
     if most >= 0:
-        return most
-    levels, low = 1, width
-    while low > 1024:
-        low //= factor
-        levels += 1
-    if abs(1024.0 - low) > abs(1024.0 - low * 2):
-        levels -= 1
-    return levels
-
-
-def build_pyramid(pixels: DataFrame, width: int, height: int, factor: int = 2, max_levels: int = -1, interpolation: str = "linear", integer: bool = False) -> DataFrame:
-    """All levels, each from the one before: (slide_id, level, x, y, value); level n is floor(width / factor ** n) wide."""
-    level = pixels.select("slide_id", "x", "y", "value")
-    out = level.withColumn("level", F.lit(0))
-    for n in range(1, level_count(width, factor, max_levels) + (max_levels >= 0)):
+        return F.lit(most)
+    wider = lambda k: F.floor(width / F.pow(F.lit(float(factor)), k)) > 1024
+    k = F.size(F.filter(F.sequence(F.lit(0), F.lit(62)), wider))
+    low = F.floor(width / F.pow(F.lit(float(factor)), k))
+    return F.greatest(k - F.when((low > 0) & (3 * low < 2048), 1).otherwise(0), F.lit(0)).cast("int")
+
+
+def build_pyramid(pixels: DataFrame, sizes: DataFrame, factor: int = 2, max_levels: int = -1, interpolation: str = "linear", integer: bool = False) -> DataFrame:
+    """All levels, each from the one before: (slide_id, level, [c,] x, y, value); sizes: slide_id, width, height.
+
+    Level n of a slide is floor(width / factor ** n) wide; slides end at their own level.  Only pixels that are there count.
+    For packed tiles see :mod:`pyramid`, which needs no pixel rows.
+    """
+    keys = ["slide_id", *(c for c in ("c",) if c in pixels.columns)]
+    known = sizes.select("slide_id", F.col("width").alias("_w"), F.col("height").alias("_h"), level_count(F.col("width"), factor, max_levels).alias("_n"))
+    level = per_slide(pixels.select(*keys, "x", "y", "value"), known)
+    out = level.select(*keys, "x", "y", "value", F.lit(0).alias("level"))
+    top = known.agg(F.max("_n")).first()[0] or 0
+    for n in range(1, top + 1):
+        inside = (F.col("_n") >= n) & (F.col("x") < F.floor(F.col("_w") / factor**n)) & (F.col("y") < F.floor(F.col("_h") / factor**n))
         # written, so that a level is made from the one before and not from the base again
-        level = written(downscale(level, factor, interpolation, integer).where((F.col("x") < width // factor**n) & (F.col("y") < height // factor**n)), "level")
-        out = out.unionByName(level.withColumn("level", F.lit(n)))
-    return out
+        level = written(downscale(level.where(F.col("_n") >= n), factor, interpolation, integer).where(inside), "level")
+        out = out.unionByName(level.select(*keys, "x", "y", "value", F.lit(n).alias("level")))
+    return out.select("slide_id", "level", *keys[1:], "x", "y", "value")
 
 
 def box_intersects(a: str, b: str) -> Column:
@@ -245,33 +265,6 @@ def scale_samples(tiles: DataFrame, op: str, k: float) -> DataFrame:
     return tiles.withColumn("samples", F.transform("samples", apply))
 
 
-def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Tiles partitioned by slide and level and sorted by tile, so that regions prune files and row groups."""
-    tiles.repartition("slide_id", "level", F.expr("tile_y div 16")).sortWithinPartitions("tile_y", "tile_x").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slide_id", "level").parquet(path)
-
-
-def write_store(tiles: DataFrame, path: str, slides: DataFrame | None = None) -> None:
-    """A multi-resolution store: ``tiles``, ``levels`` (size, downsample) and ``slides`` (extremes of each channel, spacing).
-
-    slides: slide_id, spacing_x, spacing_y.
-    """
-    write_tiles(tiles, f"{path}/tiles")
-    levels_of(tiles).write.mode("overwrite").parquet(f"{path}/levels")
-    known = channel_extremes(tiles)
-    known = known.join(slides, "slide_id", "left") if slides is not None else known.withColumn("spacing_x", F.lit(None).cast("double")).withColumn("spacing_y", F.lit(None).cast("double"))
-    known.select("slide_id", "c", "min_value", "max_value", "spacing_x", "spacing_y").write.mode("overwrite").parquet(f"{path}/slides")
-
-
-def write_tiles_at(tiles: DataFrame, path: str) -> None:
-    """Put tiles at their places (level, tile_x, tile_y) of a store's ``tiles``; only the levels that they touch are rewritten."""
-    spark, columns = tiles.sparkSession, tiles.columns
-    have = spark.read.parquet(path).withColumn("level", F.col("level").cast("int")).withColumn("slide_id", F.col("slide_id").cast("string")).select(*columns)
-    touched = have.join(tiles.select("slide_id", "level").distinct(), ["slide_id", "level"], "left_semi")
-    kept = touched.join(tiles.select("slide_id", "level", "tile_x", "tile_y"), ["slide_id", "level", "tile_x", "tile_y"], "left_anti")
-    # written, as the same folders are read and replaced
-    write_tiles(written(kept.select(*columns).unionByName(tiles), "placed"), path)
-
-
 def region_with_spacing(region: DataFrame, spacing_x: float, spacing_y: float, downsample: float = 1.0) -> DataFrame:
     """A region with its spacing (um a pixel at its level) and its slide's extremes inside it."""
     known = min_max(region)

@@ -22,29 +22,65 @@ def _shared(a: DataFrame, b: DataFrame) -> tuple[str, ...]:
     return ("slide_id",) if "slide_id" in a.columns and "slide_id" in b.columns else ()
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, rule: str = "winding", exact: bool = False, cell: int = 64, shared: tuple[str, ...] | None = None) -> DataFrame:
+#: Side of the smallest cells, how many cells make a cell of the next level, and the highest level.
+CELL, WIDER, TOP = 64, 8, 6
+
+
+def _by_row(e: DataFrame, cell: int) -> DataFrame:
+    """Edges once for every row of cells that they cross."""
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    return e.where("ay <> by").withColumn("_cy", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+
+
+def border_cells(polygons: DataFrame, exact: bool = False, cell: int = CELL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(ann_id, .., _cx, _cy): cells in which the side of an edge can change; along an edge, not over its whole box.
+
+    Side tests that are truncated to integers need a whole unit, so cells that far left of an edge belong to it as well.
+    """
+    e = edges(polygons, *keep)
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    rows = e.withColumn("_cy", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    flat = F.col("ay") == F.col("by")
+    at = lambda y: F.when(flat, F.col("ax")).otherwise(F.col("ax") + (y - F.col("ay")) / F.when(flat, 1.0).otherwise(F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")))
+    p, q = at(F.greatest(low, F.col("_cy") * cell)), at(F.least(high, (F.col("_cy") + 1) * cell))
+    slack = F.lit(0.0) if exact else F.when(flat, 0.0).otherwise(1 / F.when(flat, 1.0).otherwise(high - low))
+    # a little wider than the crossing, against rounding
+    left = F.when(flat, F.least("ax", "bx")).otherwise(F.least(p, q)) - slack - 1e-6
+    right = F.when(flat, F.greatest("ax", "bx")).otherwise(F.greatest(p, q)) + 1e-6
+    return rows.withColumn("_cx", F.explode(F.sequence(F.floor(left / cell), F.floor(right / cell)))).select("ann_id", *keep, "_cx", "_cy").distinct()
+
+
+def wide_cells(runs: DataFrame, keep: list[str]) -> DataFrame:
+    """Runs of cells (_from .. _to of a row) as few cells of several levels: (.., _lvl, _cx); a cell of level k is WIDER ** k cells wide."""
+    size = lambda k: F.pow(F.lit(float(WIDER)), k)
+    low = lambda k: F.ceil(F.col("_from") / size(k)).cast("bigint")
+    high = lambda k: (F.floor((F.col("_to") + 1) / size(k)) - 1).cast("bigint")
+    at = runs.withColumn("_lvl", F.explode(F.sequence(F.lit(0), F.lit(TOP))))
+    k = F.col("_lvl")
+    at = at.select(*keep, "_lvl", low(k).alias("a"), high(k).alias("b"), low(k + 1).alias("c"), high(k + 1).alias("d")).where("a <= b")
+    covered = (F.col("c") <= F.col("d")) & (F.col("_lvl") < TOP)
+    span = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
+    cells = F.when(covered, F.concat(span(F.col("a"), F.col("c") * WIDER - 1), span((F.col("d") + 1) * WIDER, F.col("b")))).otherwise(span(F.col("a"), F.col("b")))
+    return at.select(*keep, "_lvl", F.explode(cells).alias("_cx"))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, rule: str = "winding", exact: bool = False, cell: int = CELL, shared: tuple[str, ...] | None = None) -> DataFrame:
     """(.., x, y, ann_id): points inside polygons of the same slide, if both tables have slide_id (or the ``shared`` columns).
 
-    Boxes of polygons are cut into cells and points join by cell, so no pair is formed outside a shared cell and no
-    vertices travel with it.  Edges are cut by rows of cells; each pair meets the edges of its polygon in its row only,
-    and turns add up by (point, polygon) with partial sums.  With ``exact``, cells that no edge touches are settled
-    once for all their points.  The box is strict and side tests are truncated to integers unless ``exact``.
-    Equal points count once.
+    Cells that an edge touches (their number grows with the border) are tested point by point, against the edges of the
+    polygon in that row of cells, and turns add up by (point, polygon) with partial sums.  What lies between them in a row of
+    cells is inside or outside as a whole: its first centre is tested once, and inside runs become cells of up to seven
+    sizes, which points join by one key for each size that occurs.  No vertices travel with the cells.  The box is strict and
+    side tests are truncated to integers unless ``exact``.  Equal points count once.
     """
     shared = _shared(points, polygons) if shared is None else shared
     names = points.columns
-    box = geom.bbox(F.col("coords"))
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    boxed = polygons.select("ann_id", *shared, box.alias("box")).select("ann_id", *shared, "box.*")
-    cells = boxed.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
-    e = edges(polygons, *shared)
-    low, high = F.least("ay", "by"), F.greatest("ay", "by")
-    by_row = e.where("ay <> by").withColumn("_cy", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
-    keyed = points.distinct().withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    by_row = _by_row(edges(polygons, *shared), cell)
     px, py = F.col("x"), F.col("y")
-    inside = (px > F.col("x0")) & (px < F.col("x1")) & (py > F.col("y0")) & (py < F.col("y1"))
+    boxed = polygons.withColumn("_b", geom.bbox(F.col("coords")))
+    inside = (px > F.col("_b.x0")) & (px < F.col("_b.x1")) & (py > F.col("_b.y0")) & (py < F.col("_b.y1"))
     if exact:
-        inside = (px >= F.col("x0")) & (px <= F.col("x1")) & (py >= F.col("y0")) & (py <= F.col("y1"))
+        inside = (px >= F.col("_b.x0")) & (px <= F.col("_b.x1")) & (py >= F.col("_b.y0")) & (py <= F.col("_b.y1"))
     cross = (F.col("bx") - F.col("ax")) * (py - F.col("ay")) - (px - F.col("ax")) * (F.col("by") - F.col("ay"))
     side = cross if exact else cross.cast("int")
     up, down = (F.col("ay") <= py) & (F.col("by") > py), (F.col("ay") > py) & (F.col("by") <= py)
@@ -59,17 +95,21 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, rule: str = "wind
     def tested(pairs: DataFrame, keys: list[str]) -> DataFrame:
         return pairs.join(by_row, [*shared, "ann_id", "_cy"]).groupBy(*keys).agg(F.sum(turn).alias("_t")).where(hit).drop("_t")
 
-    if not exact:
-        near = keyed.join(cells, [*shared, "_cx", "_cy"]).where(inside).select(*names, "ann_id", "_cy")
-        return tested(near, [*names, "ann_id"])
-    # cells that an edge's box touches need a test for each point; the others are inside or outside as their centre is
-    spread = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
-    mixed = e.withColumn("_cx", spread("ax", "bx")).withColumn("_cy", spread("ay", "by")).select(*shared, "ann_id", "_cx", "_cy").distinct().withColumn("_mixed", F.lit(True))
-    cells = cells.join(mixed, [*shared, "ann_id", "_cx", "_cy"], "left")
-    centres = cells.where("_mixed is null").select(*shared, "ann_id", "_cx", "_cy", ((F.col("_cx") + 0.5) * cell).alias("x"), ((F.col("_cy") + 0.5) * cell).alias("y"))
-    whole = tested(centres, [*shared, "ann_id", "_cx", "_cy"])
-    near = keyed.join(cells.where("_mixed").drop("_mixed"), [*shared, "_cx", "_cy"]).where(inside).select(*names, "ann_id", "_cy")
-    return tested(near, [*names, "ann_id"]).unionByName(keyed.join(whole, [*shared, "_cx", "_cy"]).select(*names, "ann_id"))
+    own = [*shared, "ann_id"]
+    border = written(border_cells(boxed, exact, cell, (*shared, "_b")), "border")
+    row = Window.partitionBy(*own, "_cy").orderBy("_cx")
+    gaps = border.select(*own, "_cy", (F.lag("_cx").over(row) + 1).alias("_from"), (F.col("_cx") - 1).alias("_to")).where("_from <= _to")
+    centres = gaps.withColumn("x", (F.col("_from") + 0.5) * cell).withColumn("y", (F.col("_cy") + 0.5) * cell)
+    runs = tested(centres, [*own, "_cy", "_from", "_to"])
+    whole = written(wide_cells(runs, [*own, "_cy"]), "cells")
+    sizes = sorted(r._lvl for r in whole.select("_lvl").distinct().collect())  # at most TOP + 1 numbers
+    keyed = points.distinct().withColumn("_cx", F.floor(px / cell)).withColumn("_cy", F.floor(py / cell))
+    near = keyed.join(border, [*shared, "_cx", "_cy"]).where(inside).select(*names, "ann_id", "_cy")
+    out = tested(near, [*names, "ann_id"])
+    if not sizes:
+        return out
+    wide = keyed.withColumn("_lvl", F.explode(F.array(*(F.lit(k) for k in sizes)))).withColumn("_cx", F.floor(F.col("_cx") / F.pow(F.lit(float(WIDER)), F.col("_lvl"))).cast("bigint"))
+    return out.unionByName(wide.join(whole, [*shared, "_lvl", "_cx", "_cy"]).select(*names, "ann_id"))
 
 
 def named_labels(annotations: DataFrame, name_to_label: DataFrame | None, groups: DataFrame | None = None) -> DataFrame:
@@ -149,8 +189,9 @@ def drop_groups(annotations: DataFrame, groups: DataFrame, names: DataFrame) ->
 
 
 def move_members(annotations: DataFrame, moves: DataFrame) -> DataFrame:
-    """New groups for annotations listed in moves (ann_id, new_group)."""
-    out = annotations.join(moves.select("ann_id", "new_group"), "ann_id", "left")
+    """New groups for annotations listed in moves ([slide_id,] ann_id, new_group); if both tables know their slide, inside it."""
+    keys = [*_shared(annotations, moves), "ann_id"]
+    out = annotations.join(moves.select(*keys, "new_group"), keys, "left")
     return out.withColumn("group_name", F.coalesce("new_group", "group_name")).drop("new_group").select(*annotations.columns)
 
 
@@ -177,22 +218,23 @@ def without(annotations: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def nearest_shape(points: DataFrame, polygons: DataFrame, tolerance: float) -> DataFrame:
-    """Per point (point_id, x, y): the nearest vertex, else the nearest edge, within the tolerance.
+    """Per point ([slide_id,] point_id, x, y): the nearest vertex, else the nearest edge, within the tolerance.
 
-    Edges join points by cells of twice the tolerance, each edge's box widened by the tolerance.
+    If both tables know their slide, a point only meets the shapes of its own.  Edges join points by cells of twice the tolerance, each edge's box widened by the tolerance.
     """
     cell = max(2 * tolerance, 1.0)
-    e = edges(polygons)
+    shared = _shared(points, polygons)
+    e = edges(polygons, *shared)
     low = lambda a, b: F.floor((F.least(a, b) - tolerance) / cell)
     high = lambda a, b: F.floor((F.greatest(a, b) + tolerance) / cell)
     cells = e.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
-    near = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(cells, ["cx", "cy"])
+    near = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(cells, [*shared, "cx", "cy"])
     c = F.col
     near = near.withColumn("v2", geom.dist2(c("x"), c("y"), c("ax"), c("ay"))).withColumn("e2", geom.segment_dist2(c("ax"), c("ay"), c("bx"), c("by"), c("x"), c("y")))
     limit = tolerance * tolerance
     best = near.where((c("v2") <= limit) | (c("e2") <= limit))
     key = F.when(c("v2") <= limit, F.struct(F.lit(0).alias("kind"), c("v2").alias("d2"), c("ann_id"), c("i"))).otherwise(F.struct(F.lit(1).alias("kind"), c("e2").alias("d2"), c("ann_id"), c("i")))
-    return best.groupBy("point_id").agg(F.min(key).alias("b")).select("point_id", "b.kind", "b.ann_id", "b.i", "b.d2")
+    return best.groupBy(*shared, "point_id").agg(F.min(key).alias("b")).select(*shared, "point_id", "b.kind", "b.ann_id", "b.i", "b.d2")
 
 
 def stitch_regions(regions: DataFrame, closing_distance: float = 30.0) -> DataFrame:

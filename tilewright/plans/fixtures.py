@@ -63,6 +63,18 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAYERS = "SELECT 's' || (label % 2) AS slide_id, CAST(l.i AS INT) AS level, vec_id % 25 * 4 + t.i // 2 % 4 AS x, vec_id // 25 * 8 + t.i // 8 AS y, t.i % 2 AS c, CAST(embedding[t.i + 1] AS DOUBLE) * (1 - 2 * l.i) AS value FROM embeddings, range(64) t(i), range(2) l(i) WHERE l.i = 0 OR vec_id % 4 = 0"
 
 
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three slides of unequal size with two channels in 4 x 8 tiles, of which two thirds are absent: base level only."""
+    e = table(spark, sf_dir, "embeddings")
+    wide = 10 + 5 * (F.col("label") % 3)
+    at = e.select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("slide_id"), F.lit(0).alias("level"), (F.col("vec_id") % wide).cast("bigint").alias("tile_x"), F.floor(F.col("vec_id") / wide).cast("bigint").alias("tile_y"), "vec_id", "embedding")
+    return at.select("slide_id", "level", "tile_x", "tile_y", F.lit(4).alias("tile_w"), F.lit(8).alias("tile_h"), F.lit(2).alias("n_channels"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("double")).alias("samples"), "vec_id")
+
+
+_WIDE = "(10 + 5 * (label % 3))"
+MOSAICS = f"SELECT 'm' || (label % 3) AS slide_id, vec_id, vec_id % {_WIDE} * 4 + t.i // 2 % 4 AS x, vec_id // {_WIDE} * 8 + t.i // 8 AS y, t.i % 2 AS c, floor(CAST(embedding[t.i + 1] AS DOUBLE) * 1000) AS value FROM embeddings, range(64) t(i)"
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quads of suppliers: key, group, label, centre and half sizes."""
     s, n = table(spark, sf_dir, "supplier"), side(spark, sf_dir)

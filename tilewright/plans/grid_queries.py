@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import morph, overlay, raster, tilewise
+from ..operators import morph, overlay, packed, pyramid, raster, tilewise
 from . import fixtures as fx
 from .fixtures import GRID, LABELLED, LAYERS, MOSAIC, SIDE
 
@@ -118,7 +118,7 @@ def q_downscale_nearest(s, d):
 
 def q_pyramid(s, d):
     px = raster.to_pixels(fx.tiles(s, d)).select("slide_id", "x", "y", F.floor(F.col("value") * 1000).alias("value"))
-    return raster.build_pyramid(px, *_size(fx.tiles(s, d)), 2, 3, integer=True).select("slide_id", F.col("level").cast(B).alias("level"), F.col("x").cast(B).alias("x"), F.col("y").cast(B).alias("y"), F.col("value").cast(B).alias("value"))
+    return raster.build_pyramid(px, pyramid.sizes_of(fx.tiles(s, d)), 2, 3, integer=True).select("slide_id", F.col("level").cast(B).alias("level"), F.col("x").cast(B).alias("x"), F.col("y").cast(B).alias("y"), F.col("value").cast(B).alias("value"))
 
 
 HIGH = "(SELECT (max(vec_id) // 25 + 1) * 8 FROM embeddings)"
@@ -134,7 +134,7 @@ PYRAMID = f"WITH l0 AS ({L0}), l1 AS ({L1}), l2 AS ({L2}), l3 AS ({L3}) " + " UN
 
 
 def q_region(s, d):
-    return raster.read_region(fx.tiles(s, d), 37, 21, 60, 50, size=(8, 8)).select("slide_id", "x", "y", F.round("value", 6).alias("value"))
+    return raster.read_region(fx.tiles(s, d), 37, 21, 60, 50).select("slide_id", "x", "y", F.round("value", 6).alias("value"))
 
 
 REGION = f"SELECT 'm' AS slide_id, g.x, g.y, round(coalesce(m.value, 0), 6) AS value FROM (SELECT a.i AS x, b.i AS y FROM range(37, 97) a(i), range(21, 71) b(i)) g LEFT JOIN ({MOSAIC}) m ON m.x = g.x AND m.y = g.y"
@@ -149,7 +149,7 @@ REQUESTS = "SELECT s_suppkey AS request, s_suppkey * 7 % 180 AS x0, s_suppkey *
 
 
 def q_patches(s, d):
-    got = raster.extract_patches(fx.tiles(s, d), _requests(s, d), 8, 8)
+    got = raster.extract_patches(fx.tiles(s, d), _requests(s, d))
     return got.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.max("value"), 6).alias("top"))
 
 
@@ -162,12 +162,12 @@ ASKED = f"SELECT request, 's' || (request % 2) AS slide_id, request % 3 % 2 AS l
 
 
 def q_patches_layers(s, d):
-    got = raster.extract_patches(fx.layers(s, d), _asked(s, d), 4, 8)
+    got = raster.extract_patches(fx.layers(s, d), _asked(s, d))
     return got.groupBy("request", F.col("c").cast(B).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 def q_patch_arrays(s, d):
-    got = raster.patch_arrays(fx.layers(s, d), _asked(s, d), 4, 8, fill=255.0)
+    got = raster.patch_arrays(fx.layers(s, d), _asked(s, d), fill=255.0)
     return got.select("request", F.size("samples").cast(B).alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda t, v: t + v), 5).alias("total"), F.round(F.aggregate(F.transform("samples", lambda v, i: v * i), F.lit(0.0), lambda t, v: t + v), 4).alias("placed"))
 
 
@@ -178,7 +178,7 @@ def q_patches_spacing(s, d):
     t = fx.layers(s, d)
     slides = t.select("slide_id").distinct().withColumn("spacing_x", F.lit(0.25)).withColumn("spacing_y", F.lit(0.5))
     levels = t.select("slide_id", "level").distinct().withColumn("downsample", F.pow(F.lit(2.0), F.col("level")))
-    got = raster.patches_with_spacing(t, _asked(s, d), levels, slides, 4, 8)
+    got = raster.patches_with_spacing(t, _asked(s, d), levels, slides)
     return got.groupBy("request", F.col("c").cast(B).alias("c"), "spacing_x", "spacing_y", F.round("min_value", 6).alias("min_value"), F.round("max_value", 6).alias("max_value")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -187,7 +187,7 @@ SPACED = f"WITH m AS (SELECT slide_id, c, min(value) AS lo, max(value) AS hi FRO
 
 
 def q_retile_layers(s, d):
-    t = raster.retile(fx.layers(s, d), 16)
+    t = packed.retiled(fx.layers(s, d), 16)
     odd = F.filter("samples", lambda v, i: i % 2 == 1)
     return t.select("slide_id", F.col("level").cast(B).alias("level"), "tile_x", "tile_y", F.col("n_channels").cast(B).alias("n_channels"), F.size("samples").cast(B).alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 5).alias("total"), F.round(F.aggregate(odd, F.lit(0.0), lambda a, v: a + v), 5).alias("second"))
 
@@ -217,7 +217,7 @@ def q_coverage(s, d):
 
 
 def q_retile(s, d):
-    t = raster.retile(fx.tiles(s, d), 16)
+    t = packed.retiled(fx.tiles(s, d), 16)
     return t.select("tile_x", "tile_y", F.size("samples").cast(B).alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
