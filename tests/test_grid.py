@@ -43,10 +43,10 @@ def test_components_across_bands(spark, monkeypatch, neighbours):
 
 def test_distance_is_exact_and_capped(spark):
     src = {(3, 2): 1, (9, 7): 1}
-    got = {(r.x, r.y): r.d for r in morph.distance_transform(frame(spark, src), 12, 10).collect()}
+    got = {(r.x, r.y): r.d for r in morph.distance_transform(frame(spark, src), (12, 10)).collect()}
     assert len(got) == 120
     assert all(d == min(abs(x - a) + abs(y - b) for a, b in src) for (x, y), d in got.items())
-    assert max(r.d for r in morph.distance_transform(frame(spark, src), 12, 10, cap=3).collect()) == 3
+    assert max(r.d for r in morph.distance_transform(frame(spark, src), (12, 10), cap=3).collect()) == 3
 
 
 def test_reconstruction_and_h_maxima(spark):
@@ -79,7 +79,7 @@ def test_default_threshold_excludes_zero(spark):
 
 def test_sobel_of_a_ramp(spark):
     px = frame(spark, {(x, y): 2 * x for x in range(6) for y in range(5)})
-    got = {(r.x, r.y): (r.gx, r.gy) for r in morph.sobel(px, 6, 5).collect()}
+    got = {(r.x, r.y): (r.gx, r.gy) for r in morph.sobel(px, (6, 5)).collect()}
     assert got[(2, 2)] == (16.0, 0.0) and got[(0, 2)] == (8.0, 0.0)
 
 

@@ -177,10 +177,10 @@ def test_nuclei_by_value(spark):
         y, x = np.mgrid[0:34, 0:40]
         image += np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 8)
     df = spark.createDataFrame([("s", x, y, float(image[y, x])) for y in range(34) for x in range(40)], "slide_id string, x bigint, y bigint, value double")
-    got = {r.label: (round(r.x, 6), round(r.y, 6)) for r in morph.detect_nuclei(df, 40, 34, h=0.1, beta=0.05, radii=(2.0, 4.0, 1.0)).collect()}
+    got = {r.label: (round(r.x, 6), round(r.y, 6)) for r in morph.detect_nuclei(df, (40, 34), h=0.1, beta=0.05, radii=(2.0, 4.0, 1.0)).collect()}
     assert got == nuclei_by_numpy(image, [2.0, 3.0, 4.0], 0.1, 2.0, 0.05) and len(got) >= 3
-    tiled = morph.radial_symmetry(df, [2.0], 2.0, 0.05, 40, 34, tile=16).agg(F.sum("value")).first()[0]
-    assert tiled > morph.radial_symmetry(df, [2.0], 2.0, 0.05, 40, 34).agg(F.sum("value")).first()[0]
+    tiled = morph.radial_symmetry(df, [2.0], 2.0, 0.05, (40, 34), tile=16).agg(F.sum("value")).first()[0]
+    assert tiled > morph.radial_symmetry(df, [2.0], 2.0, 0.05, (40, 34)).agg(F.sum("value")).first()[0]
 
 
 def test_labels_by_name_and_lookup_table(spark):

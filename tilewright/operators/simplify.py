@@ -1,7 +1,7 @@
 """Polyline simplification of ordered series: (key, ord, x, y) in, the kept rows out.
 
 Methods whose next key depends on the last one are one linear pass over a key's sorted points in a grouped task; Douglas-Peucker
-works round by round on the points of all keys at once, each of which knows its segment.  Series of fewer
+solves segments that fit a task whole, and splits longer ones by rounds over the points of all keys at once.  Series of fewer
 than three points, and tolerances of 0, are copied.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,12 +111,28 @@ def opheim(df: DataFrame, min_tol: float, max_tol: float) -> DataFrame:
     return _per_key(df, pick)
 
 
-def douglas_peucker(df: DataFrame, tol: float, radial: bool = True) -> DataFrame:
+#: Points of a segment that one task solves whole.
+FIT = 1 << 16
+
+
+def _furthest(x: np.ndarray, y: np.ndarray, a: int, b: int) -> tuple[float, int]:
+    """Squared distance and place of the first of the points furthest from the segment a .. b, strictly between its ends."""
+    vx, vy = x[b] - x[a], y[b] - y[a]
+    px, py = x[a + 1 : b], y[a + 1 : b]
+    cw, cv = (px - x[a]) * vx + (py - y[a]) * vy, vx * vx + vy * vy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(cw <= 0, 0.0, np.where(cv <= cw, 1.0, cw / cv))
+    d2 = (px - x[a] - t * vx) ** 2 + (py - y[a] - t * vy) ** 2
+    k = int(d2.argmax())
+    return float(d2[k]), a + 1 + k
+
+
+def douglas_peucker(df: DataFrame, tol: float, radial: bool = True, fit: int = FIT) -> DataFrame:
     """Splits at the furthest point while it is further than the tolerance, after a radial pass with the same tolerance.
 
-    Each point carries the ends of its segment.  A round takes one furthest point of every open segment of all keys, and
-    hands its points on to the two halves by an equi-join on the segment; points of closed segments drop out.
-    Rounds grow with the depth of the splits, not with the number of keys.
+    Each point carries the ends of its segment.  Segments of at most ``fit`` points are solved whole by one task each, many to a
+    batch.  Only longer ones are split by rounds: a round takes one furthest point of each and hands its points on to the two
+    halves by an equi-join on the segment, until the halves fit or close.
     """
     if tol == 0:
         return df.select("key", "ord", "x", "y")
@@ -124,20 +141,44 @@ def douglas_peucker(df: DataFrame, tol: float, radial: bool = True) -> DataFrame
     n = F.row_number().over(w.orderBy("ord"))
     c = F.col
     pts = written(base.select("key", "ord", c("x").cast("double").alias("x"), c("y").cast("double").alias("y"), n.alias("n"), F.count(F.lit(1)).over(w).alias("m")), "points")
-    ends = lambda i, s: pts.where(i).select("key", c("n").alias(s), c("x").alias(f"{s}x"), c("y").alias(f"{s}y"))
-    kept = [pts.where("n = 1 or n = m").select("key", "ord", "x", "y")]
-    open_ = pts.where("n > 1 and n < m").drop("m").join(ends("n = 1", "a"), "key").join(ends("n = m", "b"), "key")
-    while True:
+    key = df.schema["key"].dataType.simpleString()
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        """The kept points of one segment, whose ends are among the rows."""
+        rows = rows.sort_values("n")
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        keep, open_ = [], [(0, len(x) - 1)]
+        while open_:
+            a, b = open_.pop()
+            if b > a + 1:
+                d2, k = _furthest(x, y, a, b)
+                if d2 > tol * tol:
+                    keep.append(k)
+                    open_ += [(a, k), (k, b)]
+        return rows.iloc[sorted(keep)][["key", "ord", "x", "y"]]
+
+    def all_solved(segments: DataFrame) -> DataFrame:
+        """Segments (key, a, b, ord, x, y, n) with the points at their ends."""
+        kind = pts.schema["ord"].dataType.simpleString()
+        return segments.select("key", "a", "b", "ord", "x", "y", "n").groupBy("key", "a", "b").applyInPandas(solved, f"key {key}, ord {kind}, x double, y double")
+
+    kept = [pts.where("n = 1 or n = m").select("key", "ord", "x", "y"), all_solved(pts.where(c("m") <= fit).withColumn("a", F.lit(1)).withColumn("b", c("m")))]
+    large = pts.where(c("m") > fit)
+    ends = lambda i, s: large.where(i).select("key", c("n").alias(s), c("x").alias(f"{s}x"), c("y").alias(f"{s}y"))
+    open_ = large.where("n > 1 and n < m").drop("m").join(ends("n = 1", "a"), "key").join(ends("n = m", "b"), "key")
+    while open_.limit(1).count():
         d2 = segment_dist2(c("ax"), c("ay"), c("bx"), c("by"), c("x"), c("y"))
         far = open_.groupBy("key", "a", "b").agg(F.max(F.struct(d2.alias("d2"), (-c("n")).alias("n"), "x", "y")).alias("f")).where(c("f.d2") > tol * tol)
         split = open_.join(far.select("key", "a", "b", (-c("f.n")).alias("k"), c("f.x").alias("kx"), c("f.y").alias("ky")), ["key", "a", "b"])
         side = lambda s, first: F.when((c("n") < c("k")) == F.lit(first), c(f"{s}")).otherwise
         halves = [side(f"a{e}", True)(c(f"k{e}")).alias(f"a{e}") for e in ("", "x", "y")] + [side(f"b{e}", False)(c(f"k{e}")).alias(f"b{e}") for e in ("", "x", "y")]
         split = written(split.select("key", "ord", "x", "y", "n", *halves, (c("n") == c("k")).alias("top")), "split")
-        if not split.limit(1).count():
-            break
         kept.append(split.where("top").select("key", "ord", "x", "y"))
-        open_ = split.where("not top").drop("top")
+        rest = split.where("not top").drop("top")
+        fits = rest.where(c("b") - c("a") + 1 <= fit)
+        at = lambda s: fits.select("key", "a", "b", F.lit(None).cast(pts.schema["ord"].dataType).alias("ord"), c(f"{s}x").alias("x"), c(f"{s}y").alias("y"), c(s).alias("n")).distinct()  # noqa: B023, E731
+        kept.append(all_solved(fits.select("key", "a", "b", "ord", "x", "y", "n").unionByName(at("a")).unionByName(at("b"))))
+        open_ = rest.where(c("b") - c("a") + 1 > fit)
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
@@ -195,11 +236,13 @@ def douglas_peucker_n(df: DataFrame, n: int) -> DataFrame:
         keys = {0, len(p) - 1}
         heap: list = []
 
+        x, y = (np.array(v, float) for v in zip(*p, strict=True))
+
         def push(a: int, b: int) -> None:
             if b > a + 1:
-                d, k = max((_segment(p[a], p[b], p[i]), -i) for i in range(a + 1, b))
+                d, k = _furthest(x, y, a, b)
                 if d > 0:
-                    heapq.heappush(heap, (-d, -k, a, b))
+                    heapq.heappush(heap, (-d, k, a, b))
 
         push(0, len(p) - 1)
         while heap and len(keys) < n:

@@ -6,46 +6,77 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-KEYS = ["slide_id", "level", "tile_x", "tile_y", "tile_w", "tile_h", "n_channels"]
-TILE = "slide_id string, level int, tile_x bigint, tile_y bigint, tile_w int, tile_h int, n_channels int"
+from .packed import KEYS, tile_schema
+
+Image = np.ndarray
+
+
+def _tile(df: DataFrame, more: str = "") -> str:
+    """The schema of tiles with the slide's own type, and further columns before the samples."""
+    return tile_schema(df).replace(", samples", f"{more}, samples")
+
+
+def _refused(image: Image, requires: Callable[[Image], str | None] | None) -> None:
+    """Ends the job with the message that ``requires`` gives for an image it does not accept."""
+    if requires and (why := requires(image)):
+        raise ValueError(f"tile refused: {why}")
+
+
+def channels(*accepted: int) -> Callable[[Image], str | None]:
+    """A requirement on the number of channels."""
+    return lambda image: None if image.shape[2] in accepted else f"{image.shape[2]} channels, not {accepted}"
 
 
 def _image(row) -> np.ndarray:
     return np.asarray(row.samples).reshape(row.tile_h, row.tile_w, row.n_channels)
 
 
-def tile_map(tiles: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``fn`` maps each tile's (h, w, c) array to one of the same height and width."""
+def tile_map(tiles: DataFrame, fn: Callable[[Image], Image], requires: Callable[[Image], str | None] | None = None) -> DataFrame:
+    """``fn`` maps each tile's (h, w, c) array to one of the same height and width.
+
+    ``requires`` says what is wrong with an array that ``fn`` can't take, or gives None; a tile that it refuses, and a result of another size, end the job.
+    """
+
+    def checked(image: Image) -> Image:
+        _refused(image, requires)
+        made = np.asarray(fn(image), float)
+        if made.shape[:2] != image.shape[:2]:
+            raise ValueError(f"a tile of {image.shape[:2]} became one of {made.shape[:2]}")
+        return made
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [np.asarray(fn(_image(r)), float) for r in batch.itertuples(index=False)]
+            made = [checked(_image(r)) for r in batch.itertuples(index=False)]
             out = batch[KEYS].copy()
             out["n_channels"] = [m.shape[2] if m.ndim == 3 else 1 for m in made]
             out["samples"] = [m.ravel() for m in made]
             yield out
 
-    return tiles.select(*KEYS, "samples").mapInPandas(run, TILE + ", samples array<double>")
+    return tiles.select(*KEYS, "samples").mapInPandas(run, tile_schema(tiles))
 
 
-def tile_flat_map(tiles: DataFrame, fn: Callable[[np.ndarray, int, int], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn(image, x0, y0)`` gives any number of rows for each tile; slide_id is put in front."""
+def tile_flat_map(tiles: DataFrame, fn: Callable[[Image, int, int], pd.DataFrame], schema: str, requires: Callable[[Image], str | None] | None = None) -> DataFrame:
+    """``fn(image, x0, y0)`` gives any number of rows for each tile; slide_id is put in front.  ``requires`` as in :func:`tile_map`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                rows = fn(_image(r), r.tile_x * r.tile_w, r.tile_y * r.tile_h)
+                image = _image(r)
+                _refused(image, requires)
+                rows = fn(image, r.tile_x * r.tile_w, r.tile_y * r.tile_h)
                 rows.insert(0, "slide_id", r.slide_id)
                 yield rows
 
-    return tiles.select(*KEYS, "samples").mapInPandas(run, "slide_id string, " + schema)
+    return tiles.select(*KEYS, "samples").mapInPandas(run, f"slide_id {tiles.schema['slide_id'].dataType.simpleString()}, {schema}")
 
 
 def with_halo(tiles: DataFrame, k: int, fill: float = 0.0) -> DataFrame:
-    """Tiles widened by k samples of their neighbours on each side, so that filters have no seams; k up to a tile's size.
+    """Tiles widened by k samples of their neighbours on each side, so that filters have no seams; a k over a tile's size is an error.
 
     Each tile goes whole to itself, and to its eight neighbours only as the strip or corner of width k that they need;
     one group per tile has at most nine rows.
@@ -56,6 +87,8 @@ def with_halo(tiles: DataFrame, k: int, fill: float = 0.0) -> DataFrame:
             out = []
             for r in batch.itertuples(index=False):
                 image, h, w = _image(r), r.tile_h, r.tile_w
+                if k > min(h, w):
+                    raise ValueError(f"a halo of {k} is wider than tiles of {w} x {h}")
                 for dy, ys in ((-1, slice(0, k)), (0, slice(0, h)), (1, slice(h - k, h))):
                     for dx, xs in ((-1, slice(0, k)), (0, slice(0, w)), (1, slice(w - k, w))):
                         part = image[ys, xs]
@@ -76,5 +109,32 @@ def with_halo(tiles: DataFrame, k: int, fill: float = 0.0) -> DataFrame:
         out["tile_w"], out["tile_h"], out["samples"] = m.tile_w + 2 * k, m.tile_h + 2 * k, [wide.ravel()]
         return out
 
-    sent = tiles.select(*KEYS, "samples").mapInPandas(strips, TILE + ", own boolean, top int, left int, rows int, columns int, samples array<double>")
-    return sent.groupBy("slide_id", "level", "tile_x", "tile_y").applyInPandas(join, TILE + ", samples array<double>")
+    sent = tiles.select(*KEYS, "samples").mapInPandas(strips, _tile(tiles, ", own boolean, top int, left int, rows int, columns int"))
+    return sent.groupBy("slide_id", "level", "tile_x", "tile_y").applyInPandas(join, tile_schema(tiles))
+
+
+def register_tile_function(spark: SparkSession, name: str, fn: Callable[[Image, int, int], list[tuple]], schema: str, requires: Callable[[Image], str | None] | None = None) -> None:
+    """A table function for SQL: ``SELECT * FROM name(TABLE(tiles) PARTITION BY slide_id, tile_y)``.
+
+    ``fn(image, x0, y0)`` gives the rows of a tile, of the columns in ``schema``; slide_id, with the type it has in the table, is put in
+    front.  The table must have the columns of tiles (checked when the query is analysed), in any order and beside others.
+    """
+    columns = T.StructType.fromDDL(schema)
+
+    class TileFunction:
+        @staticmethod
+        def analyze(tiles: AnalyzeArgument) -> AnalyzeResult:
+            if not tiles.isTable:
+                raise ValueError(f"{name} takes a table of tiles: {name}(TABLE(..))")
+            missing = [c for c in (*KEYS, "samples") if c not in tiles.dataType.fieldNames()]
+            if missing:
+                raise ValueError(f"{name} needs the columns {missing}")
+            return AnalyzeResult(T.StructType([T.StructField("slide_id", tiles.dataType["slide_id"].dataType), *columns.fields]))
+
+        def eval(self, tile: T.Row):
+            image = np.asarray(tile["samples"]).reshape(tile["tile_h"], tile["tile_w"], tile["n_channels"])
+            _refused(image, requires)
+            for row in fn(image, tile["tile_x"] * tile["tile_w"], tile["tile_y"] * tile["tile_h"]):
+                yield (tile["slide_id"], *row)
+
+    spark.udtf.register(name, udtf(TileFunction))

@@ -77,13 +77,13 @@ def q_components_8(s, d):
 def q_distance(s, d):
     src = fx.grid(s, d).where("value >= 4")
     n = fx.side(s, d)
-    return morph.distance_transform(src, n, n).select("slide_id", "x", "y", F.col("d").cast(B).alias("d"))
+    return morph.distance_transform(src, (n, n)).select("slide_id", "x", "y", F.col("d").cast(B).alias("d"))
 
 
 def q_distance_within(s, d):
     src = fx.grid(s, d).where("value >= 4")
     n = fx.side(s, d)
-    return morph.within(morph.distance_transform(src, n, n), 3).groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"))
+    return morph.within(morph.distance_transform(src, (n, n)), 3).groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 DISTANCE = f"""WITH s AS (SELECT slide_id, x, y FROM ({GRID}) WHERE value >= 4), g AS (SELECT t.slide_id, a.i AS x, b.i AS y FROM (SELECT DISTINCT slide_id FROM s) t, (SELECT unnest(range({SIDE})) AS i) a, (SELECT unnest(range({SIDE})) AS i) b)
@@ -252,7 +252,7 @@ def _dense(s, d):
 
 def q_sobel(s, d):
     px, width, height = _dense(s, d)
-    return morph.sobel(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), width, height).select("slide_id", "x", "y", _unsigned_zero(F.round("gx", 5)).alias("gx"), _unsigned_zero(F.round("gy", 5)).alias("gy"))
+    return morph.sobel(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), (width, height)).select("slide_id", "x", "y", _unsigned_zero(F.round("gx", 5)).alias("gx"), _unsigned_zero(F.round("gy", 5)).alias("gy"))
 
 
 CELLS = f"SELECT a.i AS x, b.i AS y, floor(round(coalesce(m.value, 0), 6) * 1000) AS v FROM (SELECT unnest(range(200)) AS i) a, (SELECT unnest(range({HIGH})) AS i) b LEFT JOIN ({MOSAIC}) m ON m.x = a.i AND m.y = b.i"
@@ -262,7 +262,7 @@ SOBEL = CLAMP + " SELECT 'm' AS slide_id, x, y, CASE WHEN gx = 0 THEN 0.0::DOUBL
 
 def q_gradients(s, d):
     px, width, height = _dense(s, d)
-    g = morph.gradients(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), width, height)
+    g = morph.gradients(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), (width, height))
     return g.select("slide_id", "x", "y", F.round("mag", 5).alias("mag"), _unsigned_zero(F.round("ux", 5)).alias("ux"), _unsigned_zero(F.round("uy", 5)).alias("uy"))
 
 
@@ -271,7 +271,7 @@ GRADIENTS = f"SELECT slide_id, x, y, round(sqrt(gx * gx + gy * gy), 5) AS mag, C
 
 def q_blur(s, d):
     px, width, height = _dense(s, d)
-    b = morph.blur(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), 3.0, width, height)
+    b = morph.blur(px.withColumn("value", F.floor(F.col("value") * 1000).cast("double")), 3.0, (width, height))
     return b.select("slide_id", "x", "y", _unsigned_zero(F.round("value", 5)).alias("value"))
 
 
@@ -280,7 +280,7 @@ BLUR = CLAMP + " SELECT 'm' AS slide_id, x, y, CASE WHEN round(s, 5) = 0 THEN 0.
 
 def q_vote(s, d):
     g = fx.grid(s, d).select("slide_id", "x", "y", (F.col("x") % 3 - 1).cast("double").alias("ux"), (F.col("y") % 3 - 1).cast("double").alias("uy"))
-    return _whole(morph.votes(g, 2.0, fx.side(s, d), fx.side(s, d)), "slide_id", "x", "y", "n")
+    return _whole(morph.votes(g, 2.0, (fx.side(s, d), fx.side(s, d))), "slide_id", "x", "y", "n")
 
 
 VOTE = f"SELECT slide_id, greatest(0, least({SIDE} - 1, x + 2 * (x % 3 - 1))) AS x, greatest(0, least({SIDE} - 1, y + 2 * (y % 3 - 1))) AS y, count(*) AS n FROM ({GRID}) GROUP BY 1, 2, 3"
@@ -288,7 +288,7 @@ VOTE = f"SELECT slide_id, greatest(0, least({SIDE} - 1, x + 2 * (x % 3 - 1))) AS
 
 def q_symmetry(s, d):
     px, width, height = _dense(s, d)
-    out = morph.radial_symmetry(px, [2.0, 3.0], 2.0, 0.05, width, height)
+    out = morph.radial_symmetry(px, [2.0, 3.0], 2.0, 0.05, (width, height))
     return out.select("slide_id", "x", "y", F.round("value", 6).alias("value"))
 
 
@@ -326,7 +326,7 @@ HMAX = f"WITH RECURSIVE p AS MATERIALIZED (SELECT a.i AS x, b.i AS y, round(coal
 
 def q_boundary(s, d):
     n = fx.side(s, d)
-    return _whole(morph.outer_boundary(fx.grid(s, d).where("value > 2").withColumn("value", F.lit(1)), n, n), "slide_id", "x", "y", "label")
+    return _whole(morph.outer_boundary(fx.grid(s, d).where("value > 2").withColumn("value", F.lit(1)), (n, n)), "slide_id", "x", "y", "label")
 
 
 BOUNDARY = REACH.replace("value > 1.5", "value > 2").replace("abs(a.x - b.x) + abs(a.y - b.y) = 1", "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)") + f""",
@@ -337,7 +337,8 @@ SELECT DISTINCT n.slide_id, n.x, n.y, n.label FROM n JOIN o ON o.slide_id = n.sl
 
 
 def q_nuclei(s, d):
-    out = morph.detect_nuclei(*_dense(s, d), radii=(2.0, 3.0, 1.0))
+    px, width, height = _dense(s, d)
+    out = morph.detect_nuclei(px, (width, height), radii=(2.0, 3.0, 1.0))
     return out.select("slide_id", "label", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
