@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import packed, pyramid, raster, store
 from tilewright.plans.keyed import per_slide
+from tilewright.streaming import store as arrivals
 
 TILES = "slide_id string, level int, tile_x bigint, tile_y bigint, tile_w int, tile_h int, n_channels int, samples array<double>"
 
@@ -73,9 +74,9 @@ def test_retiling_cuts_tiles(spark):
     tiles = [tile("a", x, y, x * 7 + y, 3, 6, 5) for x in range(-1, 3) for y in range(2)]
     df = spark.createDataFrame(tiles, TILES)
     px = lambda t: {(r.slide_id, r.x, r.y, r.c): r.value for r in raster.to_pixels(t).collect()}
-    again = px(packed.retiled(df, 7, -99.0))
-    assert {k: v for k, v in again.items() if k in px(df)} == px(df)
-    assert {v for k, v in again.items() if k not in px(df)} == {-99.0}
+    before, again = px(df), px(packed.retiled(df, 7, -99.0))
+    assert {k: v for k, v in again.items() if k in before} == before
+    assert {v for k, v in again.items() if k not in before} == {-99.0}
 
 
 def test_any_writes_equal_one_write(spark, tmp_path):
@@ -170,3 +171,30 @@ def test_rows_of_a_slide_are_spread(spark):
     slides = spark.createDataFrame([("s", 5)], "slide_id string, width int")
     with_width = per_slide(rows, slides)
     assert with_width.columns == ["slide_id", "id", "width"] and with_width.count() == 1000
+
+
+def test_streams_into_the_store_and_statistics(spark, tmp_path):
+    """A batch that Spark hands over once more changes neither the store nor the sums."""
+    path, sums = str(tmp_path / "s"), str(tmp_path / "labels")
+    store.create(spark, path, max_levels=1)
+    px = lambda rows: spark.createDataFrame(rows, "slide_id string, x bigint, y bigint, value int")
+    count = arrivals.labels_into(sums)
+    for number, rows in [(0, [("s", 1, 2, 3), ("s", 3, 4, 3)]), (1, [("s", 5, 0, 3), ("t", 1, 1, 0)]), (1, [("s", 5, 0, 3), ("t", 1, 1, 0)])]:
+        count(px(rows), number)
+    want = {("s", 3.0, 3.0, 2.0, 3)}
+    assert {tuple(r) for r in arrivals.labels_so_far(spark, sums).collect()} == want
+    assert arrivals.fold_labels(spark, sums) == 1
+    count(px([("s", 1, 1, 7)]), 2)
+    assert {tuple(r) for r in arrivals.labels_so_far(spark, sums).collect()} == want | {("s", 7.0, 1.0, 1.0, 1)}
+    # a stream of files of tiles; its second run finds its batches committed
+    spark.createDataFrame([tile("s", x, 0, x) for x in range(3)], TILES).write.parquet(str(tmp_path / "in"))
+
+    def run(checkpoint):
+        arriving = spark.readStream.schema(TILES).parquet(str(tmp_path / "in"))
+        arriving.writeStream.foreachBatch(arrivals.tiles_into(path, "files")).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination()
+        return state(spark, path)
+
+    first = run("one")
+    assert {k for k in first[0] if k[1] == 0} == {("s", 0, x, 0) for x in range(3)}
+    files = {f for f in (tmp_path / "s" / "tiles").rglob("*.parquet")}
+    assert run("two") == first and files == {f for f in (tmp_path / "s" / "tiles").rglob("*.parquet")}

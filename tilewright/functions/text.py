@@ -13,6 +13,19 @@ def trim_control(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"^[\x00-\x20]+", ""), r"[\x00-\x20]+$", "")
 
 
+def lowered(s: Column) -> Column:
+    return F.lower(s)
+
+
+def raised(s: Column) -> Column:
+    return F.upper(s)
+
+
+def replaced(s: Column, old: str, new: str) -> Column:
+    """Every occurrence of a text, from left to right."""
+    return F.replace(s, F.lit(old), F.lit(new))
+
+
 def split_regex(s: Column, pattern: str) -> Column:
     return F.split(s, pattern)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..plans.iterate import written
 from ..plans.keyed import per_slide
-from .packed import KEYS, PIECE, batches_of, images, keyed, pieces_schema, tile_schema
+from .packed import AT_ONCE, KEYS, PIECE, batches_of, images, keyed, pieces_schema, tile_schema
 from .raster import level_count
 
 STRIDE = 4
@@ -53,18 +53,29 @@ def pieces(tiles: DataFrame, d: int, interpolation: str, integer: bool) -> DataF
     return keyed(tiles).mapInArrow(run, pieces_schema(tiles))
 
 
-def _stacked(parts: DataFrame, d: int, stride: int, interpolation: str, integer: bool) -> DataFrame:
-    """Tiles of up to ``stride`` levels from the pieces of the first one; pieces carry _n, their slide's last level."""
+def stacked(parts: DataFrame, d: int, start: int, stride: int, interpolation: str, integer: bool) -> DataFrame:
+    """Tiles of the levels start + 1 .. start + stride from pieces of any of these levels; pieces carry _n, their slide's last level.
+
+    Pieces of one slide must not overlap: a tile comes as itself or by what lies below it.
+    """
     schema = tile_schema(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # for each level above the pieces': the key of the open tile, its last level, and its samples
+        # for each level: the key of the open tile, its slide's last level, and its samples
         open_: list[tuple | None] = [None] * stride
 
-        def place(k: int, key: tuple, last: int, at: tuple[int, int], part: np.ndarray) -> Iterator[tuple]:
-            if open_[k] is None or open_[k][0] != key:
-                if open_[k] is not None:
-                    yield from finish(k)
+        def above(key: tuple, k: int) -> tuple:
+            """The key of a tile's ancestor, k levels up."""
+            slide, level, tx, ty, *rest = key
+            return (slide, level + k, tx // d**k, ty // d**k, *rest)
+
+        def place(key: tuple, last: int, at: tuple[int, int], part: np.ndarray) -> Iterator[tuple]:
+            k = key[1] - start - 1
+            # what the piece does not lie in has got all its children
+            for j in range(stride):
+                if open_[j] is not None and (j < k or above(key, j - k) != open_[j][0]):
+                    yield from finish(j)
+            if open_[k] is None:
                 open_[k] = (key, last, np.zeros((key[5], key[4], key[6])))
             open_[k][2][at[0] : at[0] + part.shape[0], at[1] : at[1] + part.shape[1]] = part
 
@@ -72,10 +83,9 @@ def _stacked(parts: DataFrame, d: int, stride: int, interpolation: str, integer:
             key, last, image = open_[k]
             open_[k] = None
             yield (*key, image)
-            slide, level, tx, ty, w, h, n = key
-            if k + 1 < stride and level < last:
-                small = reduced(image, d, interpolation, integer)
-                yield from place(k + 1, (slide, level + 1, tx // d, ty // d, w, h, n), last, (ty % d * (h // d), tx % d * (w // d)), small)
+            if k + 1 < stride and key[1] < last:
+                h, w = key[5] // d, key[4] // d
+                yield from place(above(key, 1), last, (key[3] % d * h, key[2] % d * w), reduced(image, d, interpolation, integer))
 
         kind: list[pa.DataType] = []
 
@@ -86,7 +96,7 @@ def _stacked(parts: DataFrame, d: int, stride: int, interpolation: str, integer:
                 samples = batch.column(12)
                 for i, key in enumerate(zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True)):
                     top, left, rows, columns, last = places[i]
-                    yield from place(0, key, last, (top, left), np.asarray(samples[i].values).reshape(rows, columns, key[6]))
+                    yield from place(key, last, (top, left), np.asarray(samples[i].values).reshape(rows, columns, key[6]))
             for k in range(stride):
                 if open_[k] is not None:
                     yield from finish(k)
@@ -95,21 +105,21 @@ def _stacked(parts: DataFrame, d: int, stride: int, interpolation: str, integer:
         for row in tiles():
             held.append(row)
             size += row[-1].size
-            if size >= 1 << 20:
+            if size >= AT_ONCE:
                 yield from batches_of(kind[0], iter(held))
                 held, size = [], 0
         if held:
             yield from batches_of(kind[0], iter(held))
 
+    # where the child behind a piece lies, in tiles of the lowest level: along the Z curve of these, parts of a tile follow each other
+    power = lambda k: F.pow(F.lit(float(d)), k)
+    child = lambda tile, at, step: (F.col(tile) * d + F.floor(F.col(at) / F.col(step))) * power(F.col("level") - 1 - start)
+    placed = parts.select(*KEYS, *PIECE, "_n", "samples", child("tile_x", "left", "columns").cast("bigint").alias("_x"), child("tile_y", "top", "rows").cast("bigint").alias("_y"))
     level = lambda c, k: F.floor(F.col(c) / d**k)
-    curve = [level(c, k) for k in range(stride - 1, 0, -1) for c in ("tile_y", "tile_x")] + ["tile_y", "tile_x"]
-    dealt = parts.select(*KEYS, *PIECE, "_n", "samples").repartition("slide_id", level("tile_x", stride - 1), level("tile_y", stride - 1))
-    return dealt.sortWithinPartitions("slide_id", *curve, "tile_w", "tile_h", "n_channels").mapInArrow(run, schema)
-
-
-def parents(tiles: DataFrame, d: int = 2, interpolation: str = "linear", integer: bool = False) -> DataFrame:
-    """The tiles one level up."""
-    return _stacked(pieces(tiles, d, interpolation, integer).withColumn("_n", F.col("level")), d, 1, interpolation, integer)
+    curve = [level(c, k) for k in range(stride - 1, -1, -1) for c in ("_y", "_x")]
+    dealt = placed.repartition("slide_id", level("_x", stride), level("_y", stride))
+    names = ["tile_w", "tile_h", "n_channels"]
+    return dealt.sortWithinPartitions("slide_id", level("_y", stride), level("_x", stride), *curve, *names).drop("_x", "_y").mapInArrow(run, schema)
 
 
 def sizes_of(tiles: DataFrame) -> DataFrame:
@@ -148,7 +158,7 @@ def build_tile_pyramid(tiles: DataFrame, sizes: DataFrame | None = None, factor:
     out, below = inside(base, levels) if given else base, base
     for level in range(0, top, stride):
         parts = per_slide(pieces(below, factor, interpolation, integer), last.where(F.col("_n") > level))
-        made = written(_stacked(parts, factor, stride, interpolation, integer), "levels")
+        made = written(stacked(parts, factor, level, stride, interpolation, integer), "levels")
         out = out.unionByName(inside(made, levels))
         below = made.where(F.col("level") == level + stride)
     return out

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.iterate import written
+from ..plans.iterate import steps, written
 from . import packed, pyramid
 from .raster import level_count
 
@@ -48,7 +48,11 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _settings(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.option("wholetext", "true").text(f"{path}/settings.json").first()[0])
+    fs, at = _fs(spark, f"{path}/settings.json")
+    file = fs.open(at)
+    text = bytes(file.readAllBytes()).decode()
+    file.close()
+    return json.loads(text)
 
 
 def create(spark: SparkSession, path: str, **settings) -> None:
@@ -130,42 +134,58 @@ def _extremes(samples: F.Column, n: F.Column, pick) -> F.Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda c: pick(F.filter(samples, lambda _, i: i % n == c)))
 
 
-def _changes(spark: SparkSession, base: DataFrame, stored: DataFrame, grown: DataFrame, conf: dict) -> Iterator[DataFrame]:
-    """The changed tiles of each level from 0 up, written.
+def _changes(base: DataFrame, stored: DataFrame, grown: DataFrame, conf: dict) -> Iterator[DataFrame]:
+    """The changed tiles of all levels, written; up to pyramid.STRIDE levels at a time.
 
-    grown: slide_id, _old (last level before, -1 for a new slide) and _new; above its old last level all of a slide's tiles are new.
+    grown: slide_id, _old (last level before, -1 for a new slide) and _new; above its old last level a slide has no tiles yet.
     """
-    d, side = conf["factor"], _side(conf["factor"])
+    d, side, stride = conf["factor"], _side(conf["factor"]), pyramid.STRIDE
     top = grown.agg(F.max("_new")).first()[0] or 0
-    changed = base
-    yield changed
+    power = F.pow(F.lit(float(d)), F.col("_k"))
     up = lambda c: F.floor(F.col(c) / d).cast("bigint")
-    for level in range(1, top + 1):
-        slides = grown.where(F.col("_new") >= level).select("slide_id", (F.col("_old") < level).alias("_all"))
-        here = changed.join(slides, "slide_id", "left_semi")
+    place = ["slide_id", "level", "tile_x", "tile_y"]
+    here = base
+    yield base
+    for start in range(0, top, stride):
+        # all tiles above the changed ones, and above the last level of slides that get new levels
+        last = stored.select(*place).join(grown.where((F.col("_old") >= start) & (F.col("_old") < min(start + stride, top)) & (F.col("_old") < F.col("_new"))).select("slide_id", F.col("_old").alias("level")), ["slide_id", "level"], "left_semi")
+        seeds = here.select(*place).unionByName(last)
+        above = seeds.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(start + stride) - F.col("level"))))
+        above = above.select("slide_id", (F.col("level") + F.col("_k")).alias("level"), *(F.floor(F.col(c) / power).cast("bigint").alias(c) for c in ("tile_x", "tile_y"))).distinct()
+        above = above.join(grown.select("slide_id", "_new"), "slide_id").where("level <= _new").drop("_new")
         # blocks are whole multiples of d, so the children of a tile lie in one block, which prunes folders
-        below = stored.where(F.col("level") == level - 1)
-        touched = here.select("slide_id", up("tile_x").alias("_px"), up("tile_y").alias("_py")).distinct().withColumn("block", _block(F.col("_px") * d, F.col("_py") * d, side))
-        near = below.withColumn("_px", up("tile_x")).withColumn("_py", up("tile_y")).join(touched, ["slide_id", "block", "_px", "_py"], "left_semi")
-        place = ["slide_id", "tile_x", "tile_y"]
-        whole = below.join(slides.where("_all"), "slide_id", "left_semi").join(near.select(*place), place, "left_anti")
-        kept = near.select(*packed.KEYS, "samples").unionByName(whole.select(*packed.KEYS, "samples"))
-        kept = kept.join(changed.select(*place), place, "left_anti").select(*packed.KEYS, "samples")
-        changed = written(pyramid.parents(here.unionByName(kept), d, conf["interpolation"], conf["integer"]), "changed")
-        yield changed
+        wanted = above.select("slide_id", (F.col("level") - 1).alias("level"), F.col("tile_x").alias("_px"), F.col("tile_y").alias("_py")).withColumn("block", _block(F.col("_px") * d, F.col("_py") * d, side))
+        kept = stored.where(F.col("level").between(start, start + stride - 1)).withColumn("_px", up("tile_x")).withColumn("_py", up("tile_y")).join(wanted, ["slide_id", "level", "block", "_px", "_py"], "left_semi")
+        kept = kept.join(grown.select("slide_id", "_old"), "slide_id").where("level <= _old")
+        kept = kept.join(here.select(*place).unionByName(above.select(*place)), place, "left_anti")
+        parts = pyramid.pieces(here.unionByName(kept.select(*packed.KEYS, "samples")), d, conf["interpolation"], conf["integer"])
+        parts = parts.join(grown.select("slide_id", F.col("_new").alias("_n")), "slide_id").where("level <= _n")
+        made = written(pyramid.stacked(parts, d, start, stride, conf["interpolation"], conf["integer"]), "changed")
+        yield made
+        here = made.where(F.col("level") == start + stride)
 
 
 def upsert(tiles: DataFrame, path: str, slides: DataFrame | None = None, batch: str | None = None) -> bool:
-    """Put base tiles (level 0) at their places; False if the batch had been committed before.
+    """Put base tiles (level 0) at their places; what it needs on its way is deleted at the end.  False if the batch had been committed before.
 
     slides: slide_id and any of width, height (else a slide is as large as its tiles span), spacing_x, spacing_y.  Of tiles for one place in one batch the one
     with the greater samples counts; all tiles of a slide have one size and one number of channels.
     """
-    spark, conf = tiles.sparkSession, _settings(tiles.sparkSession, path)
+    spark = tiles.sparkSession
     batch = batch or uuid.uuid4().hex
     finish(spark, path)
     if committed(spark, path, batch):
         return False
+    with steps(spark):
+        _stage(tiles, path, slides, f"{path}/staged/{batch}")
+    _put(spark, f"{path}/commits/{batch}.staged", batch)
+    _publish(spark, path, batch, _settings(spark, path)["slide"])
+    return True
+
+
+def _stage(tiles: DataFrame, path: str, slides: DataFrame | None, to: str) -> None:
+    """Write the blocks, level sizes and extremes that a store gets by these tiles to a folder of their own."""
+    spark, conf = tiles.sparkSession, _settings(tiles.sparkSession, path)
     schemas, side = _schemas(conf["slide"]), _side(conf["factor"])
     only = F.when(F.col("level") != 0, F.raise_error(F.lit("only tiles of level 0 are written, the others are made from them"))).otherwise(F.col("level"))
     base = packed.keyed(tiles.withColumn("level", only).withColumn("slide_id", F.col("slide_id").cast(conf["slide"])))
@@ -192,7 +212,7 @@ def upsert(tiles: DataFrame, path: str, slides: DataFrame | None = None, batch:
     grown = sizes.select("slide_id", "_old", level_count(F.col("width"), conf["factor"], conf["max_levels"]).alias("_new"))
 
     changed = None
-    for one in _changes(spark, base, stored, grown, conf):
+    for one in _changes(base, stored, grown, conf):
         changed = one if changed is None else changed.unionByName(one)
     changed = changed.withColumn("block", _block("tile_x", "tile_y", side))
     ends = lambda pick: F.when(F.col("level") == 0, _extremes(F.col("samples"), F.col("n_channels"), pick))
@@ -201,7 +221,6 @@ def upsert(tiles: DataFrame, path: str, slides: DataFrame | None = None, batch:
     places = changed.select("slide_id", "level", "block", "tile_x", "tile_y")
     blocks = places.select("slide_id", "level", "block").distinct()
     rest = stored.join(blocks, ["slide_id", "level", "block"], "left_semi").join(places, ["slide_id", "level", "block", "tile_x", "tile_y"], "left_anti").select(*columns)
-    to = f"{path}/staged/{batch}"
     whole = fresh.unionByName(rest).repartition(*PARTS["tiles"]).sortWithinPartitions(*PARTS["tiles"], "tile_y", "tile_x")
     whole.write.mode("overwrite").partitionBy(*PARTS["tiles"]).parquet(f"{to}/tiles")
 
@@ -219,10 +238,6 @@ def upsert(tiles: DataFrame, path: str, slides: DataFrame | None = None, batch:
     found = found.select("slide_id", "c", "min_value", "max_value", F.coalesce("sx", "ox").alias("spacing_x"), F.coalesce("sy", "oy").alias("spacing_y"))
     found.write.mode("overwrite").partitionBy("slide_id").parquet(f"{to}/slides")
 
-    _put(spark, f"{path}/commits/{batch}.staged", batch)
-    _publish(spark, path, batch, conf["slide"])
-    return True
-
 
 def copy_image(tiles: DataFrame, path: str, size: int = 512, slides: DataFrame | None = None, spacing: tuple[float, float] | None = None, fill: float = 0.0, **settings) -> None:
     """A new store with all base tiles cut to ``size``, whatever their size was, and the levels above made from them.

@@ -114,7 +114,7 @@ def with_halo(tiles: DataFrame, k: int, fill: float = 0.0) -> DataFrame:
 
 
 def register_tile_function(spark: SparkSession, name: str, fn: Callable[[Image, int, int], list[tuple]], schema: str, requires: Callable[[Image], str | None] | None = None) -> None:
-    """A table function for SQL: ``SELECT * FROM name(TABLE(tiles) PARTITION BY slide_id, tile_y)``.
+    """A table function for SQL: ``SELECT * FROM name(TABLE(tiles) PARTITION BY (slide_id, tile_y))``.
 
     ``fn(image, x0, y0)`` gives the rows of a tile, of the columns in ``schema``; slide_id, with the type it has in the table, is put in
     front.  The table must have the columns of tiles (checked when the query is analysed), in any order and beside others.

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +24,46 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: The folder of the innermost :func:`steps` around a call; each thread has its own.
+_owner: ContextVar[str | None] = ContextVar("steps", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[str]:
+    """All that operators write inside the block goes to one folder, which is deleted at its end.
+
+    Results are lazy and read these files, so use them up (write or collect) inside the block.  Blocks of other threads have folders of
+    their own.
+    """
+    folder = f"{scratch(spark)}/steps-{uuid.uuid4().hex}"
+    token = _owner.set(folder)
+    try:
+        yield folder
+    finally:
+        _owner.reset(token)
+        _delete(spark, folder)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a frame below the shared folder and read it again, which cuts the lineage."""
+    """Write a frame below the shared folder (of the owner, if there is one) and read it again, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_owner.get() or scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.step = path
+    return back
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame from :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    known = getattr(df, "step", None) if "step" not in df.columns else None
+    for parent in [known] if isinstance(known, str) else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, parent)
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str = "changed") -> DataFrame:

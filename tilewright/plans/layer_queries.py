@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import overlay, packed, pyramid, raster, scanline, store, vector
+from ..operators import morph, overlay, pyramid, raster, scanline, store, tilewise, vector
 from . import fixtures as fx
 from .fixtures import LAYERS, MOSAICS, SIDE
+from .grid_queries import BOUNDARY
 from .iterate import scratch
 from .shape_queries import EDGES
 
@@ -187,6 +188,47 @@ def q_best_level_repeated(s, d):
 BEST_REPEATED = f"WITH a AS (SELECT 's' || (s_suppkey % 2) AS slide_id, s_suppkey % 5 * 0.4::DOUBLE AS downsample FROM supplier), k AS (SELECT DISTINCT slide_id, level FROM ({LAYERS})) SELECT a.slide_id, round(downsample, 3) AS downsample, CAST(CASE WHEN downsample >= 1.5 AND (SELECT count(*) FROM k WHERE k.slide_id = a.slide_id) > 1 THEN 1 ELSE 0 END AS BIGINT) AS level, count(*) AS n FROM a WHERE a.slide_id IN (SELECT slide_id FROM k) GROUP BY 1, 2, 3"
 
 
+def _uneven(s, d):
+    """Sizes of the grid's slides: whole, half as wide, a third as high."""
+    n = fx.side(s, d)
+    return s.createDataFrame([("A", n, n), ("N", n // 2, n), ("R", n, n // 3)], "slide_id string, width bigint, height bigint")
+
+
+_UNEVEN = f"SELECT 'A' AS slide_id, {SIDE} AS w, {SIDE} AS h UNION ALL SELECT 'N', {SIDE} // 2, {SIDE} UNION ALL SELECT 'R', {SIDE}, {SIDE} // 3"
+
+
+def q_distance_sizes(s, d):
+    return morph.distance_transform(fx.grid(s, d).where("value >= 4"), _uneven(s, d)).select("slide_id", "x", "y", "d")
+
+
+DISTANCE_SIZES = f"WITH z AS MATERIALIZED ({_UNEVEN}), s AS MATERIALIZED (SELECT g.slide_id, x, y, w, h FROM ({fx.GRID}) g JOIN z USING (slide_id) WHERE value >= 4 AND x < w AND y < h), p AS (SELECT z.slide_id, z.w, z.h, a.i AS x, b.i AS y FROM z JOIN range({SIDE}) a(i) ON a.i < z.w JOIN range({SIDE}) b(i) ON b.i < z.h) SELECT p.slide_id, p.x, p.y, CAST(least(min(abs(p.x - s.x) + abs(p.y - s.y)), any_value(p.w + p.h // 2 + 1)) AS BIGINT) AS d FROM p JOIN s ON s.slide_id = p.slide_id GROUP BY 1, 2, 3"
+
+
+def q_holes(s, d):
+    """Of each slide: how many blobs there are, and how many background pixels lie in holes."""
+    n = fx.side(s, d)
+    tree = morph.containment(fx.grid(s, d).where("value > 2").withColumn("value", F.lit(1)), (n, n))
+    hole = (F.col("kind") == "hole") & F.col("parent").isNotNull()
+    return tree.groupBy("slide_id").agg(F.count(F.when(F.col("kind") == "blob", 1)).alias("n_blobs"), F.sum(F.when(hole, F.col("area")).otherwise(0)).alias("hole_area"))
+
+
+HOLES = BOUNDARY.rsplit("SELECT DISTINCT n.slide_id", 1)[0] + "SELECT a.slide_id, n_blobs, CAST(free - outside AS BIGINT) AS hole_area FROM (SELECT slide_id, max(label) AS n_blobs FROM n GROUP BY 1) a JOIN (SELECT slide_id, count(*) AS free FROM w GROUP BY 1) b USING (slide_id) JOIN (SELECT slide_id, count(*) AS outside FROM o GROUP BY 1) c USING (slide_id)"
+
+
+def q_tile_function(s, d):
+    """A user's function on tiles, called from SQL."""
+
+    def spots(image, x0, y0):
+        import numpy as np
+
+        y, x, c = np.nonzero(image > 300)
+        return [(int(a + x0), int(b + y0), int(k)) for a, b, k in zip(x, y, c, strict=True)]
+
+    tilewise.register_tile_function(s, "tile_spots", spots, "x bigint, y bigint, c bigint", tilewise.channels(2))
+    fx.mosaics(s, d).createOrReplaceTempView("tilewright_mosaics")
+    return s.sql("SELECT slide_id, x, y, c FROM tile_spots(TABLE(tilewright_mosaics) PARTITION BY (slide_id, tile_y))")
+
+
 def q_arithmetic(s, d):
     """All four operators on packed samples."""
     out = None
@@ -215,4 +257,7 @@ QUERIES = {
     "q_lut_odd": (q_lut_odd, LUT_ODD),
     "q_best_level_repeated": (q_best_level_repeated, BEST_REPEATED),
     "q_arithmetic": (q_arithmetic, ARITHMETIC),
+    "q_distance_sizes": (q_distance_sizes, DISTANCE_SIZES),
+    "q_holes": (q_holes, HOLES),
+    "q_tile_function": (q_tile_function, f"SELECT slide_id, x, y, c FROM ({MOSAICS}) WHERE value > 300"),
 }

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import grid_queries, layer_queries, shape_queries, table_queries
+from . import file_queries, grid_queries, layer_queries, shape_queries, table_queries
 
-GROUPS = (grid_queries, layer_queries, shape_queries, table_queries)
+GROUPS = (file_queries, grid_queries, layer_queries, shape_queries, table_queries)
 
 
 def queries() -> dict[str, Callable]:
