@@ -1,6 +1,6 @@
 """Polyline simplification of ordered series: (key, ord, x, y) in, the kept rows out.
 
-Methods whose next key depends on the last one are one linear pass over a key's sorted points in a grouped task; Douglas-Peucker
+Methods whose next key depends on the last one are small machines that look at the points in order; long series run in parts side by side.  Douglas-Peucker
 solves segments that fit a task whole, and splits longer ones by rounds over the points of all keys at once.  Series of fewer
 than three points, and tolerances of 0, are copied.
 """
@@ -8,6 +8,8 @@ than three points, and tolerances of 0, are copied.
 from __future__ import annotations
 
 import heapq
+import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import segment_dist2
-from ..plans.iterate import written
+from ..plans.iterate import discard, written
 
 
 def nth_point(df: DataFrame, n: int) -> DataFrame:
@@ -25,90 +27,242 @@ def nth_point(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_k", place).withColumn("_last", last).where((F.col("_k") % max(n, 1) == 0) | (F.col("ord") == F.col("_last"))).select("key", "ord", "x", "y")
 
 
-def radial_distance(df: DataFrame, tol: float) -> DataFrame:
-    """Points nearer than the tolerance to the last kept one go; first and last stay."""
+Point = tuple  # (ord, x, y)
 
-    def pick(p: list) -> list[int]:
-        if len(p) < 3 or tol == 0:
-            return list(range(len(p)))
-        keys = [0]
-        for i in range(1, len(p) - 1):
-            a, b = p[keys[-1]], p[i]
-            if (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 >= tol * tol:
-                keys.append(i)
-        return [*keys, len(p) - 1]
 
-    return _per_key(df, pick)
+class Radial:
+    """Points nearer than the tolerance to the last kept one go; first and last stay.  State: the last key."""
 
+    def __init__(self, tol: float) -> None:
+        self.limit = tol * tol
 
-def perpendicular_distance(df: DataFrame, tol: float, repeat: int = 1) -> DataFrame:
-    """A point nearer than the tolerance to the segment of its neighbours goes, one after the other.
+    def start(self, p: Point) -> tuple:
+        return (p,)
+
+    def step(self, state: tuple, p: Point, last: bool, out: list[Point]) -> tuple:
+        a = state[0]
+        if last or (a[1] - p[1]) ** 2 + (a[2] - p[2]) ** 2 >= self.limit:
+            out.append(p)
+            return (p,)
+        return state
+
+
+class Perpendicular:
+    """A point nearer than the tolerance to the segment of its neighbours goes, one after the other.  State: the last key and the point that waits for its next one."""
+
+    def __init__(self, tol: float) -> None:
+        self.limit = tol * tol
+
+    def start(self, p: Point) -> tuple:
+        return (p, None)
+
+    def step(self, state: tuple, p: Point, last: bool, out: list[Point]) -> tuple:
+        key, waiting = state
+        if waiting is None:
+            state = (key, p)
+        elif _segment(key[1:], p[1:], waiting[1:]) < self.limit:
+            out.append(p)
+            state = (p, None)
+        else:
+            out.append(waiting)
+            state = (waiting, p)
+        if last and state[1] is not None:
+            out.append(state[1])
+        return state
+
+
+class Strip:
+    """A strip around the line through a key and its next point; the last point inside it is the next key.  State: key, next point, newest point."""
+
+    def __init__(self, tol: float) -> None:
+        self.limit = tol * tol
+
+    def start(self, p: Point) -> tuple:
+        return (p, None, p)
+
+    def step(self, state: tuple, p: Point, last: bool, out: list[Point]) -> tuple:
+        key, ahead, newest = state
+        if ahead is None:
+            ahead = p
+        elif _line(key[1:], ahead[1:], p[1:]) >= self.limit:
+            out.append(newest)
+            key, ahead = newest, p
+        if last:
+            out.append(p)
+        return (key, ahead, p)
+
+
+class Ray:
+    """Like a strip, around a ray set by the last point within the lesser tolerance, up to the greater one.  State: key, ray, newest point, whether it is the first point."""
+
+    def __init__(self, low: float, high: float) -> None:
+        self.low, self.high = low * low, high * high
+
+    def start(self, p: Point) -> tuple:
+        return (p, None, p, True)
+
+    def step(self, state: tuple, p: Point, last: bool, out: list[Point]) -> tuple:
+        key, ray, newest, first = state
+        d = (p[1] - key[1]) ** 2 + (p[2] - key[2]) ** 2
+        if not first and (ray is not None or d >= self.low):
+            ray = newest if ray is None else ray
+            if not (d < self.high and _line(key[1:], ray[1:], p[1:], 0.0) < self.low):
+                out.append(newest)
+                key, ray = newest, None
+        if last:
+            out.append(p)
+        return (key, ray, p, False)
+
+
+class Ahead:
+    """The furthest of the next points whose segment keeps all between within the tolerance.  State: the last key and at most ``look_ahead`` points after it."""
+
+    def __init__(self, tol: float, look_ahead: int) -> None:
+        self.limit, self.look = tol * tol, look_ahead
+
+    def start(self, p: Point) -> tuple:
+        return (p, ())
+
+    def step(self, state: tuple, p: Point, last: bool, out: list[Point]) -> tuple:
+        key, window = state[0], (*state[1], p)
+        while window and (last or len(window) == self.look):
+            to = len(window) - 1
+            while to > 0 and max(_segment(key[1:], window[to][1:], q[1:]) for q in window[:to]) >= self.limit:
+                to -= 1
+            key, window = window[to], window[to + 1 :]
+            out.append(key)
+        return (key, window)
+
+
+#: Series of more points are cut into parts of about PART points.
+LONG, PART = 1 << 17, 1 << 16
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select("key", F.col("ord").cast("int").alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
-    Repeated on the result, up to ``repeat`` times or until a pass removes nothing.
-    """
 
-    def once(p: list, at: list[int]) -> list[int]:
-        if len(at) < 3 or tol == 0:
-            return at
-        keys, waiting = [at[0]], at[1]
-        for i in at[2:]:
-            if waiting is None:
-                waiting = i
-            elif _segment(p[keys[-1]], p[i], p[waiting]) < tol * tol:
-                keys.append(i)
-                waiting = None
+def _points(rows: pd.DataFrame) -> Iterator[Point]:
+    rows = rows.sort_values("ord", kind="stable")
+    return zip(rows["ord"].tolist(), rows["x"].tolist(), rows["y"].tolist(), strict=True)
+
+
+def _frozen(state):
+    """A state as read back from text: lists become tuples."""
+    return tuple(_frozen(v) for v in state) if isinstance(state, list) else state
+
+
+def by_machine(df: DataFrame, machine, long: int = LONG, part: int = PART) -> DataFrame:
+    """Rows that a machine keeps, which looks at a key's points in order and remembers a few of them.
+
+    A series of at most ``long`` points is one pass in a task.  Longer ones are cut by range into parts, which tasks run side by side as if
+    each began at its first point.  Then every part that was entered in another state is run from both states until they meet, which they mostly do within a
+    few keys; where they meet its exit stands, else the part after it is due in the next round.  At the end each
+    part gives the rows it keeps from its true entry.
+    """
+    key = df.schema["key"].dataType.simpleString()
+    schema = f"key {key}, ord int, x double, y double"
+    plain = _plain(df)
+
+    def rows_of(name, kept: list[Point]) -> pd.DataFrame:
+        return pd.DataFrame([(name, *p) for p in kept], columns=["key", "ord", "x", "y"])
+
+    def whole(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) < 3:
+            return rows
+        points = list(_points(rows))
+        kept, state = [points[0]], machine.start(points[0])
+        for p in points[1:]:
+            state = machine.step(state, p, p is points[-1], kept)
+        return rows_of(name[0], kept)
+
+    ends = plain.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("ord").alias("low"), F.max("ord").alias("high")).where(F.col("m") > long)
+    ends = written(ends, "long")
+    total = ends.agg(F.sum("m")).first()[0]
+    if not total:
+        return plain.groupBy("key").applyInPandas(whole, schema)
+    short = plain.join(ends, "key", "left_anti").groupBy("key").applyInPandas(whole, schema)
+    parts = plain.join(ends.select("key", "low", "high"), "key").repartitionByRange(-(-total // part), "key", "ord").withColumn("part", F.spark_partition_id())
+    parts = written(parts, "parts")  # a point's part stays what it is
+
+    def run(rows: pd.DataFrame, entry: str | None, kept: list[Point]) -> tuple:
+        high, low = rows["high"].iloc[0], rows["low"].iloc[0]
+        state = _frozen(json.loads(entry)) if entry else None
+        for p in _points(rows):
+            if state is None:
+                state = machine.start(p)
+                if p[0] == low:
+                    kept.append(p)
             else:
-                keys.append(waiting)
-                waiting = i
-        return keys if waiting is None else [*keys, waiting]
+                state = machine.step(state, p, p[0] == high, kept)
+        return state
+
+    def first(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*name, None, json.dumps(run(rows, None, [])))], columns=["key", "part", "entry", "exit"])
+
+    def again(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        was, entry, high = rows["entry"].iloc[0], rows["next"].iloc[0], rows["high"].iloc[0]
+        a, b = _frozen(json.loads(was)) if was else None, _frozen(json.loads(entry))
+        for p in _points(rows):
+            a = machine.start(p) if a is None else machine.step(a, p, p[0] == high, [])
+            b = machine.step(b, p, p[0] == high, [])
+            if a == b:
+                return pd.DataFrame([(*name, None)], columns=["key", "part", "new"])
+        return pd.DataFrame([(*name, json.dumps(b))], columns=["key", "part", "new"])
+
+    def final(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[Point] = []
+        run(rows, rows["entry"].iloc[0], kept)
+        return rows_of(name[0], kept)
+
+    # one small row for each part
+    states = written(parts.groupBy("key", "part").applyInPandas(first, f"key {key}, part int, entry string, exit string"), "states")
+    while True:
+        before = F.lag("exit").over(Window.partitionBy("key").orderBy("part"))
+        linked = states.withColumn("next", before)
+        due = written(linked.where(F.col("next").isNotNull() & ~F.col("next").eqNullSafe(F.col("entry"))).select("key", "part", "entry", "next"), "due")
+        if not due.limit(1).count():
+            break
+        new = parts.join(due, ["key", "part"]).groupBy("key", "part").applyInPandas(again, f"key {key}, part int, new string")
+        moved = linked.join(new, ["key", "part"], "left").select("key", "part", F.coalesce("next", "entry").alias("entry"), F.coalesce("new", "exit").alias("exit"))
+        states, old = written(moved, "states"), states
+        discard(old)
+    return short.unionByName(parts.join(states.select("key", "part", "entry"), ["key", "part"]).groupBy("key", "part").applyInPandas(final, schema))
 
-    def pick(p: list) -> list[int]:
-        at = list(range(len(p)))
-        for _ in range(repeat):
-            before, at = len(at), once(p, at)
-            if len(at) == before:
-                break
-        return at
 
-    return _per_key(df, pick)
+def radial_distance(df: DataFrame, tol: float) -> DataFrame:
+    """See :class:`Radial`."""
+    return _plain(df) if tol == 0 else by_machine(df, Radial(tol))
 
 
-def reumann_witkam(df: DataFrame, tol: float) -> DataFrame:
-    """A strip around the line through a key and its next point; the last point inside it is the next key."""
+def perpendicular_distance(df: DataFrame, tol: float, repeat: int = 1) -> DataFrame:
+    """See :class:`Perpendicular`; repeated on the result, up to ``repeat`` times or until a pass removes nothing of any series."""
+    if tol == 0:
+        return _plain(df)
+    out = by_machine(df, Perpendicular(tol))
+    for _ in range(repeat - 1):
+        out = written(out, "pass")
+        more = written(by_machine(out, Perpendicular(tol)), "pass")
+        fewer = more.count() < out.count()
+        out = more
+        if not fewer:
+            break
+    return out
 
-    def pick(p: list) -> list[int]:
-        if len(p) < 3 or tol == 0:
-            return list(range(len(p)))
-        keys, ahead = [0], 1
-        for i in range(2, len(p)):
-            if _line(p[keys[-1]], p[ahead], p[i]) >= tol * tol:
-                keys.append(i - 1)
-                ahead = i
-        return [*keys, len(p) - 1]
 
-    return _per_key(df, pick)
+def reumann_witkam(df: DataFrame, tol: float) -> DataFrame:
+    """See :class:`Strip`."""
+    return _plain(df) if tol == 0 else by_machine(df, Strip(tol))
 
 
 def opheim(df: DataFrame, min_tol: float, max_tol: float) -> DataFrame:
-    """Like a strip, around a ray set by the last point within the lesser tolerance, up to the greater one."""
-    low, high = min_tol * min_tol, max_tol * max_tol
+    """See :class:`Ray`."""
+    return _plain(df) if min_tol * max_tol == 0 else by_machine(df, Ray(min_tol, max_tol))
 
-    def pick(p: list) -> list[int]:
-        if len(p) < 3 or min_tol * max_tol == 0:
-            return list(range(len(p)))
-        keys, ray = [0], None
-        for i in range(2, len(p)):
-            k = p[keys[-1]]
-            d = (p[i][0] - k[0]) ** 2 + (p[i][1] - k[1]) ** 2
-            if ray is None and d < low:
-                continue
-            ray = i - 1 if ray is None else ray
-            if not (d < high and _line(k, p[ray], p[i], 0.0) < low):
-                keys.append(i - 1)
-                ray = None
-        return [*keys, len(p) - 1]
 
-    return _per_key(df, pick)
+def lang(df: DataFrame, tol: float, look_ahead: int) -> DataFrame:
+    """See :class:`Ahead`."""
+    return _plain(df) if tol == 0 or look_ahead < 2 else by_machine(df, Ahead(tol, look_ahead))
 
 
 #: Points of a segment that one task solves whole.
@@ -210,23 +364,6 @@ def _per_key(df: DataFrame, pick) -> DataFrame:
     return df.select("key", F.col("ord").cast("int").alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy("key").applyInPandas(run, f"key {key}, ord int, x double, y double")
 
 
-def lang(df: DataFrame, tol: float, look_ahead: int) -> DataFrame:
-    """The furthest of the next points whose segment keeps all between within the tolerance."""
-
-    def pick(p: list) -> list[int]:
-        if len(p) < 3 or look_ahead < 2 or tol == 0:
-            return list(range(len(p)))
-        keys, at = [0], 0
-        while at < len(p) - 1:
-            to = min(at + look_ahead, len(p) - 1)
-            while to > at + 1 and max(_segment(p[at], p[to], p[i]) for i in range(at + 1, to)) >= tol * tol:
-                to -= 1
-            keys.append(at := to)
-        return keys
-
-    return _per_key(df, pick)
-
-
 def douglas_peucker_n(df: DataFrame, n: int) -> DataFrame:
     """Exactly n points (all, if there are fewer): the furthest point of any segment is added first."""
 
