@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +149,33 @@ def _points(rows: pd.DataFrame) -> Iterator[Point]:
     return zip(rows["ord"].tolist(), rows["x"].tolist(), rows["y"].tolist(), strict=True)
 
 
+def _each_series(df: DataFrame, fn: Callable[[Iterator[Point]], Iterable[Point]], schema: str) -> DataFrame:
+    """The points that ``fn`` gives for each key; it gets them one by one in order, so a task need not hold a series."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = []
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                kind[:] = [batch.schema.field(i).type for i in range(4)]
+                yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+
+        def packed(kept: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), kind, strict=True)], ["key", "ord", "x", "y"])
+
+        held: list[tuple] = []
+        for key, series in groupby(rows(), key=lambda r: r[0]):
+            for p in fn(r[1:] for r in series):
+                held.append((key, *p))
+                if len(held) >= 1 << 14:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
+
+    return df.select("key", "ord", "x", "y").repartition("key").sortWithinPartitions("key", "ord").mapInArrow(run, schema)
+
+
 def _frozen(state):
     """A state as read back from text: lists become tuples."""
     return tuple(_frozen(v) for v in state) if isinstance(state, list) else state
@@ -167,21 +196,25 @@ def by_machine(df: DataFrame, machine, long: int = LONG, part: int = PART) -> Da
     def rows_of(name, kept: list[Point]) -> pd.DataFrame:
         return pd.DataFrame([(name, *p) for p in kept], columns=["key", "ord", "x", "y"])
 
-    def whole(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 3:
-            return rows
-        points = list(_points(rows))
-        kept, state = [points[0]], machine.start(points[0])
-        for p in points[1:]:
-            state = machine.step(state, p, p is points[-1], kept)
-        return rows_of(name[0], kept)
+    def whole(series: Iterator[Point]) -> Iterator[Point]:
+        kept = [next(series)]
+        state, waiting = machine.start(kept[0]), None
+        for p in series:
+            if waiting is not None:
+                state = machine.step(state, waiting, False, kept)
+                yield from kept
+                kept = []
+            waiting = p
+        if waiting is not None:
+            machine.step(state, waiting, True, kept)
+        yield from kept
 
     ends = plain.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("ord").alias("low"), F.max("ord").alias("high")).where(F.col("m") > long)
     ends = written(ends, "long")
     total = ends.agg(F.sum("m")).first()[0]
     if not total:
-        return plain.groupBy("key").applyInPandas(whole, schema)
-    short = plain.join(ends, "key", "left_anti").groupBy("key").applyInPandas(whole, schema)
+        return _each_series(plain, whole, schema)
+    short = _each_series(plain.join(ends, "key", "left_anti"), whole, schema)
     parts = plain.join(ends.select("key", "low", "high"), "key").repartitionByRange(-(-total // part), "key", "ord").withColumn("part", F.spark_partition_id())
     parts = written(parts, "parts")  # a point's part stays what it is
 
@@ -269,8 +302,12 @@ def lang(df: DataFrame, tol: float, look_ahead: int) -> DataFrame:
 FIT = 1 << 16
 
 
-def _furthest(x: np.ndarray, y: np.ndarray, a: int, b: int) -> tuple[float, int]:
+def _furthest(x: np.ndarray | list, y: np.ndarray | list, a: int, b: int) -> tuple[float, int]:
     """Squared distance and place of the first of the points furthest from the segment a .. b, strictly between its ends."""
+    if isinstance(x, list):
+        ends = (x[a], y[a]), (x[b], y[b])
+        d2, k = max((_segment(*ends, (x[i], y[i])), -i) for i in range(a + 1, b))
+        return d2, -k
     vx, vy = x[b] - x[a], y[b] - y[a]
     px, py = x[a + 1 : b], y[a + 1 : b]
     cw, cv = (px - x[a]) * vx + (py - y[a]) * vy, vx * vx + vy * vy
@@ -281,26 +318,27 @@ def _furthest(x: np.ndarray, y: np.ndarray, a: int, b: int) -> tuple[float, int]
     return float(d2[k]), a + 1 + k
 
 
+def _axes(points: list[Point]) -> tuple:
+    """Coordinates as arrays, or as lists where arrays would cost more than they save."""
+    x, y = [p[1] for p in points], [p[2] for p in points]
+    return (x, y) if len(x) < 40 else (np.array(x), np.array(y))
+
+
 def douglas_peucker(df: DataFrame, tol: float, radial: bool = True, fit: int = FIT) -> DataFrame:
     """Splits at the furthest point while it is further than the tolerance, after a radial pass with the same tolerance.
 
-    Each point carries the ends of its segment.  Segments of at most ``fit`` points are solved whole by one task each, many to a
-    batch.  Only longer ones are split by rounds: a round takes one furthest point of each and hands its points on to the two
+    Series of at most ``fit`` points are solved whole, one after the other in a task.  In longer ones each point carries the ends of
+    its segment, and segments over ``fit`` are split by rounds: a round takes one furthest point of each and hands its points on to the two
     halves by an equi-join on the segment, until the halves fit or close.
     """
     if tol == 0:
         return df.select("key", "ord", "x", "y")
-    base = radial_distance(df, tol) if radial else df
-    w = Window.partitionBy("key")
-    n = F.row_number().over(w.orderBy("ord"))
-    c = F.col
-    pts = written(base.select("key", "ord", c("x").cast("double").alias("x"), c("y").cast("double").alias("y"), n.alias("n"), F.count(F.lit(1)).over(w).alias("m")), "points")
-    key = df.schema["key"].dataType.simpleString()
+    base = written(_plain(radial_distance(df, tol) if radial else df), "points")
+    c, key = F.col, df.schema["key"].dataType.simpleString()
+    schema = f"key {key}, ord int, x double, y double"
 
-    def solved(rows: pd.DataFrame) -> pd.DataFrame:
-        """The kept points of one segment, whose ends are among the rows."""
-        rows = rows.sort_values("n")
-        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+    def inner(x: np.ndarray | list, y: np.ndarray | list) -> list[int]:
+        """Places of the kept points strictly between the first and the last."""
         keep, open_ = [], [(0, len(x) - 1)]
         while open_:
             a, b = open_.pop()
@@ -309,17 +347,34 @@ def douglas_peucker(df: DataFrame, tol: float, radial: bool = True, fit: int = F
                 if d2 > tol * tol:
                     keep.append(k)
                     open_ += [(a, k), (k, b)]
-        return rows.iloc[sorted(keep)][["key", "ord", "x", "y"]]
+        return sorted(keep)
+
+    def whole(series: Iterator[Point]) -> list[Point]:
+        points = list(series)
+        if len(points) < 3:
+            return points
+        at = inner(*_axes(points))
+        return [points[0], *(points[i] for i in at), points[-1]]
+
+    long = written(base.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(c("m") > fit), "long")
+    if not long.limit(1).count():
+        return _each_series(base, whole, schema)
+    kept = [_each_series(base.join(long, "key", "left_anti"), whole, schema)]
+    w = Window.partitionBy("key")
+    pts = written(base.join(long, "key").select("key", "ord", "x", "y", F.row_number().over(w.orderBy("ord")).alias("n"), "m"), "points")
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        """The kept points of one segment, whose ends are among the rows."""
+        rows = rows.sort_values("n")
+        return rows.iloc[inner(rows["x"].to_numpy(), rows["y"].to_numpy())][["key", "ord", "x", "y"]]
 
     def all_solved(segments: DataFrame) -> DataFrame:
         """Segments (key, a, b, ord, x, y, n) with the points at their ends."""
-        kind = pts.schema["ord"].dataType.simpleString()
-        return segments.select("key", "a", "b", "ord", "x", "y", "n").groupBy("key", "a", "b").applyInPandas(solved, f"key {key}, ord {kind}, x double, y double")
+        return segments.select("key", "a", "b", "ord", "x", "y", "n").groupBy("key", "a", "b").applyInPandas(solved, schema)
 
-    kept = [pts.where("n = 1 or n = m").select("key", "ord", "x", "y"), all_solved(pts.where(c("m") <= fit).withColumn("a", F.lit(1)).withColumn("b", c("m")))]
-    large = pts.where(c("m") > fit)
-    ends = lambda i, s: large.where(i).select("key", c("n").alias(s), c("x").alias(f"{s}x"), c("y").alias(f"{s}y"))
-    open_ = large.where("n > 1 and n < m").drop("m").join(ends("n = 1", "a"), "key").join(ends("n = m", "b"), "key")
+    kept.append(pts.where("n = 1 or n = m").select("key", "ord", "x", "y"))
+    ends = lambda i, s: pts.where(i).select("key", c("n").alias(s), c("x").alias(f"{s}x"), c("y").alias(f"{s}y"))
+    open_ = pts.where("n > 1 and n < m").drop("m").join(ends("n = 1", "a"), "key").join(ends("n = m", "b"), "key")
     while open_.limit(1).count():
         d2 = segment_dist2(c("ax"), c("ay"), c("bx"), c("by"), c("x"), c("y"))
         far = open_.groupBy("key", "a", "b").agg(F.max(F.struct(d2.alias("d2"), (-c("n")).alias("n"), "x", "y")).alias("f")).where(c("f.d2") > tol * tol)
@@ -355,25 +410,15 @@ def _segment(a, b, p) -> float:
     return (p[0] - a[0] - t * vx) ** 2 + (p[1] - a[1] - t * vy) ** 2
 
 
-def _per_key(df: DataFrame, pick) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable")
-        return rows.iloc[pick(list(zip(rows["x"], rows["y"], strict=True)))]
-
-    key = df.schema["key"].dataType.simpleString()
-    return df.select("key", F.col("ord").cast("int").alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy("key").applyInPandas(run, f"key {key}, ord int, x double, y double")
-
-
 def douglas_peucker_n(df: DataFrame, n: int) -> DataFrame:
     """Exactly n points (all, if there are fewer): the furthest point of any segment is added first."""
 
-    def pick(p: list) -> list[int]:
+    def pick(series: Iterator[Point]) -> list[Point]:
+        p = list(series)
         if len(p) < 3 or len(p) <= n:
-            return list(range(len(p)))
-        keys = {0, len(p) - 1}
-        heap: list = []
-
-        x, y = (np.array(v, float) for v in zip(*p, strict=True))
+            return p
+        keys, heap = {0, len(p) - 1}, []
+        x, y = _axes(p)
 
         def push(a: int, b: int) -> None:
             if b > a + 1:
@@ -387,9 +432,10 @@ def douglas_peucker_n(df: DataFrame, n: int) -> DataFrame:
             keys.add(k)
             push(a, k)
             push(k, b)
-        return sorted(keys)
+        return [p[i] for i in sorted(keys)]
 
-    return _per_key(df, pick)
+    key = df.schema["key"].dataType.simpleString()
+    return _each_series(_plain(df), pick, f"key {key}, ord int, x double, y double")
 
 
 def simplify(df: DataFrame, n: int = 0, eps: float = 1.0) -> DataFrame:
