@@ -61,10 +61,6 @@ def test_pyramid_of_a_constant_is_constant(spark):
     assert {(r.level, r.a, r.b, r.n) for r in got} == {(0, 7.0, 7.0, 128), (1, 7.0, 7.0, 32), (2, 7.0, 7.0, 8)}
 
 
-def test_level_count():
-    assert [raster.level_count(w) for w in (512, 1024, 26112, 2048)] == [1, 1, 6, 2] or raster.level_count(1024) == 1
-
-
 def test_tiles_round_trip(spark):
     cells = {(x, y): x * 10 + y for x in range(6) for y in range(5)}
     tiles = raster.to_tiles(frame(spark, cells), 4)

@@ -4,7 +4,7 @@ import pytest
 from tilewright.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["q_threshold", "q_component_stats", "q_distance_within", "q_pyramid", "q_mask", "q_group_rollup", "q_hsv", "q_best_level", "q_path", "q_text", "q_xml_roundtrip", "q_worklist_images", "q_series"]
+SAMPLE = ["q_threshold", "q_component_stats", "q_distance_within", "q_pyramid", "q_mask", "q_group_rollup", "q_hsv", "q_best_level", "q_path", "q_text", "q_xml_roundtrip", "q_worklist_images", "q_series", "q_tile_pyramid", "q_store_about", "q_mask_tiles", "q_distance_sizes", "q_holes", "q_lut_odd", "q_nearest_slides", "q_filelist", "q_tile_function"]
 
 
 @pytest.fixture(scope="module")

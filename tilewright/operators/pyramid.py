@@ -136,11 +136,20 @@ def level_table(sizes: DataFrame, factor: int = 2, max_levels: int = -1) -> Data
     return out.select("slide_id", "level", "width", "height", (F.col("_w") / F.greatest("width", F.lit(1))).alias("downsample"))
 
 
-def inside(tiles: DataFrame, levels: DataFrame) -> DataFrame:
-    """Tiles that reach into their level (slide_id, level, width, height)."""
+PLACE = ["slide_id", "level", "tile_x", "tile_y"]
+
+
+def outside(tiles: DataFrame, levels: DataFrame) -> DataFrame:
+    """(slide_id, level, tile_x, tile_y) of tiles that do not reach into their level (slide_id, level, width, height), or have none; reads no samples."""
     known = levels.select("slide_id", "level", F.col("width").alias("_w"), F.col("height").alias("_h"))
-    at = per_slide(tiles, known, on=("slide_id", "level"))
-    return at.where((F.col("tile_x") * F.col("tile_w") < F.col("_w")) & (F.col("tile_y") * F.col("tile_h") < F.col("_h"))).select(*tiles.columns)
+    at = per_slide(tiles.select(*PLACE, "tile_w", "tile_h"), known, "left", on=("slide_id", "level"))
+    reaches = (F.col("tile_x") * F.col("tile_w") < F.col("_w")) & (F.col("tile_y") * F.col("tile_h") < F.col("_h"))
+    return at.where(~F.coalesce(reaches, F.lit(False))).select(*PLACE)
+
+
+def inside(tiles: DataFrame, levels: DataFrame) -> DataFrame:
+    """Tiles that reach into their level.  The few others are listed first, so that no samples are shuffled to find them."""
+    return tiles.join(written(outside(tiles, levels), "outside"), PLACE, "left_anti").select(*tiles.columns)
 
 
 def build_tile_pyramid(tiles: DataFrame, sizes: DataFrame | None = None, factor: int = 2, max_levels: int = -1, interpolation: str = "linear", integer: bool = False, stride: int = STRIDE) -> DataFrame:
@@ -150,15 +159,15 @@ def build_tile_pyramid(tiles: DataFrame, sizes: DataFrame | None = None, factor:
     """
     given = sizes is not None
     sizes = written(sizes_of(tiles) if sizes is None else sizes.select("slide_id", "width", "height"), "sizes")
-    last = sizes.select("slide_id", level_count(F.col("width"), factor, max_levels).alias("_n"))
-    top = last.agg(F.max("_n")).first()[0] or 0
     levels = level_table(sizes, factor, max_levels)
+    top = levels.agg(F.max("level")).first()[0] or 0
     base = keyed(tiles.where("level = 0"))
     # with their own sizes no base tile lies outside
     out, below = inside(base, levels) if given else base, base
     for level in range(0, top, stride):
-        parts = per_slide(pieces(below, factor, interpolation, integer), last.where(F.col("_n") > level))
-        made = written(stacked(parts, factor, level, stride, interpolation, integer), "levels")
-        out = out.unionByName(inside(made, levels))
+        # levels that a slide does not have are made with the others and dropped by their keys
+        parts = pieces(below, factor, interpolation, integer).withColumn("_n", F.lit(level + stride))
+        made = inside(written(stacked(parts, factor, level, stride, interpolation, integer), "levels"), levels)
+        out = out.unionByName(made)
         below = made.where(F.col("level") == level + stride)
     return out

@@ -155,7 +155,7 @@ def patches_with_spacing(tiles: DataFrame, requests: DataFrame, levels: DataFram
     """
     at = requests.select("request", "slide_id", "level").join(levels.select("slide_id", "level", "downsample"), ["slide_id", "level"]).join(slides.select("slide_id", "spacing_x", "spacing_y"), "slide_id")
     at = at.select("request", "slide_id", (F.col("spacing_x") * F.col("downsample")).alias("spacing_x"), (F.col("spacing_y") * F.col("downsample")).alias("spacing_y"))
-    return extract_patches(tiles, requests).join(at, "request").join(channel_extremes(tiles), ["slide_id", "c"])
+    return extract_patches(tiles, requests).join(at, "request").transform(lambda px: per_slide(px, channel_extremes(tiles), on=("slide_id", "c")))
 
 
 def label_statistics(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -268,7 +268,7 @@ def scale_samples(tiles: DataFrame, op: str, k: float) -> DataFrame:
 def region_with_spacing(region: DataFrame, spacing_x: float, spacing_y: float, downsample: float = 1.0) -> DataFrame:
     """A region with its spacing (um a pixel at its level) and its slide's extremes inside it."""
     known = min_max(region)
-    return region.join(known, "slide_id").withColumn("spacing_x", F.lit(spacing_x * downsample)).withColumn("spacing_y", F.lit(spacing_y * downsample))
+    return per_slide(region, known).withColumn("spacing_x", F.lit(spacing_x * downsample)).withColumn("spacing_y", F.lit(spacing_y * downsample))
 
 
 def filled(tiles: DataFrame, value: float) -> DataFrame:

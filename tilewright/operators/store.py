@@ -1,7 +1,8 @@
 """A multi-resolution tile store that is kept up to date: tiles of all levels, level sizes, extremes of each channel.
 
 Folders of a store: ``tiles`` (by slide, level and block of neighbouring tiles), ``levels`` (slide_id, level, width, height,
-downsample) and ``slides`` (slide_id, c, min_value, max_value, spacing_x, spacing_y), both by slide.
+downsample), ``slides`` (slide_id, c, min_value, max_value, spacing_x, spacing_y) and ``outside`` (places of tiles beyond their level, which
+readers leave out), all three by slide.
 
 Writing base tiles is incremental.  At each level only the parents of changed tiles are computed again, from their changed
 and their stored children; only blocks with changed tiles are written again; extremes come from those kept with each
@@ -68,10 +69,11 @@ def _schemas(slide: str) -> dict[str, str]:
         "tiles": f"slide_id {slide}, level int, block string, tile_x bigint, tile_y bigint, tile_w int, tile_h int, n_channels int, low array<double>, high array<double>, samples array<double>",
         "levels": f"slide_id {slide}, level int, width bigint, height bigint, downsample double, declared boolean",
         "slides": f"slide_id {slide}, c int, min_value double, max_value double, spacing_x double, spacing_y double",
+        "outside": f"slide_id {slide}, level int, tile_x bigint, tile_y bigint",
     }
 
 
-PARTS = {"tiles": ["slide_id", "level", "block"], "levels": ["slide_id"], "slides": ["slide_id"]}
+PARTS = {"tiles": ["slide_id", "level", "block"], "levels": ["slide_id"], "slides": ["slide_id"], "outside": ["slide_id"]}
 
 
 def _table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
@@ -89,8 +91,10 @@ def read_slides(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """Tiles of all levels (slide_id .. samples); filters on slide and level read their folders only."""
-    tiles = _table(spark, path, "tiles", _schemas(_settings(spark, path)["slide"])["tiles"])
-    return pyramid.inside(tiles.select(*packed.KEYS, "samples"), read_levels(spark, path))
+    schemas = _schemas(_settings(spark, path)["slide"])
+    # a short list of files, so that Spark knows its size
+    hidden = _table(spark, path, "outside", schemas["outside"]).where("level >= 0")
+    return _table(spark, path, "tiles", schemas["tiles"]).select(*packed.KEYS, "samples").join(hidden, pyramid.PLACE, "left_anti")
 
 
 def _side(factor: int) -> int:
@@ -227,8 +231,15 @@ def _stage(tiles: DataFrame, path: str, slides: DataFrame | None, to: str) -> No
     table = pyramid.level_table(sizes, conf["factor"], conf["max_levels"]).join(sizes.select("slide_id", "declared"), "slide_id")
     table.write.mode("overwrite").partitionBy("slide_id").parquet(f"{to}/levels")
 
+    # tiles of these slides that readers do not see, by their keys; a row of level -1 replaces the list of a slide that has none
+    staged = spark.read.schema(schemas["tiles"]).parquet(f"{to}/tiles")
+    keys = [*pyramid.PLACE, "tile_w", "tile_h"]
+    whole = staged.select(*keys).unionByName(stored.join(named, "slide_id", "left_semi").join(blocks, ["slide_id", "level", "block"], "left_anti").select(*keys))
+    none = named.select("slide_id", F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("tile_x"), F.lit(0).cast("bigint").alias("tile_y"))
+    pyramid.outside(whole, table).unionByName(none).write.mode("overwrite").partitionBy("slide_id").parquet(f"{to}/outside")
+
     # the extremes that each base tile carries: those just staged, and those of blocks that stay
-    new = spark.read.schema(schemas["tiles"]).parquet(f"{to}/tiles").where("level = 0").select("slide_id", "low", "high")
+    new = staged.where("level = 0").select("slide_id", "low", "high")
     stay = stored.where("level = 0").join(named, "slide_id", "left_semi").join(blocks.where("level = 0").drop("level"), ["slide_id", "block"], "left_anti").select("slide_id", "low", "high")
     each = new.unionByName(stay).select("slide_id", F.posexplode(F.arrays_zip("low", "high")).alias("c", "e"))
     found = each.groupBy("slide_id", "c").agg(F.min("e.low").alias("min_value"), F.max("e.high").alias("max_value"))
