@@ -223,6 +223,7 @@ def build_pyramid(pixels: DataFrame, sizes: DataFrame, factor: int = 2, max_leve
     """
     keys = ["slide_id", *(c for c in ("c",) if c in pixels.columns)]
     known = sizes.select("slide_id", F.col("width").alias("_w"), F.col("height").alias("_h"), level_count(F.col("width"), factor, max_levels).alias("_n"))
+    known = written(known, "sizes")  # so that its size is known
     level = per_slide(pixels.select(*keys, "x", "y", "value"), known)
     out = level.select(*keys, "x", "y", "value", F.lit(0).alias("level"))
     top = known.agg(F.max("_n")).first()[0] or 0
