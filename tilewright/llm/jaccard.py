@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lowered, mixed, steps, word_hashes, words, written
+from .common import components, lowered, mixed, ranges, steps, word_hashes, words, written
 
 #: Share of a set by which prefixes are longer, as 1 / SLACK.
 SLACK = 24
-#: Members of a region that one task takes, pivots whose distances are kept for its windows, and pivots that all
-#: chunks of a larger region are compared with.
-REGION_ROWS, PIVOTS, STARS = 4096, 64, 16
+#: Members, and n-grams of all members, of a region that one task takes, pivots whose distances are kept for its
+#: windows, and pivots that all chunks of a larger region are compared with.
+REGION_ROWS, REGION_KEYS, PIVOTS, STARS = 4096, 1 << 22, 64, 16
 FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -162,21 +162,47 @@ def _partners(keys: list[np.ndarray], percent: int) -> list[np.ndarray]:
 
 
 class Region:
-    """The sets of one region, with intersection sizes of one set with many."""
+    """The sets of one region, with intersection sizes of one set with many.
+
+    N-grams that only one member holds can't be shared.  Those of at least one member in 64 have a bit column each, so that
+    a set is a row of bits and an intersection a bitwise "and"; for rarer ones the members that hold them are listed.
+    Both take some eight bytes for each n-gram of a member at most.
+    """
 
     def __init__(self, keys: list[np.ndarray], percent: int):
-        self.keys, self.percent = keys, percent
+        self.percent = percent
         self.size = np.array([len(k) for k in keys])
-        self.flat = np.concatenate(keys)
-        self.at = np.concatenate(([0], np.cumsum(self.size)))
+        m, at = len(keys), np.concatenate(([0], np.cumsum(self.size)))
+        _, which, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        which = which.astype(np.int32)
+        often = (count > 1) & (count * 64 >= m)
+        column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        width = -(-int(often.sum()) // 64) * 64
+        self.bits = np.zeros((m, width // 64), np.uint64)
+        for i in range(m):
+            mine = column[which[at[i] : at[i + 1]]]
+            row = np.zeros(width, np.uint8)
+            row[mine[mine >= 0]] = 1
+            self.bits[i] = np.packbits(row).view(np.uint64)
+        rare = ((count > 1) & ~often)[which]
+        self.rare = which[rare]
+        self.rare_at = np.concatenate(([0], np.cumsum(rare)))[at]
+        owner = np.repeat(np.arange(m, dtype=np.int32), self.size)[rare]
+        order = np.argsort(self.rare, kind="stable")
+        self.holders = owner[order]
+        self.held = np.searchsorted(self.rare[order], np.arange(len(count) + 1)) if len(order) else None
 
     def common(self, one: int, many: np.ndarray) -> np.ndarray:
-        mine = self.keys[one]
-        theirs = self.flat if len(many) == len(self.keys) else np.concatenate([self.keys[m] for m in many.tolist()])
-        found = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-        total = np.concatenate(([0], np.cumsum(mine[found] == theirs)))
-        end = np.cumsum(self.size[many])
-        return total[end] - total[end - self.size[many]]
+        total = np.zeros(len(many), np.int64)
+        rows = max(1, (1 << 17) // max(1, self.bits.shape[1]))
+        for i in range(0, len(many), rows):
+            total[i : i + rows] = np.bitwise_count(self.bits[many[i : i + rows]] & self.bits[one]).sum(axis=1, dtype=np.int64)
+        mine = self.rare[self.rare_at[one] : self.rare_at[one + 1]]
+        if len(mine):
+            listed = self.holders[ranges(self.held[mine], self.held[mine + 1] - self.held[mine])]
+            total += np.bincount(listed, minlength=len(self.size))[many]
+        total[many == one] = self.size[one]  # with the n-grams that only it holds
+        return total
 
     def measured(self, one: int, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links and distances of one set to many."""
@@ -198,15 +224,15 @@ def region_links(keys: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         cell = np.full(m, -1)
         near: list[np.ndarray] = []
         all_ = np.arange(m)
-        while (left := np.flatnonzero(cell < 0)).size:
+        # any pivots give windows; members without a cell after PIVOTS of them are compared inside their windows only
+        while len(near) < PIVOTS and (left := np.flatnonzero(cell < 0)).size:
             p = int(left[0])
             linked, distance = region.measured(p, all_)
             for y in np.flatnonzero(linked).tolist():
                 if union.join(p, y):
                     links.append((int(group[p]), int(group[y])))
             cell[linked & (cell < 0)] = p
-            if len(near) < PIVOTS:  # any of them give windows
-                near.append(distance.astype(np.float32))
+            near.append(distance.astype(np.float32))
         if len(near) > 1:
             links += [(int(group[a]), int(group[b])) for a, b in _boundary_links(region, np.array(near), union, bound)]
     return links
@@ -272,15 +298,20 @@ def _region_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
 GROUPED = ["p", "chunk", "block", "s", "role", "text"]
 
 
+def _tasks(rows, keys):
+    """How many tasks share so many members with so many n-grams."""
+    return F.greatest(F.ceil(rows / REGION_ROWS), F.ceil(keys / REGION_KEYS)).cast("bigint")
+
+
 def _large_region_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links of regions that are too large for a task: (p, m members, s, text) in.
+    """Links of regions that are too large for a task: (p, m members with k n-grams, s, text) in.
 
     First every chunk of a region is compared with STARS pivots.  Pivots that share a linked member are one component, and
     all that links to the component of the region's own pivot is joined by it.  Only members that do not (mostly
     few) go on: in blocks they meet every chunk of their region, and inside a chunk and a
-    block the cells are formed as in a small region.  A task holds at most some two times REGION_ROWS members.
+    block the cells are formed as in a small region.  A task holds at most some two times REGION_ROWS members or REGION_KEYS n-grams.
     """
-    chunks = F.ceil(F.col("m") / REGION_ROWS).cast("bigint")
+    chunks = _tasks(F.col("m"), F.col("k"))
     chunk = F.pmod(F.xxhash64("s"), chunks)
     # the region's own pivot, and the members with the least hashes
     order = Window.partitionBy("p").orderBy(F.col("s") != F.col("p"), F.xxhash64("s", F.lit(7)), "s")
@@ -296,17 +327,17 @@ def _large_region_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
             region, mask = Region(keys, percent), np.zeros(len(rows), np.int64)
             for i in np.flatnonzero(role >= 0).tolist():
                 mask |= region.measured(i, np.arange(len(rows)))[0].astype(np.int64) << role[i]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[mine, 0]), pa.array(rows[mine, 3]), pa.array(mask[mine])], ["p", "s", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[mine, 0]), pa.array(rows[mine, 3]), pa.array(region.size[mine]), pa.array(mask[mine])], ["p", "s", "k", "mask"])
 
-    found = first.select(*GROUPED).repartition("p", "chunk").sortWithinPartitions("p", "chunk").mapInArrow(star, "p bigint, s bigint, mask bigint")
+    found = first.select(*GROUPED).repartition("p", "chunk").sortWithinPartitions("p", "chunk").mapInArrow(star, "p bigint, s bigint, k bigint, mask bigint")
     found = written(found, "stars")
     bit = lambda j: F.shiftleft(F.lit(1).cast("bigint"), j)
     near = found.groupBy("p").agg(F.array(*(F.coalesce(F.bit_or(F.when(F.col("mask").bitwiseAND(bit(j)) != 0, F.col("mask"))), F.lit(0)) for j in range(STARS))).alias("near"))
     step = lambda reach, i: F.when(reach.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % STARS).cast("int"))) != 0, reach.bitwiseOR(F.element_at("near", (i % STARS + 1).cast("int")))).otherwise(reach)
     near = written(near.select("p", F.aggregate(F.sequence(F.lit(0), F.lit(STARS * STARS - 1)), F.lit(1).cast("bigint"), step).alias("reach")), "reach")
-    found = found.join(near, "p").select("p", "s", (F.col("mask").bitwiseAND(F.col("reach")) != 0).alias("linked"))
-    left = written(found.where("not linked").select("p", "s").distinct(), "left")
-    blocks = written(left.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).cast("bigint").alias("blocks")), "blocks")
+    found = found.join(near, "p").select("p", "s", "k", (F.col("mask").bitwiseAND(F.col("reach")) != 0).alias("linked"))
+    left = written(found.where("not linked").select("p", "s", "k").distinct(), "left")
+    blocks = written(left.groupBy("p").agg(_tasks(F.count(F.lit(1)), F.sum("k")).alias("blocks")), "blocks")
     open_ = placed.join(blocks, "p")
     every = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
     members = open_.select("p", chunk.alias("chunk"), every("blocks").alias("block"), "s", F.lit(0).alias("role"), "text")
@@ -337,12 +368,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     regions = written(touched.select("s", F.array_distinct(F.transform(left, lambda x: x["p"])).alias("p")), "regions")
     pivots = regions.select(F.explode("p").alias("p")).distinct().select(F.col("p").alias("s"), F.array("p").alias("p"))
     regions = regions.unionByName(pivots).groupBy("s").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p"))
-    first = sets.where("n_shingles > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
+    first = sets.where("n_shingles > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("k"))
     members = regions.join(first, "s")
     of_doc = members.groupBy("doc_id").agg(F.collect_list(F.struct("s", "p")).alias("of"))
     placed = known.join(of_doc.hint("shuffle_hash"), "doc_id").select("text", F.explode("of").alias("of"))
     placed = placed.select(F.explode("of.p").alias("p"), F.col("of.s").alias("s"), "text")
-    large = regions.select(F.explode("p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > REGION_ROWS)
+    large = members.select(F.explode("p").alias("p"), "k").groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.sum("k").alias("k")).where(_tasks(F.col("m"), F.col("k")) > 1)
     large = written(large, "large")
     if large.limit(1).count():
         links = _region_links(placed.join(large, "p", "left_anti"), n, percent)
