@@ -1,8 +1,10 @@
 """Operator 1, exact top-k search by inner product over a bit-sliced index.
 
 Every component x becomes the integer floor(256 * x).  The index holds blocks of rows; a block keeps,
-for each dimension, the bits of (value - least value of the block) as bitmaps over its rows, the
-top ``SLICES`` of them as the searchable slices and the integers themselves for exact resolution.
+for each dimension, the bits of (value - least value of the dimension) as bitmaps over its rows, the
+top ``SLICES`` bits that the dimension needs as the searchable slices and the integers themselves for exact
+resolution.  Rows with larger components than 8 bits have slices of their own, one set for every 4 more bits, so that a
+few wide values do not take the precision of the others' slices.
 
 A query's components are written in signed binary digits (no two neighbours are set), so that a
 component of eight bits has some three of them.  The score of every row is summed with bitmap arithmetic
@@ -14,16 +16,18 @@ the bound of the k-th score is a boundary row, and those are resolved exactly wi
 products.  Nothing is approximate in the result.
 
 Index blocks are dealt round to shards and shuffled once; query blocks, the small side, are copied to each
-shard.  Each query meets each row once, in blocks, and only the k best of every pair of blocks go on.
+shard.  Each query meets each row once, in blocks, and only the k best of every pair of blocks go on.  A block
+is sliced once for the query blocks that follow each other.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without id.  Vectors
-of different lengths are not compared.  An id that occurs more than once counts as rows of the same id: none
+of different lengths are not compared.  Scores beyond a long count as they are and are given as the nearest long.  An id that occurs more than once counts as rows of the same id: none
 of them is a candidate of its own query, and a query id is answered once, for its least vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +63,7 @@ def blocked(rows: DataFrame, size: int) -> DataFrame:
             parts = waiting.pop(dims)
             held.pop(dims)
             ids, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            if np.abs(values).max(initial=0) < 1 << 31:
+            if _width(values) < 32:
                 values = values.astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["dims", "n", "ids", "vals"])
 
@@ -83,25 +87,33 @@ def blocked(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "dims int, n int, ids binary, vals binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def _slices(values: np.ndarray, keep: int) -> tuple[np.ndarray, int, int]:
-    """Bitmaps [dimension, slice, word] of the top ``keep`` bits, the number of bits left out, all bits."""
-    base = values.astype(np.int64) - int(values.min())
-    bits = max(1, int(base.max()).bit_length())
-    low = max(0, bits - keep)
+def _slices(values: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps [dimension, slice, word] of the top ``keep`` bits, and of each dimension the number of bits left out and all bits."""
+    values = values.astype(np.int64)
+    # unsigned, so that the widest range of longs fits
+    base = values.astype(np.uint64) - values.min(axis=0).astype(np.uint64)
+    bits = np.array([int(v).bit_length() for v in base.max(axis=0)])
+    kept = min(keep, max(1, int(bits.max())))
+    low = np.maximum(bits - kept, 0)
     rows = -(-len(values) // 64) * 64
-    padded = np.zeros((values.shape[1], rows), np.int64)
-    padded[:, : len(values)] = base.T
-    planes = [np.packbits(((padded >> b) & 1).astype(np.uint8), axis=1, bitorder="little").view(np.uint64) for b in range(low, bits)]
+    padded = np.zeros((values.shape[1], rows), np.uint64)
+    padded[:, : len(values)] = (base >> low.astype(np.uint64)).T
+    planes = [np.packbits(((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64) for b in range(kept)]
     return np.stack(planes, axis=1), low, bits
 
 
+def _width(values: np.ndarray) -> int:
+    """Bits of the largest magnitude."""
+    return max(int(values.max(initial=0)), -int(values.min(initial=0))).bit_length()
+
+
 def _digits(query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dimension, weight and sign of the signed binary digits of a query, no two of them neighbours."""
-    left, weight, found = query.astype(np.int64), 0, []
+    left, weight, found = query.astype(object if _width(query) > 60 else np.int64), 0, []
     while left.any():
         digit = np.where(left & 1, 2 - (left & 3), 0)
         on = np.flatnonzero(digit)
-        found.append((on, np.full(len(on), weight), digit[on]))
+        found.append((on, np.full(len(on), weight), digit[on].astype(np.int64)))
         left = (left - digit) >> 1
         weight += 1
     if not found:
@@ -124,17 +136,17 @@ def _added(bitmaps: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return bitmaps[0], carries
 
 
-def _scores(planes: np.ndarray, query: np.ndarray, low: int) -> tuple[np.ndarray, int]:
+def _scores(planes: np.ndarray, query: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, int]:
     """Score slices [slice, word] of all rows, least first, and the largest error of the scores.
 
-    Up to a constant of the query, the inner product is the sum of the slices' digits at their weights, times
-    2 ** low, plus an error from 0 to the bound, as the low bits of the rows are left out.
+    Up to a constant of the query, the inner product is the sum of the slices' digits at their weights, times two to the power of
+    the least number of bits left out, plus an error from a range as wide as the bound, as the low bits of the rows are left out.
     """
     keep, words = planes.shape[1:]
     flat = planes.reshape(-1, words)
     dim, weight, sign = _digits(query)
     s = np.arange(keep)
-    plane, at, flip = (dim[:, None] * keep + s).ravel(), (weight[:, None] + s).ravel(), np.repeat(sign < 0, keep)
+    plane, at, flip = (dim[:, None] * keep + s).ravel(), ((weight + low[dim] - low.min(initial=0))[:, None] + s).ravel(), np.repeat(sign < 0, keep)
     order = np.argsort(at, kind="stable")
     plane, at, flip = plane[order], at[order], np.where(flip[order], np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     cut = np.searchsorted(at, np.arange(int(at.max(initial=-1)) + 2))
@@ -145,7 +157,7 @@ def _scores(planes: np.ndarray, query: np.ndarray, low: int) -> tuple[np.ndarray
         one, carries = _added(bitmaps) if len(bitmaps) else (np.zeros(words, np.uint64), [])
         out.append(one)
         w += 1
-    return np.array(out or [np.zeros(words, np.uint64)]), int(np.abs(query).astype(object).sum()) * ((1 << low) - 1)
+    return np.array(out or [np.zeros(words, np.uint64)]), sum(abs(int(query[d])) * ((1 << int(low[d])) - 1) for d in np.flatnonzero(low))
 
 
 def _boundary(slices: np.ndarray, error: int, shift: int, alive: np.ndarray, k: int) -> np.ndarray:
@@ -174,36 +186,62 @@ def _boundary(slices: np.ndarray, error: int, shift: int, alive: np.ndarray, k:
     return above | equal
 
 
-def boundary_rows(planes: np.ndarray, low: int, query: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
+def boundary_rows(planes: np.ndarray, low: np.ndarray, query: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
     """The rows that the slices can't exclude from the k best of one query."""
     slices, error = _scores(planes, query, low)
-    near = _boundary(slices, error, low, alive, k)
+    near = _boundary(slices, error, int(low.min(initial=0)), alive, k)
     return np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
 
 
-def search_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of one index block for each query: query ids, row ids, scores."""
-    wide = int(np.abs(values.astype(object)).max(initial=0)).bit_length() + int(np.abs(queries.astype(object)).max(initial=0)).bit_length() + values.shape[1].bit_length() > 62 if values.dtype.itemsize > 4 or queries.dtype.itemsize > 4 else False
-    sliced = values.shape[1] > 0 and not wide  # a block of integers that need over 62 bits in a product is resolved exactly as a whole
-    planes, low, _ = _slices(values, SLICES) if sliced else (np.zeros((0, 1, -(-len(ids) // 64)), np.uint64), 0, 1)
-    valid = np.packbits(np.arange(planes.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
-    found: list[tuple[int, np.ndarray, np.ndarray]] = []
-    order = np.argsort(ids, kind="stable")
-    ordered = ids[order]
-    kind = object if wide else np.int64
+@dataclass
+class Part:
+    """Rows of a block with components of about the same width: the integers, their slices, and the order of their ids."""
+
+    ids: np.ndarray
+    values: np.ndarray
+    planes: np.ndarray
+    low: np.ndarray
+    order: np.ndarray
+    width: int
+
+    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the rows that the slices can't exclude; none of them has the query's id."""
+        alive = np.packbits(np.arange(self.planes.shape[2] * 64) < len(self.ids), bitorder="little").view(np.uint64)
+        own = self.order[slice(*np.searchsorted(self.ids, [query_id, query_id + 1], sorter=self.order))]
+        np.bitwise_and.at(alive, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
+        rows = boundary_rows(self.planes, self.low, query, alive, k)
+        kind = object if self.width + _width(query) + len(query).bit_length() > 62 else np.int64
+        return self.ids[rows], self.values[rows].astype(kind) @ query.astype(kind) if len(query) else np.zeros(len(rows), np.int64)
+
+
+def indexed(ids: np.ndarray, values: np.ndarray) -> list[Part]:
+    """The index of one block of rows: a part for components of up to 8 bits, and one for every 4 bits more."""
+    most = np.maximum(values.max(axis=1, initial=0), ~values.min(axis=1, initial=0)).astype(float)
+    width = np.maximum(np.ceil((np.floor(np.log2(most + 1)) - 8) / 4), 0)
+    parts = []
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        mine, v = ids[rows], values[rows]
+        planes, low, _ = _slices(v, SLICES) if v.shape[1] else (np.zeros((0, 1, -(-len(rows) // 64)), np.uint64), np.zeros(0, np.int64), None)
+        parts.append(Part(mine, v, planes, low, np.argsort(mine, kind="stable"), _width(v)))
+    return parts
+
+
+def search(parts: list[Part], query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of one indexed block for each query: query ids, row ids, scores."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for q, query in zip(query_ids.tolist(), queries, strict=True):
-        alive = valid.copy()
-        own = order[np.searchsorted(ordered, q, "left") : np.searchsorted(ordered, q, "right")]
-        if len(own):
-            np.bitwise_and.at(alive, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
-        rows = boundary_rows(planes, low, query if sliced else query[:0], alive, k)
-        exact = values[rows].astype(kind) @ query.astype(kind) if values.shape[1] else np.zeros(len(rows), np.int64)
-        best = np.lexsort((ids[rows], -exact))[:k]
-        found.append((q, ids[rows][best], exact[best]))
+        ids, scores = (np.concatenate(x) for x in zip(*(part.best(q, query, k) for part in parts), strict=True))
+        best = np.lexsort((ids, -scores if scores.dtype == object else ~scores))[:k]
+        found.append((np.full(len(best), q, np.int64), ids[best], scores[best]))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
-    return np.concatenate([np.full(len(f[1]), f[0], np.int64) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]).astype(np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def search_block(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return search(indexed(ids, values), query_ids, queries, k)
 
 
 def _vectors(raw: bytes, n: int, dims: int) -> np.ndarray:
@@ -224,14 +262,20 @@ def top_k(vectors: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vec
     asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
-                values, queries = _vectors(row["vals"], row["n"], row["dims"]), _vectors(row["q_vals"], row["asked"], row["dims"])
-                q, v, s = search_block(np.frombuffer(row["ids"], np.int64), values, np.frombuffer(row["q_ids"], np.int64), queries, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    pairs = index.join(asks, ["shard", "dims"]).select("dims", "n", "ids", "vals", "asked", "q_ids", "q_vals")
-    best = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                if row["block"] != block:
+                    block, parts = row["block"], indexed(np.frombuffer(row["ids"], np.int64), _vectors(row["vals"], row["n"], row["dims"]))
+                q, v, s = search(parts, np.frombuffer(row["q_ids"], np.int64), _vectors(row["q_vals"], row["asked"], row["dims"]), k)
+                s = s.tolist()
+                longs = pa.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in s], pa.int64())
+                # the exact score as bytes in the order of the scores
+                exact = pa.array([(x + (1 << 191)).to_bytes(24, "big") for x in s], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), longs, exact], ["query_id", "vec_id", "score", "exact"])
+
+    pairs = index.join(asks, ["shard", "dims"]).select("block", "dims", "n", "ids", "vals", "asked", "q_ids", "q_vals")
+    best = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, exact binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
