@@ -33,6 +33,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def folder(spark: SparkSession) -> str:
+    """Where operators write now: the folder of the innermost :func:`steps`, or the shared one."""
+    return _owner.get() or scratch(spark)
+
+
 @contextmanager
 def steps(spark: SparkSession) -> Iterator[str]:
     """All that operators write inside the block goes to one folder, which is deleted at its end.
@@ -40,19 +45,19 @@ def steps(spark: SparkSession) -> Iterator[str]:
     Results are lazy and read these files, so use them up (write or collect) inside the block.  Blocks of other threads have folders of
     their own.
     """
-    folder = f"{scratch(spark)}/steps-{uuid.uuid4().hex}"
-    token = _owner.set(folder)
+    mine = f"{scratch(spark)}/steps-{uuid.uuid4().hex}"
+    token = _owner.set(mine)
     try:
-        yield folder
+        yield mine
     finally:
         _owner.reset(token)
-        _delete(spark, folder)
+        _delete(spark, mine)
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a frame below the shared folder (of the owner, if there is one) and read it again, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{_owner.get() or scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.step = path
