@@ -10,10 +10,11 @@ Defined cases of every stage: an empty table gives no rows; columns beyond those
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm.common import drop_written, marked_now, table, written
+from tilewright.llm.common import discard, made, table
 from tilewright.llm.jaccard import one_of_each_group
 from tilewright.llm.lines import without_repeated_lines
 from tilewright.llm.mixing import mixed_documents
@@ -77,8 +78,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, begun = table(spark, sf_dir, "documents"), marked_now()
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
-        drop_written(begun, docs)
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, made(spark, partial(stage, spark, docs, sf_dir))
+        if i:  # the first one reads the given table
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ pipeline = pytest.importorskip("corpus_pipeline")
 
 
 def test_stages(spark, sf):
+    from tilewright.llm.common import written
+
     from .test_operators import linked
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -17,7 +19,7 @@ def test_stages(spark, sf):
             assert {r.doc_id for r in out.collect()} == set(before)
             break
         assert out.columns == columns
-        out = pipeline.written(out)
+        out = written(out)
         after = {r.doc_id: r.text for r in out.collect()}
         assert set(after) <= set(before) and after
         if name.startswith("quality"):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.iterate import discard, scratch
+from ..plans import iterate
+from ..plans.iterate import discard
 
 #: Bytes of text that one step of a task works on; a single longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -26,36 +27,29 @@ LONG = 512
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
-#: What the driver has written: path and frame.
-_written: list[tuple[str, DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` below the session's shared folder (``spark.checkpoint.dir``) and read it again, which cuts the lineage."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def _parquet(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written.append((path, back))
+    back.step = path
     return back
 
 
-def marked_now() -> int:
-    """A mark for :func:`drop_written`."""
-    return len(_written)
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` below the session's shared folder (``spark.checkpoint.dir``, or its owner's part of it) and read it again, which cuts the lineage."""
+    return _parquet(df, f"{iterate.folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
-def drop_written(since: int, keep: DataFrame) -> None:
-    """Delete what :func:`written` has left since a mark, but for ``keep``; for jobs whose steps nothing reads any more."""
-    gone = [path for path, df in _written[since:] if df is not keep]
-    _written[since:] = [(path, df) for path, df in _written[since:] if df is keep]
-    jvm, conf = keep.sparkSession._jvm, keep.sparkSession._jsc.hadoopConfiguration()
-    for path in gone:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def made(spark: SparkSession, make: Callable[[], DataFrame], name: str = "stage") -> DataFrame:
+    """What ``make`` returns, written and read again; all that it has written on its way is deleted then."""
+    path = f"{iterate.folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with iterate.steps(spark):
+        return _parquet(make(), path)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

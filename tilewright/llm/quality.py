@@ -145,14 +145,14 @@ class Model:
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Model:
-    """Fit both views on labelled rows and a pool of unlabelled ones; every fifth labelled row is for calibration."""
+    """Fit both views on labelled rows and a pool of unlabelled ones; every fifth labelled row of each class is for calibration, which never sees rows that the views learn from."""
     share = float(y.mean()) if len(y) else 1.0
     if min(y.sum(), len(y) - y.sum()) < 2:
         return Model(share)
-    held = np.arange(len(y)) % 5 == 0
-    if not (0 < y[held].sum() < held.sum() and 0 < y[~held].sum() < (~held).sum()):
-        held[:] = False
-    learn, check = ~held, held if held.any() else ~held
+    check = np.zeros(len(y), bool)
+    for kind in (0, 1):
+        check[np.flatnonzero(y == kind)[::5]] = True
+    learn = ~check
     views = [(text, pool_text, 0.02), (meta, pool_meta, 1.0)]
     given: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in views]
     weights: list[np.ndarray] = []
