@@ -114,3 +114,13 @@ def test_number_texts_round_the_binary_value(spark):
     for p in (0, 1, 2, 3, 6):
         got = df.select("v", text.number_text(F.col("v"), p).alias("t")).collect()
         assert all(x.t == f"{x.v:.{p}f}" for x in got)
+
+
+def test_labels_round_by_the_value_itself(spark):
+    """5.015 is stored as a little less, so it has 5.01 beside it and not 5.02."""
+    values = [5015000.0, 5025000.0, 1000001.0, 1.005, 0.125]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").select(geom.area_text(F.col("v")).alias("t")).collect()]
+    want = lambda v: f"{math.floor(v * 100 + 0.5) / 100}"
+    assert got == [f"{want(v / 1e6)} mm2" if v > 1e6 else f"{want(v)} um2" for v in values] and got[0] == "5.01 mm2"
+    length = spark.createDataFrame([(5015.0,)], "v double").select(geom.measure_text(F.col("v")).alias("t")).first().t
+    assert length == "5.01 mm"

@@ -101,14 +101,19 @@ def removed_at(coords: Column, index: int) -> Column:
     return F.filter(coords, lambda p, k: k != i)
 
 
+def _two_places(v: Column) -> Column:
+    """Rounded to two places by the value itself: 5.015 lies below the tie that its shortest decimal shows, which ``F.round`` goes by."""
+    return F.round(v * 100) / 100
+
+
 def measure_text(length_um: Column) -> Column:
     """Length as text, in mm from 1000 um on."""
-    return F.when(length_um > 1000, F.concat(F.round(length_um / 1000, 2).cast("string"), F.lit(" mm"))).otherwise(F.concat(F.round(length_um, 2).cast("string"), F.lit(" um")))
+    return F.when(length_um > 1000, F.concat(_two_places(length_um / 1000).cast("string"), F.lit(" mm"))).otherwise(F.concat(_two_places(length_um).cast("string"), F.lit(" um")))
 
 
 def area_text(area_um2: Column) -> Column:
     """Area as text, in mm2 from 1e6 um2 on."""
-    return F.when(area_um2 > 1e6, F.concat(F.round(area_um2 / 1e6, 2).cast("string"), F.lit(" mm2"))).otherwise(F.concat(F.round(area_um2, 2).cast("string"), F.lit(" um2")))
+    return F.when(area_um2 > 1e6, F.concat(_two_places(area_um2 / 1e6).cast("string"), F.lit(" mm2"))).otherwise(F.concat(_two_places(area_um2).cast("string"), F.lit(" um2")))
 
 
 def path_length(coords: Column, spacing_x: Column, spacing_y: Column) -> Column:
