@@ -6,14 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from .packed import KEYS, tile_schema
+from .packed import KEYS, keyed, tile_schema
 
 Image = np.ndarray
+#: Which neighbour a strip comes from (-1: from below or the right), and its size.
+STRIP = ("dy", "dx", "rows", "columns")
 
 
 def _tile(df: DataFrame, more: str = "") -> str:
@@ -75,42 +79,90 @@ def tile_flat_map(tiles: DataFrame, fn: Callable[[Image, int, int], pd.DataFrame
     return tiles.select(*KEYS, "samples").mapInPandas(run, f"slide_id {tiles.schema['slide_id'].dataType.simpleString()}, {schema}")
 
 
+def _spans(samples: pa.ListArray, rows: np.ndarray) -> np.ndarray:
+    """The samples of rows that have equally many, one row each."""
+    ends = np.asarray(samples.offsets)
+    return np.asarray(samples.values)[ends[rows][:, None] + np.arange(ends[rows[0] + 1] - ends[rows[0]])]
+
+
+def _lists(flat: np.ndarray) -> pa.ListArray:
+    """A list for each row of a two-dimensional array."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+
+
+def _alike(*columns: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Row numbers by the values of columns."""
+    values, which = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)
+    for i, v in enumerate(values.tolist()):
+        yield v, np.flatnonzero(which.ravel() == i)
+
+
+def _numbers(batch: pa.RecordBatch, *columns: int) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+
+
 def with_halo(tiles: DataFrame, k: int, fill: float = 0.0) -> DataFrame:
     """Tiles widened by k samples of their neighbours on each side, so that filters have no seams; a k over a tile's size is an error.
 
-    Each tile goes whole to itself, and to its eight neighbours only as the strip or corner of width k that they need;
-    one group per tile has at most nine rows.
+    Each tile goes whole to itself, and to its eight neighbours only as the strip or corner of width k that they need.
+    These come sorted by tile, at most nine for each, and a batch of tiles is put together at once.
     """
+    schema = tile_schema(tiles)
 
-    def strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                image, h, w = _image(r), r.tile_h, r.tile_w
+            for (w, h, n), rows in _alike(*_numbers(batch, 4, 5, 6)):
                 if k > min(h, w):
                     raise ValueError(f"a halo of {k} is wider than tiles of {w} x {h}")
+                part, images_ = batch.take(pa.array(rows)), _spans(batch.column(7), rows).reshape(len(rows), h, w, n)
                 for dy, ys in ((-1, slice(0, k)), (0, slice(0, h)), (1, slice(h - k, h))):
                     for dx, xs in ((-1, slice(0, k)), (0, slice(0, w)), (1, slice(w - k, w))):
-                        part = image[ys, xs]
-                        # where it lies in the wide tile: before the neighbour's own samples if it comes from its left
-                        top, left = (0, k, h + k)[1 - dy], (0, k, w + k)[1 - dx]
-                        out.append((r.slide_id, r.level, r.tile_x + dx, r.tile_y + dy, w, h, r.n_channels, dx == 0 and dy == 0, top, left, part.shape[0], part.shape[1], part.ravel().astype(float)))
-            yield pd.DataFrame(out, columns=[*KEYS, "own", "top", "left", "rows", "columns", "samples"])
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        mine = rows[rows["own"]]
-        if mine.empty:
-            return pd.DataFrame(columns=[*KEYS, "samples"])
-        m = mine.iloc[0]
-        wide = np.full((m.tile_h + 2 * k, m.tile_w + 2 * k, m.n_channels), fill)
-        for r in rows.itertuples(index=False):
-            wide[r.top : r.top + r.rows, r.left : r.left + r.columns] = np.asarray(r.samples).reshape(r.rows, r.columns, r.n_channels)
-        out = mine[KEYS].copy()
-        out["tile_w"], out["tile_h"], out["samples"] = m.tile_w + 2 * k, m.tile_h + 2 * k, [wide.ravel()]
-        return out
-
-    sent = tiles.select(*KEYS, "samples").mapInPandas(strips, _tile(tiles, ", own boolean, top int, left int, rows int, columns int"))
-    return sent.groupBy("slide_id", "level", "tile_x", "tile_y").applyInPandas(join, tile_schema(tiles))
+                        cut = images_[:, ys, xs]
+                        x, y = (pc.add(part.column(c), pa.scalar(d, pa.int64())) for c, d in ((2, dx), (3, dy)))
+                        about = [pa.array(np.full(len(rows), v, np.int32)) for v in (dy, dx, *cut.shape[1:3])]
+                        yield pa.RecordBatch.from_arrays([*part.columns[:2], x, y, *part.columns[4:7], *about, _lists(cut.reshape(len(rows), -1))], [*KEYS, *STRIP, "samples"])
+
+    def joined(batch: pa.RecordBatch, tile: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole tiles; ``tile`` numbers the tile of each row."""
+        w, h, n, dy, dx, rows, columns = _numbers(batch, 4, 5, 6, 7, 8, 9, 10)
+        own = np.full(tile[-1] + 1, -1)
+        mine = np.flatnonzero((dy == 0) & (dx == 0))[::-1]
+        own[tile[mine]] = mine  # the first, should a tile come twice
+        there = np.flatnonzero(own[tile] >= 0)
+        if not len(there):
+            return
+        to = own[tile[there]]
+        for (tw, th, tn), at in _alike(w[to], h[to], n[to]):
+            of, first = there[at], np.unique(to[at])
+            wide = np.full((len(first), th + 2 * k, tw + 2 * k, tn), fill, float)
+            for (y, x, r, c), some in _alike(dy[of], dx[of], rows[of], columns[of]):
+                top, left, source = (0, k, th + k)[1 - y], (0, k, tw + k)[1 - x], of[some]
+                wide[np.searchsorted(first, own[tile[source]]), top : top + r, left : left + c] = _spans(batch.column(11), source).reshape(-1, r, c, tn)
+            part = batch.take(pa.array(first))
+            sides = [pa.array(np.full(len(first), v + 2 * k, np.int32)) for v in (tw, th)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *sides, part.column(6), _lists(wide.reshape(len(first), -1))], [*KEYS, "samples"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of the last tile, which may go on in the next batch
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            keys = [np.asarray(batch.column(0).dictionary_encode("encode").indices), *_numbers(batch, 1, 2, 3)]
+            tile = np.concatenate(([0], np.cumsum(np.any([c[1:] != c[:-1] for c in keys], axis=0))))
+            last = int(np.searchsorted(tile, tile[-1]))
+            if last:
+                yield from joined(batch.slice(0, last), tile[:last])
+            held = batch.slice(last)
+        if held is not None:
+            yield from joined(held, np.zeros(held.num_rows, np.int64))
+
+    if not k:
+        return keyed(tiles)
+    sent = keyed(tiles).mapInArrow(strips, _tile(tiles, "".join(f", {c} int" for c in STRIP)))
+    place = KEYS[:4]
+    return sent.repartition(*place).sortWithinPartitions(*place).mapInArrow(join, schema)
 
 
 def register_tile_function(spark: SparkSession, name: str, fn: Callable[[Image, int, int], list[tuple]], schema: str, requires: Callable[[Image], str | None] | None = None) -> None:
