@@ -27,8 +27,11 @@ from ..plans.iterate import steps, written
 from . import packed, pyramid
 from .raster import level_count
 
-#: About so many tiles along a side of a block.
-BLOCK = 8
+#: About so many tiles along a side of a block near the origin; twice as many at each doubling of the distance from it,
+#: up to BLOCK_SAMPLES in a block, so that slides of many small tiles have no folder for each few of them.
+BLOCK, BLOCK_SAMPLES = 8, 1 << 22
+#: Doublings after which tiles of one sample fill a block.
+RINGS = 9
 
 DEFAULTS = {"factor": 2, "max_levels": -1, "interpolation": "linear", "integer": False, "slide": "string"}
 
@@ -61,7 +64,7 @@ def create(spark: SparkSession, path: str, **settings) -> None:
     unknown = set(settings) - set(DEFAULTS)
     if unknown:
         raise ValueError(f"unknown settings {sorted(unknown)}")
-    _put(spark, f"{path}/settings.json", json.dumps(DEFAULTS | settings))
+    _put(spark, f"{path}/settings.json", json.dumps(DEFAULTS | settings | {"rings": True}))
 
 
 def _schemas(slide: str) -> dict[str, str]:
@@ -101,9 +104,19 @@ def _side(factor: int) -> int:
     return factor * max(1, BLOCK // factor)
 
 
-def _block(x: str | F.Column, y: str | F.Column, side: int):
-    number = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / side).cast("bigint").cast("string")
-    return F.concat_ws("_", number(y), number(x))
+def _block(x: str | F.Column, y: str | F.Column, conf: dict):
+    """The block of a tile, by its place and size; blocks are whole multiples of the factor, and lie in one ring around the origin.
+
+    Stores without the setting ``rings`` were written with blocks of one size.
+    """
+    x, y, side = (F.col(x) if isinstance(x, str) else x), (F.col(y) if isinstance(y, str) else y), _side(conf["factor"])
+    away = F.greatest(x, -1 - x, y, -1 - y)
+    samples = F.col("tile_w").cast("bigint") * F.col("tile_h") * F.col("n_channels")
+    ring = F.lit(0)
+    for j in range(1, RINGS + 1 if conf.get("rings") else 1):
+        ring += ((away >= BLOCK * side * 2 ** (j - 1)) & (samples * (side**2 * 4**j) <= BLOCK_SAMPLES)).cast("int")
+    number = lambda c: F.floor(c / (side * F.pow(F.lit(2.0), ring))).cast("bigint").cast("string")
+    return F.concat_ws("_", number(y), number(x), F.when(ring > 0, ring.cast("string")))
 
 
 def _publish(spark: SparkSession, path: str, batch: str, slide: str) -> None:
@@ -143,22 +156,22 @@ def _changes(base: DataFrame, stored: DataFrame, grown: DataFrame, conf: dict) -
 
     grown: slide_id, _old (last level before, -1 for a new slide) and _new; above its old last level a slide has no tiles yet.
     """
-    d, side, stride = conf["factor"], _side(conf["factor"]), pyramid.STRIDE
+    d, stride = conf["factor"], pyramid.STRIDE
     top = grown.agg(F.max("_new")).first()[0] or 0
     power = F.pow(F.lit(float(d)), F.col("_k"))
     up = lambda c: F.floor(F.col(c) / d).cast("bigint")
-    place = ["slide_id", "level", "tile_x", "tile_y"]
+    place, size = ["slide_id", "level", "tile_x", "tile_y"], ["tile_w", "tile_h", "n_channels"]
     here = base
     yield base
     for start in range(0, top, stride):
         # all tiles above the changed ones, and above the last level of slides that get new levels
-        last = stored.select(*place).join(grown.where((F.col("_old") >= start) & (F.col("_old") < min(start + stride, top)) & (F.col("_old") < F.col("_new"))).select("slide_id", F.col("_old").alias("level")), ["slide_id", "level"], "left_semi")
-        seeds = here.select(*place).unionByName(last)
+        last = stored.select(*place, *size).join(grown.where((F.col("_old") >= start) & (F.col("_old") < min(start + stride, top)) & (F.col("_old") < F.col("_new"))).select("slide_id", F.col("_old").alias("level")), ["slide_id", "level"], "left_semi")
+        seeds = here.select(*place, *size).unionByName(last)
         above = seeds.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(start + stride) - F.col("level"))))
-        above = above.select("slide_id", (F.col("level") + F.col("_k")).alias("level"), *(F.floor(F.col(c) / power).cast("bigint").alias(c) for c in ("tile_x", "tile_y"))).distinct()
+        above = above.select("slide_id", (F.col("level") + F.col("_k")).alias("level"), *(F.floor(F.col(c) / power).cast("bigint").alias(c) for c in ("tile_x", "tile_y")), *size).distinct()
         above = above.join(grown.select("slide_id", "_new"), "slide_id").where("level <= _new").drop("_new")
         # blocks are whole multiples of d, so the children of a tile lie in one block, which prunes folders
-        wanted = above.select("slide_id", (F.col("level") - 1).alias("level"), F.col("tile_x").alias("_px"), F.col("tile_y").alias("_py")).withColumn("block", _block(F.col("_px") * d, F.col("_py") * d, side))
+        wanted = above.select("slide_id", (F.col("level") - 1).alias("level"), F.col("tile_x").alias("_px"), F.col("tile_y").alias("_py"), *size).withColumn("block", _block(F.col("_px") * d, F.col("_py") * d, conf)).drop(*size)
         kept = stored.where(F.col("level").between(start, start + stride - 1)).withColumn("_px", up("tile_x")).withColumn("_py", up("tile_y")).join(wanted, ["slide_id", "level", "block", "_px", "_py"], "left_semi")
         kept = kept.join(grown.select("slide_id", "_old"), "slide_id").where("level <= _old")
         kept = kept.join(here.select(*place).unionByName(above.select(*place)), place, "left_anti")
@@ -190,7 +203,7 @@ def upsert(tiles: DataFrame, path: str, slides: DataFrame | None = None, batch:
 def _stage(tiles: DataFrame, path: str, slides: DataFrame | None, to: str) -> None:
     """Write the blocks, level sizes and extremes that a store gets by these tiles to a folder of their own."""
     spark, conf = tiles.sparkSession, _settings(tiles.sparkSession, path)
-    schemas, side = _schemas(conf["slide"]), _side(conf["factor"])
+    schemas = _schemas(conf["slide"])
     only = F.when(F.col("level") != 0, F.raise_error(F.lit("only tiles of level 0 are written, the others are made from them"))).otherwise(F.col("level"))
     base = packed.keyed(tiles.withColumn("level", only).withColumn("slide_id", F.col("slide_id").cast(conf["slide"])))
     base = base.groupBy("slide_id", "level", "tile_x", "tile_y").agg(F.max(F.struct("tile_w", "tile_h", "n_channels", "samples")).alias("t")).select("slide_id", "level", "tile_x", "tile_y", "t.*")
@@ -218,7 +231,7 @@ def _stage(tiles: DataFrame, path: str, slides: DataFrame | None, to: str) -> No
     changed = None
     for one in _changes(base, stored, grown, conf):
         changed = one if changed is None else changed.unionByName(one)
-    changed = changed.withColumn("block", _block("tile_x", "tile_y", side))
+    changed = changed.withColumn("block", _block("tile_x", "tile_y", conf))
     ends = lambda pick: F.when(F.col("level") == 0, _extremes(F.col("samples"), F.col("n_channels"), pick))
     columns = [c.split()[0] for c in schemas["tiles"].split(", ")]
     fresh = changed.withColumn("low", ends(F.array_min)).withColumn("high", ends(F.array_max)).select(*columns)
