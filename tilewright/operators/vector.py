@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,16 +244,15 @@ def stitch_regions(regions: DataFrame, closing_distance: float = 30.0) -> DataFr
 
     A region is open if its ends are further apart than the closing distance.  In list order an open region takes
     the next one whose nearer end is within the distance of one of its ends, reversed where needed, and looks again.
-    The order decides the result, so one task handles the regions of one file and group.
+    The order decides the result, so one row holds the regions of one file and group where several are open; the others stay as they are.
     """
     limit = closing_distance * closing_distance
 
     def far(a, b) -> bool:
         return (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 > limit
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        left = [(r.ord, r.name, [(p["x"], p["y"]) for p in r.coords]) for r in rows.itertuples(index=False)]
+    def stitched(row: dict) -> list[dict]:
+        left = [(r["ord"], r["name"], [(p["x"], p["y"]) for p in r["coords"]]) for r in row["regions"]]
         out = []
         while left:
             ord_, name, points = left.pop(0)
@@ -275,10 +276,25 @@ def stitch_regions(regions: DataFrame, closing_distance: float = 30.0) -> DataFr
                     left.pop(k)
                     again = far(points[0], points[-1])
                     break
-            out.append((rows["file"].iloc[0], rows["group_name"].iloc[0], ord_, name, [{"ord": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate(points)]))
-        return pd.DataFrame(out, columns=["file", "group_name", "ord", "name", "coords"])
+            out.append({"file": row["file"], "group_name": row["group_name"], "ord": ord_, "name": name, "coords": [{"ord": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate(points)]})
+        return out
 
-    return regions.select("file", "group_name", "ord", "name", "coords").groupBy("file", "group_name").applyInPandas(run, "file string, group_name string, ord int, name string, coords array<struct<ord:int,x:double,y:double>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([made for row in batch.to_pylist() for made in stitched(row)], arrow)
+
+    point = pa.struct([("ord", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
+    arrow = pa.schema([("file", pa.string()), ("group_name", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("coords", pa.list_(point))])
+    ends = [F.try_element_at("coords", F.lit(i)) for i in (1, -1)]
+    is_open = F.coalesce(geom.dist2(ends[0]["x"], ends[0]["y"], ends[1]["x"], ends[1]["y"]) > limit, F.lit(False))
+    of = regions.select("file", "group_name", F.col("ord").cast("int").alias("ord"), "name", "coords", is_open.cast("int").alias("_open"))
+    grouped = of.groupBy("file", "group_name").agg(F.sum("_open").alias("_open"), F.array_sort(F.collect_list(F.struct("ord", "name", "coords"))).alias("regions"))
+    schema = "file string, group_name string, ord int, name string, coords array<struct<ord:int,x:double,y:double>>"
+    # fewer than two open regions have nothing to be joined to
+    several = grouped.where("_open > 1").drop("_open").mapInArrow(run, schema)
+    single = grouped.where("_open < 2").select("file", "group_name", F.explode("regions").alias("r")).select("file", "group_name", "r.ord", "r.name", "r.coords")
+    numbered = F.transform("coords", lambda p, i: F.struct(i.cast("int").alias("ord"), p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return single.select("file", "group_name", "ord", "name", numbered.alias("coords")).unionByName(several)
 
 
 def flatten_spline(coords: DataFrame, key: str = "ann_id", steps: int = 10, closed: bool = True) -> DataFrame:

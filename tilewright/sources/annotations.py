@@ -6,13 +6,14 @@ the prefix ``_``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import int_to_hex
 from ..functions.geom import nm_to_pixel
 from ..functions.text import base_name, extension
 from ..operators.vector import accepted_files, stitch_regions
+from ..plans.iterate import written
 
 NATIVE = (
     "Annotations struct<Annotation:array<struct<_Name:string,_Type:string,_PartOfGroup:string,_Color:string,Coordinates:struct<Coordinate:array<struct<_Order:int,_X:double,_Y:double>>>>>>, "
@@ -20,6 +21,7 @@ NATIVE = (
 )
 IMAGESCOPE = "Annotation array<struct<_Id:int,_Name:string,_LineColor:bigint,Regions:struct<Region:array<struct<_Id:int,_Text:string,Vertices:struct<Vertex:array<struct<_X:double,_Y:double>>>>>>>>"
 NDPA = "ndpviewstate array<struct<_id:int,title:string,annotation:struct<_type:string,_color:string,pointlist:struct<point:array<struct<x:double,y:double>>>>>>"
+READERS = {"native": NATIVE, "imagescope": IMAGESCOPE, "ndpa": NDPA}
 COORDS = "array<struct<ord:int,x:double,y:double>>"
 
 
@@ -35,9 +37,20 @@ def _points(array, order=None, x="_X", y="_Y"):
     return F.array_sort(made).cast(COORDS)
 
 
+def _document(raw: DataFrame, kind: str) -> Column:
+    """What a file holds, as read by :func:`documents` before, or from its XML."""
+    return F.col(kind) if kind in raw.columns else F.from_xml("xml", READERS[kind])
+
+
+def documents(raw: DataFrame) -> DataFrame:
+    """Files with their kind, each read once by the reader of its kind and written: (file, slide_id, kind, native, imagescope, ndpa)."""
+    read = (F.when(F.col("kind") == kind, F.from_xml("xml", schema)).alias(kind) for kind, schema in READERS.items())
+    return written(kind_of(raw).select("file", "slide_id", "kind", *read), "documents")
+
+
 def native(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(annotations, groups) of native XML; a file that names an unknown group is rejected whole."""
-    doc = raw.select("slide_id", F.from_xml("xml", NATIVE).alias("d"))
+    doc = raw.select("slide_id", _document(raw, "native").alias("d"))
     anns = doc.select("slide_id", F.posexplode("d.Annotations.Annotation").alias("ord", "a"))
     anns = anns.select("slide_id", "ord", F.col("a._Name").alias("name"), F.col("a._Type").alias("type"), F.col("a._PartOfGroup").alias("group_name"), F.col("a._Color").alias("color"), _points(F.col("a.Coordinates.Coordinate"), "_Order").alias("coords"))
     groups = doc.select("slide_id", F.explode("d.AnnotationGroups.Group").alias("g"))
@@ -48,14 +61,14 @@ def native(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def imagescope(raw: DataFrame) -> DataFrame:
     """Regions (file, group_name, color, ord, name, coords) of ImageScope XML, for ``stitch_regions``."""
-    doc = raw.select("file", "slide_id", F.posexplode(F.from_xml("xml", IMAGESCOPE)["Annotation"]).alias("pos", "a"))
+    doc = raw.select("file", "slide_id", F.posexplode(_document(raw, "imagescope")["Annotation"]).alias("pos", "a"))
     out = doc.select("file", "slide_id", "pos", F.coalesce(F.nullif(F.col("a._Name"), F.lit("")), F.concat(F.lit("Annotation "), F.col("a._Id"))).alias("group_name"), int_to_hex(F.col("a._LineColor")).alias("color"), F.posexplode("a.Regions.Region").alias("ord", "r"))
     return out.select("file", "slide_id", "pos", "group_name", "color", "ord", F.coalesce("r._Text", F.lit("")).alias("name"), _points(F.col("r.Vertices.Vertex")).alias("coords"))
 
 
 def ndpa(raw: DataFrame, slides: DataFrame) -> DataFrame:
     """Freehand annotations in pixels; slides: slide_id, offset_x, offset_y (nm), mpp_x, mpp_y, width, height."""
-    doc = raw.select("slide_id", F.posexplode(F.from_xml("xml", NDPA)["ndpviewstate"]).alias("pos", "v")).where("v.annotation._type = 'freehand'")
+    doc = raw.select("slide_id", F.posexplode(_document(raw, "ndpa")["ndpviewstate"]).alias("pos", "v")).where("v.annotation._type = 'freehand'")
     doc = doc.withColumn("ord", F.row_number().over(Window.partitionBy("slide_id").orderBy("pos")) - 1).join(slides, "slide_id")
     c = F.col
     points = F.transform(c("v.annotation.pointlist.point"), lambda p, i: F.struct(i.cast("int").alias("ord"), nm_to_pixel(p["x"], c("offset_x"), c("mpp_x"), c("width")).alias("x"), nm_to_pixel(p["y"], c("offset_y"), c("mpp_y"), c("height")).alias("y")))
@@ -114,7 +127,7 @@ def annotation_lists(raw: DataFrame, slides: DataFrame | None = None) -> tuple[D
 
     NDPA coordinates need ``slides`` (see :func:`ndpa`); without it a file of that kind is an error, as is an unknown kind.
     """
-    kinds = kind_of(raw)
+    kinds = documents(raw)
     if kinds.where("kind is null" if slides is not None else "kind is null or kind = 'ndpa'").limit(1).count():
         raise ValueError("files of an unknown kind, or NDPA files without a table of slides")
     anns, groups = native(kinds.where("kind = 'native'"))
