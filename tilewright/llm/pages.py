@@ -3,7 +3,7 @@
 A page is cut into blocks in page order.  A block lies in the main part (inside ``article`` or ``main``), in a part that is
 boilerplate by its element, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 reader comments), or in neither.  Every page goes through its host's search: the token streams of all pages of a host are put
-together, and the suffix structure of :mod:`repeats` (suffix-array intervals over words, grouped by
+together, and the suffix structure of :mod:`bundles` (suffix-array intervals over words, grouped by
 prefix) finds runs of ``RUN`` or more tokens that distinct pages of the host share.  Covered tokens are
 removed and the unique runs stay; a block of which less than half is covered quotes something and stays whole.
 The structure then checks each block: what it knows as boilerplate goes, and a main part that the page marks stays whole.
@@ -20,7 +20,7 @@ boilerplate part, or with such a role or class, is no main part if the page has
 Repeated text inside a marked main part stays, as an article that appears on two pages is no boilerplate: the named method
 alone would give wrong results there.
 
-Pages are parsed once and written.  Defined cases: null or empty html gives an empty
+Pages are parsed once, and travel once, in compressed bundles (:mod:`bundles`).  Defined cases: null or empty html gives an empty
 text; a null url is a host of its own; rows with a null page_id, or a page_id that occurs twice, are treated like other
 pages; an empty table gives no rows; unclosed elements end where a main part begins or at the end; further columns are ignored.
 """
@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bundles import with_runs
 from .columns import intervals
-from .common import steps, text_bytes, word_hashes, words, written
-from .repeats import Rule, removed_symbols, with_runs
+from .common import steps, text_bytes, word_hashes, words
+from .repeats import Rule, removed_symbols
 
 RUN, K = 12, 6
 
@@ -235,23 +236,28 @@ def host_of(url: str = "url"):
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, blocks, main_block) of every page: its blocks a line each, behind the mark of what the structure says of them."""
+    """(page_id, url, blocks, main_block, main_line) of every page: its blocks a line each, behind the mark of what the structure says of them.
+
+    ``main_block`` is the longest block of its article, ``main_line`` that block's line (null: none).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, longest = [], []
+            lines, longest, at = [], [], []
             for page in batch.column(2):
                 found = linked_blocks(page.as_py() or "")
                 marked = any(zone == MAIN for zone, *_ in found)
                 marks = {MAIN: "* ", OPEN: "- " if marked else "+ ", BOILERPLATE: "- "}
                 lines.append("\n".join(marks[zone] + t for zone, t, _ in found))
-                article = [(t, linked) for zone, t, linked in found if zone == (MAIN if marked else OPEN)]
-                longest.append(max((t for t, linked in article if 2 * linked < len(t)), key=len, default=article[0][0]) if article else None)
-            arrays = [*batch.columns[:2], *(pa.array(x, pa.string()) for x in (lines, longest))]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "blocks", "main_block"])
+                article = [i for i, (zone, *_) in enumerate(found) if zone == (MAIN if marked else OPEN)]
+                own = max((i for i in article if 2 * found[i][2] < len(found[i][1])), key=lambda i: len(found[i][1]), default=article[0]) if article else None
+                longest.append(None if own is None else found[own][1])
+                at.append(own)
+            arrays = [*batch.columns[:2], *(pa.array(x, pa.string()) for x in (lines, longest)), pa.array(at, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "blocks", "main_block", "main_line"])
 
     picked = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return picked.mapInArrow(run, "page_id bigint, url string, blocks string, main_block string")
+    return picked.mapInArrow(run, "page_id bigint, url string, blocks string, main_block string, main_line int")
 
 
 def word_contexts(content: pa.Array, left: np.ndarray, group: np.ndarray, depth: int, k: int = K) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -297,19 +303,20 @@ def kept_blocks(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
         kept = [raw[starts[w] : ends[w]].decode() for w in range(b + 1, b + 1 + n) if all_ or sure or not gone[w]]
         if kept:
             texts[rows[b]].append(" ".join(kept))
-    own = part.column(part.schema.get_field_index("main_block")).to_pylist()
-    return ["\n\n".join(t) if t else (o or "") for t, o in zip(texts, own, strict=True)]
+    own = part.column(part.schema.get_field_index("main_line")).to_pylist()
+    edge = offsets.tolist()
+    # a line is a block behind its mark and a space
+    return ["\n\n".join(t) if t else "" if o is None else raw[edge[i] : edge[i + 1]].split(b"\n")[o][2:].decode() for i, (t, o) in enumerate(zip(texts, own, strict=True))]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    found = written(parsed(pages, id_col, url_col, html_col), "parsed")
+    found = parsed(pages, id_col, url_col, html_col)
     host = F.xxhash64(host_of("url"))
-    # a row's own number; rows of one article copy share a class, whose texts are no repeats of each other
     row = F.xxhash64("page_id", "url", "blocks")
+    # rows of one article copy share a class, whose texts are no repeats of each other
     class_ = F.coalesce(F.xxhash64(host, "main_block"), row)
-    streams = found.select("page_id", "url", "blocks", host.alias("salt"), row.alias("row"), class_.alias("class"), "main_block")
-    judged = with_runs(streams, RULE, "row", "blocks", salt="salt", version="class", keep=["page_id", "url", "main_block"])
+    judged = with_runs(found.select(row.alias("row"), class_.alias("v"), host.alias("salt"), F.col("blocks").alias("text"), "page_id", "url", "main_line"), RULE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in steps(batches):
