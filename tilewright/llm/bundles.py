@@ -30,11 +30,10 @@ from .repeats import GROUP_BYTES, Rule, anchors, counted, pieces, runs_of, slice
 
 #: Bits of an anchor's hash that travel, and bits of a text's place in its bundle.
 BITS, PLACE = 40, 16
-BUCKETS = 1024
+BUCKETS = 512
 #: Bytes of contexts that a task gathers before it merges and sends them.
 HELD_BYTES = 32 << 20
 TEXT_LEVEL = 6
-STREAM = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
 def squeezed(*columns: np.ndarray) -> bytes:
@@ -49,7 +48,8 @@ def unsqueezed(data: bytes, many: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in planes.reshape(many, 8, n)]
 
 
-def packed(batch: pa.RecordBatch, options: pa.ipc.IpcWriteOptions = STREAM) -> bytes:
+def packed(batch: pa.RecordBatch) -> bytes:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=TEXT_LEVEL))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
         stream.write_batch(batch)
@@ -64,11 +64,10 @@ def bundled(docs: DataFrame) -> DataFrame:
     """Rows (bundle, data): the rows of ``docs`` in order, in compressed bundles that a task that runs again makes the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=TEXT_LEVEL))
         number = TaskContext.get().partitionId() << (62 - PLACE - 22)
         for part, *_ in steps(batches):
             for at in range(0, len(part), 1 << PLACE):
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed(part.slice(at, 1 << PLACE), options)], pa.binary())], ["bundle", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed(part.slice(at, 1 << PLACE))], pa.binary())], ["bundle", "data"])
                 number += 1
 
     return docs.mapInArrow(run, "bundle bigint, data binary")
@@ -152,14 +151,15 @@ def repeated_anchors(told: DataFrame, fit: int) -> DataFrame:
     return told.groupBy("bucket").applyInArrow(run, "bundle bigint, data binary")
 
 
-NUMBERS = ("key", "v", "start", "n", "left", "k")
+NUMBERS = ("key", "v", "n", "left", "k")
+SENT = "bucket int, bundle bigint, data binary, places binary, content binary"
 
 
 def sent_contexts(held: DataFrame, rule: Rule, buckets: int) -> DataFrame:
-    """Rows (bucket, bundle, data): contexts with all their places (no bundle), and runs of windows known to be shared (of a bundle)."""
+    """Rows of contexts with all their places and their text (no bundle), and of runs of windows known to be shared (of a bundle)."""
 
-    def rows(bucket: list, bundle: list, blobs: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(bundle, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "bundle", "data"])
+    def rows(bucket: list, bundle: list, *blobs: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(bundle, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], [x.split()[0] for x in SENT.split(", ")])
 
     def merged(found: list[dict], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         p = {n: np.concatenate([f[n] for f in found]) for n in found[0]}
@@ -169,22 +169,23 @@ def sent_contexts(held: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         many = np.diff(np.append(head, len(order)))
         new = starts_of(p["content"][head])
         nth = np.arange(len(head)) - np.repeat(new, np.diff(np.append(new, len(head))))
-        sent, known = nth < 2, np.repeat(nth >= 2, many)
-        places = p["doc"][~known], p["start"][~known].astype(np.int32)
-        offsets = np.concatenate(([0], np.cumsum(many[sent]))).astype(np.int32)
-        head = head[sent]
-        arrays = [pa.array(p[n][head] if n in ("key", "v") else p[n][head].astype(np.int32)) for n in NUMBERS]
-        arrays += [pa.concat_arrays(texts).take(pa.array(order[head])), *(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in places)]
-        batch = pa.RecordBatch.from_arrays(arrays, [*NUMBERS, "content", "docs", "starts"])
-        key = p["key"][head].view(np.uint64)
-        by_key = np.argsort(key, kind="stable")
-        batch = batch.take(pa.array(by_key))
-        edges = bucket_edges((key[by_key] >> np.uint64(64 - BITS)).astype(np.int64), buckets)
-        have = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        yield rows(have, [None] * len(have), [packed(batch.slice(edges[b], edges[b + 1] - edges[b])) for b in have])
+        known, sent, many = np.repeat(nth >= 2, many), head[nth < 2], many[nth < 2]
+        doc, start = p["doc"][~known], p["start"][~known]
+        at = np.cumsum(many) - many
+        by_key = np.argsort(p["key"][sent].view(np.uint64), kind="stable")
+        sent, many, at = sent[by_key], many[by_key], at[by_key]
+        content = pa.concat_arrays(texts).take(pa.array(order[sent]))
+        data, offsets = text_bytes(content)
+        edges = bucket_edges((p["key"][sent].view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64), buckets)
+        have = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
+        numbers = [squeezed(*(p[n][sent[x]] for n in NUMBERS), many[x], np.diff(offsets[x.start : x.stop + 1])) for _, x in have]
+        places = [squeezed(doc[y], start[y]) for y in (ranges(at[x], many[x]) for _, x in have)]
+        contents = [pa.compress(data[offsets[x.start] : offsets[x.stop]].tobytes(), "zstd", asbytes=True) for _, x in have]
+        yield rows([b for b, _ in have], [None] * len(have), numbers, places, contents)
         if known.any():
             bundles, blobs = by_bundle(p["doc"][known], p["start"][known], p["n"][known])
-            yield rows([b % buckets for b in bundles], bundles, blobs)
+            none = [None] * len(blobs)
+            yield rows([b % buckets for b in bundles], bundles, blobs, none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, texts, size = [], [], 0
@@ -214,7 +215,7 @@ def sent_contexts(held: DataFrame, rule: Rule, buckets: int) -> DataFrame:
         if found:
             yield from merged(found, texts)
 
-    return held.select("bundle", "data", "wanted").mapInArrow(run, "bucket int, bundle bigint, data binary")
+    return held.select("bundle", "data", "wanted").mapInArrow(run, SENT)
 
 
 def by_bundle(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -227,14 +228,16 @@ def by_bundle(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[list[i
     return bundle[begin].tolist(), [squeezed(doc[a:b] & ((1 << PLACE) - 1), start[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def shared_windows(rule: Rule, table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+def shared_windows(rule: Rule, numbers: list[bytes], places: list[bytes], contents: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs (doc, start, n) of windows that texts of other versions have, in the groups of a bucket."""
-    columns = {n: np.asarray(table[n]) for n in NUMBERS}
-    content, docs, starts = (table[n].combine_chunks() for n in ("content", "docs", "starts"))
-    many = np.asarray(docs.value_lengths()).astype(np.int64)
-    at = np.concatenate(([0], np.cumsum(many)))
-    docs, starts = np.asarray(docs.flatten()), np.asarray(starts.flatten()).astype(np.int64)
-    size = np.diff(np.frombuffer(content.buffers()[1], np.int32, len(content) + 1, 4 * content.offset)) if len(content) else many
+    numbers = [unsqueezed(x, len(NUMBERS) + 2) for x in numbers]
+    data = b"".join(pa.decompress(x, int(of[-1].sum()), "zstd", asbytes=True) for x, of in zip(contents, numbers, strict=True))
+    *columns, many, size = (np.concatenate(x) for x in zip(*numbers, strict=True))
+    columns = dict(zip(NUMBERS, columns, strict=True))
+    end = np.cumsum(size)
+    data = np.frombuffer(data, np.uint8)
+    docs, starts = (np.concatenate(x) for x in zip(*(unsqueezed(x, 2) for x in places), strict=True))
+    at = np.cumsum(many) - many
     for k in np.unique(columns["k"]).tolist():
         mine = np.flatnonzero(columns["k"] == k)
         for some in whole_groups(columns["key"][mine], size[mine] + 64, many[mine]):
@@ -242,8 +245,7 @@ def shared_windows(rule: Rule, table: pa.Table) -> Iterator[tuple[np.ndarray, ..
             some = some[np.argsort(columns["key"][some], kind="stable")]
             key, v, n, left = (columns[x][some] for x in ("key", "v", "n", "left"))
             group = np.unique(key, return_inverse=True)[1]
-            left = left.astype(np.int64)
-            where, offset = np.nonzero(counted(rule, content.take(pa.array(some)), left, n.astype(np.int64), group, some, v, k))
+            where, offset = np.nonzero(counted(rule, slices(data, end[some] - size[some], end[some]), left, n, group, some, v, k))
             if not len(where):
                 continue
             count = many[some[where]]
@@ -257,15 +259,10 @@ def shared_runs(contexts: DataFrame, rule: Rule) -> DataFrame:
     """Rows (bundle, data): runs of windows that are shared."""
 
     def run(table: pa.Table) -> pa.Table:
-        bundles, blobs = [], []
-        groups = []
-        for bundle, data in zip(table["bundle"].to_pylist(), table["data"].to_pylist(), strict=True):
-            if bundle is None:
-                groups.append(unpacked(data))
-            else:
-                bundles.append(bundle)
-                blobs.append(data)
-        runs = list(shared_windows(rule, pa.Table.from_batches(groups))) if groups else []
+        rows = table.to_pylist()
+        bundles, blobs = ([r[n] for r in rows if r["bundle"] is not None] for n in ("bundle", "data"))
+        groups = [[r[n] for r in rows if r["bundle"] is None] for n in ("data", "places", "content")]
+        runs = list(shared_windows(rule, *groups)) if groups[0] else []
         if runs:
             more = by_bundle(*(np.concatenate(x) for x in zip(*runs, strict=True)))
             bundles, blobs = bundles + more[0], blobs + more[1]
