@@ -15,9 +15,10 @@ are then selected from the most significant slice downward until k rows are cert
 the bound of the k-th score is a boundary row, and those are resolved exactly with integer inner
 products.  Nothing is approximate in the result.
 
-Index blocks are dealt round to shards and shuffled once; query blocks, the small side, are copied to each
-shard.  Each query meets each row once, in blocks, and only the k best of every pair of blocks go on.  A block
-is sliced once for the query blocks that follow each other.
+Index blocks are dealt round to 64 parts at most, query blocks to parts of some 1,024 queries, and a task
+takes one part of each (a cartesian product of parts), so no copies of the queries are made or broadcast, and the k best that
+leave the tasks grow with the queries alone.  Each query meets each row once, in blocks.  A block is sliced once
+for all query blocks of its task.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without id.  Vectors
 of different lengths are not compared.  Scores beyond a long count as they are and are given as the nearest long.  An id that occurs more than once counts as rows of the same id: none
@@ -38,6 +39,8 @@ from .common import written
 
 #: Rows in a block of the index, queries in a block of queries, slices kept for the search.
 BLOCK_ROWS, BLOCK_QUERIES, SLICES = 16384, 512, 8
+#: Most parts of the index, and queries in a part of the queries; a task takes one part of each.
+INDEX_PARTS, PART_QUERIES = 64, 1024
 SCALE = 256
 
 
@@ -254,12 +257,13 @@ def top_k(vectors: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vec
     ``query_ids`` is a Column condition on ``vec_id`` that states which rows are queries.
     """
     rows = quantised(vectors, id_col, vector_col)
-    shards = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # both written, so that blocks stay the same when a task runs again
-    index = written(blocked(rows, block_rows), "index").withColumn("shard", F.pmod(F.expr("(block >> 33) + (block & ((1L << 33) - 1))"), F.lit(shards)).cast("int"))
+    index = written(blocked(rows, block_rows), "index")
     asked = rows.where(query_ids).groupBy("vec_id", "dims").agg(F.min("v").alias("v")).select("vec_id", "v", "dims")
     asks = written(blocked(asked, BLOCK_QUERIES).select("dims", F.col("n").alias("asked"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")), "queries")
-    asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # two numbers
+    blocks, queries = index.count(), asks.agg(F.sum("asked")).first()[0] or 0
+    index, asks = index.repartition(min(INDEX_PARTS, max(1, blocks))), asks.repartition(-(-max(1, queries) // PART_QUERIES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts = None, []
@@ -275,7 +279,8 @@ def top_k(vectors: DataFrame, query_ids, k: int = 5, id_col: str = "vec_id", vec
                 exact = pa.array([(x + (1 << 191)).to_bytes(24, "big") for x in s], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), longs, exact], ["query_id", "vec_id", "score", "exact"])
 
-    pairs = index.join(asks, ["shard", "dims"]).select("block", "dims", "n", "ids", "vals", "asked", "q_ids", "q_vals")
+    # a part of the queries is read by each task that needs it: copies of them would outgrow a broadcast, and the disk
+    pairs = index.join(asks.hint("shuffle_replicate_nl"), "dims").select("block", "dims", "n", "ids", "vals", "asked", "q_ids", "q_vals")
     best = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, exact binary")
     order = Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
