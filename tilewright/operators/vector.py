@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -239,62 +240,85 @@ def nearest_shape(points: DataFrame, polygons: DataFrame, tolerance: float) -> D
     return best.groupBy(*shared, "point_id").agg(F.min(key).alias("b")).select(*shared, "point_id", "b.kind", "b.ann_id", "b.i", "b.d2")
 
 
+def _chains(ends: np.ndarray, limit: float) -> Iterator[list[tuple[int, int, bool]]]:
+    """Open regions that are joined, by their ends [x0 y0 x1 y1, region] in list order: of each chain (region, place, reversed), in the order of joining."""
+    left = np.arange(ends.shape[1])
+    while len(left):
+        (hx, hy, tx, ty), chain = ends[:, 0], [(int(left[0]), 0, False)]
+        left, ends, low, high = left[1:], ends[:, 1:], 0, 0
+        while len(left) and (hx - tx) * (hx - tx) + (hy - ty) * (hy - ty) > limit:
+            x0, y0, x1, y1 = ends
+            far = [(x - px) * (x - px) + (y - py) * (y - py) > limit for px, py, x, y in ((tx, ty, x0, y0), (tx, ty, x1, y1), (hx, hy, x1, y1), (hx, hy, x0, y0))]
+            near = ~(far[0] & far[1] & far[2] & far[3])
+            k = int(near.argmax())
+            if not near[k]:
+                break
+            how = next(i for i in range(4) if not far[i][k])
+            end = (x1[k], y1[k]) if how in (0, 3) else (x0[k], y0[k])
+            if how < 2:
+                high, (tx, ty) = high + 1, end
+            else:
+                low, (hx, hy) = low - 1, end
+            chain.append((int(left[k]), high if how < 2 else low, how % 2 == 1))
+            left, ends = np.delete(left, k), np.delete(ends, k, axis=1)
+        if len(chain) > 1:
+            yield chain
+
+
 def stitch_regions(regions: DataFrame, closing_distance: float = 30.0) -> DataFrame:
     """Open regions (file, group_name, ord, name, coords) joined end to end; closed ones stay: (file, group_name, ord, name, coords).
 
     A region is open if its ends are further apart than the closing distance.  In list order an open region takes
     the next one whose nearer end is within the distance of one of its ends, reversed where needed, and looks again.
-    The order decides the result, so one row holds the regions of one file and group where several are open; the others stay as they are.
+    The order decides the result, so the ends of the open regions of one file and group meet in a task, and nothing else of them; what is
+    joined to what goes back to the regions by their numbers, and Spark puts the points together.
     """
     limit = closing_distance * closing_distance
 
-    def far(a, b) -> bool:
-        return (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 > limit
-
-    def stitched(row: dict) -> list[dict]:
-        left = [(r["ord"], r["name"], [(p["x"], p["y"]) for p in r["coords"]]) for r in row["regions"]]
-        out = []
-        while left:
-            ord_, name, points = left.pop(0)
-            again = len(points) > 0 and far(points[0], points[-1])
-            while again:
-                again = False
-                for k, (_, other_name, other) in enumerate(left):
-                    if not other or not far(other[0], other[-1]):
-                        continue
-                    if not far(points[-1], other[0]):
-                        points = points + other
-                    elif not far(points[-1], other[-1]):
-                        points = points + other[::-1]
-                    elif not far(points[0], other[-1]):
-                        points = other + points
-                    elif not far(points[0], other[0]):
-                        points = other[::-1] + points
-                    else:
-                        continue
-                    name = name or other_name
-                    left.pop(k)
-                    again = far(points[0], points[-1])
-                    break
-            out.append({"file": row["file"], "group_name": row["group_name"], "ord": ord_, "name": name, "coords": [{"ord": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate(points)]})
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, ends = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
+            held.clear()
+            if len(ids) > 1 and (found := [(m[0], chain[0][0], turn, *m[1:]) for chain in _chains(ends, limit) for turn, m in enumerate(chain)]):
+                region, first, turn, place, back = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[list(region)]), pa.array(ids[list(first)]), pa.array(turn, pa.int32()), pa.array(place, pa.int32()), pa.array(back)], ["_id", "_out", "_turn", "_place", "_back"])
+
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([made for row in batch.to_pylist() for made in stitched(row)], arrow)
-
-    point = pa.struct([("ord", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
-    arrow = pa.schema([("file", pa.string()), ("group_name", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("coords", pa.list_(point))])
-    ends = [F.try_element_at("coords", F.lit(i)) for i in (1, -1)]
-    is_open = F.coalesce(geom.dist2(ends[0]["x"], ends[0]["y"], ends[1]["x"], ends[1]["y"]) > limit, F.lit(False))
-    of = regions.select("file", "group_name", F.col("ord").cast("int").alias("ord"), "name", "coords", is_open.cast("int").alias("_open"))
-    grouped = of.groupBy("file", "group_name").agg(F.sum("_open").alias("_open"), F.array_sort(F.collect_list(F.struct("ord", "name", "coords"))).alias("regions"))
-    schema = "file string, group_name string, ord int, name string, coords array<struct<ord:int,x:double,y:double>>"
-    # fewer than two open regions have nothing to be joined to
-    several = grouped.where("_open > 1").drop("_open").mapInArrow(run, schema)
-    single = grouped.where("_open < 2").select("file", "group_name", F.explode("regions").alias("r")).select("file", "group_name", "r.ord", "r.name", "r.coords")
-    numbered = F.transform("coords", lambda p, i: F.struct(i.cast("int").alias("ord"), p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    return single.select("file", "group_name", "ord", "name", numbered.alias("coords")).unionByName(several)
+            ids, ends = np.asarray(batch.column(1)), np.stack([np.asarray(c) for c in batch.columns[2:]])
+            cuts = [*np.flatnonzero(np.asarray(batch.column(0)) == 1).tolist(), len(ids)]
+            if cuts[0]:
+                held.append((ids[: cuts[0]], ends[:, : cuts[0]]))
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if held:
+                    yield from out()
+                held.append((ids[low:high], ends[:, low:high]))
+        if held:
+            yield from out()
+
+    c = F.col
+    axis = lambda k: F.transform("coords", lambda p: p[k].cast("double"))
+    # written, so that numbers stay the same when a task runs again
+    of = written(regions.select(F.monotonically_increasing_id().alias("_id"), "file", "group_name", c("ord").cast("int").alias("ord"), "name", axis("x").alias("_x"), axis("y").alias("_y")), "regions")
+    at = lambda k, i: F.try_element_at(k, F.lit(i))
+    ends = of.select("_id", "file", "group_name", "ord", "name", at("_x", 1).alias("x0"), at("_y", 1).alias("y0"), at("_x", -1).alias("x1"), at("_y", -1).alias("y1"), F.xxhash64("_x", "_y").alias("_h"))
+    apart = geom.dist2(c("x0"), c("y0"), c("x1"), c("y1"))
+    order = Window.partitionBy("file", "group_name").orderBy("ord", "name", "x0", "y0", "_h", "_id")
+    # rows come in the window's order, each file and group from number 1
+    numbered = ends.where((apart > limit) & ~F.isnan(apart)).select(F.row_number().over(order).alias("_r"), "_id", "x0", "y0", "x1", "y1")
+    joins = written(numbered.mapInArrow(run, "_id bigint, _out bigint, _turn int, _place int, _back boolean"), "joins")
+    # its size in files says little of its size in memory
+    parts = of.join(joins.hint("merge"), "_id", "left")
+    turned = lambda k: F.when(c("_back"), F.reverse(k)).otherwise(c(k)).alias(k)
+    named = F.when(c("name") != "", c("_turn"))
+    whole = parts.groupBy(F.coalesce("_out", "_id").alias("_id")).agg(
+        F.min_by(F.struct("file", "group_name", "ord"), F.coalesce("_turn", F.lit(0))).alias("_of"),
+        F.coalesce(F.min_by("name", named), F.max_by("name", F.coalesce("_turn", F.lit(0)))).alias("name"),
+        F.array_sort(F.collect_list(F.struct(F.coalesce("_place", F.lit(0)).alias("_place"), turned("_x"), turned("_y")))).alias("_p"),
+    )
+    points = F.transform(F.arrays_zip(F.flatten("_p._x").alias("x"), F.flatten("_p._y").alias("y")), lambda p, i: F.struct(i.cast("int").alias("ord"), p["x"].alias("x"), p["y"].alias("y")))
+    return whole.select("_of.*", "name", points.alias("coords"))
 
 
 def flatten_spline(coords: DataFrame, key: str = "ann_id", steps: int = 10, closed: bool = True) -> DataFrame:
